@@ -27,3 +27,13 @@ def num_text(col: Column, scale: int = 6, sep: str = ",") -> Column:
 def text_join(col: Column, sep: str = "\u001f") -> Column:
     """String array joined with a unit separator."""
     return F.array_join(col, sep)
+
+
+def bind(col: Column, fn) -> Column:
+    """Evaluate ``col`` once and hand it to ``fn`` as a lambda variable.
+
+    The optimizer may inline a column's defining expression into a lambda
+    that references it, re-evaluating it per element; a value passed in as a
+    lambda argument is evaluated once per row.
+    """
+    return F.element_at(F.transform(F.array(col), fn), 1)

@@ -24,7 +24,7 @@ TREE_COLS = ["depths", "sibling_indices", "tree_attention_mask"]
 
 
 # ---------------------------------------------------------------- C1
-def align_mask(leaves: Column, ref: Column, chunk: int = 256) -> Column:
+def align_mask(leaves: Column, ref: Column, chunk: int = 512) -> Column:
     """Greedy two-pointer alignment of leaf tokens with reference tokens.
 
     Walking the leaves in order: a leaf equal to the current reference token
@@ -48,12 +48,12 @@ def align_mask(leaves: Column, ref: Column, chunk: int = 256) -> Column:
     """
     def inner(ref):
         def step(acc, x):
-            p = acc["p"]
-            more = p < F.size(ref)
-            hit = more & (F.get(ref, p) == x)
-            bit = F.when(hit | ~more, F.lit("1")).otherwise(F.lit("0"))
-            return F.struct(F.when(hit, p + 1).otherwise(p).alias("p"),
-                            F.concat(acc["m"], bit).alias("m"))
+            p, m = acc["p"], acc["m"]
+            hit = F.struct((p + 1).alias("p"), F.concat(m, F.lit("1")).alias("m"))
+            miss = F.struct(p.alias("p"), F.concat(m, F.lit("0")).alias("m"))
+            done = F.struct(p.alias("p"), F.concat(m, F.lit("1")).alias("m"))
+            return F.when(p < F.size(ref),
+                          F.when(F.get(ref, p) == x, hit).otherwise(miss)).otherwise(done)
         return step
 
     def fold(s):
@@ -68,12 +68,18 @@ def align_mask(leaves: Column, ref: Column, chunk: int = 256) -> Column:
             part = F.aggregate(F.slice(lv, k * F.lit(chunk) + 1, F.lit(chunk)), start, inner(ref))
             return F.concat(parts, F.array(part))
 
-        return F.aggregate(chunk_ids, init, per_chunk,
-                           lambda parts: F.array_join(F.transform(parts, lambda x: x["m"]), ""))
+        chunked = F.aggregate(chunk_ids, init, per_chunk,
+                              lambda parts: F.array_join(F.transform(parts, lambda x: x["m"]), ""))
+        single = F.aggregate(lv, F.struct(F.lit(0).alias("p"), F.lit("").alias("m")),
+                             inner(ref), lambda acc: acc["m"])
+        return F.when(F.size(lv) <= F.lit(chunk), single).otherwise(chunked)
 
-    bits = F.element_at(F.transform(F.array(F.struct(leaves.alias("l"), ref.alias("r"))), fold), 1)
-    return F.transform(F.filter(F.split(bits, ""), lambda c: c != F.lit("")),
-                       lambda c: c.cast("int"))
+    def decode(b):
+        return F.when(F.length(b) == 0, F.array().cast("array<int>")).otherwise(
+            F.transform(F.split(b, "", F.length(b)), lambda c: (c == F.lit("1")).cast("int")))
+
+    bits = F.transform(F.array(F.struct(leaves.alias("l"), ref.alias("r"))), fold)
+    return F.element_at(F.transform(bits, decode), 1)
 
 
 # ---------------------------------------------------------------- C2, C5-C8
@@ -154,15 +160,22 @@ def leaf_rows(docs: DataFrame, key: str, text_col: str, length: int,
                           F.col("z.cut.sib").alias("sib"), F.col("z.mask").alias("m")))
 
 
-def assemble_features(rows: DataFrame, key: str, length: int) -> DataFrame:
-    """Leaf rows with ids -> one row per key with the five L-long arrays."""
+def wrapped_arrays(rows: DataFrame, key: str) -> DataFrame:
+    """Leaf rows with ids -> one row per key: C5-wrapped arrays and the C6
+    attention mask, not yet padded (one hash shuffle by key)."""
     s = F.sort_array(F.collect_list(F.struct("pos", "id", "depth", "sib", "m")))
     g = rows.groupBy(key).agg(s.alias("s"))
     wrapped = wrap_all(F.transform("s", lambda x: x["id"]), F.transform("s", lambda x: x["depth"]),
                        F.transform("s", lambda x: x["sib"]), F.transform("s", lambda x: x["m"]))
-    wrapped["attention_mask"] = attention(wrapped["input_ids"])
-    padded = pad_all(wrapped, length)
-    return g.select(key, *[padded[c].alias(c) for c in FEATURE_COLS])
+    wrapped["attention_mask"] = F.array_repeat(F.lit(1), F.size("s") + 2)
+    return g.select(key, *[wrapped[c].alias(c) for c in FEATURE_COLS])
+
+
+def assemble_features(rows: DataFrame, key: str, length: int) -> DataFrame:
+    """Leaf rows with ids -> one row per key with the five L-long arrays."""
+    w = wrapped_arrays(rows, key)
+    padded = pad_all({c: F.col(c) for c in FEATURE_COLS}, length)
+    return w.select(key, *[padded[c].alias(c) for c in FEATURE_COLS])
 
 
 def features(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",

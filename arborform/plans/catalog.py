@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import int_text
-from ..operators import sequence as seq
-from ..operators.shape import exclude_lang, unsupported
-from ..operators.trees import TOKEN_PATTERN, WORD_PATTERN, layout_leaves
+from ..functions.arrays import int_text, num_text, text_join
+from ..functions.batches import map_batches
+from ..functions.draw import draw, draw_int
+from ..operators import masking, metrics, pairs, sequence as seq, splits, vectors
+from ..operators.shape import exclude_lang, keep_features, model_columns, split_sizes, unsupported
+from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, layout_leaves,
+                               leaf_arrays, markup_leaves, node_leaves)
 from ..operators.vocab import build_vocab, to_ids, vocab_bound
-from ..sources.tables import read_table
+from ..session import fresh_subdir
+from ..sources.tables import read_split, read_table, write_features
 from . import params as P
 
 
@@ -79,12 +83,423 @@ def q_features(spark, d):
     return as_text(feature_frame(spark, d), seq.FEATURE_COLS)
 
 
+def wrapped_frame(spark, d):
+    src = docs(spark, d, exclude=True)
+    vocab = corpus_vocab(spark, d, exclude=True)
+    rows = seq.leaf_rows(src, "doc_id", "text", P.SEQ_LEN)
+    return seq.wrapped_arrays(to_ids(rows, vocab, bound=vocab_bound(P.VOCAB_SIZE)), "doc_id")
+
+
+def q_source_split(spark, d):
+    """A1: docs written as a split table, one split read back (pruned)."""
+    labelled = splits.assign_split(docs(spark, d), "doc_id", P.SEED).select("doc_id", "lang", "split")
+    path = fresh_subdir(spark, "split_source")
+    write_features(labelled, path)
+    return read_split(spark, path, "validation").select("doc_id", "lang", "split")
+
+
+def q_split_sizes(spark, d):
+    return split_sizes(splits.assign_split(docs(spark, d), "doc_id", P.SEED))
+
+
+def q_keep_features(spark, d):
+    return as_text(keep_features(feature_frame(spark, d), "doc_id"), seq.FEATURE_COLS)
+
+
+def q_model_columns_base(spark, d):
+    return as_text(model_columns(feature_frame(spark, d), "doc_id", tree=False), seq.FEATURE_COLS)
+
+
+def q_model_columns_tree(spark, d):
+    return as_text(model_columns(feature_frame(spark, d), "doc_id", tree=True), seq.FEATURE_COLS)
+
+
+def q_feature_sink(spark, d):
+    """Features with split labels written partitioned by split, read back."""
+    f = splits.assign_split(feature_frame(spark, d), "doc_id", P.SEED)
+    path = fresh_subdir(spark, "features")
+    write_features(f, path)
+    return as_text(read_split(spark, path), seq.FEATURE_COLS) \
+        .select("doc_id", "split", *seq.FEATURE_COLS)
+
+
+def q_half_split(spark, d):
+    return splits.half_split(docs(spark, d).select("doc_id"), "doc_id", P.SEED)
+
+
+def q_first_n(spark, d):
+    valid = splits.half_split(docs(spark, d).select("doc_id"), "doc_id", P.SEED) \
+                  .filter(F.col("part") == "valid").drop("part")
+    return splits.first_n(valid, "doc_id", P.SEED, P.VALID_CUT)
+
+
+def q_assemble(spark, d):
+    labelled = splits.assign_split(docs(spark, d).select("doc_id"), "doc_id", P.SEED)
+    train = labelled.filter(F.col("split") == "train").select("doc_id")
+    rest = labelled.filter(F.col("split") != "train").select("doc_id")
+    halves = splits.half_split(rest, "doc_id", P.SEED)
+    valid = splits.first_n(halves.filter(F.col("part") == "valid").select("doc_id"),
+                           "doc_id", P.SEED, P.VALID_CUT)
+    test = halves.filter(F.col("part") == "test").select("doc_id")
+    return splits.assemble({"train": train, "valid": valid, "test": test})
+
+
+def q_markup_leaves(spark, d):
+    return markup_leaves(read_table(spark, d, "pages", ["page_id", "html"]), "page_id", "html")
+
+
+def node_table(spark, d):
+    """region -> nation -> customer -> orders as one parent-pointer table."""
+    r = read_table(spark, d, "region").select(
+        (F.col("r_regionkey").cast("bigint") * 4).alias("node_id"),
+        F.lit(None).cast("bigint").alias("parent_id"),
+        F.col("r_regionkey").cast("bigint").alias("ord"), F.col("r_name").alias("text"))
+    n = read_table(spark, d, "nation").select(
+        (F.col("n_nationkey").cast("bigint") * 4 + 1).alias("node_id"),
+        (F.col("n_regionkey").cast("bigint") * 4).alias("parent_id"),
+        F.col("n_nationkey").cast("bigint").alias("ord"), F.col("n_name").alias("text"))
+    c = read_table(spark, d, "customer").select(
+        (F.col("c_custkey") * 4 + 2).alias("node_id"),
+        (F.col("c_nationkey").cast("bigint") * 4 + 1).alias("parent_id"),
+        F.col("c_custkey").alias("ord"), F.col("c_name").alias("text"))
+    o = read_table(spark, d, "orders").select(
+        (F.col("o_orderkey") * 4 + 3).alias("node_id"),
+        (F.col("o_custkey") * 4 + 2).alias("parent_id"),
+        F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("text"))
+    return r.unionByName(n).unionByName(c).unionByName(o)
+
+
+def q_node_leaves(spark, d):
+    out = node_leaves(node_table(spark, d))
+    return out.withColumn("path", int_text(F.col("path")))
+
+
+def q_leaf_arrays(spark, d):
+    la = leaf_arrays(layout_leaves(docs(spark, d), "doc_id", "text"), "doc_id")
+    return la.select("doc_id", text_join(F.col("tokens")).alias("tokens"),
+                     int_text(F.col("tree_mask")).alias("tree_mask"),
+                     int_text(F.col("depths")).alias("depths"), int_text(F.col("sibs")).alias("sibs"))
+
+
+def q_truncate(spark, d):
+    cut = seq.truncate(layout_leaf_array(F.col("text")), P.SEQ_LEN)
+    t = docs(spark, d, exclude=True).select("doc_id", cut.alias("c"))
+    return t.select("doc_id", text_join(F.col("c.token")).alias("tokens"),
+                    int_text(F.col("c.depth")).alias("depths"), int_text(F.col("c.sib")).alias("sibs"))
+
+
+def q_wrap(spark, d):
+    w = wrapped_frame(spark, d)
+    return as_text(w.select("doc_id", "input_ids", "depths", "sibling_indices", "tree_attention_mask"),
+                   seq.FEATURE_COLS)
+
+
+def q_attention(spark, d):
+    return as_text(feature_frame(spark, d).select("doc_id", "attention_mask"), seq.FEATURE_COLS)
+
+
+def q_pad(spark, d):
+    w = wrapped_frame(spark, d)
+    padded = seq.pad_all({c: F.col(c) for c in seq.FEATURE_COLS}, P.SEQ_LEN)
+    return as_text(w.select("doc_id", *[padded[c].alias(c) for c in seq.FEATURE_COLS]),
+                   seq.FEATURE_COLS)
+
+
+def q_check_lengths(spark, d):
+    off = seq.check_lengths(wrapped_frame(spark, d), P.SEQ_LEN)
+    return off.select("doc_id", *[F.size(c).alias(f"n_{c}") for c in seq.FEATURE_COLS])
+
+
+def q_mask_unknown(spark, d):
+    f = feature_frame(spark, d)
+    return f.select("doc_id", int_text(seq.mask_unknown(F.col("input_ids"), F.col("tree_attention_mask")))
+                    .alias("tree_attention_mask"))
+
+
+def doc_pairs(spark, d):
+    return pairs.adjacent_pairs(docs(spark, d), "doc_id", "text", "lang")
+
+
+def q_pair_features(spark, d):
+    vocab = corpus_vocab(spark, d)
+    pf = pairs.pair_features(doc_pairs(spark, d), vocab, P.SEQ_LEN,
+                             vocab_rows=vocab_bound(P.VOCAB_SIZE))
+    cols = [c for c in pf.columns if c not in ("pair_id", "labels")]
+    return as_text(pf, cols)
+
+
+def q_position_ids(spark, d):
+    f = feature_frame(spark, d)
+    return f.select("doc_id", int_text(seq.position_ids(F.col("input_ids"))).alias("position_ids"))
+
+
+def q_token_types(spark, d):
+    f = feature_frame(spark, d)
+    return f.select("doc_id", int_text(seq.token_types(F.col("input_ids"))).alias("token_type_ids"))
+
+
+def q_tree_positions(spark, d):
+    return seq.tree_positions(feature_frame(spark, d), "doc_id")
+
+
+def q_check_ranges(spark, d):
+    return seq.check_ranges(feature_frame(spark, d), P.RANGE_MAX_DEPTH, P.RANGE_MAX_SIB)
+
+
+def q_special_mask(spark, d):
+    f = feature_frame(spark, d)
+    return f.select("doc_id", int_text(masking.special_mask(F.col("input_ids"))).alias("special_mask"))
+
+
+def masked_eval(spark, d):
+    f = feature_frame(spark, d).select("doc_id", "input_ids")
+    return masking.mask_tokens(f, "doc_id", P.MASK_PROB, P.SEED)
+
+
+def q_mask_eval(spark, d):
+    return as_text(masked_eval(spark, d), ["input_ids", "labels"])
+
+
+def q_mask_train(spark, d):
+    f = feature_frame(spark, d).select("doc_id", "input_ids")
+    m = masking.mask_tokens_train(f, "doc_id", P.MASK_PROB, P.SEED, vocab_bound(P.VOCAB_SIZE))
+    return as_text(m, ["input_ids", "labels"])
+
+
+def q_scored(spark, d):
+    return masking.scored(masked_eval(spark, d), "doc_id")
+
+
+# ---------------------------------------------------------------- vectors
+def token_slots(spark, d):
+    """(doc_id, pos, ids per source, on/off factors) for the first positions."""
+    f = feature_frame(spark, d)
+    f = f.select("doc_id", "input_ids", "depths", "sibling_indices", "tree_attention_mask",
+                 seq.position_ids(F.col("input_ids")).alias("position_ids"))
+    z = F.arrays_zip(F.slice("input_ids", 1, P.VEC_POSITIONS).alias("w"),
+                     F.slice("position_ids", 1, P.VEC_POSITIONS).alias("p"),
+                     F.slice("depths", 1, P.VEC_POSITIONS).alias("d"),
+                     F.slice("sibling_indices", 1, P.VEC_POSITIONS).alias("s"),
+                     F.slice("tree_attention_mask", 1, P.VEC_POSITIONS).alias("t"))
+    rows = f.select("doc_id", F.posexplode(z).alias("pos", "z"))
+    o = P.VEC_OFFSETS
+    return rows.select(
+        "doc_id", F.col("pos").cast("int").alias("pos"),
+        ((F.col("z.w") + o["word"]) % P.VEC_MOD).cast("bigint").alias("word_vid"),
+        F.lit((0 + o["type"]) % P.VEC_MOD).cast("bigint").alias("type_vid"),
+        ((F.col("z.p") + o["position"]) % P.VEC_MOD).cast("bigint").alias("position_vid"),
+        ((F.greatest(F.col("z.d"), F.lit(0)) + o["depth"]) % P.VEC_MOD).cast("bigint").alias("depth_vid"),
+        ((F.greatest(F.col("z.s"), F.lit(0)) + o["sibling"]) % P.VEC_MOD).cast("bigint").alias("sibling_vid"),
+        ((F.col("z.d") != -1).cast("int") * F.col("z.t")).alias("depth_on"),
+        ((F.col("z.s") != -1).cast("int") * F.col("z.t")).alias("sib_on"))
+
+
+def vector_table(spark, d):
+    # only ids below VEC_MOD are ever looked up: a proven bound for the broadcast
+    return read_table(spark, d, "embeddings", ["vec_id", "embedding"]) \
+        .filter(F.col("vec_id") < P.VEC_MOD)
+
+
+def token_vectors(spark, d):
+    rows = token_slots(spark, d)
+    table = vector_table(spark, d)
+    for src in vectors.SOURCES:
+        rows = vectors.lookup(rows, table, f"{src}_vid", f"{src}_vec", bound=P.VEC_MOD)
+    return rows
+
+
+def _fused(spark, d, how):
+    t = token_vectors(spark, d)
+    args = [F.col(f"{s}_vec") for s in vectors.SOURCES] + [F.col("depth_on"), F.col("sib_on")]
+    if how == "sum":
+        v = vectors.fuse_sum(*args)
+    elif how == "weighted":
+        v = vectors.fuse_weighted(*args, weights=P.FUSE_WEIGHTS)
+    elif how == "concat":
+        v = vectors.fuse_concat(*args)
+    else:
+        v = vectors.layer_norm(vectors.fuse_sum(*args), P.LN_EPS)
+    return t.select("doc_id", "pos", num_text(v).alias("vec"))
+
+
+def q_lookup(spark, d):
+    rows = token_slots(spark, d)
+    srcs = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"{s}_vid").alias("vid"))
+                               for s in vectors.SOURCES])).alias("x")
+    long = rows.select("doc_id", "pos", srcs).select("doc_id", "pos", "x.source", "x.vid")
+    out = vectors.lookup(long, vector_table(spark, d), "vid", "vec", bound=P.VEC_MOD)
+    return out.select("doc_id", "pos", "source", F.col("vid").alias("vec_id"),
+                      num_text(F.col("vec")).alias("vec"))
+
+
+def q_fuse_sum(spark, d):
+    return _fused(spark, d, "sum")
+
+
+def q_fuse_weighted(spark, d):
+    return _fused(spark, d, "weighted")
+
+
+def q_fuse_concat(spark, d):
+    return _fused(spark, d, "concat")
+
+
+def q_layer_norm(spark, d):
+    return _fused(spark, d, "norm")
+
+
+def emb_pairs(spark, d):
+    e = read_table(spark, d, "embeddings", ["vec_id", "embedding", "label"])
+    left = e.select(F.col("vec_id").alias("pair_id"), F.lit(0).alias("pos"),
+                    F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("l1"))
+    right = e.select((F.col("vec_id") - 1).alias("pair_id"), F.lit(0).alias("pos"),
+                     F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("l2"))
+    pv = pairs.pair_vector(left, right)
+    lab = left.select("pair_id", "l1").join(right.select("pair_id", "l2"), "pair_id") \
+              .select("pair_id", (F.col("l1") == F.col("l2")).cast("int").alias("labels"))
+    return pv.join(lab, "pair_id")
+
+
+def q_pair_vector(spark, d):
+    return emb_pairs(spark, d).select("pair_id", num_text(F.col("pair_vec")).alias("pair_vec"), "labels")
+
+
+def q_pair_classify(spark, d):
+    data = emb_pairs(spark, d)
+    model = pairs.fit_pairs(data, seed=P.SEED, max_iter=30)
+    return pairs.score_pairs(model, data).select("pair_id", "labels", "prediction")
+
+
+# ---------------------------------------------------------------- evaluation
+def predictions(spark, d):
+    e = read_table(spark, d, "embeddings", ["vec_id", "embedding", "label"])
+    return e.select("vec_id", F.slice("embedding", 1, P.N_CLASSES).cast("array<double>").alias("logits"),
+                    F.col("label").cast("int").alias("label"))
+
+
+def with_pred(spark, d):
+    return predictions(spark, d).withColumn("pred", metrics.argmax(F.col("logits")))
+
+
+def q_argmax(spark, d):
+    return with_pred(spark, d).select("vec_id", "pred")
+
+
+def q_accuracy(spark, d):
+    return metrics.accuracy(with_pred(spark, d))
+
+
+def q_class_report(spark, d):
+    return metrics.class_report(with_pred(spark, d))
+
+
+def q_macro(spark, d):
+    return metrics.macro(metrics.class_report(with_pred(spark, d)))
+
+
+def q_weighted(spark, d):
+    return metrics.weighted(metrics.class_report(with_pred(spark, d)))
+
+
+def q_cross_entropy(spark, d):
+    return metrics.cross_entropy(predictions(spark, d))
+
+
+def q_batch_ids(spark, d):
+    return metrics.batch_ids(predictions(spark, d).select("vec_id"), "vec_id", P.BATCH) \
+        .select("vec_id", "batch")
+
+
+def q_batch_loss(spark, d):
+    return metrics.batch_loss(predictions(spark, d), "vec_id", P.BATCH)
+
+
+def q_metric_row(spark, d):
+    return metrics.evaluate(predictions(spark, d), "weighted")
+
+
+# ---------------------------------------------------------------- user functions
+def _doc_stats(batch, sep="\n"):
+    import pandas as pd
+    t = batch["text"]
+    return pd.DataFrame({"doc_id": batch["doc_id"], "n_chars": t.str.len().astype("int64"),
+                         "n_lines": (t.str.count(sep) + 1).astype("int64")})
+
+
+def q_map_batches(spark, d):
+    return map_batches(docs(spark, d).select("doc_id", "text"), _doc_stats,
+                       "doc_id long, n_chars long, n_lines long", sep="\n")
+
+
+def q_predicate(spark, d):
+    df = read_table(spark, d, "documents", ["doc_id", "n_chars", "lang"])
+    return df.filter((F.col("n_chars") > 1000) & (F.col("lang") != "en")).select("doc_id")
+
+
+def q_draw(spark, d):
+    return docs(spark, d).select("doc_id", draw_int(P.SEED, F.col("doc_id")).alias("draw_int"),
+                                 draw(P.SEED, F.col("doc_id")).alias("u"))
+
+
 QUERIES = {
+    # A: sources, sinks, shape
+    "source_split": q_source_split,
+    "split_sizes": q_split_sizes,
     "exclude_lang": q_exclude_lang,
     "unsupported_lang": q_unsupported_lang,
+    "keep_features": q_keep_features,
+    "model_columns_base": q_model_columns_base,
+    "model_columns_tree": q_model_columns_tree,
+    "feature_sink": q_feature_sink,
+    "half_split": q_half_split,
+    "first_n": q_first_n,
+    "assemble": q_assemble,
+    # B: tree walks
+    "markup_leaves": q_markup_leaves,
+    "node_leaves": q_node_leaves,
     "layout_leaves": q_layout_leaves,
+    "leaf_arrays": q_leaf_arrays,
+    # C: sequence features
     "vocab": q_vocab,
     "token_ids": q_token_ids,
     "align_mask": q_align_mask,
+    "truncate": q_truncate,
+    "wrap": q_wrap,
+    "attention": q_attention,
+    "pad": q_pad,
+    "check_lengths": q_check_lengths,
     "features": q_features,
+    "mask_unknown": q_mask_unknown,
+    "pair_features": q_pair_features,
+    "position_ids": q_position_ids,
+    "token_types": q_token_types,
+    "tree_positions": q_tree_positions,
+    "check_ranges": q_check_ranges,
+    # D: masking
+    "special_mask": q_special_mask,
+    "mask_eval": q_mask_eval,
+    "mask_train": q_mask_train,
+    "scored": q_scored,
+    # E: vectors
+    "lookup": q_lookup,
+    "fuse_sum": q_fuse_sum,
+    "fuse_weighted": q_fuse_weighted,
+    "fuse_concat": q_fuse_concat,
+    "layer_norm": q_layer_norm,
+    "pair_vector": q_pair_vector,
+    "pair_classify": q_pair_classify,
+    # F: evaluation
+    "argmax": q_argmax,
+    "accuracy": q_accuracy,
+    "class_report": q_class_report,
+    "macro": q_macro,
+    "weighted": q_weighted,
+    "cross_entropy": q_cross_entropy,
+    "batch_ids": q_batch_ids,
+    "batch_loss": q_batch_loss,
+    "metric_row": q_metric_row,
+    # G: user functions
+    "map_batches": q_map_batches,
+    "predicate": q_predicate,
+    "draw": q_draw,
 }

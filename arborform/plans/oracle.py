@@ -127,4 +127,274 @@ def sql_queries() -> dict[str, str]:
       FROM (SELECT doc_id, unnest(list_transform(mask, lambda m, i: {{'pos': i - 1, 'm': m}})) AS u FROM al)"""
     S["features"] = f"""WITH {docs_cte(True)}, {features_ctes()}
         SELECT doc_id, {FEATURE_TEXT} FROM feats"""
+    more_queries(S)
     return S
+
+
+U32 = "4294967296.0"
+
+
+def split_expr(key: str = "doc_id") -> str:
+    u = f"({draw_sql(key)} / {U32})"
+    return f"CASE WHEN {u} < 0.8 THEN 'train' WHEN {u} < 0.9 THEN 'validation' ELSE 'test' END"
+
+
+def half_draw(key: str = "doc_id") -> str:
+    return draw_sql("'half'", key)
+
+
+FEAT = f"WITH {docs_cte(True)}, {features_ctes()}"
+TAGS = ", ".join(q(t) for t in NEST_TAGS)
+
+
+def pos_id_expr(ids: str, i: str) -> str:
+    """position id at 1-based index i of list ids (pad id 1)."""
+    return (f"(CASE WHEN {ids}[{i}] = 1 THEN 1 ELSE "
+            f"CAST(len(list_filter({ids}[1:{i}], lambda y: y <> 1)) AS INTEGER) + 1 END)")
+
+
+def num_text_sql(v: str) -> str:
+    return f"array_to_string(list_transform({v}, lambda x: CAST(round(x * 1000000.0) AS BIGINT)), ',')"
+
+
+def slots_cte() -> str:
+    n, m, o = P.VEC_POSITIONS, P.VEC_MOD, P.VEC_OFFSETS
+    return f"""slots AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos,
+      CAST((input_ids[i] + {o['word']}) % {m} AS BIGINT) AS word_vid,
+      CAST({(0 + o['type']) % m} AS BIGINT) AS type_vid,
+      CAST(({pos_id_expr('input_ids', 'i')} + {o['position']}) % {m} AS BIGINT) AS position_vid,
+      CAST((greatest(depths[i], 0) + {o['depth']}) % {m} AS BIGINT) AS depth_vid,
+      CAST((greatest(sibling_indices[i], 0) + {o['sibling']}) % {m} AS BIGINT) AS sibling_vid,
+      CAST((depths[i] <> -1) AS INTEGER) * tree_attention_mask[i] AS depth_on,
+      CAST((sibling_indices[i] <> -1) AS INTEGER) * tree_attention_mask[i] AS sib_on
+    FROM feats, range(1, {n + 1}) r(i)),
+vt AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id < {m}),
+tv AS (SELECT s.*, a.vec AS word_vec, b.vec AS type_vec, c.vec AS position_vec, d.vec AS depth_vec,
+              e.vec AS sibling_vec FROM slots s
+    LEFT JOIN vt a ON a.vec_id = s.word_vid LEFT JOIN vt b ON b.vec_id = s.type_vid
+    LEFT JOIN vt c ON c.vec_id = s.position_vid LEFT JOIN vt d ON d.vec_id = s.depth_vid
+    LEFT JOIN vt e ON e.vec_id = s.sibling_vid)"""
+
+
+def fused_sql(how: str) -> str:
+    k = "list_transform(range(1, len(word_vec) + 1), lambda k: "
+    don, son = "CAST(depth_on AS DOUBLE)", "CAST(sib_on AS DOUBLE)"
+    if how == "sum":
+        v = (f"{k}((((word_vec[k] + type_vec[k]) + position_vec[k]) + depth_vec[k] * {don})"
+             f" + sibling_vec[k] * {son}))")
+    elif how == "weighted":
+        w = P.FUSE_WEIGHTS
+        v = (f"{k}((((word_vec[k] * {w['word']!r} + type_vec[k] * {w['type']!r}) + "
+             f"position_vec[k] * {w['position']!r}) + (depth_vec[k] * {don}) * {w['depth']!r}) + "
+             f"(sibling_vec[k] * {son}) * {w['sibling']!r}))")
+    elif how == "concat":
+        v = (f"word_vec || type_vec || position_vec || list_transform(depth_vec, lambda x: x * {don})"
+             f" || list_transform(sibling_vec, lambda x: x * {son})")
+    else:
+        return f"""{FEAT}, {slots_cte()},
+          f AS (SELECT doc_id, pos, {fused_inner('sum')} AS v FROM tv),
+          m AS (SELECT doc_id, pos, v, list_reduce(v, lambda a, x: a + x, 0.0) / len(v) AS mean FROM f),
+          sd AS (SELECT doc_id, pos, v, mean,
+                   sqrt(list_reduce(v, lambda a, x: a + (x - mean) * (x - mean), 0.0) / len(v) + {P.LN_EPS!r}) AS sd
+                 FROM m)
+          SELECT doc_id, pos, {num_text_sql('list_transform(v, lambda x: (x - mean) / sd)')} AS vec FROM sd"""
+    return f"{FEAT}, {slots_cte()} SELECT doc_id, pos, {num_text_sql(v)} AS vec FROM tv"
+
+
+def fused_inner(how: str) -> str:
+    don, son = "CAST(depth_on AS DOUBLE)", "CAST(sib_on AS DOUBLE)"
+    return (f"list_transform(range(1, len(word_vec) + 1), lambda k: ((((word_vec[k] + type_vec[k]) + "
+            f"position_vec[k]) + depth_vec[k] * {don}) + sibling_vec[k] * {son}))")
+
+
+PRED = f"""preds AS (SELECT vec_id, CAST(embedding[1:{P.N_CLASSES}] AS DOUBLE[]) AS logits,
+             CAST(label AS INTEGER) AS label FROM embeddings),
+wp AS (SELECT vec_id, logits, label, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred
+       FROM preds),
+rl AS (SELECT vec_id, label,
+         list_max(logits) + ln(list_reduce(list_transform(logits, lambda x: exp(x - list_max(logits))),
+                                           lambda a, x: a + x, 0.0)) - logits[label + 1] AS loss
+       FROM preds WHERE label <> -100),
+cnt AS (SELECT label AS l, pred AS p, count(*) AS n FROM wp GROUP BY 1, 2),
+bl AS (SELECT l AS cls, sum(n) AS support, sum(CASE WHEN l = p THEN n ELSE 0 END) AS tp FROM cnt GROUP BY 1),
+bp AS (SELECT p AS cls, sum(n) AS predicted FROM cnt GROUP BY 1),
+rep0 AS (SELECT CAST(coalesce(bl.cls, bp.cls) AS INTEGER) AS cls,
+           CAST(coalesce(support, 0) AS BIGINT) AS support, CAST(coalesce(predicted, 0) AS BIGINT) AS predicted,
+           CAST(coalesce(tp, 0) AS BIGINT) AS tp FROM bl FULL OUTER JOIN bp ON bl.cls = bp.cls),
+rep AS (SELECT cls, support, predicted, tp,
+           CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+           CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+           CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1
+        FROM rep0)"""
+
+
+def more_queries(S: dict) -> None:
+    S["source_split"] = f"""SELECT doc_id, lang, split FROM
+        (SELECT doc_id, lang, {split_expr()} AS split FROM documents) WHERE split = 'validation'"""
+    S["split_sizes"] = f"""SELECT split, count(*) AS n_rows FROM
+        (SELECT {split_expr()} AS split FROM documents) GROUP BY split"""
+    S["keep_features"] = f"{FEAT} SELECT doc_id, {FEATURE_TEXT} FROM feats"
+    S["model_columns_base"] = f"""{FEAT} SELECT doc_id, {txt('input_ids')}, {txt('attention_mask')}
+        FROM feats"""
+    S["model_columns_tree"] = S["keep_features"]
+    S["feature_sink"] = f"""{FEAT} SELECT doc_id, {split_expr()} AS split, {FEATURE_TEXT} FROM feats"""
+    half = f"""(SELECT doc_id, {half_draw()} AS d,
+          CASE WHEN row_number() OVER (ORDER BY {half_draw()}, doc_id) - 1 < floor(count(*) OVER () / 2)
+               THEN 'valid' ELSE 'test' END AS part FROM {{src}})"""
+    S["half_split"] = f"SELECT doc_id, part FROM {half.format(src='documents')}"
+    S["first_n"] = f"""SELECT doc_id FROM {half.format(src='documents')} WHERE part = 'valid'
+        ORDER BY d, doc_id LIMIT {P.VALID_CUT}"""
+    S["assemble"] = f"""WITH lab AS (SELECT doc_id, {split_expr()} AS split FROM documents),
+        rest AS (SELECT doc_id FROM lab WHERE split <> 'train'),
+        h AS {half.format(src='rest')}
+        SELECT doc_id, 'train' AS split FROM lab WHERE split = 'train'
+        UNION ALL SELECT doc_id, 'valid' AS split FROM
+          (SELECT doc_id FROM h WHERE part = 'valid' ORDER BY d, doc_id LIMIT {P.VALID_CUT})
+        UNION ALL SELECT doc_id, 'test' AS split FROM h WHERE part = 'test'"""
+    S["markup_leaves"] = f"""WITH toks AS (
+        SELECT page_id, u.pos AS pos, u.t AS token FROM (
+          SELECT page_id, unnest(list_transform(regexp_extract_all(html, {q(MARKUP_PATTERN)}),
+                   lambda t, i: {{'pos': i - 1, 't': t}})) AS u FROM pages)),
+      cls AS (SELECT page_id, pos, token, lower(regexp_extract(token, {q(TAG_NAME_PATTERN)}, 1)) AS name FROM toks),
+      kinds AS (SELECT page_id, pos, token,
+        CASE WHEN starts_with(token, '<!') THEN 'drop'
+             WHEN regexp_matches(token, {q(RAW_PATTERN)}) THEN 'leaf'
+             WHEN name <> '' AND name NOT IN ({TAGS}) THEN 'drop'
+             WHEN name <> '' AND starts_with(token, '</') THEN 'close'
+             WHEN name <> '' AND ends_with(token, '/>') THEN 'leaf'
+             WHEN name <> '' THEN 'open'
+             WHEN trim(token, {BLANK}) = '' THEN 'drop'
+             ELSE 'leaf' END AS kind FROM cls),
+      k2 AS (SELECT * FROM kinds WHERE kind <> 'drop'),
+      run AS (SELECT *, CAST(sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END)
+                OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS s,
+              lead(kind) OVER (PARTITION BY page_id ORDER BY pos) AS next_kind FROM k2),
+      nodes AS (SELECT page_id, pos, token, kind, CASE WHEN kind = 'open' THEN s - 1 ELSE s END AS depth,
+                  (kind = 'leaf' OR next_kind = 'close') AS is_leaf FROM run WHERE kind <> 'close'),
+      placed AS (SELECT page_id, pos, token, depth, is_leaf, depth AS grp, false AS marker FROM nodes
+                 UNION ALL SELECT page_id, pos, token, depth, is_leaf, depth + 1, true FROM nodes WHERE kind = 'open'),
+      par AS (SELECT *, coalesce(max(CASE WHEN marker THEN pos END) OVER (PARTITION BY page_id, grp ORDER BY pos
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS parent FROM placed),
+      sb AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id, grp, parent ORDER BY pos) - 1 AS INTEGER) AS sib
+             FROM par WHERE NOT marker)
+      SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS leaf_pos,
+             token, CAST(depth AS INTEGER) AS depth, sib FROM sb WHERE is_leaf"""
+    S["node_leaves"] = """WITH RECURSIVE nodes AS (
+        SELECT CAST(r_regionkey AS BIGINT) * 4 AS node_id, CAST(NULL AS BIGINT) AS parent_id,
+               CAST(r_regionkey AS BIGINT) AS ord, r_name AS text FROM region
+        UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 4 + 1, CAST(n_regionkey AS BIGINT) * 4,
+               CAST(n_nationkey AS BIGINT), n_name FROM nation
+        UNION ALL SELECT c_custkey * 4 + 2, CAST(c_nationkey AS BIGINT) * 4 + 1, c_custkey, c_name FROM customer
+        UNION ALL SELECT o_orderkey * 4 + 3, o_custkey * 4 + 2, o_orderkey, o_orderpriority FROM orders),
+      walk(node_id, root_id, depth, path) AS (
+        SELECT node_id, node_id, 0, [ord] FROM nodes WHERE parent_id IS NULL
+        UNION ALL SELECT n.node_id, w.root_id, w.depth + 1, list_append(w.path, n.ord)
+        FROM nodes n JOIN walk w ON n.parent_id = w.node_id),
+      sibs AS (SELECT node_id, text, CASE WHEN parent_id IS NULL THEN 0
+                 ELSE row_number() OVER (PARTITION BY parent_id ORDER BY ord, node_id) - 1 END AS sib FROM nodes)
+      SELECT w.node_id, w.root_id, CAST(w.depth AS INTEGER) AS depth, CAST(s.sib AS INTEGER) AS sib,
+             array_to_string(w.path, ',') AS path, s.text
+      FROM walk w JOIN sibs s ON w.node_id = s.node_id
+      WHERE w.node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL)"""
+    S["leaf_arrays"] = f"""WITH {docs_cte(False)}, {leaf_rows_cte()}
+        SELECT doc_id, array_to_string(list(token ORDER BY leaf_pos), chr(31)) AS tokens,
+          array_to_string(list(1 ORDER BY leaf_pos), ',') AS tree_mask,
+          array_to_string(list(depth ORDER BY leaf_pos), ',') AS depths,
+          array_to_string(list(sib ORDER BY leaf_pos), ',') AS sibs FROM lrows GROUP BY doc_id"""
+    S["truncate"] = f"""WITH {docs_cte(True)}, {leaf_rows_cte()}
+        SELECT doc_id, array_to_string(list_transform(leaves[1:{P.SEQ_LEN - 2}], lambda x: x.token), chr(31)) AS tokens,
+          array_to_string(list_transform(leaves[1:{P.SEQ_LEN - 2}], lambda x: x.depth), ',') AS depths,
+          array_to_string(list_transform(leaves[1:{P.SEQ_LEN - 2}], lambda x: x.sib), ',') AS sibs FROM lv"""
+    S["wrap"] = f"""{FEAT} SELECT doc_id, {txt('w_ids', 'input_ids')}, {txt('w_dep', 'depths')},
+        {txt('w_sib', 'sibling_indices')}, {txt('w_tm', 'tree_attention_mask')} FROM wrapped"""
+    S["attention"] = f"{FEAT} SELECT doc_id, {txt('attention_mask')} FROM feats"
+    S["pad"] = S["keep_features"]
+    L = P.SEQ_LEN
+    S["check_lengths"] = f"""{FEAT} SELECT doc_id, CAST(len(w_ids) AS INTEGER) AS n_input_ids,
+        CAST(len(w_ids) AS INTEGER) AS n_attention_mask, CAST(len(w_dep) AS INTEGER) AS n_depths,
+        CAST(len(w_sib) AS INTEGER) AS n_sibling_indices, CAST(len(w_tm) AS INTEGER) AS n_tree_attention_mask
+        FROM wrapped WHERE len(w_ids) <> {L} OR len(w_dep) <> {L} OR len(w_sib) <> {L} OR len(w_tm) <> {L}"""
+    S["mask_unknown"] = f"""{FEAT} SELECT doc_id, array_to_string(list_transform(range(1, len(input_ids) + 1),
+        lambda i: CASE WHEN input_ids[i] = 3 THEN 0 ELSE tree_attention_mask[i] END), ',') AS tree_attention_mask
+        FROM feats"""
+    pair_cols = ", ".join(f"array_to_string(f{s}.{c}, ',') AS {c}_{s}" for s in (1, 2) for c in
+                          ["input_ids", "attention_mask", "depths", "sibling_indices"])
+    S["pair_features"] = f"""WITH {docs_cte(False)}, {features_ctes(align=False)},
+        um AS (SELECT doc_id, input_ids, attention_mask, depths, sibling_indices,
+                 list_transform(range(1, len(input_ids) + 1), lambda i:
+                   CASE WHEN input_ids[i] = 3 THEN 0 ELSE tree_attention_mask[i] END) AS tree_attention_mask
+               FROM feats),
+        pr AS (SELECT a.doc_id AS pair_id, a.doc_id AS d1, b.doc_id AS d2,
+                 CAST(a.lang IS NOT DISTINCT FROM b.lang AS INTEGER) AS labels
+               FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+        SELECT pr.pair_id, {pair_cols}, array_to_string(f1.tree_attention_mask, ',') AS tree_attention_mask_1,
+          array_to_string(f2.tree_attention_mask, ',') AS tree_attention_mask_2, pr.labels
+        FROM pr JOIN um f1 ON f1.doc_id = pr.d1 JOIN um f2 ON f2.doc_id = pr.d2"""
+    S["position_ids"] = f"""{FEAT} SELECT doc_id, array_to_string(list_transform(range(1, len(input_ids) + 1),
+        lambda i: {pos_id_expr('input_ids', 'i')}), ',') AS position_ids FROM feats"""
+    S["token_types"] = f"""{FEAT} SELECT doc_id, array_to_string(list_transform(input_ids, lambda x: 0), ',')
+        AS token_type_ids FROM feats"""
+    S["tree_positions"] = f"""{FEAT} SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos,
+        greatest(depths[i], 0) AS depth_idx, greatest(sibling_indices[i], 0) AS sib_idx,
+        CAST(depths[i] <> -1 AS INTEGER) * tree_attention_mask[i] AS depth_on,
+        CAST(sibling_indices[i] <> -1 AS INTEGER) * tree_attention_mask[i] AS sib_on
+        FROM feats, range(1, {L + 1}) r(i)"""
+    S["check_ranges"] = f"""{FEAT} SELECT doc_id, list_max(depths) AS max_depth, list_max(sibling_indices) AS max_sib
+        FROM feats WHERE list_max(depths) >= {P.RANGE_MAX_DEPTH} OR list_max(sibling_indices) >= {P.RANGE_MAX_SIB}"""
+    S["special_mask"] = f"""{FEAT} SELECT doc_id, array_to_string(list_transform(input_ids,
+        lambda x: CASE WHEN x IN (0, 1, 2, 3, 4) THEN 1 ELSE 0 END), ',') AS special_mask FROM feats"""
+    u0 = f"({draw_sql('doc_id', 'i - 1')} / {U32})"
+    chosen = f"(input_ids[i] NOT IN (0, 1, 2, 3, 4) AND {u0} < {P.MASK_PROB!r})"
+    masked_cte = f"""{FEAT}, mk AS (SELECT doc_id,
+        list_transform(range(1, len(input_ids) + 1), lambda i: CASE WHEN {chosen} THEN 4 ELSE input_ids[i] END) AS ids,
+        list_transform(range(1, len(input_ids) + 1), lambda i: CASE WHEN {chosen} THEN input_ids[i] ELSE -100 END) AS labels
+        FROM feats)"""
+    S["mask_eval"] = f"{masked_cte} SELECT doc_id, {txt('ids', 'input_ids')}, {txt('labels')} FROM mk"
+    S["scored"] = f"""{masked_cte} SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ids[i] AS input_id, labels[i] AS label
+        FROM mk, range(1, {L + 1}) r(i) WHERE labels[i] <> -100"""
+    uk = [f"({draw_sql('doc_id', 'i - 1', slot=k)} / {U32})" for k in range(4)]
+    vsz = P.VOCAB_SIZE + 5
+    new_id = (f"CASE WHEN NOT {chosen} THEN input_ids[i] WHEN {uk[1]} < 0.8 THEN 4 "
+              f"WHEN {uk[2]} < 0.5 THEN CAST(floor({uk[3]} * {vsz}) AS INTEGER) ELSE input_ids[i] END")
+    S["mask_train"] = f"""{FEAT} SELECT doc_id,
+        array_to_string(list_transform(range(1, len(input_ids) + 1), lambda i: {new_id}), ',') AS input_ids,
+        array_to_string(list_transform(range(1, len(input_ids) + 1),
+          lambda i: CASE WHEN {chosen} THEN input_ids[i] ELSE -100 END), ',') AS labels FROM feats"""
+    srcs = " UNION ALL ".join(f"SELECT doc_id, pos, '{s}' AS source, {s}_vid AS vid FROM slots"
+                              for s in ("word", "type", "position", "depth", "sibling"))
+    S["lookup"] = f"""{FEAT}, {slots_cte()}, lg AS ({srcs})
+        SELECT lg.doc_id, lg.pos, lg.source, lg.vid AS vec_id, {num_text_sql('vt.vec')} AS vec
+        FROM lg LEFT JOIN vt ON vt.vec_id = lg.vid"""
+    S["fuse_sum"] = fused_sql("sum")
+    S["fuse_weighted"] = fused_sql("weighted")
+    S["fuse_concat"] = fused_sql("concat")
+    S["layer_norm"] = fused_sql("norm")
+    S["pair_vector"] = f"""SELECT a.vec_id AS pair_id,
+        {num_text_sql('CAST(a.embedding AS DOUBLE[]) || CAST(b.embedding AS DOUBLE[])')} AS pair_vec,
+        CAST(a.label = b.label AS INTEGER) AS labels
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+    S["argmax"] = f"WITH {PRED} SELECT vec_id, pred FROM wp"
+    S["accuracy"] = f"WITH {PRED} SELECT avg(CAST(pred = label AS DOUBLE)) AS accuracy FROM wp"
+    S["class_report"] = f"WITH {PRED} SELECT * FROM rep"
+    S["macro"] = f"""WITH {PRED} SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM rep"""
+    wavg = ("sum(precision * support) / CAST(sum(support) AS DOUBLE) AS precision, "
+            "sum(recall * support) / CAST(sum(support) AS DOUBLE) AS recall, "
+            "sum(f1 * support) / CAST(sum(support) AS DOUBLE) AS f1")
+    S["weighted"] = f"WITH {PRED} SELECT {wavg} FROM rep"
+    S["cross_entropy"] = f"WITH {PRED} SELECT avg(loss) AS loss FROM rl"
+    S["batch_ids"] = f"""SELECT vec_id, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {P.BATCH}) AS BIGINT)
+        AS batch FROM embeddings"""
+    S["batch_loss"] = f"""WITH {PRED},
+        b AS (SELECT p.vec_id, CAST(floor((row_number() OVER (ORDER BY p.vec_id) - 1) / {P.BATCH}) AS BIGINT) AS batch,
+                rl.loss FROM preds p LEFT JOIN rl ON rl.vec_id = p.vec_id),
+        per AS (SELECT batch, avg(loss) AS m, count(*) AS rows FROM b GROUP BY batch)
+        SELECT sum(m * rows) / sum(rows) AS loss FROM per"""
+    S["metric_row"] = f"""WITH {PRED}
+        SELECT (SELECT avg(loss) FROM rl) AS loss,
+               (SELECT avg(CAST(pred = label AS DOUBLE)) FROM wp) AS accuracy, w.*
+        FROM (SELECT {wavg} FROM rep) w"""
+    S["map_batches"] = """SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
+        CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines FROM documents"""
+    S["predicate"] = "SELECT doc_id FROM documents WHERE n_chars > 1000 AND lang <> 'en'"
+    S["draw"] = f"""SELECT doc_id, {draw_sql('doc_id')} AS draw_int, {draw_sql('doc_id')} / {U32} AS u
+        FROM documents"""
