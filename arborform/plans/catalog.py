@@ -19,18 +19,25 @@ from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, l
                                leaf_arrays, markup_leaves, node_leaves)
 from ..operators.vocab import build_vocab, to_ids, vocab_bound
 from ..session import fresh_subdir
-from ..sources.tables import read_split, read_table, write_features
+from ..sources.tables import read_split, read_table, spread, write_features
 from . import params as P
 
 
 # ------------------------------------------------------------------ inputs
 def docs(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
     df = read_table(spark, d, "documents", ["doc_id", "text", "lang"])
-    return exclude_lang(df, P.EXCLUDED_LANG) if exclude else df
+    df = exclude_lang(df, P.EXCLUDED_LANG) if exclude else df
+    return spread(df, "doc_id")
 
 
 def corpus_vocab(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
-    return build_vocab(layout_leaves(docs(spark, d, exclude), "doc_id", "text"), P.VOCAB_SIZE)
+    """C4 over the corpus's leaf tokens. The layout leaves that can enter the
+    vocabulary (non-blank ones) are exactly the regex tokens of the whole text
+    (a token never spans a line break), so the counts come from one regex
+    pass and an explode instead of the full walk."""
+    toks = docs(spark, d, exclude).select(
+        F.explode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("token"))
+    return build_vocab(toks, P.VOCAB_SIZE)
 
 
 def feature_frame(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +152,8 @@ def q_assemble(spark, d):
 
 
 def q_markup_leaves(spark, d):
-    return markup_leaves(read_table(spark, d, "pages", ["page_id", "html"]), "page_id", "html")
+    pages = spread(read_table(spark, d, "pages", ["page_id", "html"]), "page_id")
+    return markup_leaves(pages, "page_id", "html")
 
 
 def node_table(spark, d):

@@ -28,3 +28,21 @@ def write_features(df: DataFrame, path: str, mode: str = "errorifexists") -> str
     """Write a split table partitioned by ``split`` (parquet)."""
     (df.write.mode(mode).partitionBy("split").parquet(path))
     return path
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a frame read from few input splits over all cores before
+    CPU-heavy per-row work (regex walks, folds).
+
+    Only when the scan has fewer partitions than the cluster's default
+    parallelism (small inputs, or files holding one big row group); large
+    inputs already have many splits and are returned unchanged. Partitioning
+    is by hash of ``key`` when given, so a later grouping by the same key
+    needs no second exchange.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    n = max(want, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key) if key else df.repartition(n)
