@@ -126,9 +126,9 @@ def check_lengths(df: DataFrame, length: int, cols=None, strict: bool = False) -
     for c in cols:
         bad = bad | (F.size(c) != length)
     if strict:
-        return df.withColumn("_len_ok", F.when(bad, F.raise_error(
-            F.lit(f"feature array length differs from {length}"))).otherwise(F.lit(True))) \
-                 .drop("_len_ok")
+        # a filter predicate, so the optimizer cannot prune the check away
+        return df.filter(F.when(bad, F.raise_error(
+            F.lit(f"feature array length differs from {length}"))).otherwise(F.lit(True)))
     return df.filter(bad)
 
 

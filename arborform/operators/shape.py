@@ -25,9 +25,10 @@ def unsupported(df: DataFrame, langs, col: str = "lang", strict: bool = False) -
     """
     bad = F.col(col).isNull() | ~F.col(col).isin(list(langs))
     if strict:
-        return df.withColumn("_lang_ok", F.when(bad, F.raise_error(
+        # a filter predicate, so the optimizer cannot prune the check away
+        return df.filter(F.when(bad, F.raise_error(
             F.concat(F.lit("Unsupported language: "), F.coalesce(F.col(col), F.lit("null")))))
-            .otherwise(F.lit(True))).drop("_lang_ok")
+            .otherwise(F.lit(True)))
     return df.filter(bad)
 
 
