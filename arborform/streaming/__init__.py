@@ -1,0 +1,3 @@
+from .features_stream import feature_stream
+
+__all__ = ["feature_stream"]
