@@ -205,17 +205,20 @@ def node_depths(nodes: DataFrame, max_depth: int = 64,
     return out
 
 
-def node_leaves(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def node_leaves(nodes: DataFrame, max_depth: int = 64, hot_rows: int = 5_000_000) -> DataFrame:
     """B2: (node_id, root_id, depth, sib, path, text) for every leaf.
 
-    Sibling index = row number among all children of the parent by ``ord``
-    (roots: 0). Leaves = nodes that are nobody's parent (left anti join).
+    Sibling index = rank among all children of the parent by ``ord`` (roots:
+    0), skew-safe for parents with more than ``hot_rows`` children (see
+    ``splits.group_rank``). Leaves = nodes that are nobody's parent (left
+    anti join).
     Pre-order = ascending ``path`` (array of ords from the root).
     """
-    by_parent = Window.partitionBy("parent_id").orderBy("ord", "node_id")
-    sib = (nodes.withColumn("sib", F.when(F.col("parent_id").isNull(), F.lit(0))
-                                   .otherwise(F.row_number().over(by_parent) - 1).cast("int"))
-                .select("node_id", "sib", "text"))
+    from .splits import group_rank
+    roots = nodes.filter(F.col("parent_id").isNull()).select("node_id", F.lit(0).alias("sib"), "text")
+    kids = group_rank(nodes.filter(F.col("parent_id").isNotNull()), "parent_id", "ord", "node_id",
+                      hot_rows=hot_rows, out="sib")
+    sib = roots.unionByName(kids.select("node_id", F.col("sib").cast("int").alias("sib"), "text"))
     parents = nodes.filter(F.col("parent_id").isNotNull()) \
                    .select(F.col("parent_id").alias("node_id")).distinct()
     depths = node_depths(nodes, max_depth)

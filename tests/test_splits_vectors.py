@@ -43,3 +43,14 @@ def test_fusion_and_layer_norm(spark):
     assert r.w == [5 * x for x in v]
     assert sum(r.n) == pytest.approx(0.0, abs=1e-9)
     assert sum(x * x for x in r.n) / 4 == pytest.approx(1.0, abs=1e-4)
+
+
+def test_group_rank_hot_group_matches_window(spark):
+    from pyspark.sql import Window
+    # group 0 holds a third of the rows and repeated order values
+    rows = [(0 if i % 3 == 0 else i % 50, (i * 37) % 400, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g long, o long, t long")
+    got = {r.t: r.rank for r in splits.group_rank(df, "g", "o", "t", hot_rows=500, pieces=8).collect()}
+    w = Window.partitionBy("g").orderBy("o", "t")
+    want = {r.t: r.rk for r in df.select("t", (F.row_number().over(w) - 1).alias("rk")).collect()}
+    assert got == want
