@@ -26,12 +26,16 @@ def pair_features(pairs: DataFrame, vocab: DataFrame, length: int = 512, key: st
                  vocab_rows=vocab_rows)
     f = f.withColumn("tree_attention_mask", mask_unknown(F.col("input_ids"),
                                                          F.col("tree_attention_mask")))
-    p = pairs.select(key, F.md5("text_1").alias("h1"), F.md5("text_2").alias("h2"),
-                     F.col("similar").cast("int").alias("labels"))
-    f1 = f.select(F.col("h").alias("h1"), *[F.col(c).alias(f"{c}_1") for c in FEATURE_COLS])
-    f2 = f.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}_2") for c in FEATURE_COLS])
-    return (p.join(f1, "h1").join(f2, "h2")
-             .select(key, *[f"{c}_{s}" for s in (1, 2) for c in FEATURE_COLS], "labels"))
+    sides = pairs.select(key, F.col("similar").cast("int").alias("labels"), F.explode(F.array(
+        F.struct(F.lit(1).alias("side"), F.md5("text_1").alias("h")),
+        F.struct(F.lit(2).alias("side"), F.md5("text_2").alias("h")))).alias("s")) \
+        .select(key, "labels", "s.side", "s.h")
+    # one join (features computed once), then the two sides of a pair meet
+    # again in one grouping by pair key
+    j = sides.join(f, "h")
+    picks = [F.first(F.when(F.col("side") == k, F.col(c)), ignorenulls=True).alias(f"{c}_{k}")
+             for k in (1, 2) for c in FEATURE_COLS]
+    return j.groupBy(key).agg(*picks, F.first("labels").alias("labels"))
 
 
 def adjacent_pairs(df: DataFrame, key: str, text: str, attr: str) -> DataFrame:
