@@ -24,6 +24,12 @@ from . import params as P
 
 
 # ------------------------------------------------------------------ inputs
+def doc_keys(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
+    """documents without the text: scan-pruned, no repartition."""
+    df = read_table(spark, d, "documents", ["doc_id", "lang"])
+    return exclude_lang(df, P.EXCLUDED_LANG) if exclude else df
+
+
 def docs(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
     df = read_table(spark, d, "documents", ["doc_id", "text", "lang"])
     df = exclude_lang(df, P.EXCLUDED_LANG) if exclude else df
@@ -54,11 +60,11 @@ def as_text(df: DataFrame, cols) -> DataFrame:
 
 # ------------------------------------------------------------------ queries
 def q_exclude_lang(spark, d):
-    return docs(spark, d, exclude=True).select("doc_id", "lang")
+    return doc_keys(spark, d, exclude=True).select("doc_id", "lang")
 
 
 def q_unsupported_lang(spark, d):
-    return unsupported(docs(spark, d), P.SUPPORTED_LANGS).select("doc_id", "lang")
+    return unsupported(doc_keys(spark, d), P.SUPPORTED_LANGS).select("doc_id", "lang")
 
 
 def q_layout_leaves(spark, d):
@@ -99,14 +105,14 @@ def wrapped_frame(spark, d):
 
 def q_source_split(spark, d):
     """A1: docs written as a split table, one split read back (pruned)."""
-    labelled = splits.assign_split(docs(spark, d), "doc_id", P.SEED).select("doc_id", "lang", "split")
+    labelled = splits.assign_split(doc_keys(spark, d), "doc_id", P.SEED).select("doc_id", "lang", "split")
     path = fresh_subdir(spark, "split_source")
     write_features(labelled, path)
     return read_split(spark, path, "validation").select("doc_id", "lang", "split")
 
 
 def q_split_sizes(spark, d):
-    return split_sizes(splits.assign_split(docs(spark, d), "doc_id", P.SEED))
+    return split_sizes(splits.assign_split(doc_keys(spark, d), "doc_id", P.SEED))
 
 
 def q_keep_features(spark, d):
@@ -131,17 +137,17 @@ def q_feature_sink(spark, d):
 
 
 def q_half_split(spark, d):
-    return splits.half_split(docs(spark, d).select("doc_id"), "doc_id", P.SEED)
+    return splits.half_split(doc_keys(spark, d).select("doc_id"), "doc_id", P.SEED)
 
 
 def q_first_n(spark, d):
-    valid = splits.half_split(docs(spark, d).select("doc_id"), "doc_id", P.SEED) \
+    valid = splits.half_split(doc_keys(spark, d).select("doc_id"), "doc_id", P.SEED) \
                   .filter(F.col("part") == "valid").drop("part")
     return splits.first_n(valid, "doc_id", P.SEED, P.VALID_CUT)
 
 
 def q_assemble(spark, d):
-    labelled = splits.assign_split(docs(spark, d).select("doc_id"), "doc_id", P.SEED)
+    labelled = splits.assign_split(doc_keys(spark, d).select("doc_id"), "doc_id", P.SEED)
     train = labelled.filter(F.col("split") == "train").select("doc_id")
     rest = labelled.filter(F.col("split") != "train").select("doc_id")
     halves = splits.half_split(rest, "doc_id", P.SEED)
@@ -445,7 +451,7 @@ def q_predicate(spark, d):
 
 
 def q_draw(spark, d):
-    return docs(spark, d).select("doc_id", draw_int(P.SEED, F.col("doc_id")).alias("draw_int"),
+    return doc_keys(spark, d).select("doc_id", draw_int(P.SEED, F.col("doc_id")).alias("draw_int"),
                                  draw(P.SEED, F.col("doc_id")).alias("u"))
 
 

@@ -44,7 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     fresh scratch folder, as in tests; a cluster session without one is
     an error, because a machine-local folder does not survive executor loss.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server owns the setting)
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return d
     d = sc.getCheckpointDir()
     if d:
         return d

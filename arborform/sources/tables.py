@@ -41,8 +41,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     needs no second exchange.
     """
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD access, e.g. a Spark Connect session)
+        return df
+    if have >= want:
         return df
     n = max(want, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, key) if key else df.repartition(n)
