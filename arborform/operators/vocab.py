@@ -16,10 +16,15 @@ FIRST_WORD_ID = 5
 BROADCAST_VOCAB_ROWS = 2_000_000
 
 
-def build_vocab(tokens: DataFrame, size: int, col: str = "token") -> DataFrame:
+def build_vocab(tokens: DataFrame, size: int, col: str = "token",
+                prefilter_from: int = 20_000) -> DataFrame:
     """C4: (token, id). Specials take 0-4; then the ``size`` most frequent
     non-blank tokens, by count descending then token ascending, take 5, 6, ...
 
+    For a large ``size`` the top-k's final merge (partitions x size rows in
+    one task) would grow with the cluster, so the distinct-token counts are
+    first cut at the exact count of the size-th token (``_keep_top_counts``).
+
     groupBy-count combines map-side, so a very frequent token costs one row
     per partition before the shuffle. The top-k keeps ``size`` rows per
     partition; only those ``size`` rows are ranked in a single task.
@@ -30,6 +35,8 @@ def build_vocab(tokens: DataFrame, size: int, col: str = "token") -> DataFrame:
                     .filter(F.trim(F.col("token"), F.lit(BLANK_CHARS)) != F.lit(""))
                     .filter(~F.col("token").isin(special_tokens))
                     .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    if size >= prefilter_from:
+        counts = _keep_top_counts(counts, size)
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     ranked = top.select("token", (F.row_number().over(
         Window.orderBy(F.desc("n"), F.asc("token"))) + F.lit(FIRST_WORD_ID - 1))
@@ -38,6 +45,27 @@ def build_vocab(tokens: DataFrame, size: int, col: str = "token") -> DataFrame:
     return specials.unionByName(ranked)
 
 
+def _keep_top_counts(counts: DataFrame, size: int) -> DataFrame:
+    """Keep only tokens whose count can be among the ``size`` largest.
+
+    The distinct-token counts are written once to the shared folder; a
+    histogram of distinct count values (largest first, at most ``size``
+    rows, and never more rows than there are distinct counts) gives the
+    exact count t of the size-th token, and tokens below t are dropped.
+    """
+    from ..session import shared_dir
+    shared_dir(counts.sparkSession)
+    counts = counts.checkpoint()
+    hist = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+                  .orderBy(F.desc("n")).limit(size).collect())
+    seen = 0
+    for n, k in hist:
+        seen += k
+        if seen >= size:
+            return counts.filter(F.col("n") >= F.lit(n))
+    return counts
+
+
 def vocab_side(vocab: DataFrame, bound: int | None = None,
                max_broadcast_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
     """The vocabulary as a join side: broadcast when its row count is known

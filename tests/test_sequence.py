@@ -106,3 +106,14 @@ def test_language_filters(spark):
     assert sorted(r.doc_id for r in unsupported(df, ["python", "php"]).collect()) == [2, 4]
     with pytest.raises(Exception, match="Unsupported language"):
         unsupported(df, ["python", "php"], strict=True).collect()
+
+
+def test_vocab_prefilter_matches_plain_topk(spark):
+    from arborform.operators.vocab import build_vocab
+    toks = spark.createDataFrame([(f"t{i % 97}",) for i in range(3000)] +
+                                 [(f"u{i % 13}",) for i in range(500)] + [(" ",), ("<s>",)], "token string")
+    plain = sorted(build_vocab(toks, 40).collect())
+    cut = sorted(build_vocab(toks, 40, prefilter_from=1).collect())
+    assert plain == cut and len(plain) == 45
+    ids = {r.token: r.id for r in plain}
+    assert ids["<s>"] == 0 and " " not in ids and ids["u0"] == 5  # u* tokens are most frequent
