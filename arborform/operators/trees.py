@@ -111,37 +111,36 @@ def markup_tokens(df: DataFrame, key: str, col: str,
               .filter(F.col("kind") != "drop"))
 
 
-def markup_leaves(df: DataFrame, key: str, col: str,
-                  nest_tags: Iterable[str] = NEST_TAGS) -> DataFrame:
-    """B1: nested markup -> (key, leaf_pos, token, depth, sib).
+def _delta() -> Column:
+    return F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
 
-    Depth is a running sum of +1 (open) / -1 (close); an open tag sits one
-    level above its own sum. Each open tag is emitted twice: as a node of its
-    level and as a parent marker one level down, so a node's parent is the
-    latest marker of its level before it (a running max). Sibling index is the
-    row number among nodes sharing level and parent. A leaf is a text or raw
-    token, or an open tag immediately followed by a close. All windows are
-    partitioned by the document key first, so the plan has one shuffle.
-    """
+
+def _roles() -> Column:
+    """An open tag is a node of its level and a parent marker one level down."""
+    node = F.struct(F.col("depth").alias("grp"), F.lit(False).alias("marker"))
+    marker = F.struct((F.col("depth") + 1).alias("grp"), F.lit(True).alias("marker"))
+    return F.when(F.col("kind") == "open", F.array(node, marker)).otherwise(F.array(node))
+
+
+def _nodes(df: DataFrame) -> DataFrame:
+    """Rows with running depth ``s`` and ``next_kind`` -> node rows with depth, is_leaf."""
+    return (df.filter(F.col("kind") != "close")
+              .withColumn("depth", F.when(F.col("kind") == "open", F.col("s") - 1)
+                                    .otherwise(F.col("s")))
+              .withColumn("is_leaf", (F.col("kind") == "leaf") |
+                          (F.col("next_kind") == F.lit("close"))))
+
+
+def _markup_walk(toks: DataFrame, key: str) -> DataFrame:
+    """Window form: every window is partitioned by the document key first,
+    so the plan has one shuffle; each document is walked by one task."""
     by_doc = Window.partitionBy(key).orderBy("pos")
-    toks = markup_tokens(df, key, col, nest_tags)
-    delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    run = F.sum(delta).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
-    nodes = (toks.withColumn("s", run.cast("int"))
-                 .withColumn("next_kind", F.lead("kind").over(by_doc))
-                 .filter(F.col("kind") != "close")
-                 .withColumn("depth", F.when(F.col("kind") == "open", F.col("s") - 1)
-                                       .otherwise(F.col("s")))
-                 .withColumn("is_leaf", (F.col("kind") == "leaf") |
-                             (F.col("next_kind") == F.lit("close"))))
-    roles = F.when(F.col("kind") == "open",
-                   F.array(F.struct(F.col("depth").alias("grp"), F.lit(False).alias("marker")),
-                           F.struct((F.col("depth") + 1).alias("grp"), F.lit(True).alias("marker")))) \
-             .otherwise(F.array(F.struct(F.col("depth").alias("grp"), F.lit(False).alias("marker"))))
+    run = F.sum(_delta()).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
+    nodes = _nodes(toks.withColumn("s", run.cast("int"))
+                       .withColumn("next_kind", F.lead("kind").over(by_doc)))
     by_level = Window.partitionBy(key, "grp").orderBy("pos") \
                      .rowsBetween(Window.unboundedPreceding, 0)
-    placed = (nodes.select(key, "pos", "token", "depth", "is_leaf",
-                           F.explode(roles).alias("r"))
+    placed = (nodes.select(key, "pos", "token", "depth", "is_leaf", F.explode(_roles()).alias("r"))
                    .select(key, "pos", "token", "depth", "is_leaf", "r.grp", "r.marker")
                    .withColumn("parent", F.coalesce(
                        F.max(F.when(F.col("marker"), F.col("pos"))).over(by_level), F.lit(-1)))
@@ -154,6 +153,92 @@ def markup_leaves(df: DataFrame, key: str, col: str,
                           "sib"))
 
 
+def _markup_walk_chunked(toks: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+    """The same walk for very large documents, exact, without one task per
+    document: tokens are cut into position chunks and every window runs
+    inside (document, chunk). What a chunk needs from earlier chunks comes
+    from small per-chunk tables, broadcast (rows bounded by chunks x depth):
+      depth      running sum + sum of the earlier chunks' deltas
+      next kind  lead inside the chunk, else the next chunk's first kind
+      parent     running max marker inside the chunk, else the latest marker
+                 of the level in an earlier chunk
+      sibling    row number inside the chunk + the group's count in earlier
+                 chunks (only groups whose parent is still open at the chunk
+                 start carry over, at most one per level)
+      leaf_pos   row number inside the chunk + earlier chunks' leaf counts
+    """
+    before = Window.unboundedPreceding
+    t = toks.withColumn("chunk", F.floor(F.col("pos") / F.lit(chunk_rows)).cast("bigint")) \
+            .withColumn("delta", _delta())
+    k_c = [key, "chunk"]
+    per = t.groupBy(*k_c).agg(F.sum("delta").alias("d"),
+                              F.min_by("kind", "pos").alias("first_kind"))
+    wk = Window.partitionBy(key).orderBy("chunk")
+    per = per.select(*k_c, F.coalesce(F.sum("d").over(wk.rowsBetween(before, -1)), F.lit(0))
+                     .alias("d_off"), F.lead("first_kind").over(wk).alias("next_first"))
+    wc = Window.partitionBy(*k_c).orderBy("pos")
+    t = (t.join(F.broadcast(per), k_c)
+          .withColumn("s", (F.col("d_off") + F.sum("delta").over(wc.rowsBetween(before, 0)))
+                      .cast("int"))
+          .withColumn("next_kind", F.coalesce(F.lead("kind").over(wc), F.col("next_first"))))
+    placed = (_nodes(t).select(*k_c, "pos", "token", "depth", "is_leaf", F.explode(_roles()).alias("r"))
+                       .select(*k_c, "pos", "token", "depth", "is_leaf", "r.grp", "r.marker"))
+    k_g_c = [key, "grp", "chunk"]
+    marks = placed.groupBy(*k_g_c).agg(F.max(F.when(F.col("marker"), F.col("pos"))).alias("m"))
+    marks = marks.select(*k_g_c, F.max("m").over(
+        Window.partitionBy(key, "grp").orderBy("chunk").rowsBetween(before, -1)).alias("m_before"))
+    wg = Window.partitionBy(*k_g_c).orderBy("pos").rowsBetween(before, 0)
+    nodes = (placed.join(F.broadcast(marks), k_g_c)
+                   .withColumn("parent", F.coalesce(
+                       F.max(F.when(F.col("marker"), F.col("pos"))).over(wg),
+                       F.col("m_before"), F.lit(-1)))
+                   .filter(~F.col("marker")).drop("m_before", "marker"))
+    grp_key = [key, "grp", "parent"]
+    cnt = nodes.groupBy(*grp_key, "chunk").agg(F.count(F.lit(1)).alias("n"))
+    carry = (cnt.select(*grp_key, "chunk", F.coalesce(F.sum("n").over(
+                 Window.partitionBy(*grp_key).orderBy("chunk").rowsBetween(before, -1)),
+                 F.lit(0)).alias("sib_off"))
+                .filter(F.col("sib_off") > 0))
+    wsp = Window.partitionBy(key, "chunk", "grp", "parent").orderBy("pos")
+    leaves = (nodes.join(F.broadcast(carry), grp_key + ["chunk"], "left")
+                   .withColumn("sib", (F.coalesce("sib_off", F.lit(0)) + F.row_number().over(wsp) - 1)
+                               .cast("int"))
+                   .filter("is_leaf"))
+    lo = leaves.groupBy(*k_c).agg(F.count(F.lit(1)).alias("n"))
+    lo = lo.select(*k_c, F.coalesce(F.sum("n").over(wk.rowsBetween(before, -1)), F.lit(0))
+                   .alias("leaf_off"))
+    return (leaves.join(F.broadcast(lo), k_c)
+                  .withColumn("leaf_pos", (F.col("leaf_off") + F.row_number().over(wc) - 1).cast("int"))
+                  .select(key, "leaf_pos", "token", F.col("depth").cast("int").alias("depth"), "sib"))
+
+
+def markup_leaves(df: DataFrame, key: str, col: str,
+                  nest_tags: Iterable[str] = NEST_TAGS, hot_rows: int = 4_000_000,
+                  chunk_rows: int = 1_000_000) -> DataFrame:
+    """B1: nested markup -> (key, leaf_pos, token, depth, sib).
+
+    Depth is a running sum of +1 (open) / -1 (close); an open tag sits one
+    level above its own sum. Each open tag is emitted twice: as a node of its
+    level and as a parent marker one level down, so a node's parent is the
+    latest marker of its level before it (a running max). Sibling index is the
+    row number among nodes sharing level and parent. A leaf is a text or raw
+    token, or an open tag immediately followed by a close.
+
+    Documents with at most ``hot_rows`` tokens are walked with windows keyed
+    by document (one shuffle). Larger ones take the chunked form, so no
+    single document is walked whole by one task.
+    """
+    toks = markup_tokens(df, key, col, nest_tags)
+    hot = (toks.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+               .filter(F.col("_n") > hot_rows).select(key))
+    if hot.isEmpty():
+        return _markup_walk(toks, key)
+    flagged = toks.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    cold = flagged.filter(F.col("_hot").isNull()).drop("_hot")
+    big = flagged.filter(F.col("_hot")).drop("_hot")
+    return _markup_walk(cold, key).unionByName(_markup_walk_chunked(big, key, chunk_rows))
+
+
 def unbalanced_keys(df: DataFrame, key: str, col: str,
                     nest_tags: Iterable[str] = NEST_TAGS) -> DataFrame:
     """Keys whose nesting depth goes below zero (a close without an open)."""

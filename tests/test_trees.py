@@ -67,3 +67,17 @@ def test_node_leaves_depth_sibling_and_orphans(spark):
     # b is the 2nd child of root even though a is not a leaf; a childless root is a leaf
     assert got == {4: (1, 2, 0, [0, 5, 0]), 3: (1, 1, 1, [0, 7]), 6: (6, 0, 0, [1])}
     assert [r.node_id for r in unreached_nodes(nodes).collect()] == [5]
+
+
+def test_markup_chunked_walk_equals_window_walk(spark):
+    import os
+    pages = [(100007, HTML), (100008, HTML.replace("<li>a</li>", "<li>a</li>" * 9)),
+             (100009, "<div>x</div>" * 5)]
+    path = "/root/testdata/sf0.001/pages.parquet"
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    if os.path.exists(path):
+        df = df.unionByName(spark.read.parquet(path).select("page_id", "html"))
+    plain = sorted(markup_leaves(df, "page_id", "html").collect())
+    for chunk in (3, 17, 256):
+        chunked = sorted(markup_leaves(df, "page_id", "html", hot_rows=5, chunk_rows=chunk).collect())
+        assert chunked == plain, chunk
