@@ -228,15 +228,19 @@ def markup_leaves(df: DataFrame, key: str, col: str,
     by document (one shuffle). Larger ones take the chunked form, so no
     single document is walked whole by one task.
     """
-    toks = markup_tokens(df, key, col, nest_tags)
-    hot = (toks.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > hot_rows).select(key))
-    if hot.isEmpty():
-        return _markup_walk(toks, key)
-    flagged = toks.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    # a document has at most as many tokens as characters, so only documents
+    # longer than hot_rows characters are tokenized to count
+    long_docs = df.filter(F.length(col) > hot_rows)
+    if long_docs.isEmpty():
+        return _markup_walk(markup_tokens(df, key, col, nest_tags), key)
+    hot = (markup_tokens(long_docs, key, col, nest_tags).groupBy(key)
+           .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key))
+    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     cold = flagged.filter(F.col("_hot").isNull()).drop("_hot")
     big = flagged.filter(F.col("_hot")).drop("_hot")
-    return _markup_walk(cold, key).unionByName(_markup_walk_chunked(big, key, chunk_rows))
+    return (_markup_walk(markup_tokens(cold, key, col, nest_tags), key)
+            .unionByName(_markup_walk_chunked(markup_tokens(big, key, col, nest_tags), key,
+                                              chunk_rows)))
 
 
 def unbalanced_keys(df: DataFrame, key: str, col: str,
@@ -260,14 +264,18 @@ def node_depths(nodes: DataFrame, max_depth: int = 64,
 
     nodes: (node_id, parent_id, ord, text); roots have a null parent.
     One equi-join per level (frontier x children) until the frontier is
-    empty; ``max_depth`` guards against cycles. The lineage is cut with a
-    reliable checkpoint every ``checkpoint_every`` levels. Orphans (parent
-    missing) and nodes on cycles are not reached; see ``unreached_nodes``.
+    empty; ``max_depth`` guards against cycles. Levels are persisted while
+    the loop runs, the lineage is cut with a reliable checkpoint every
+    ``checkpoint_every`` levels, and the result is written once to the shared
+    folder. Orphans (parent missing) and nodes on cycles are not reached;
+    see ``unreached_nodes``.
     """
+    from pyspark import StorageLevel
     shared_dir(nodes.sparkSession)
     frontier = (nodes.filter(F.col("parent_id").isNull())
                      .select("node_id", F.col("node_id").alias("root_id"),
-                             F.lit(0).alias("depth"), F.array("ord").alias("path")))
+                             F.lit(0).alias("depth"), F.array("ord").alias("path"))
+                     .persist(StorageLevel.MEMORY_AND_DISK))
     children = nodes.filter(F.col("parent_id").isNotNull()) \
                     .select("node_id", "parent_id", "ord")
     levels = [frontier]
@@ -276,9 +284,12 @@ def node_depths(nodes: DataFrame, max_depth: int = 64,
                                              "root_id", "path"), "parent_id")
                        .select("node_id", "root_id", F.lit(level).alias("depth"),
                                F.concat("path", F.array("ord")).alias("path")))
-        if level % checkpoint_every == 0:
-            nxt = nxt.checkpoint()
+        # each level is kept (memory, then disk) so the next join does not
+        # recompute the chain; every few levels the lineage is cut for good
+        nxt = nxt.checkpoint() if level % checkpoint_every == 0 \
+            else nxt.persist(StorageLevel.MEMORY_AND_DISK)
         if nxt.isEmpty():
+            nxt.unpersist()
             break
         levels.append(nxt)
         frontier = nxt
@@ -287,6 +298,10 @@ def node_depths(nodes: DataFrame, max_depth: int = 64,
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
+    # written once to the shared folder; the per-level copies are released
+    out = out.checkpoint()
+    for lv in levels:
+        lv.unpersist()
     return out
 
 
