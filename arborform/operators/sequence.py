@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import pad
+from ..functions.arrays import bind, pad
 from .trees import WORD_PATTERN, TOKEN_PATTERN, layout_leaf_array
 from .vocab import END_ID, PAD_ID, START_ID, UNK_ID, to_ids
 
@@ -200,16 +200,16 @@ def mask_unknown(ids: Column, tmask: Column, unk_id: int = UNK_ID) -> Column:
 def position_ids(ids: Column, pad_id: int = PAD_ID) -> Column:
     """(running count of ids != pad) * (id != pad) + pad.
 
-    A fold with a running count; the output array is bounded by L.
+    The running count at i is i + 1 minus the pad ids at or before i. The
+    pad positions are found once per row and both arrays are bound as
+    lambda arguments, so a row without pad ids costs one pass.
     """
-    init = F.struct(F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        c = acc["c"] + F.when(x != F.lit(pad_id), 1).otherwise(0)
-        v = F.when(x == F.lit(pad_id), F.lit(pad_id)).otherwise(c + F.lit(pad_id))
-        return F.struct(c.alias("c"), F.concat(acc["out"], F.array(v.cast("int"))).alias("out"))
-
-    return F.aggregate(ids, init, step, lambda acc: acc["out"])
+    def with_ids(a):
+        pads = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i) == F.lit(pad_id))
+        return bind(pads, lambda p: F.transform(a, lambda x, i: F.when(
+            x == F.lit(pad_id), F.lit(pad_id)).otherwise(
+            i + 1 - F.size(F.filter(p, lambda j: j <= i)) + F.lit(pad_id)).cast("int")))
+    return F.when(F.size(ids) == 0, F.array().cast("array<int>")).otherwise(bind(ids, with_ids))
 
 
 def token_types(ids: Column) -> Column:
