@@ -102,5 +102,9 @@ def evaluate(df: DataFrame, average: str = "weighted", logits: str = "logits",
     scored = df.filter(F.col(label) != F.lit(IGNORE)).withColumn("pred", argmax(F.col(logits)))
     rep = class_report(scored, label, "pred")
     avg = macro(rep) if average == "macro" else weighted(rep)
-    return (cross_entropy(df, logits, label).crossJoin(accuracy(scored, label, "pred"))
-            .crossJoin(avg).select("loss", "accuracy", "precision", "recall", "f1"))
+    # three one-row aggregates side by side (equi-join on a constant key)
+    one = F.lit(0).alias("_one")
+    return (cross_entropy(df, logits, label).select("*", one)
+            .join(accuracy(scored, label, "pred").select("*", one), "_one")
+            .join(avg.select("*", one), "_one")
+            .select("loss", "accuracy", "precision", "recall", "f1"))

@@ -28,7 +28,11 @@ def lookup(rows: DataFrame, table: DataFrame, id_col: str, out_col: str,
            table_id: str = "vec_id", vec_col: str = "embedding",
            bound: int | None = None) -> DataFrame:
     """Add the vector whose table id equals ``rows[id_col]`` (null if absent)."""
-    side = vector_side(table, table_id, vec_col, bound)
+    return lookup_side(rows, vector_side(table, table_id, vec_col, bound), id_col, out_col)
+
+
+def lookup_side(rows: DataFrame, side: DataFrame, id_col: str, out_col: str) -> DataFrame:
+    """E1 with a prepared side from ``vector_side`` (size checked once)."""
     return (rows.join(side, F.col(id_col) == F.col("_vid"), "left")
                 .drop("_vid").withColumnRenamed("_vec", out_col))
 

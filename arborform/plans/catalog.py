@@ -285,7 +285,13 @@ def q_scored(spark, d):
 
 
 # ---------------------------------------------------------------- vectors
-def token_slots(spark, d):
+def vector_rows(spark, d) -> int:
+    """Rows of the vector table: ids are folded into [0, n) so every vector
+    of the table can be looked up, and the work grows with the table."""
+    return read_table(spark, d, "embeddings", ["vec_id"]).count()
+
+
+def token_slots(spark, d, n_vec: int):
     """(doc_id, pos, ids per source, on/off factors) for the first positions."""
     f = feature_frame(spark, d)
     f = f.select("doc_id", "input_ids", "depths", "sibling_indices", "tree_attention_mask",
@@ -296,29 +302,30 @@ def token_slots(spark, d):
                      F.slice("sibling_indices", 1, P.VEC_POSITIONS).alias("s"),
                      F.slice("tree_attention_mask", 1, P.VEC_POSITIONS).alias("t"))
     rows = f.select("doc_id", F.posexplode(z).alias("pos", "z"))
-    o = P.VEC_OFFSETS
+    o, m = P.VEC_OFFSETS, F.lit(n_vec)
     return rows.select(
         "doc_id", F.col("pos").cast("int").alias("pos"),
-        ((F.col("z.w") + o["word"]) % P.VEC_MOD).cast("bigint").alias("word_vid"),
-        F.lit((0 + o["type"]) % P.VEC_MOD).cast("bigint").alias("type_vid"),
-        ((F.col("z.p") + o["position"]) % P.VEC_MOD).cast("bigint").alias("position_vid"),
-        ((F.greatest(F.col("z.d"), F.lit(0)) + o["depth"]) % P.VEC_MOD).cast("bigint").alias("depth_vid"),
-        ((F.greatest(F.col("z.s"), F.lit(0)) + o["sibling"]) % P.VEC_MOD).cast("bigint").alias("sibling_vid"),
+        ((F.col("z.w") + o["word"]) % m).cast("bigint").alias("word_vid"),
+        (F.lit(o["type"]) % m).cast("bigint").alias("type_vid"),
+        ((F.col("z.p") + o["position"]) % m).cast("bigint").alias("position_vid"),
+        ((F.greatest(F.col("z.d"), F.lit(0)) + o["depth"]) % m).cast("bigint").alias("depth_vid"),
+        ((F.greatest(F.col("z.s"), F.lit(0)) + o["sibling"]) % m).cast("bigint").alias("sibling_vid"),
         ((F.col("z.d") != -1).cast("int") * F.col("z.t")).alias("depth_on"),
         ((F.col("z.s") != -1).cast("int") * F.col("z.t")).alias("sib_on"))
 
 
-def vector_table(spark, d):
-    # only ids below VEC_MOD are ever looked up: a proven bound for the broadcast
-    return read_table(spark, d, "embeddings", ["vec_id", "embedding"]) \
-        .filter(F.col("vec_id") < P.VEC_MOD)
+def vector_side(spark, d):
+    """The whole vector table as a join side: broadcast after a size check,
+    else a shuffle join (checked once, shared by the five lookups)."""
+    return vectors.vector_side(read_table(spark, d, "embeddings", ["vec_id", "embedding"]),
+                               "vec_id", "embedding")
 
 
 def token_vectors(spark, d):
-    rows = token_slots(spark, d)
-    table = vector_table(spark, d)
+    rows = token_slots(spark, d, vector_rows(spark, d))
+    side = vector_side(spark, d)
     for src in vectors.SOURCES:
-        rows = vectors.lookup(rows, table, f"{src}_vid", f"{src}_vec", bound=P.VEC_MOD)
+        rows = vectors.lookup_side(rows, side, f"{src}_vid", f"{src}_vec")
     return rows
 
 
@@ -337,11 +344,11 @@ def _fused(spark, d, how):
 
 
 def q_lookup(spark, d):
-    rows = token_slots(spark, d)
+    rows = token_slots(spark, d, vector_rows(spark, d))
     srcs = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"{s}_vid").alias("vid"))
                                for s in vectors.SOURCES])).alias("x")
     long = rows.select("doc_id", "pos", srcs).select("doc_id", "pos", "x.source", "x.vid")
-    out = vectors.lookup(long, vector_table(spark, d), "vid", "vec", bound=P.VEC_MOD)
+    out = vectors.lookup_side(long, vector_side(spark, d), "vid", "vec")
     return out.select("doc_id", "pos", "source", F.col("vid").alias("vec_id"),
                       num_text(F.col("vec")).alias("vec"))
 

@@ -158,17 +158,18 @@ def num_text_sql(v: str) -> str:
 
 
 def slots_cte() -> str:
-    n, m, o = P.VEC_POSITIONS, P.VEC_MOD, P.VEC_OFFSETS
+    n, o = P.VEC_POSITIONS, P.VEC_OFFSETS
+    m = "(SELECT count(*) FROM embeddings)"
     return f"""slots AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos,
       CAST((input_ids[i] + {o['word']}) % {m} AS BIGINT) AS word_vid,
-      CAST({(0 + o['type']) % m} AS BIGINT) AS type_vid,
+      CAST({o['type']} % {m} AS BIGINT) AS type_vid,
       CAST(({pos_id_expr('input_ids', 'i')} + {o['position']}) % {m} AS BIGINT) AS position_vid,
       CAST((greatest(depths[i], 0) + {o['depth']}) % {m} AS BIGINT) AS depth_vid,
       CAST((greatest(sibling_indices[i], 0) + {o['sibling']}) % {m} AS BIGINT) AS sibling_vid,
       CAST((depths[i] <> -1) AS INTEGER) * tree_attention_mask[i] AS depth_on,
       CAST((sibling_indices[i] <> -1) AS INTEGER) * tree_attention_mask[i] AS sib_on
     FROM feats, range(1, {n + 1}) r(i)),
-vt AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id < {m}),
+vt AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 tv AS (SELECT s.*, a.vec AS word_vec, b.vec AS type_vec, c.vec AS position_vec, d.vec AS depth_vec,
               e.vec AS sibling_vec FROM slots s
     LEFT JOIN vt a ON a.vec_id = s.word_vid LEFT JOIN vt b ON b.vec_id = s.type_vid

@@ -13,7 +13,6 @@ EXCLUDED_LANG = "es"     # language dropped before the walk
 SUPPORTED_LANGS = ("en", "de", "fr")
 RANGE_MAX_DEPTH = 16     # range check limits (the test configs' 16 / 16)
 RANGE_MAX_SIB = 16
-VEC_MOD = 500            # vector table rows used by the lookups
 VEC_DIM = 64
 # vector table offset per source: word, token type, position, depth, sibling
 VEC_OFFSETS = {"word": 0, "type": 100, "position": 200, "depth": 300, "sibling": 400}
