@@ -295,8 +295,10 @@ def token_slots(spark, d, n_vec: int):
     """(doc_id, pos, ids per source, on/off factors) for the first positions."""
     f = feature_frame(spark, d)
     f = f.select("doc_id", "input_ids", "depths", "sibling_indices", "tree_attention_mask",
-                 seq.position_ids(F.col("input_ids")).alias("position_ids"))
+                 seq.position_ids(F.col("input_ids")).alias("position_ids"),
+                 seq.token_types(F.col("input_ids")).alias("token_type_ids"))
     z = F.arrays_zip(F.slice("input_ids", 1, P.VEC_POSITIONS).alias("w"),
+                     F.slice("token_type_ids", 1, P.VEC_POSITIONS).alias("y"),
                      F.slice("position_ids", 1, P.VEC_POSITIONS).alias("p"),
                      F.slice("depths", 1, P.VEC_POSITIONS).alias("d"),
                      F.slice("sibling_indices", 1, P.VEC_POSITIONS).alias("s"),
@@ -306,7 +308,7 @@ def token_slots(spark, d, n_vec: int):
     return rows.select(
         "doc_id", F.col("pos").cast("int").alias("pos"),
         ((F.col("z.w") + o["word"]) % m).cast("bigint").alias("word_vid"),
-        (F.lit(o["type"]) % m).cast("bigint").alias("type_vid"),
+        ((F.col("z.y") + o["type"]) % m).cast("bigint").alias("type_vid"),
         ((F.col("z.p") + o["position"]) % m).cast("bigint").alias("position_vid"),
         ((F.greatest(F.col("z.d"), F.lit(0)) + o["depth"]) % m).cast("bigint").alias("depth_vid"),
         ((F.greatest(F.col("z.s"), F.lit(0)) + o["sibling"]) % m).cast("bigint").alias("sibling_vid"),
