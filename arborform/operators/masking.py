@@ -20,10 +20,12 @@ def special_mask(ids: Column, specials=SPECIAL_IDS) -> Column:
     return F.transform(ids, lambda x: x.isin(list(specials)).cast("int"))
 
 
-def _digests(ids: Column, key: Column, seed) -> Column:
-    """One md5 per position of (seed, key, position)."""
-    return F.transform(ids, lambda x, i: F.md5(F.concat_ws(
-        ":", F.lit(str(seed)), key.cast("string"), i.cast("string"))))
+def _digests(ids: Column, key: Column, seed, specials) -> Column:
+    """One md5 per position of (seed, key, position); special positions
+    (padding included) are never chosen and get none."""
+    sp = list(specials)
+    return F.transform(ids, lambda x, i: F.when(~x.isin(sp), F.md5(F.concat_ws(
+        ":", F.lit(str(seed)), key.cast("string"), i.cast("string")))))
 
 
 def _u(h: Column, slot: int) -> Column:
@@ -36,7 +38,7 @@ def mask_tokens(df: DataFrame, key: str, p: float, seed, ids_col: str = "input_i
     probability p; labels keep the original id at chosen positions and -100
     elsewhere (taken before the ids change); chosen ids become ``mask_id``."""
     sp = list(specials)
-    staged = df.withColumn("_h", _digests(F.col(ids_col), F.col(key), seed))
+    staged = df.withColumn("_h", _digests(F.col(ids_col), F.col(key), seed, sp))
 
     def chosen(x, h):
         return ~x.isin(sp) & (_u(h, 0) < F.lit(p))
@@ -56,7 +58,7 @@ def mask_tokens_train(df: DataFrame, key: str, p: float, seed, vocab_size: int,
     become the mask id, then ``random_rate`` of the rest a random id in
     [0, vocab_size), the others stay. Four draws from one md5 per position."""
     sp = list(specials)
-    staged = df.withColumn("_h", _digests(F.col(ids_col), F.col(key), seed))
+    staged = df.withColumn("_h", _digests(F.col(ids_col), F.col(key), seed, sp))
 
     def chosen(x, h):
         return ~x.isin(sp) & (_u(h, 0) < F.lit(p))
