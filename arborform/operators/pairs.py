@@ -13,15 +13,17 @@ def pair_features(pairs: DataFrame, vocab: DataFrame, length: int = 512, key: st
     """C11: both sides of each pair as feature rows (suffix _1, _2) + labels.
 
     No alignment (every leaf starts with tree mask 1), then tree mask 0 at
-    unknown ids. Each distinct text is featurised once: texts are grouped by
-    md5 (partial aggregation keeps a very common text to one row per
-    partition), and the features are joined back to both sides by hash. A
+    unknown ids. Each distinct text is featurised once: texts are made
+    distinct (partial aggregation keeps a very common text to one row per
+    partition) and keyed by md5; one join brings the features to the side
+    rows, and one hash grouping by pair key puts the two sides together. A
     text shared by very many pairs is a skewed join key, which AQE's skew
     join splits.
     """
     sides = (pairs.select(F.col("text_1").alias("text"))
                   .unionByName(pairs.select(F.col("text_2").alias("text"))))
-    uniq = sides.groupBy(F.md5("text").alias("h")).agg(F.any_value("text").alias("text"))
+    # hash aggregate on the text itself (map-side combine), hash taken after
+    uniq = sides.distinct().withColumn("h", F.md5("text"))
     f = features(uniq, vocab, key="h", text_col="text", length=length, align=False,
                  vocab_rows=vocab_rows)
     f = f.withColumn("tree_attention_mask", mask_unknown(F.col("input_ids"),
@@ -33,9 +35,10 @@ def pair_features(pairs: DataFrame, vocab: DataFrame, length: int = 512, key: st
     # one join (features computed once), then the two sides of a pair meet
     # again in one grouping by pair key
     j = sides.join(f, "h")
-    picks = [F.first(F.when(F.col("side") == k, F.col(c)), ignorenulls=True).alias(f"{c}_{k}")
-             for k in (1, 2) for c in FEATURE_COLS]
-    return j.groupBy(key).agg(*picks, F.first("labels").alias("labels"))
+    both = F.sort_array(F.collect_list(F.struct("side", "labels", *FEATURE_COLS)))
+    g = j.groupBy(key).agg(both.alias("s"))
+    return g.select(key, *[F.col("s")[k - 1][c].alias(f"{c}_{k}") for k in (1, 2) for c in FEATURE_COLS],
+                    F.col("s")[0]["labels"].alias("labels"))
 
 
 def adjacent_pairs(df: DataFrame, key: str, text: str, attr: str) -> DataFrame:
