@@ -2,9 +2,10 @@
 
 The steps after the leaf walk are per row, so a stream needs no state: each
 micro-batch runs the same batch plan (walk, cut, align, broadcast
-vocabulary join, one grouping by key) and appends feature rows, partitioned
-by split, to the sink folder. The checkpoint location and the sink make the
-query restartable: a restarted query resumes from the last committed batch.
+vocabulary join, one grouping by key) and writes its feature rows to
+``<sink>/batch_id=<id>/split=<split>/``. The checkpoint location makes the
+query restartable, and since a replayed batch overwrites its own folder the
+sink holds each batch once (read the sink folder for all rows).
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ def feature_stream(spark: SparkSession, src_dir: str, vocab: DataFrame, out_dir:
         f = features(batch.select("doc_id", "text"), vocab, "doc_id", "text", length,
                      vocab_rows=vocab_rows)
         splits = batch.select("doc_id", F.coalesce("split", F.lit("train")).alias("split"))
-        (f.join(splits, "doc_id").write.mode("append").partitionBy("split").parquet(out_dir))
+        # one folder per batch id, overwritten: a batch replayed after a
+        # failure replaces its own output instead of adding a second copy
+        (f.join(splits, "doc_id").write.mode("overwrite").partitionBy("split")
+          .parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}"))
 
     return (stream.writeStream.foreachBatch(write_batch)
                   .option("checkpointLocation", checkpoint).start())
