@@ -33,9 +33,10 @@ def unsupported(df: DataFrame, langs, col: str = "lang", strict: bool = False) -
 
 
 def keep_features(df: DataFrame, key: str) -> DataFrame:
-    """A4: key plus the derived feature columns (source columns dropped)."""
-    return df.select(key, *[c for c in df.columns if c != key and
-                            (c in FEATURE_COLS or c.rstrip("_12") in FEATURE_COLS or c == "labels")])
+    """A4: key plus the derived feature columns (source columns dropped);
+    pair frames keep both suffixed sides and ``labels``."""
+    derived = set(FEATURE_COLS) | {f"{c}_{s}" for c in FEATURE_COLS for s in (1, 2)} | {"labels"}
+    return df.select(key, *[c for c in df.columns if c != key and c in derived])
 
 
 def model_columns(df: DataFrame, key: str, tree: bool, pair: bool = False) -> DataFrame:

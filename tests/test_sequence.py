@@ -117,3 +117,14 @@ def test_vocab_prefilter_matches_plain_topk(spark):
     assert plain == cut and len(plain) == 45
     ids = {r.token: r.id for r in plain}
     assert ids["<s>"] == 0 and " " not in ids and ids["u0"] == 5  # u* tokens are most frequent
+
+
+def test_keep_features_and_model_columns_pair_forms(spark):
+    from arborform.operators.shape import keep_features, model_columns
+    cols = [f"{c}_{s}" for s in (1, 2) for c in seq.FEATURE_COLS]
+    schema = "pair_id long, text string, " + ", ".join(f"{c} array<int>" for c in cols) + ", labels int"
+    df = spark.createDataFrame([tuple([1, "t"] + [[1]] * 10 + [1])], schema)
+    assert keep_features(df, "pair_id").columns == ["pair_id"] + cols + ["labels"]
+    assert model_columns(df, "pair_id", tree=False, pair=True).columns == [
+        "pair_id", "input_ids_1", "attention_mask_1", "input_ids_2", "attention_mask_2", "labels"]
+    assert len(model_columns(df, "pair_id", tree=True, pair=True).columns) == 12
