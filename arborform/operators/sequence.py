@@ -24,7 +24,7 @@ TREE_COLS = ["depths", "sibling_indices", "tree_attention_mask"]
 
 
 # ---------------------------------------------------------------- C1
-def align_mask(leaves: Column, ref: Column, chunk: int = 512) -> Column:
+def align_mask(leaves: Column, ref: Column, chunk: int = 64) -> Column:
     """Greedy two-pointer alignment of leaf tokens with reference tokens.
 
     Walking the leaves in order: a leaf equal to the current reference token
