@@ -295,12 +295,11 @@ def vector_rows(spark, d) -> int:
 def token_slots(spark, d, n_vec: int):
     """(doc_id, pos, ids per source, on/off factors) for the first positions."""
     f = feature_frame(spark, d)
-    f = f.select("doc_id", "input_ids", "depths", "sibling_indices", "tree_attention_mask",
-                 seq.position_ids(F.col("input_ids")).alias("position_ids"),
-                 seq.token_types(F.col("input_ids")).alias("token_type_ids"))
-    z = F.arrays_zip(F.slice("input_ids", 1, P.VEC_POSITIONS).alias("w"),
-                     F.slice("token_type_ids", 1, P.VEC_POSITIONS).alias("y"),
-                     F.slice("position_ids", 1, P.VEC_POSITIONS).alias("p"),
+    # the generator takes the derived arrays inline (see leaf_rows)
+    ids = F.col("input_ids")
+    z = F.arrays_zip(F.slice(ids, 1, P.VEC_POSITIONS).alias("w"),
+                     F.slice(seq.token_types(ids), 1, P.VEC_POSITIONS).alias("y"),
+                     F.slice(seq.position_ids(ids), 1, P.VEC_POSITIONS).alias("p"),
                      F.slice("depths", 1, P.VEC_POSITIONS).alias("d"),
                      F.slice("sibling_indices", 1, P.VEC_POSITIONS).alias("s"),
                      F.slice("tree_attention_mask", 1, P.VEC_POSITIONS).alias("t"))
