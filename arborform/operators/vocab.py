@@ -82,11 +82,12 @@ def vocab_bound(size: int) -> int:
 
 
 def to_ids(rows: DataFrame, vocab: DataFrame, col: str = "token",
-           unk_id: int = UNK_ID, bound: int | None = None) -> DataFrame:
+           unk_id: int = UNK_ID, bound: int | None = None,
+           max_broadcast_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
     """Add ``id`` to token rows; tokens outside the vocabulary get ``unk_id``.
 
     Joined on leaf rows with the vocabulary broadcast (see ``vocab_side``).
     """
-    v = vocab_side(vocab.select(F.col("token").alias(col), "id"), bound)
+    v = vocab_side(vocab.select(F.col("token").alias(col), "id"), bound, max_broadcast_rows)
     return (rows.join(v, col, "left")
                 .withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int")))

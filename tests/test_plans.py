@@ -49,3 +49,18 @@ def test_exclude_lang_is_pushed_to_the_scan(spark):
     p = plan(C.q_exclude_lang(spark, SF))
     assert "PushedFilters: [Not(EqualNullSafe(lang,es))]" in p
     assert "text" not in p.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_vocab_over_the_bound_is_not_broadcast(spark):
+    from arborform.operators.vocab import to_ids
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, token string")
+        vocab = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "token string, id int")
+        small = plan(to_ids(rows, vocab))                       # 3 rows: checked, broadcast
+        assert "BroadcastHashJoin" in small
+        over = to_ids(rows, vocab, max_broadcast_rows=2)        # over the bound
+        assert "BroadcastHashJoin" not in plan(over) and "SortMergeJoin" in plan(over)
+        assert sorted(r.id for r in over.collect()) == [5, 6]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
