@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import q_interleave, q_mixing, q_secrets
+from . import q_interleave, q_linkrank, q_mixing, q_secrets
 
 
 def _all():
     return {"op1_secrets": (q_secrets.op1_secrets, q_secrets.SQL),
+            "op3_linkrank": (q_linkrank.op3_linkrank, q_linkrank.SQL),
             "op7_interleave": (q_interleave.op7_interleave, q_interleave.SQL),
             "op10_mixing": (q_mixing.op10_mixing, q_mixing.SQL)}
 
