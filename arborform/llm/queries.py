@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import q_interleave, q_linkrank, q_mixing, q_secrets
+from . import q_interleave, q_linkrank, q_mixing, q_secrets, q_weighted_sampling
 
 
 def _all():
     return {"op1_secrets": (q_secrets.op1_secrets, q_secrets.SQL),
             "op3_linkrank": (q_linkrank.op3_linkrank, q_linkrank.SQL),
             "op7_interleave": (q_interleave.op7_interleave, q_interleave.SQL),
+            "op8_weighted_sampling": (q_weighted_sampling.op8_weighted_sampling, None),
             "op10_mixing": (q_mixing.op10_mixing, q_mixing.SQL)}
 
 
