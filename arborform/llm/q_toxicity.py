@@ -15,6 +15,6 @@ def model_for(spark, sf_dir):
 
 
 def op4_toxicity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold_number("doc_id", 5) == 0).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold_number("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
     out = measured(docs, "text", model_for(spark, sf_dir), keep=("doc_id", "held_out"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import q_interleave, q_linkrank, q_mixing, q_secrets, q_toxicity, q_weighted_sampling
+from . import q_interleave, q_language, q_linkrank, q_mixing, q_secrets, q_toxicity, q_weighted_sampling
 
 
 def _all():
     return {"op1_secrets": (q_secrets.op1_secrets, q_secrets.SQL),
+            "op2_language": (q_language.op2_language, None),
             "op3_linkrank": (q_linkrank.op3_linkrank, q_linkrank.SQL),
             "op4_toxicity": (q_toxicity.op4_toxicity, None),
             "op7_interleave": (q_interleave.op7_interleave, q_interleave.SQL),
