@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 
 import numpy as np
 from pyspark import cloudpickle
@@ -15,6 +16,14 @@ def ship_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules["arborform"])
 
 
+def worker_state(name: str, build):
+    """``build()``, kept for the life of the Python worker and its later tasks."""
+    held = sys.modules.setdefault("_arborform_worker", types.ModuleType("_arborform_worker")).__dict__
+    if name not in held:
+        held[name] = build()
+    return held[name]
+
+
 def blocks(texts: list[str], limit: int = BLOCK_CHARS):
     """(first, end) runs of texts that hold about ``limit`` characters; a longer
     text is a run of its own."""
