@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_interleave, q_language, q_linkrank, q_mixing, q_secrets, q_token_table, q_toxicity, q_weighted_sampling
+from . import q_decontaminate, q_interleave, q_language, q_linkrank, q_mixing, q_secrets, q_token_table, q_toxicity, q_weighted_sampling
 
 
 def _all():
@@ -13,6 +13,7 @@ def _all():
             "op6_token_table": (q_token_table.op6_token_table, None),
             "op7_interleave": (q_interleave.op7_interleave, q_interleave.SQL),
             "op8_weighted_sampling": (q_weighted_sampling.op8_weighted_sampling, None),
+            "op9_decontaminate": (q_decontaminate.op9_decontaminate, None),
             "op10_mixing": (q_mixing.op10_mixing, q_mixing.SQL)}
 
 
