@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_decontaminate, q_interleave, q_language, q_linkrank, q_mixing, q_secrets, q_token_table, q_toxicity, q_weighted_sampling
+from . import q_decontaminate, q_interleave, q_jaccard_join, q_language, q_linkrank, q_mixing, q_secrets, q_token_table, q_toxicity, q_weighted_sampling
 
 
 def _all():
@@ -10,6 +10,7 @@ def _all():
             "op2_language": (q_language.op2_language, None),
             "op3_linkrank": (q_linkrank.op3_linkrank, q_linkrank.SQL),
             "op4_toxicity": (q_toxicity.op4_toxicity, None),
+            "op5_jaccard_join": (q_jaccard_join.op5_jaccard_join, q_jaccard_join.SQL),
             "op6_token_table": (q_token_table.op6_token_table, None),
             "op7_interleave": (q_interleave.op7_interleave, q_interleave.SQL),
             "op8_weighted_sampling": (q_weighted_sampling.op8_weighted_sampling, None),
