@@ -266,3 +266,21 @@ def hits(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
         part = rows.mapInArrow(run, spec)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], spec) if out is None else out
+
+
+def without_hits(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """The rows, all columns, that no item hits."""
+    ship_by_value()
+    for ids, texts in item_blocks(items, item_key, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((ids, texts)))
+
+        def run(batches, shared=shared):
+            known = Items(*cloudpickle.loads(shared.value), worker_state("decontaminate fold", fold_table))
+            for batch in batches:
+                ts = [t or "" for t in column(batch, text)]
+                keep = np.ones(len(ts), bool)
+                for lo, hi in blocks(ts):
+                    keep[[lo + f[0] for f in known.search(ts[lo:hi])]] = False
+                yield batch.filter(pa.array(keep))
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -71,7 +71,8 @@ def interleave(df: DataFrame, key: str, source: str, shards: int, seed: int = SE
 
 def add_shards(df: DataFrame, key: str, source: str, shards: int, tie_text: str,
                seed: int = SEED, out: str = "shard") -> DataFrame:
-    """All columns of ``df`` plus the shard, without shuffling the wide rows.
+    """All columns of ``df`` plus the shard (in place of a column of that name),
+    without shuffling the wide rows.
 
     Within a source the shards are consecutive ranges of the seeded order, so
     the narrow ranking is reduced to the last (hash, key, tie) of each source
@@ -94,13 +95,13 @@ def add_shards(df: DataFrame, key: str, source: str, shards: int, tie_text: str,
         split.groupBy(F.col("source").alias("s3")).agg(F.collect_list(F.struct("t", "parts")).alias("split")),
         F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
     known = known.select(F.struct("source", "cuts", "split").alias("_known"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != out]).alias("_row"),
                      F.struct(hash60(seed, key).alias("h"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), tie.alias("tie")).alias("_t"))
     rows = rows.join(broadcast_under(known, known.count(), CUT_ROWS // shards),
                      F.col(f"_row.{source}").eqNullSafe(F.col("_known.source")))
-    rows = rows.withColumn("_parts", F.expr("filter(_known.split, x -> x.t = _t)[0].parts"))
+    rows = rows.withColumn("_parts", F.expr("get(filter(_known.split, x -> x.t = _t), 0).parts"))
     whole = rows.filter("_parts is null").select(
-        "_row.*", F.expr("filter(_known.cuts, x -> x.hi >= _t)[0].shard").alias(out))
+        "_row.*", F.expr("get(filter(_known.cuts, x -> x.hi >= _t), 0).shard").alias(out))
     j = F.row_number().over(Window.partitionBy(F.col("_known.source"), F.col("_t")).orderBy(F.lit(1)))
     apart = (rows.filter("_parts is not null").withColumn("_j", j)
              .select("_row.*", F.expr("""aggregate(_parts, struct(cast(0 as bigint) as seen, cast(null as int) as s),

@@ -36,7 +36,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
@@ -194,11 +194,12 @@ def prefix_of(value: np.ndarray, n: int) -> tuple[int, int]:
 
 
 def signed(docs: DataFrame, key: str, text: str, cells: bytes) -> DataFrame:
-    """key, a, b, n of each document; of those with prefix shingles that occur
+    """key, h (hash of the text), a, b, n of each document; of those with prefix shingles that occur
     elsewhere also m (matches), tokens and set (all hashes, packed)."""
     ship_by_value()
     shared = docs.sparkSession.sparkContext.broadcast(cells)
-    kind = docs.select(F.col(key).alias("key")).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
+    kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
         powers, seen = worker_state("powers", Powers), set()
@@ -224,11 +225,11 @@ def signed(docs: DataFrame, key: str, text: str, cells: bytes) -> DataFrame:
                     if len(take):
                         m[i], tokens[i], sets[i] = l, take.view(np.int64), h[at[i]:at[i + 1]].astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(m, pa.int32()),
+                    [keys.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(m, pa.int32()),
                      pa.array(tokens, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                    names=["key", "a", "b", "n", "m", "tokens", "set"])
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, f"key {kind}, a bigint, b bigint, n bigint, m int, tokens array<bigint>, set binary")
+                    names=["key", "h", "a", "b", "n", "m", "tokens", "set"])
+    return rows.mapInArrow(
+        run, f"key {kind}, h bigint, a bigint, b bigint, n bigint, m int, tokens array<bigint>, set binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -306,7 +307,8 @@ def cross_pairs(entries: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n (shingles), component of each row."""
+    """key, n (shingles), component of each row, and ``h``, ``grp``: hash of the
+    text and inner id of the component (null without words)."""
     rows = scratch(signed(docs, key, text, frequencies(docs, text)), "join-sets")
     no_key = F.lit(NO_KEY) + F.shiftrightunsigned(F.xxhash64("a", "b", "n"), 3)
     reps = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("key").cast("bigint").alias("rep"))
@@ -324,5 +326,27 @@ def similar(docs: DataFrame, key: str, text: str) -> DataFrame:
         comps = components(links)
     of = reps.join(comps, "c", "left").select("a", "b", "n", F.coalesce("comp", "c").alias("comp"))
     # a class that fills a third of the rows makes the rows' side skewed: AQE splits it
-    out = rows.select("key", "a", "b", "n").join(of, ["a", "b", "n"], "left")
-    return out.select("key", "n", F.when(F.col("n") == 0, F.col("key")).when(F.col("comp") < NO_KEY, F.col("comp")).alias("component"))
+    out = rows.select("key", "h", "a", "b", "n").join(of, ["a", "b", "n"], "left")
+    return out.select("key", "h", "n", F.col("comp").alias("grp"), F.when(F.col("n") == 0, F.col("key")).when(F.col("comp") < NO_KEY, F.col("comp")).alias("component"))
+
+
+def one_of_each(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each component keeps one: that
+    with the smallest key (of equal keys, the smallest text hash). Rows without
+    words all stay."""
+    rows = scratch(similar(docs, key, text).select("key", "h", "grp"), "join-groups")
+    first = F.struct(F.col("key").isNull().alias("no"), "key", "h")
+    kept = rows.filter("grp is not null").groupBy("grp").agg(F.min(first).alias("f")).select("f.key", "f.h")
+    alone = rows.filter("grp is null").select("key", "h").distinct()
+    copies = rows.groupBy(F.col("key").alias("k3"), F.col("h").alias("h3")).agg(F.count(F.lit(1)).alias("copies"))
+    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+    want = (kept.withColumn("every", F.lit(False)).union(alone.withColumn("every", F.lit(True)))
+            .join(copies, same("key", "k3", "h", "h3")).select(F.col("key").alias("k2"), F.col("h").alias("h2"), "every", "copies"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("k1"),
+                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h1"))
+    found = wide.join(want, same("k1", "k2", "h1", "h2"))
+    once = found.filter("every or copies = 1").select("_row.*")
+    # rows repeated in key and text: one of them
+    n = F.row_number().over(Window.partitionBy("k1", "h1").orderBy(F.lit(1)))
+    twice = found.filter("not every and copies > 1").withColumn("_n", n).filter("_n = 1").select("_row.*")
+    return once.unionByName(twice)

@@ -249,6 +249,19 @@ def measured(df: DataFrame, text: str, model: dict, keep=()) -> DataFrame:
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, spec)
 
 
+def without_toxic(df: DataFrame, text: str, model: dict, threshold: float = 0.5) -> DataFrame:
+    """The rows, all columns, whose score is under the threshold."""
+    ship_by_value()
+
+    def run(batches):
+        table, a = fold_table(), automaton(model)
+        for batch in batches:
+            total, _, words = measure([t or "" for t in column(batch, text)], model, table, a)
+            score = 1 / (1 + np.exp(-np.clip(features(total, words) @ np.array(model["curve"]), -30, 30)))
+            yield batch.filter(pa.array(score < threshold))
+    return df.mapInArrow(run, df.schema)
+
+
 def fold_number(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``."""
     return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % parts
