@@ -10,8 +10,7 @@ from .toxicity import fit, fold_number, measured
 
 def model_for(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isin(0, 1) & (fold_number("doc_id", 5) != 0))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fit(docs.join(labels.select("doc_id", "toxic"), "doc_id"), "doc_id", "text", "toxic")
+    return fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, "doc_id", "text", "toxic")
 
 
 def op4_toxicity(spark, sf_dir):

@@ -209,13 +209,17 @@ def harmless(df: DataFrame, label: str, text: str, entries: dict[str, float]) ->
     return [r["term"] for r in t.filter("a = 0 and b >= 5").orderBy(F.desc("b"), "term").limit(MAX_ENTRIES).collect()]
 
 
-def fit(labelled: DataFrame, key: str, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Model from rows (key, text, label 0 or 1): entries, exceptions, curve."""
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample_rows: int = SAMPLE_ROWS) -> dict:
+    """Model from documents (key, text) and labels (key, 0 or 1): entries,
+    exceptions, curve. The sample is drawn from the keys; texts of other rows are
+    not shuffled."""
     entries = {fold_word(w) + " ": FIXED_WEIGHT for w in LEXICON}
     exceptions = [fold_word(p) for p in EXCEPTIONS]
-    ids = (labelled.filter(F.col(label).isNotNull()).select(F.col(key).alias("_k"), hash60("toxicity", key).alias("_h"))
-           .distinct().orderBy("_h", "_k").limit(sample_rows))
-    some = labelled.join(F.broadcast(ids), F.col(key) == F.col("_k")).select(key, text, F.col(label).cast("int").alias(label), "_h").persist()
+    known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
+    ids = (known.join(docs.select(F.col(key).alias("_k")), "_k", "left_semi").groupBy("_k").agg(F.max("_y").alias("_y"))
+           .withColumn("_h", hash60("toxicity", "_k")).orderBy("_h", "_k").limit(sample_rows))
+    some = (docs.select(F.col(key).alias("_key"), F.col(text).alias("_t")).join(F.broadcast(ids), F.col("_key") == F.col("_k"))
+            .select(F.col("_t").alias(text), F.col("_y").alias(label), "_h").persist())
     halves = [some.filter(F.col("_h") % 2 == i) for i in (0, 1)]
     n = {r[label]: r["count"] for r in halves[0].groupBy(label).count().collect()}
     if n.get(0) and n.get(1):

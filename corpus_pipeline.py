@@ -28,8 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighted lexicon marks as toxic go. The model is
     fitted on the labelled ones of ``docs``."""
     labels = table(spark, sf_dir, "labels").filter(F.col("toxic").isin(0, 1) & (fold_number("doc_id", 5) != 0))
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    return without_toxic(docs, "text", fit(known, "doc_id", "text", "toxic"))
+    return without_toxic(docs, "text", fit(docs, labels, "doc_id", "text", "toxic"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
