@@ -36,8 +36,8 @@ from .texts import blocks, column, ship_by_value, worker_state
 END_ID = 2
 ROW_GROUP = 32 << 20
 PAGE = 128 << 10
-CACHE_PIECES = 1_000_000    # pieces that a worker remembers
-BLOCK = 8_000_000           # characters encoded at once
+CACHE_PIECES = 500_000      # pieces that a worker remembers
+BLOCK = 4_000_000           # characters encoded at once
 CALL = 500                  # new pieces in one text for the tokenizer
 OTHER_SPACE = re.compile(rb"[\x00\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -114,7 +114,7 @@ class Encoder:
         marks = np.isin(at, begin)                      # the zero byte before each text
         new = [n for n in names if n not in self.cache and n != "\0"]
         if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache, new = {}, [n for n in names if n != "\0"]
+            self.cache = {n: self.cache[n] for n in names if n in self.cache}
         self.learn(new)
         known = [b"" if n == "\0" else self.cache[n] for n in names]
         which = units.indices.to_numpy().astype(np.int64)
