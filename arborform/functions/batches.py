@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 
-def _ship_package_by_value() -> None:
+def ship_package_by_value() -> None:
     """Pickle this package's functions by value, so Python workers can run
     them without the package being importable on the executors."""
-    try:
-        from pyspark import cloudpickle
-
-        import arborform
-        cloudpickle.register_pickle_by_value(arborform)
-    except Exception:  # noqa: BLE001  (older cloudpickle: workers import it)
-        pass
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
 def map_batches(df: DataFrame, fn, schema, **kwargs) -> DataFrame:
     """Apply ``fn(batch: pandas.DataFrame, **kwargs) -> pandas.DataFrame`` to
     every Arrow batch of every partition. The output schema must be declared
     (it is not inferred from the first batch)."""
-    _ship_package_by_value()
+    ship_package_by_value()
 
     def run(batches):
         for b in batches:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind
+from ..session import written
 from .splits import global_rank
 
 IGNORE = -100
@@ -29,8 +30,12 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFra
 def class_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """per class (seen as a label or a prediction): support, predicted,
     true positives, precision, recall, f1; 0/0 is 0."""
-    counts = df.groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return _report(df.groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(
+        F.count(F.lit(1)).alias("n")))
+
+
+def _report(counts: DataFrame) -> DataFrame:
+    """counts(l, p, n) -> the per-class rows."""
     by_label = counts.groupBy(F.col("l").alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("l") == F.col("p"), F.col("n"))
                                            .otherwise(0)).alias("tp"))
@@ -61,11 +66,13 @@ def weighted(report: DataFrame) -> DataFrame:
 
 
 def row_loss(logits: Column, label: Column) -> Column:
-    """Cross-entropy of one row: log-sum-exp(logits) - logits[label]."""
+    """Cross-entropy of one row: log-sum-exp(logits) - logits[label]. A label
+    that is no index of the logits fails the job."""
     def ce(a):
         def with_max(mx):
             lse = mx + F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - mx)))
-            return lse - F.get(a, label)
+            return F.when((label < 0) | (label >= F.size(a)), F.raise_error(F.concat(
+                F.lit("label outside the logits: "), label.cast("string")))).otherwise(lse - F.get(a, label))
         return bind(F.array_max(a), with_max)
     return bind(logits.cast("array<double>"), ce)
 
@@ -77,34 +84,65 @@ def cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label") -
 
 
 def batch_ids(df: DataFrame, order, n: int) -> DataFrame:
-    """consecutive batches of n rows in the given order (last one short)."""
+    """consecutive batches of n rows in the given order (last one short).
+    Only the order columns are laid out and written."""
     return global_rank(df, order).withColumn(
         "batch", F.floor(F.col("rank") / F.lit(n)).cast("bigint"))
 
 
-def batch_loss(df: DataFrame, order, n: int, logits: str = "logits",
-               label: str = "label") -> DataFrame:
-    """F8: per batch the mean loss over scored rows, weighted by the batch's
-    row count (scored or not)."""
-    b = batch_ids(df, order, n).withColumn(
-        "_loss", F.when(F.col(label) != F.lit(IGNORE), row_loss(F.col(logits), F.col(label))))
-    per = b.groupBy("batch").agg(F.avg("_loss").alias("m"), F.count(F.lit(1)).alias("rows"))
-    return per.agg((F.sum(F.col("m") * F.col("rows")) / F.sum("rows")).alias("loss"))
+def _counted(tokens: DataFrame, seq: str, n: int, logits: str, label: str,
+             seqs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(batches with their number of sequences, sums per batch, label and
+    prediction): what every metric below needs, from one scan of the tokens."""
+    keys = tokens.select(seq).distinct() if seqs is None else seqs.select(seq)
+    order = batch_ids(keys, seq, n).select(seq, "batch")
+    sizes = order.groupBy("batch").agg(F.count(F.lit(1)).alias("seqs"))
+    scored = tokens.filter(F.col(label) != F.lit(IGNORE)).select(
+        seq, F.col(label).alias("label"), argmax(F.col(logits)).alias("pred"),
+        row_loss(F.col(logits), F.col(label)).alias("loss"))
+    # first per sequence: partial sums shrink the tokens before the join
+    per_seq = scored.groupBy(seq, "label", "pred").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"))
+    sums = (per_seq.join(order, seq).groupBy("batch", "label", "pred")
+            .agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")))
+    return sizes, sums
+
+
+def _weighted_loss(sizes: DataFrame, sums: DataFrame) -> DataFrame:
+    per = sums.groupBy("batch").agg((F.sum("loss") / F.sum("n")).alias("m")).join(sizes, "batch")
+    return per.agg((F.sum(F.col("m") * F.col("seqs")) / F.sum("seqs")).alias("loss"))
+
+
+def batch_loss(tokens: DataFrame, seq: str, n: int, logits: str = "logits",
+               label: str = "label", seqs: DataFrame | None = None) -> DataFrame:
+    """F8: batches of n sequences; the mean loss over a batch's scored tokens,
+    weighted by its number of sequences.
+
+    tokens: one row per sequence position (seq, logits, label); ``seqs``: the
+    sequences' keys, if known apart from the tokens. A batch without a scored
+    token has no mean: it is left out, with its weight.
+    """
+    return _weighted_loss(*_counted(tokens, seq, n, logits, label, seqs))
 
 
-def evaluate(df: DataFrame, average: str = "weighted", logits: str = "logits",
-             label: str = "label") -> DataFrame:
-    """loss, accuracy, precision, recall, f1 in one row.
+def evaluate(tokens: DataFrame, seq: str, n: int, average: str = "weighted",
+             logits: str = "logits", label: str = "label",
+             seqs: DataFrame | None = None) -> DataFrame:
+    """loss (F8's), accuracy, precision, recall, f1 in one row.
 
-    Loss is the mean row cross-entropy; the other four use rows whose label
-    is not -100, with the arg-max as prediction.
+    One scan of the tokens: the counts per (batch, label, prediction) are written
+    once, and loss, accuracy and averages come from them.
     """
-    scored = df.filter(F.col(label) != F.lit(IGNORE)).withColumn("pred", argmax(F.col(logits)))
-    rep = class_report(scored, label, "pred")
+    if average not in ("weighted", "macro"):
+        raise ValueError(f"no such average: {average!r}")
+    sizes, sums = _counted(tokens, seq, n, logits, label, seqs)
+    sums = written(sums, "metric-counts")
+    pairs = sums.groupBy(F.col("label").alias("l"), F.col("pred").alias("p")).agg(F.sum("n").alias("n"))
+    rep = _report(pairs)
     avg = macro(rep) if average == "macro" else weighted(rep)
+    acc = pairs.agg((F.sum(F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     # three one-row aggregates side by side (equi-join on a constant key)
     one = F.lit(0).alias("_one")
-    return (cross_entropy(df, logits, label).select("*", one)
-            .join(accuracy(scored, label, "pred").select("*", one), "_one")
+    return (_weighted_loss(sizes, sums).select("*", one)
+            .join(acc.select("*", one), "_one")
             .join(avg.select("*", one), "_one")
             .select("loss", "accuracy", "precision", "recall", "f1"))

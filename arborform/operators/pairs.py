@@ -2,63 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import FEATURE_COLS, features, mask_unknown
+from .sequence import FEATURE_COLS, check_lengths, leaf_rows, mask_unknown, pad_all, wrapped_arrays
+from .vocab import to_ids
+
+
+def text_hash(text: Column) -> Column:
+    """Identity of a text; a null one is taken as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def pair_features(pairs: DataFrame, vocab: DataFrame, length: int = 512, key: str = "pair_id",
                   vocab_rows: int | None = None) -> DataFrame:
     """C11: both sides of each pair as feature rows (suffix _1, _2) + labels.
 
+    pairs: (key, text_1, text_2, similar). See ``pair_features_of``.
+    """
+    both = F.explode(F.array(F.col("text_1"), F.col("text_2"))).alias("text")
+    texts = pairs.select(both).select(text_hash(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    sides = pairs.select(key, text_hash(F.col("text_1")).alias("h_1"), text_hash(F.col("text_2")).alias("h_2"),
+                         F.col("similar").cast("int").alias("labels"))
+    return pair_features_of(sides, texts, vocab, length, key, vocab_rows)
+
+
+def pair_features_of(sides: DataFrame, texts: DataFrame, vocab: DataFrame, length: int = 512,
+                     key: str = "pair_id", vocab_rows: int | None = None) -> DataFrame:
+    """C11 from hashed pairs: sides (key, h_1, h_2, labels), texts (h, text).
+
     No alignment (every leaf starts with tree mask 1), then tree mask 0 at
-    unknown ids. Each distinct text is featurised once: texts are made
-    distinct (partial aggregation keeps a very common text to one row per
-    partition) and keyed by md5; one join brings the features to the side
-    rows, and one hash grouping by pair key puts the two sides together. A
-    text shared by very many pairs is a skewed join key, which AQE's skew
-    join splits.
+    unknown ids. Each different text is featurised once; the arrays travel
+    unpadded through two joins by hash (one exchange of the features, used
+    twice) and are padded in the last projection, which fails on a length other
+    than L (C8). A null text is an empty one, so every pair has a row; a text
+    shared by very many pairs is a skewed join key, which AQE splits.
     """
-    sides = (pairs.select(F.col("text_1").alias("text"))
-                  .unionByName(pairs.select(F.col("text_2").alias("text"))))
-    # hash aggregate on the text itself (map-side combine), hash taken after
-    uniq = sides.distinct().withColumn("h", F.md5("text"))
-    f = features(uniq, vocab, key="h", text_col="text", length=length, align=False,
-                 vocab_rows=vocab_rows)
-    f = f.withColumn("tree_attention_mask", mask_unknown(F.col("input_ids"),
-                                                         F.col("tree_attention_mask")))
-    sides = pairs.select(key, F.col("similar").cast("int").alias("labels"), F.explode(F.array(
-        F.struct(F.lit(1).alias("side"), F.md5("text_1").alias("h")),
-        F.struct(F.lit(2).alias("side"), F.md5("text_2").alias("h")))).alias("s")) \
-        .select(key, "labels", "s.side", "s.h")
-    # one join (features computed once), then the two sides of a pair meet
-    # again in one grouping by pair key
-    j = sides.join(f, "h")
-    both = F.sort_array(F.collect_list(F.struct("side", "labels", *FEATURE_COLS)))
-    g = j.groupBy(key).agg(both.alias("s"))
-    return g.select(key, *[F.col("s")[k - 1][c].alias(f"{c}_{k}") for k in (1, 2) for c in FEATURE_COLS],
-                    F.col("s")[0]["labels"].alias("labels"))
-
-
-def adjacent_pairs(df: DataFrame, key: str, text: str, attr: str) -> DataFrame:
-    """Pairs (row k, row k+1) by key; similar = 1 when ``attr`` is equal."""
-    a = df.select(F.col(key).alias("pair_id"), F.col(text).alias("text_1"), F.col(attr).alias("a1"))
-    b = df.select((F.col(key) - 1).alias("pair_id"), F.col(text).alias("text_2"),
-                  F.col(attr).alias("a2"))
+    rows = leaf_rows(texts.select("h", "text").distinct(), "h", "text", length, align=False)
+    f = wrapped_arrays(to_ids(rows, vocab, bound=vocab_rows), "h")
+    f = f.withColumn("tree_attention_mask", mask_unknown(F.col("input_ids"), F.col("tree_attention_mask")))
+    f = f.select("h", F.struct(*FEATURE_COLS).alias("f"))
+    j = (sides.join(f.select(F.col("h").alias("h_1"), F.col("f").alias("f_1")), "h_1")
+              .join(f.select(F.col("h").alias("h_2"), F.col("f").alias("f_2")), "h_2"))
+    out = []
+    for k in (1, 2):
+        padded = pad_all({c: F.col(f"f_{k}.{c}") for c in FEATURE_COLS}, length)
+        out += [padded[c].alias(f"{c}_{k}") for c in FEATURE_COLS]
+    return check_lengths(j.select(key, *out, "labels"), length,
+                         cols=[f"{c}_{k}" for k in (1, 2) for c in FEATURE_COLS], strict=True)
+
+
+def adjacent_pairs(df: DataFrame, key: str, attr: str) -> DataFrame:
+    """Pairs (row k, row k+1) by key of rows (key, h, attr); labels = 1 when
+    ``attr`` is equal. Only keys, hashes and the attribute meet."""
+    a = df.select(F.col(key).alias("pair_id"), F.col("h").alias("h_1"), F.col(attr).alias("a1"))
+    b = df.select((F.col(key) - 1).alias("pair_id"), F.col("h").alias("h_2"), F.col(attr).alias("a2"))
     return (a.join(b, "pair_id")
-             .select("pair_id", "text_1", "text_2",
-                     F.col("a1").eqNullSafe(F.col("a2")).cast("int").alias("similar")))
+             .select("pair_id", "h_1", "h_2", F.col("a1").eqNullSafe(F.col("a2")).cast("int").alias("labels")))
 
 
 def pair_vector(left: DataFrame, right: DataFrame, key: str = "pair_id",
                 vec: str = "vec") -> DataFrame:
     """The first-position vector of each side, concatenated.
 
-    left / right: (key, pos, vec) token vectors of each side."""
-    l0 = left.filter(F.col("pos") == 0).select(key, F.col(vec).alias("_v1"))
-    r0 = right.filter(F.col("pos") == 0).select(key, F.col(vec).alias("_v2"))
-    return l0.join(r0, key).select(key, F.concat("_v1", "_v2").alias("pair_vec"))
+    left / right: (key, pos, vec, ...) token vectors of each side; other columns
+    of first positions are carried along, so labels need no join of their own."""
+    keep = lambda df, name: df.filter(F.col("pos") == 0).drop("pos").withColumnRenamed(vec, name)
+    return (keep(left, "_v1").join(keep(right, "_v2"), key)
+            .withColumn("pair_vec", F.concat("_v1", "_v2")).drop("_v1", "_v2"))
 
 
 def fit_pairs(df: DataFrame, features_col: str = "pair_vec", label: str = "labels",

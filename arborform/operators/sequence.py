@@ -10,13 +10,14 @@ The five feature arrays per row, each exactly L long:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, pad
 from .trees import WORD_PATTERN, TOKEN_PATTERN, layout_leaf_array
 from .vocab import END_ID, PAD_ID, START_ID, UNK_ID, to_ids
 
+# The feature format's columns.
 FEATURE_COLS = ["input_ids", "attention_mask", "depths", "sibling_indices",
                 "tree_attention_mask"]
 BASE_COLS = ["input_ids", "attention_mask"]
@@ -133,6 +134,21 @@ def check_lengths(df: DataFrame, length: int, cols=None, strict: bool = False) -
 
 
 # ---------------------------------------------------------------- C9 / C11 core
+def _kept_rows(staged: DataFrame, key: str, align: bool) -> DataFrame:
+    """staged(key, cut, ref) -> one row per kept leaf, with its mask."""
+    if align:
+        mask = align_mask(F.col("cut.token"), F.col("ref"))
+    else:
+        mask = F.transform(F.col("cut"), lambda x: F.lit(1))
+    # the generator takes the mask expression inline: measured ~3x faster than
+    # computing it in a projection and exploding that column in the next step
+    return (staged.select(key, F.posexplode(F.arrays_zip(F.col("cut"), mask.alias("mask")))
+                          .alias("pos", "z"))
+                  .select(key, F.col("pos").cast("int").alias("pos"),
+                          F.col("z.cut.token").alias("token"), F.col("z.cut.depth").alias("depth"),
+                          F.col("z.cut.sib").alias("sib"), F.col("z.mask").alias("m")))
+
+
 def leaf_rows(docs: DataFrame, key: str, text_col: str, length: int,
               align: bool = True, ref_col: str | None = None,
               pattern: str = TOKEN_PATTERN) -> DataFrame:
@@ -145,21 +161,31 @@ def leaf_rows(docs: DataFrame, key: str, text_col: str, length: int,
     text = F.col(text_col)
     cut = truncate(layout_leaf_array(text, pattern), length)
     if ref_col is not None:
-        ref = F.col(ref_col)
+        ref = F.coalesce(F.col(ref_col), F.array().cast("array<string>"))
     else:
-        ref = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
-    staged = docs.select(key, cut.alias("cut"), truncate(ref, length).alias("ref"))
-    if align:
-        mask = align_mask(F.col("cut.token"), F.col("ref"))
+        ref = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
+    return _kept_rows(docs.select(key, cut.alias("cut"), truncate(ref, length).alias("ref")), key, align)
+
+
+def leaf_rows_of(leaves: DataFrame, key: str, length: int, ref: DataFrame | None = None,
+                 align: bool = True, order: str = "leaf_pos") -> DataFrame:
+    """The same rows from leaf rows of any walk (B1, B2, B3): (key, order,
+    token, depth, sib). The reference is ``ref`` (key, ref array), else the word
+    tokens of the leaves themselves.
+
+    The first L-2 leaves of a key are found by a window rank, so a key with very
+    many leaves is cut before its leaves are put together.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    kept = leaves.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= length - 2)
+    both = F.sort_array(F.collect_list(F.struct("_n", F.struct(F.coalesce("token", F.lit("")).alias("token"), "depth", "sib").alias("leaf"))))
+    staged = kept.groupBy(key).agg(both.alias("s")).select(key, F.transform("s", lambda x: x["leaf"]).alias("cut"))
+    if ref is not None:
+        staged = staged.join(ref.select(key, truncate(F.col("ref"), length).alias("ref")), key, "left")
+        staged = staged.withColumn("ref", F.coalesce("ref", F.array().cast("array<string>")))
     else:
-        mask = F.transform(F.col("cut"), lambda x: F.lit(1))
-    # the generator takes the mask expression inline: measured ~3x faster than
-    # computing it in a projection and exploding that column in the next step
-    return (staged.select(key, F.posexplode(F.arrays_zip(F.col("cut"), mask.alias("mask")))
-                          .alias("pos", "z"))
-                  .select(key, F.col("pos").cast("int").alias("pos"),
-                          F.col("z.cut.token").alias("token"), F.col("z.cut.depth").alias("depth"),
-                          F.col("z.cut.sib").alias("sib"), F.col("z.mask").alias("m")))
+        staged = staged.withColumn("ref", F.flatten(F.transform("cut", lambda x: F.regexp_extract_all(x["token"], F.lit(WORD_PATTERN), F.lit(0)))))
+    return _kept_rows(staged.select(key, "cut", "ref"), key, align)
 
 
 def wrapped_arrays(rows: DataFrame, key: str) -> DataFrame:
@@ -167,6 +193,9 @@ def wrapped_arrays(rows: DataFrame, key: str) -> DataFrame:
     attention mask, not yet padded (one hash shuffle by key)."""
     s = F.sort_array(F.collect_list(F.struct("pos", "id", "depth", "sib", "m")))
     g = rows.groupBy(key).agg(s.alias("s"))
+    # places are 0, 1, 2 ...: more leaves than the last place + 1 mean a repeated key
+    g = g.filter(F.when(F.size("s") != F.element_at("s", -1)["pos"] + 1, F.raise_error(F.concat(
+        F.lit("repeated key: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.lit(True)))
     wrapped = wrap_all(F.transform("s", lambda x: x["id"]), F.transform("s", lambda x: x["depth"]),
                        F.transform("s", lambda x: x["sib"]), F.transform("s", lambda x: x["m"]))
     wrapped["attention_mask"] = F.array_repeat(F.lit(1), F.size("s") + 2)
@@ -174,10 +203,14 @@ def wrapped_arrays(rows: DataFrame, key: str) -> DataFrame:
 
 
 def assemble_features(rows: DataFrame, key: str, length: int) -> DataFrame:
-    """Leaf rows with ids -> one row per key with the five L-long arrays."""
+    """Leaf rows with ids -> one row per key with the five L-long arrays.
+
+    Strict (C8): arrays of another length fail the job. Two input rows of one
+    key would give twice the leaves, so a repeated key fails with a message.
+    """
     w = wrapped_arrays(rows, key)
     padded = pad_all({c: F.col(c) for c in FEATURE_COLS}, length)
-    return w.select(key, *[padded[c].alias(c) for c in FEATURE_COLS])
+    return check_lengths(w.select(key, *[padded[c].alias(c) for c in FEATURE_COLS]), length, strict=True)
 
 
 def features(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: str = "text",
@@ -187,12 +220,23 @@ def features(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text_col: s
 
     Plan: per-row walk + cut + align (no shuffle) -> one row per kept leaf
     -> broadcast vocabulary join -> one hash shuffle by key -> arrays.
-    Every text yields at least one leaf, so every input key has an output row.
+    Every text, a null one included (taken as empty), yields at least one leaf,
+    so every input key has an output row. Keys must be unique: a repeated key
+    fails the job.
     """
     rows = leaf_rows(docs, key, text_col, length, align=align, ref_col=ref_col)
     return assemble_features(to_ids(rows, vocab, bound=vocab_rows), key, length)
 
 
+def features_from_leaves(leaves: DataFrame, vocab: DataFrame, key: str, length: int = 512,
+                         ref: DataFrame | None = None, align: bool = True,
+                         vocab_rows: int | None = None, order: str = "leaf_pos") -> DataFrame:
+    """C9 from the leaf rows of any tree walk, so nested depths and sibling
+    indices become features: markup (B1), node tables (B2) or layout (B3)."""
+    rows = leaf_rows_of(leaves, key, length, ref=ref, align=align, order=order)
+    return assemble_features(to_ids(rows, vocab, bound=vocab_rows), key, length)
+
+
 def mask_unknown(ids: Column, tmask: Column, unk_id: int = UNK_ID) -> Column:
     """Tree mask 0 wherever the id is the unknown id."""
     return F.zip_with(ids, tmask, lambda i, m: F.when(i == F.lit(unk_id), F.lit(0)).otherwise(m))

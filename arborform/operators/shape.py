@@ -27,7 +27,7 @@ def unsupported(df: DataFrame, langs, col: str = "lang", strict: bool = False) -
     if strict:
         # a filter predicate, so the optimizer cannot prune the check away
         return df.filter(F.when(bad, F.raise_error(
-            F.concat(F.lit("Unsupported language: "), F.coalesce(F.col(col), F.lit("null")))))
+            F.concat(F.lit("language not in the supported list: "), F.coalesce(F.col(col), F.lit("null")))))
             .otherwise(F.lit(True)))
     return df.filter(bad)
 
@@ -50,8 +50,3 @@ def model_columns(df: DataFrame, key: str, tree: bool, pair: bool = False) -> Da
 def split_sizes(df: DataFrame, col: str = "split") -> DataFrame:
     """Rows per split."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def rename_label(df: DataFrame, src: str = "similar", dst: str = "labels") -> DataFrame:
-    """A11."""
-    return df.withColumnRenamed(src, dst)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draw import draw, draw_int
-from ..session import shared_dir
+from ..session import written
 
 
 def assign_split(df: DataFrame, key: str, seed, bounds=(("train", 0.8),
@@ -104,17 +104,15 @@ def global_rank(df: DataFrame, order, partitions: int | None = None) -> DataFram
 
     Range-partition on the order, sort inside partitions, number rows inside
     each partition, and add the row count of all earlier partitions. The
-    range bounds come from sampling, so the partitioned frame is written
-    once with a reliable checkpoint: counts and ranks then read the same
-    layout, and a lost executor re-reads it instead of re-sampling.
+    range bounds come from sampling, so the laid-out rows are written once:
+    counts and ranks then read the same layout. Hand over the key columns
+    only and join the rest, if rows are wide.
     """
-    shared_dir(df.sparkSession)
     order = [order] if isinstance(order, str) else list(order)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint())
+    laid = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                     .withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     counts = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"),
                                       F.min("_mid").alias("_first"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,42 +123,12 @@ def global_rank(df: DataFrame, order, partitions: int | None = None) -> DataFram
                 .drop("_pid", "_mid", "_off", "_first"))
 
 
-def group_rank(df: DataFrame, group: str, order: str, tie: str, hot_rows: int = 5_000_000,
-               pieces: int = 64, out: str = "rank") -> DataFrame:
+def group_rank(df: DataFrame, group: str, order: str, tie: str, out: str = "rank") -> DataFrame:
     """0-based rank of each row inside its group by (order, tie), exact, with
-    no group ranked whole in one task.
-
-    Groups of at most ``hot_rows`` rows use a window. A larger (hot) group is
-    cut into ``pieces`` ranges of ``order`` at its approximate quantiles; each
-    range is ranked by a window of its own and shifted by the row count of
-    the earlier ranges. Equal order values always fall in one range, so ranks
-    stay exact. The hot-group table has at most n / hot_rows rows and is
-    broadcast.
-    """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = sizes.filter(F.col("_gn") > hot_rows).select(group)
-    n_hot = hot.count()
-    if n_hot == 0:
-        w = Window.partitionBy(group).orderBy(order, tie)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    hot_b = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    tagged = df.join(hot_b, group, "left")
-    cold = tagged.filter(F.col("_hot").isNull()).drop("_hot")
-    w = Window.partitionBy(group).orderBy(order, tie)
-    cold_ranked = cold.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    hot_rows_df = tagged.filter(F.col("_hot")).drop("_hot")
-    qs = [i / pieces for i in range(1, pieces)]
-    bounds = hot_rows_df.groupBy(group).agg(
-        F.percentile_approx(order, qs, 10000).alias("_b"))
-    placed = (hot_rows_df.join(F.broadcast(bounds), group)
-              .withColumn("_piece", F.element_at(F.transform(
-                  F.array(F.col(order)), lambda v: F.size(F.filter("_b", lambda b: b < v))), 1))
-              .drop("_b"))
-    counts = placed.groupBy(group, "_piece").agg(F.count(F.lit(1)).alias("_pn"))
-    wo = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_pn").over(wo), F.lit(0))).drop("_pn")
-    wp = Window.partitionBy(group, "_piece").orderBy(order, tie)
-    hot_ranked = (placed.join(F.broadcast(offsets), [group, "_piece"])
-                  .withColumn(out, (F.col("_off") + F.row_number().over(wp) - 1).cast("bigint"))
-                  .drop("_piece", "_off"))
-    return cold_ranked.unionByName(hot_ranked)
+    no group ranked whole in one task: the rows are ranked over all groups in
+    (group, order, tie) order, where a large group lies on many partitions, and
+    the first rank of the group is taken off."""
+    rows = global_rank(df, [group, order, tie])
+    first = rows.groupBy(group).agg(F.min("rank").alias("_first"))
+    return (rows.join(first, group).withColumn(out, F.col("rank") - F.col("_first"))
+                .drop("_first", *([] if out == "rank" else ["rank"])))

@@ -10,12 +10,16 @@ Conventions (kept from the feature format):
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import shared_dir
+from ..functions.batches import ship_package_by_value
+from ..session import written
 
 # Token patterns (Java and RE2 read them the same way).
 # A token is a run of letters, digits and '_' or one other non-space character.
@@ -36,9 +40,11 @@ def layout_leaf_array(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
     Root = the text; children = its lines (split on '\\n'); grandchildren =
     the regex tokens of a line. A token is a leaf at depth 2 whose sibling
     index is its place in the line; a line without tokens is a leaf at
-    depth 1 (sibling = line index); an empty text is a single leaf at depth 0.
+    depth 1 (sibling = line index); an empty text is a single leaf at depth 0,
+    and a null text is taken as empty, so every row has a leaf.
     Built with array functions only: no shuffle, one pass per row.
     """
+    text = F.coalesce(text, F.lit(""))
     lines = F.when(text == F.lit(""), F.array().cast("array<string>")) \
              .otherwise(F.split(text, "\n"))
     # Each line travels with its tokens, so the per-line lambda reads only
@@ -56,8 +62,7 @@ def layout_leaf_array(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
 
     root_leaf = F.array(F.struct(text.alias("token"), F.lit(0).alias("depth"),
                                  F.lit(0).alias("sib")))
-    return F.when(text.isNull(), F.lit(None).cast(LEAF_TYPE)) \
-            .when(text == F.lit(""), root_leaf) \
+    return F.when(text == F.lit(""), root_leaf) \
             .otherwise(F.flatten(F.transform(per, per_line))).cast(LEAF_TYPE)
 
 
@@ -76,261 +81,164 @@ def layout_leaves(df: DataFrame, key: str, col: str,
 
 # The markup token pattern and the default nesting tags.
 # Raw blocks (script, style), comments and declarations are single tokens so
-# that tags written inside them are not read as structure.
+# that tags written inside them are not read as structure; a '>' inside a quoted
+# attribute does not end a tag.
 MARKUP_PATTERN = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-                  r"|<!--.*?-->|<![^>]*>|</?[a-z][^>]*>|[^<]+|<")
+                  r"|<!--.*?-->|<![^>]*>|</?[a-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|</?[a-z][^>]*>|[^<]+|<")
 RAW_PATTERN = r"(?is)^<(script|style)\b.*</(script|style)\s*>$"
 TAG_NAME_PATTERN = r"^</?([A-Za-z][A-Za-z0-9]*)"
 NEST_TAGS = ("html", "head", "title", "body", "nav", "ul", "li", "a", "div",
              "article", "footer", "h1")
 
 
-def markup_tokens(df: DataFrame, key: str, col: str,
-                  nest_tags: Iterable[str] = NEST_TAGS) -> DataFrame:
-    """Markup text -> classified token rows (key, pos, kind, token).
+def markup_walk(text: str, tags: frozenset, patterns) -> tuple[list[tuple[str, int, int]], int, int]:
+    """Leaves (token, depth, sib) of one page, stray closes, unclosed opens.
 
-    kind: 'open' / 'close' for nesting tags, 'leaf' for text, raw blocks and
-    self-closed nesting tags. Comments, declarations, blank text and tags not
-    in ``nest_tags`` (transparent tags) are dropped.
-    """
-    tags = [t.lower() for t in nest_tags]
-    t = F.col("token")
-    name = F.lower(F.regexp_extract(t, TAG_NAME_PATTERN, 1))
-    is_tag = name != F.lit("")
-    kind = (F.when(t.startswith("<!"), F.lit("drop"))
-             .when(t.rlike(RAW_PATTERN), F.lit("leaf"))
-             .when(is_tag & ~name.isin(tags), F.lit("drop"))
-             .when(is_tag & t.startswith("</"), F.lit("close"))
-             .when(is_tag & t.endswith("/>"), F.lit("leaf"))
-             .when(is_tag, F.lit("open"))
-             .when(F.trim(t, F.lit(BLANK_CHARS)) == F.lit(""), F.lit("drop"))
-             .otherwise(F.lit("leaf")))
-    toks = F.regexp_extract_all(F.col(col), F.lit(MARKUP_PATTERN), F.lit(0))
-    return (df.select(key, F.posexplode(toks).alias("pos", "token"))
-              .withColumn("kind", kind)
-              .filter(F.col("kind") != "drop"))
-
-
-def _delta() -> Column:
-    return F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-
-
-def _roles() -> Column:
-    """An open tag is a node of its level and a parent marker one level down."""
-    node = F.struct(F.col("depth").alias("grp"), F.lit(False).alias("marker"))
-    marker = F.struct((F.col("depth") + 1).alias("grp"), F.lit(True).alias("marker"))
-    return F.when(F.col("kind") == "open", F.array(node, marker)).otherwise(F.array(node))
-
-
-def _nodes(df: DataFrame) -> DataFrame:
-    """Rows with running depth ``s`` and ``next_kind`` -> node rows with depth, is_leaf."""
-    return (df.filter(F.col("kind") != "close")
-              .withColumn("depth", F.when(F.col("kind") == "open", F.col("s") - 1)
-                                    .otherwise(F.col("s")))
-              .withColumn("is_leaf", (F.col("kind") == "leaf") |
-                          (F.col("next_kind") == F.lit("close"))))
-
-
-def _markup_walk(toks: DataFrame, key: str) -> DataFrame:
-    """Window form: every window is partitioned by the document key first,
-    so the plan has one shuffle; each document is walked by one task."""
-    by_doc = Window.partitionBy(key).orderBy("pos")
-    run = F.sum(_delta()).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
-    nodes = _nodes(toks.withColumn("s", run.cast("int"))
-                       .withColumn("next_kind", F.lead("kind").over(by_doc)))
-    by_level = Window.partitionBy(key, "grp").orderBy("pos") \
-                     .rowsBetween(Window.unboundedPreceding, 0)
-    placed = (nodes.select(key, "pos", "token", "depth", "is_leaf", F.explode(_roles()).alias("r"))
-                   .select(key, "pos", "token", "depth", "is_leaf", "r.grp", "r.marker")
-                   .withColumn("parent", F.coalesce(
-                       F.max(F.when(F.col("marker"), F.col("pos"))).over(by_level), F.lit(-1)))
-                   .filter(~F.col("marker")))
-    by_parent = Window.partitionBy(key, "grp", "parent").orderBy("pos")
-    return (placed.withColumn("sib", (F.row_number().over(by_parent) - 1).cast("int"))
-                  .filter("is_leaf")
-                  .withColumn("leaf_pos", (F.row_number().over(by_doc) - 1).cast("int"))
-                  .select(key, "leaf_pos", "token", F.col("depth").cast("int").alias("depth"),
-                          "sib"))
-
-
-def _markup_walk_chunked(toks: DataFrame, key: str, chunk_rows: int) -> DataFrame:
-    """The same walk for very large documents, exact, without one task per
-    document: tokens are cut into position chunks and every window runs
-    inside (document, chunk). What a chunk needs from earlier chunks comes
-    from small per-chunk tables, broadcast (rows bounded by chunks x depth):
-      depth      running sum + sum of the earlier chunks' deltas
-      next kind  lead inside the chunk, else the next chunk's first kind
-      parent     running max marker inside the chunk, else the latest marker
-                 of the level in an earlier chunk
-      sibling    row number inside the chunk + the group's count in earlier
-                 chunks (only groups whose parent is still open at the chunk
-                 start carry over, at most one per level)
-      leaf_pos   row number inside the chunk + earlier chunks' leaf counts
+    Nesting tags make nodes; text, raw blocks and self-closed nesting tags are
+    leaves; comments, declarations, blank text and other tags are passed over. A
+    close tag ends the latest open tag of its name and those inside it; without
+    one it is passed over (a stray close). What is open at the end ends there.
     """
-    before = Window.unboundedPreceding
-    t = toks.withColumn("chunk", F.floor(F.col("pos") / F.lit(chunk_rows)).cast("bigint")) \
-            .withColumn("delta", _delta())
-    k_c = [key, "chunk"]
-    per = t.groupBy(*k_c).agg(F.sum("delta").alias("d"),
-                              F.min_by("kind", "pos").alias("first_kind"))
-    wk = Window.partitionBy(key).orderBy("chunk")
-    per = per.select(*k_c, F.coalesce(F.sum("d").over(wk.rowsBetween(before, -1)), F.lit(0))
-                     .alias("d_off"), F.lead("first_kind").over(wk).alias("next_first"))
-    wc = Window.partitionBy(*k_c).orderBy("pos")
-    t = (t.join(F.broadcast(per), k_c)
-          .withColumn("s", (F.col("d_off") + F.sum("delta").over(wc.rowsBetween(before, 0)))
-                      .cast("int"))
-          .withColumn("next_kind", F.coalesce(F.lead("kind").over(wc), F.col("next_first"))))
-    placed = (_nodes(t).select(*k_c, "pos", "token", "depth", "is_leaf", F.explode(_roles()).alias("r"))
-                       .select(*k_c, "pos", "token", "depth", "is_leaf", "r.grp", "r.marker"))
-    k_g_c = [key, "grp", "chunk"]
-    marks = placed.groupBy(*k_g_c).agg(F.max(F.when(F.col("marker"), F.col("pos"))).alias("m"))
-    marks = marks.select(*k_g_c, F.max("m").over(
-        Window.partitionBy(key, "grp").orderBy("chunk").rowsBetween(before, -1)).alias("m_before"))
-    wg = Window.partitionBy(*k_g_c).orderBy("pos").rowsBetween(before, 0)
-    nodes = (placed.join(F.broadcast(marks), k_g_c)
-                   .withColumn("parent", F.coalesce(
-                       F.max(F.when(F.col("marker"), F.col("pos"))).over(wg),
-                       F.col("m_before"), F.lit(-1)))
-                   .filter(~F.col("marker")).drop("m_before", "marker"))
-    grp_key = [key, "grp", "parent"]
-    cnt = nodes.groupBy(*grp_key, "chunk").agg(F.count(F.lit(1)).alias("n"))
-    carry = (cnt.select(*grp_key, "chunk", F.coalesce(F.sum("n").over(
-                 Window.partitionBy(*grp_key).orderBy("chunk").rowsBetween(before, -1)),
-                 F.lit(0)).alias("sib_off"))
-                .filter(F.col("sib_off") > 0))
-    wsp = Window.partitionBy(key, "chunk", "grp", "parent").orderBy("pos")
-    leaves = (nodes.join(F.broadcast(carry), grp_key + ["chunk"], "left")
-                   .withColumn("sib", (F.coalesce("sib_off", F.lit(0)) + F.row_number().over(wsp) - 1)
-                               .cast("int"))
-                   .filter("is_leaf"))
-    lo = leaves.groupBy(*k_c).agg(F.count(F.lit(1)).alias("n"))
-    lo = lo.select(*k_c, F.coalesce(F.sum("n").over(wk.rowsBetween(before, -1)), F.lit(0))
-                   .alias("leaf_off"))
-    return (leaves.join(F.broadcast(lo), k_c)
-                  .withColumn("leaf_pos", (F.col("leaf_off") + F.row_number().over(wc) - 1).cast("int"))
-                  .select(key, "leaf_pos", "token", F.col("depth").cast("int").alias("depth"), "sib"))
+    token, raw, name_of = patterns
+    leaves, path, top, stray = [], [], 0, 0          # path: [name, sib, token, children]
+
+    def place():
+        nonlocal top
+        if path:
+            path[-1][3] += 1
+            return path[-1][3] - 1
+        top += 1
+        return top - 1
+
+    def end():
+        name, sib, tok, children = path.pop()
+        if not children:
+            leaves.append((tok, len(path), sib))
+    for tok in token.findall(text):
+        if tok.startswith("<!"):
+            continue
+        found = None if raw.match(tok) else name_of.match(tok)
+        name = found[1].lower() if found else ""
+        if name and name not in tags:
+            continue
+        if name and tok.startswith("</"):
+            if any(p[0] == name for p in path):
+                while path[-1][0] != name:
+                    end()
+                end()
+            else:
+                stray += 1
+        elif name and not tok.endswith("/>"):
+            path.append([name, place(), tok, 0])
+        elif name or tok.strip(BLANK_CHARS):
+            leaves.append((tok, len(path), place()))
+    unclosed = len(path)
+    while path:
+        end()
+    if not leaves:
+        leaves.append((text, 0, 0))                     # a page without nodes is its own leaf
+    return leaves, stray, unclosed
+
+
+def _walked(df: DataFrame, key: str, col: str, nest_tags: Iterable[str], rows, schema: str) -> DataFrame:
+    """Run the page walk over Arrow batches; ``rows(key, leaves, stray, unclosed)``
+    gives the output rows of a page. A null page is taken as empty."""
+    ship_package_by_value()
+    tags = frozenset(t.lower() for t in nest_tags)
+    source = (MARKUP_PATTERN, RAW_PATTERN, TAG_NAME_PATTERN)
+
+    def run(batches):
+        patterns = [re.compile(p) for p in source]
+        for batch in batches:
+            out = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out.extend(rows(k, *markup_walk(text or "", tags, patterns)))
+            for i in range(0, len(out), 50_000):
+                cols = list(zip(*out[i:i + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+    kind = df.select(key).schema[0].dataType
+    types = [to_arrow_type(kind)] + [{"int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+    names = [key] + [x.split()[0] for x in schema.split(", ")]
+    return df.select(key, col).mapInArrow(run, f"`{key}` {kind.simpleString()}, {schema}")
 
 
 def markup_leaves(df: DataFrame, key: str, col: str,
-                  nest_tags: Iterable[str] = NEST_TAGS, hot_rows: int = 4_000_000,
-                  chunk_rows: int = 1_000_000) -> DataFrame:
+                  nest_tags: Iterable[str] = NEST_TAGS) -> DataFrame:
     """B1: nested markup -> (key, leaf_pos, token, depth, sib).
 
-    Depth is a running sum of +1 (open) / -1 (close); an open tag sits one
-    level above its own sum. Each open tag is emitted twice: as a node of its
-    level and as a parent marker one level down, so a node's parent is the
-    latest marker of its level before it (a running max). Sibling index is the
-    row number among nodes sharing level and parent. A leaf is a text or raw
-    token, or an open tag immediately followed by a close.
-
-    Documents with at most ``hot_rows`` tokens are walked with windows keyed
-    by document (one shuffle). Larger ones take the chunked form, so no
-    single document is walked whole by one task.
+    A page is one value of the table and is walked where it lies, with a stack
+    of its open tags: no shuffle, time linear in the page. Every page has a
+    leaf; ``markup_faults`` lists pages whose tags do not match.
     """
-    # a document has at most as many tokens as characters, so only documents
-    # longer than hot_rows characters are tokenized to count
-    long_docs = df.filter(F.length(col) > hot_rows)
-    if long_docs.isEmpty():
-        return _markup_walk(markup_tokens(df, key, col, nest_tags), key)
-    hot = (markup_tokens(long_docs, key, col, nest_tags).groupBy(key)
-           .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key))
-    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    cold = flagged.filter(F.col("_hot").isNull()).drop("_hot")
-    big = flagged.filter(F.col("_hot")).drop("_hot")
-    return (_markup_walk(markup_tokens(cold, key, col, nest_tags), key)
-            .unionByName(_markup_walk_chunked(markup_tokens(big, key, col, nest_tags), key,
-                                              chunk_rows)))
-
-
-def unbalanced_keys(df: DataFrame, key: str, col: str,
-                    nest_tags: Iterable[str] = NEST_TAGS) -> DataFrame:
-    """Keys whose nesting depth goes below zero (a close without an open)."""
-    by_doc = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    return (markup_tokens(df, key, col, nest_tags)
-            .withColumn("s", F.sum(delta).over(by_doc))
-            .groupBy(key).agg(F.min("s").alias("min_depth"))
-            .filter(F.col("min_depth") < 0))
+    def rows(k, leaves, stray, unclosed):
+        return [(k, i, *leaf) for i, leaf in enumerate(leaves)]
+    return _walked(df, key, col, nest_tags, rows, "leaf_pos int, token string, depth int, sib int")
+
+
+def markup_faults(df: DataFrame, key: str, col: str,
+                  nest_tags: Iterable[str] = NEST_TAGS) -> DataFrame:
+    """Pages with close tags that nothing opened (stray) or open tags that
+    nothing closed (unclosed), counted."""
+    def rows(k, leaves, stray, unclosed):
+        return [(k, stray, unclosed)] if stray or unclosed else []
+    return _walked(df, key, col, nest_tags, rows, "stray int, unclosed int")
 
 
 # --------------------------------------------------------------------------
 # B2: parent-pointer node table
 # --------------------------------------------------------------------------
 
-def node_depths(nodes: DataFrame, max_depth: int = 64,
-                checkpoint_every: int = 8) -> DataFrame:
+def node_depths(nodes: DataFrame) -> DataFrame:
     """Depth, root and path of every node reachable from a root.
 
-    nodes: (node_id, parent_id, ord, text); roots have a null parent.
-    One equi-join per level (frontier x children) until the frontier is
-    empty; ``max_depth`` guards against cycles. Levels are persisted while
-    the loop runs, the lineage is cut with a reliable checkpoint every
-    ``checkpoint_every`` levels, and the result is written once to the shared
-    folder. Orphans (parent missing) and nodes on cycles are not reached;
-    see ``unreached_nodes``.
+    nodes: (node_id, parent_id, ord, text), node_id unique; roots have a null
+    parent. Pointer doubling: each node holds the path from below some ancestor
+    to itself; a round joins the unfinished nodes with their ancestors' rows and
+    so doubles the paths, until all have reached a root. log2(depth) joins on the
+    node id, at any depth; a parent with very many children is a skewed key that
+    AQE splits. Orphans and nodes on cycles reach no root and are left out (see
+    ``unreached_nodes``): an orphan finds no ancestor row, and rounds end once
+    paths would be longer than there are nodes.
     """
-    from pyspark import StorageLevel
-    shared_dir(nodes.sparkSession)
-    frontier = (nodes.filter(F.col("parent_id").isNull())
-                     .select("node_id", F.col("node_id").alias("root_id"),
-                             F.lit(0).alias("depth"), F.array("ord").alias("path"))
-                     .persist(StorageLevel.MEMORY_AND_DISK))
-    children = nodes.filter(F.col("parent_id").isNotNull()) \
-                    .select("node_id", "parent_id", "ord")
-    levels = [frontier]
-    for level in range(1, max_depth + 1):
-        nxt = (children.join(frontier.select(F.col("node_id").alias("parent_id"),
-                                             "root_id", "path"), "parent_id")
-                       .select("node_id", "root_id", F.lit(level).alias("depth"),
-                               F.concat("path", F.array("ord")).alias("path")))
-        # each level is kept (memory, then disk) so the next join does not
-        # recompute the chain; every few levels the lineage is cut for good
-        nxt = nxt.checkpoint() if level % checkpoint_every == 0 \
-            else nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
-            nxt.unpersist()
-            break
-        levels.append(nxt)
-        frontier = nxt
-    else:
-        raise RuntimeError(f"tree deeper than max_depth={max_depth} (cycle?)")
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    # written once to the shared folder; the per-level copies are released
-    out = out.checkpoint()
-    for lv in levels:
-        lv.unpersist()
-    return out
-
-
-def node_leaves(nodes: DataFrame, max_depth: int = 64, hot_rows: int = 5_000_000) -> DataFrame:
+    state = written(nodes.select("node_id", F.col("parent_id").alias("up"),
+                                 F.when(F.col("parent_id").isNull(), F.col("node_id")).alias("root_id"),
+                                 F.array("ord").alias("path")), "nodes")
+    total, reach = state.count(), 1
+    while reach <= total and not state.filter("up is not null").isEmpty():
+        above = state.select(F.col("node_id").alias("a_id"), F.col("up").alias("a_up"),
+                             F.col("root_id").alias("a_root"), F.col("path").alias("a_path"))
+        on = (state.filter("up is not null").join(above, F.col("up") == F.col("a_id"))
+              .select("node_id", F.col("a_up").alias("up"), F.col("a_root").alias("root_id"),
+                      F.concat("a_path", "path").alias("path")))
+        state = written(state.filter("up is null").unionByName(on), "nodes")
+        reach *= 2
+    return (state.filter("up is null")
+            .select("node_id", "root_id", (F.size("path") - 1).alias("depth"), "path"))
+
+
+def node_leaves(nodes: DataFrame) -> DataFrame:
     """B2: (node_id, root_id, depth, sib, path, text) for every leaf.
 
     Sibling index = rank among all children of the parent by ``ord`` (roots:
-    0), skew-safe for parents with more than ``hot_rows`` children (see
-    ``splits.group_rank``). Leaves = nodes that are nobody's parent (left
-    anti join).
+    0), with no parent ranked whole in one task (see ``splits.group_rank``).
+    Leaves = nodes that are nobody's parent (left anti join).
     Pre-order = ascending ``path`` (array of ords from the root).
     """
     from .splits import group_rank
     roots = nodes.filter(F.col("parent_id").isNull()).select("node_id", F.lit(0).alias("sib"), "text")
-    kids = group_rank(nodes.filter(F.col("parent_id").isNotNull()), "parent_id", "ord", "node_id",
-                      hot_rows=hot_rows, out="sib")
+    kids = group_rank(nodes.filter(F.col("parent_id").isNotNull()), "parent_id", "ord", "node_id", out="sib")
     sib = roots.unionByName(kids.select("node_id", F.col("sib").cast("int").alias("sib"), "text"))
     parents = nodes.filter(F.col("parent_id").isNotNull()) \
                    .select(F.col("parent_id").alias("node_id")).distinct()
-    depths = node_depths(nodes, max_depth)
-    return (depths.join(parents, "node_id", "left_anti")
+    return (node_depths(nodes).join(parents, "node_id", "left_anti")
                   .join(sib, "node_id")
                   .select("node_id", "root_id", F.col("depth").cast("int").alias("depth"),
                           "sib", "path", "text"))
 
 
-def unreached_nodes(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def unreached_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes not reachable from any root: orphans and cycle members."""
-    return nodes.join(node_depths(nodes, max_depth).select("node_id"), "node_id", "left_anti")
+    return nodes.join(node_depths(nodes).select("node_id"), "node_id", "left_anti")
 
 
 # --------------------------------------------------------------------------
@@ -350,8 +258,3 @@ def leaf_arrays(leaves: DataFrame, key: str, order: str = "leaf_pos") -> DataFra
                           F.transform("s", lambda x: F.lit(1)).alias("tree_mask"),
                           F.transform("s", lambda x: x["depth"]).alias("depths"),
                           F.transform("s", lambda x: x["sib"]).alias("sibs")))
-
-
-def leaf_arrays_of_text(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
-    """B3 + B4 in one row-local step (no grouping): the layout leaf list."""
-    return layout_leaf_array(text, pattern)

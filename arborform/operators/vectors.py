@@ -1,7 +1,8 @@
 """Vector lookup and fusion over token positions.
 
-Vectors are ARRAY<DOUBLE>. The vector table is joined on its id; it is
-broadcast only when its row count is known or checked to be small.
+Vectors are ARRAY<DOUBLE>. Each source has a table of its own; it is broadcast
+under a bound in bytes (four of the five have a fixed number of rows), else the
+join shuffles and AQE splits hot ids.
 """
 
 from __future__ import annotations
@@ -10,31 +11,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind
-from .common import broadcast_if_small
+from .common import broadcast_under
 
 SOURCES = ("word", "type", "position", "depth", "sibling")
-MAX_BROADCAST_VECTORS = 1_000_000
-
-
-def vector_side(table: DataFrame, id_col: str, vec_col: str, bound: int | None = None,
-                max_rows: int = MAX_BROADCAST_VECTORS) -> DataFrame:
-    t = table.select(F.col(id_col).alias("_vid"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    if bound is not None and bound <= max_rows:
-        return F.broadcast(t)
-    return broadcast_if_small(t, max_rows)
 
 
 def lookup(rows: DataFrame, table: DataFrame, id_col: str, out_col: str,
            table_id: str = "vec_id", vec_col: str = "embedding",
-           bound: int | None = None) -> DataFrame:
-    """Add the vector whose table id equals ``rows[id_col]`` (null if absent)."""
-    return lookup_side(rows, vector_side(table, table_id, vec_col, bound), id_col, out_col)
-
-
-def lookup_side(rows: DataFrame, side: DataFrame, id_col: str, out_col: str) -> DataFrame:
-    """E1 with a prepared side from ``vector_side`` (size checked once)."""
-    return (rows.join(side, F.col(id_col) == F.col("_vid"), "left")
-                .drop("_vid").withColumnRenamed("_vec", out_col))
+           bound: int | None = None, dim: int = 1024, strict: bool = True) -> DataFrame:
+    """Add the vector whose table id equals ``rows[id_col]``.
+
+    ``bound``: rows of the table if known, ``dim``: values of a vector, for the
+    size of the side. strict: an id without a row in the table fails the job;
+    otherwise, and for a null id, the vector is null.
+    """
+    side = table.select(F.col(table_id).alias("_vid"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    out = rows.join(broadcast_under(side, 8 * dim, bound), F.col(id_col) == F.col("_vid"), "left")
+    vec = F.col("_vec")
+    if strict:
+        gone = F.col("_vid").isNull() & F.col(id_col).isNotNull()
+        vec = F.when(gone, F.raise_error(F.concat(
+            F.lit(f"{id_col} outside its vector table: "), F.col(id_col).cast("string")))).otherwise(vec)
+    return out.withColumn(out_col, vec).drop("_vid", "_vec")
+
+
+def fuse(mode: str, word: Column, typ: Column, pos: Column, depth: Column, sib: Column,
+         depth_on: Column, sib_on: Column, weights: dict | None = None) -> Column:
+    """E2-E4 by name: ``sum``, ``weighted`` or ``concat``; another mode is an error."""
+    args = (word, typ, pos, depth, sib, depth_on, sib_on)
+    if mode == "sum":
+        return fuse_sum(*args)
+    if mode == "weighted":
+        return fuse_weighted(*args, weights=weights or {})
+    if mode == "concat":
+        return fuse_concat(*args)
+    raise ValueError(f"no such fusion: {mode!r}")
 
 
 def _add(a: Column, b: Column) -> Column:

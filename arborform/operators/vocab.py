@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .common import broadcast_under
 from .trees import BLANK_CHARS
 
 # Special tokens and their ids (start, pad, end, unknown, mask).
@@ -12,22 +14,21 @@ SPECIALS = [("<s>", 0), ("<pad>", 1), ("</s>", 2), ("<unk>", 3), ("<mask>", 4)]
 START_ID, PAD_ID, END_ID, UNK_ID, MASK_ID = 0, 1, 2, 3, 4
 SPECIAL_IDS = [0, 1, 2, 3, 4]
 FIRST_WORD_ID = 5
-# Largest vocabulary we broadcast; a bigger one is joined with a shuffle.
-BROADCAST_VOCAB_ROWS = 2_000_000
+# Bytes that a vocabulary row takes on an executor, about.
+VOCAB_ROW_BYTES = 64
 
 
-def build_vocab(tokens: DataFrame, size: int, col: str = "token",
-                prefilter_from: int = 20_000) -> DataFrame:
+def build_vocab(tokens: DataFrame, size: int, col: str = "token") -> DataFrame:
     """C4: (token, id). Specials take 0-4; then the ``size`` most frequent
     non-blank tokens, by count descending then token ascending, take 5, 6, ...
 
-    For a large ``size`` the top-k's final merge (partitions x size rows in
-    one task) would grow with the cluster, so the distinct-token counts are
-    first cut at the exact count of the size-th token (``_keep_top_counts``).
+    A top-k's final merge (partitions x size rows in one task) would grow with
+    the cluster, so the distinct-token counts are first cut at the exact count
+    of the size-th token (``_keep_top_counts``).
 
     groupBy-count combines map-side, so a very frequent token costs one row
-    per partition before the shuffle. The top-k keeps ``size`` rows per
-    partition; only those ``size`` rows are ranked in a single task.
+    per partition before the shuffle. Only the ``size`` rows of the result are
+    ranked in a single task.
     """
     spark = tokens.sparkSession
     special_tokens = [t for t, _ in SPECIALS]
@@ -35,9 +36,7 @@ def build_vocab(tokens: DataFrame, size: int, col: str = "token",
                     .filter(F.trim(F.col("token"), F.lit(BLANK_CHARS)) != F.lit(""))
                     .filter(~F.col("token").isin(special_tokens))
                     .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    if size >= prefilter_from:
-        counts = _keep_top_counts(counts, size)
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
+    top = _keep_top_counts(counts, size).orderBy(F.desc("n"), F.asc("token")).limit(size)
     ranked = top.select("token", (F.row_number().over(
         Window.orderBy(F.desc("n"), F.asc("token"))) + F.lit(FIRST_WORD_ID - 1))
         .cast("int").alias("id"))
@@ -53,9 +52,7 @@ def _keep_top_counts(counts: DataFrame, size: int) -> DataFrame:
     rows, and never more rows than there are distinct counts) gives the
     exact count t of the size-th token, and tokens below t are dropped.
     """
-    from ..session import shared_dir
-    shared_dir(counts.sparkSession)
-    counts = counts.checkpoint()
+    counts = written(counts, "token-counts")
     hist = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
                   .orderBy(F.desc("n")).limit(size).collect())
     seen = 0
@@ -66,15 +63,10 @@ def _keep_top_counts(counts: DataFrame, size: int) -> DataFrame:
     return counts
 
 
-def vocab_side(vocab: DataFrame, bound: int | None = None,
-               max_broadcast_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
-    """The vocabulary as a join side: broadcast when its row count is known
-    (``bound``, e.g. size + 5 from ``build_vocab``) or checked to be at most
-    ``max_broadcast_rows``; otherwise left for a shuffle join."""
-    from .common import broadcast_if_small
-    if bound is not None and bound <= max_broadcast_rows:
-        return F.broadcast(vocab)
-    return broadcast_if_small(vocab, max_broadcast_rows)
+def vocab_side(vocab: DataFrame, bound: int | None = None) -> DataFrame:
+    """The vocabulary as a join side: broadcast under a bound in bytes, its rows
+    known from ``bound`` (size + 5 from ``build_vocab``) or counted."""
+    return broadcast_under(vocab, VOCAB_ROW_BYTES, bound)
 
 
 def vocab_bound(size: int) -> int:
@@ -82,12 +74,11 @@ def vocab_bound(size: int) -> int:
 
 
 def to_ids(rows: DataFrame, vocab: DataFrame, col: str = "token",
-           unk_id: int = UNK_ID, bound: int | None = None,
-           max_broadcast_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
+           unk_id: int = UNK_ID, bound: int | None = None) -> DataFrame:
     """Add ``id`` to token rows; tokens outside the vocabulary get ``unk_id``.
 
     Joined on leaf rows with the vocabulary broadcast (see ``vocab_side``).
     """
-    v = vocab_side(vocab.select(F.col("token").alias(col), "id"), bound, max_broadcast_rows)
+    v = vocab_side(vocab.select(F.col("token").alias(col), "id"), bound)
     return (rows.join(v, col, "left")
                 .withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int")))

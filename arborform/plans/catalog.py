@@ -18,7 +18,7 @@ from ..operators.shape import exclude_lang, keep_features, model_columns, split_
 from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, layout_leaves,
                                leaf_arrays, markup_leaves, node_leaves)
 from ..operators.vocab import build_vocab, to_ids, vocab_bound
-from ..session import fresh_subdir
+from ..session import fresh_subdir, written
 from ..sources.tables import read_split, read_table, spread, write_features
 from . import params as P
 
@@ -36,6 +36,10 @@ def docs(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
     return spread(df, "doc_id")
 
 
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "pages", ["page_id", "html"]), "page_id")
+
+
 def corpus_vocab(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
     """C4 over the corpus's leaf tokens. The layout leaves that can enter the
     vocabulary (non-blank ones) are exactly the regex tokens of the whole text
@@ -93,6 +97,36 @@ def q_align_mask(spark, d):
              .select("doc_id", F.col("pos").cast("int").alias("pos"), "mask")
 
 
+def leaf_vocab(leaves):
+    return build_vocab(leaves.select("token"), P.VOCAB_SIZE)
+
+
+def q_markup_features(spark, d):
+    """C9 over nested pages (B1): the reference column holds the page's words."""
+    src = pages(spark, d)
+    leaves = written(markup_leaves(src, "page_id", "html"), "leaves")
+    words = leaves.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("leaf_pos", "token"))).alias("s")).select(
+        "page_id", F.flatten(F.transform("s", lambda x: F.regexp_extract_all(x["token"], F.lit(WORD_PATTERN), F.lit(0)))).alias("ref"))
+    f = seq.features_from_leaves(leaves, leaf_vocab(leaves), "page_id", P.SEQ_LEN, ref=words, vocab_rows=vocab_bound(P.VOCAB_SIZE))
+    return as_text(f, seq.FEATURE_COLS)
+
+
+def q_node_features(spark, d):
+    """C9 over the node table (B2): one row per root, leaves in pre-order."""
+    n = written(node_leaves(node_table(spark, d)).select("root_id", "path", F.col("text").alias("token"), "depth", "sib"), "leaves")
+    f = seq.features_from_leaves(n, leaf_vocab(n), "root_id", P.SEQ_LEN, vocab_rows=vocab_bound(P.VOCAB_SIZE), order="path")
+    return as_text(f, seq.FEATURE_COLS)
+
+
+def q_features_ref(spark, d):
+    """C9 with a reference-token column of its own: the text's first half."""
+    src = docs(spark, d, exclude=True).withColumn("code_tokens", F.regexp_extract_all(
+        F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")), F.lit(WORD_PATTERN), F.lit(0)))
+    f = seq.features(src, corpus_vocab(spark, d, exclude=True), "doc_id", "text", P.SEQ_LEN, ref_col="code_tokens",
+                     vocab_rows=vocab_bound(P.VOCAB_SIZE))
+    return as_text(f, seq.FEATURE_COLS)
+
+
 def q_features(spark, d):
     return as_text(feature_frame(spark, d), seq.FEATURE_COLS)
 
@@ -116,16 +150,25 @@ def q_split_sizes(spark, d):
     return split_sizes(splits.assign_split(doc_keys(spark, d), "doc_id", P.SEED))
 
 
+def source_frame(spark, d):
+    """Feature rows of all languages that still carry their source columns."""
+    src = docs(spark, d)
+    f = seq.features(src, corpus_vocab(spark, d), "doc_id", "text", P.SEQ_LEN, vocab_rows=vocab_bound(P.VOCAB_SIZE))
+    return f.join(src.select("doc_id", "text", "lang"), "doc_id")
+
+
 def q_keep_features(spark, d):
-    return as_text(keep_features(feature_frame(spark, d), "doc_id"), seq.FEATURE_COLS)
+    """A4: text and lang go, the derived columns stay."""
+    return as_text(keep_features(source_frame(spark, d), "doc_id"), seq.FEATURE_COLS)
 
 
 def q_model_columns_base(spark, d):
-    return as_text(model_columns(feature_frame(spark, d), "doc_id", tree=False), seq.FEATURE_COLS)
+    return as_text(model_columns(source_frame(spark, d), "doc_id", tree=False), seq.FEATURE_COLS)
 
 
 def q_model_columns_tree(spark, d):
-    return as_text(model_columns(feature_frame(spark, d), "doc_id", tree=True), seq.FEATURE_COLS)
+    return as_text(model_columns(source_frame(spark, d).filter(F.col("lang") == P.EXCLUDED_LANG), "doc_id", tree=True),
+                   seq.FEATURE_COLS)
 
 
 def q_feature_sink(spark, d):
@@ -152,15 +195,13 @@ def q_assemble(spark, d):
     train = labelled.filter(F.col("split") == "train").select("doc_id")
     rest = labelled.filter(F.col("split") != "train").select("doc_id")
     halves = splits.half_split(rest, "doc_id", P.SEED)
-    valid = splits.first_n(halves.filter(F.col("part") == "valid").select("doc_id"),
-                           "doc_id", P.SEED, P.VALID_CUT)
+    valid = halves.filter(F.col("part") == "valid").select("doc_id")
     test = halves.filter(F.col("part") == "test").select("doc_id")
     return splits.assemble({"train": train, "valid": valid, "test": test})
 
 
 def q_markup_leaves(spark, d):
-    pages = spread(read_table(spark, d, "pages", ["page_id", "html"]), "page_id")
-    return markup_leaves(pages, "page_id", "html")
+    return markup_leaves(pages(spark, d), "page_id", "html")
 
 
 def node_table(spark, d):
@@ -215,7 +256,7 @@ def q_attention(spark, d):
 
 def q_pad(spark, d):
     w = wrapped_frame(spark, d)
-    padded = seq.pad_all({c: F.col(c) for c in seq.FEATURE_COLS}, P.SEQ_LEN)
+    padded = seq.pad_all({c: F.col(c) for c in seq.FEATURE_COLS}, P.PAD_LEN)
     return as_text(w.select("doc_id", *[padded[c].alias(c) for c in seq.FEATURE_COLS]),
                    seq.FEATURE_COLS)
 
@@ -231,16 +272,24 @@ def q_mask_unknown(spark, d):
                     .alias("tree_attention_mask"))
 
 
-def doc_pairs(spark, d):
-    return pairs.adjacent_pairs(docs(spark, d), "doc_id", "text", "lang")
+def pair_frame(spark, d):
+    """Adjacent documents as pairs: hashes first, texts only to be featurised."""
+    src = read_table(spark, d, "documents", ["doc_id", "text", "lang"])
+    hashed = written(src.select("doc_id", pairs.text_hash(F.col("text")).alias("h"), "lang"), "pair-hashes")
+    texts = src.select(pairs.text_hash(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    return pairs.pair_features_of(pairs.adjacent_pairs(hashed, "doc_id", "lang"), texts, corpus_vocab(spark, d),
+                                  P.SEQ_LEN, vocab_rows=vocab_bound(P.VOCAB_SIZE))
 
 
 def q_pair_features(spark, d):
-    vocab = corpus_vocab(spark, d)
-    pf = pairs.pair_features(doc_pairs(spark, d), vocab, P.SEQ_LEN,
-                             vocab_rows=vocab_bound(P.VOCAB_SIZE))
-    cols = [c for c in pf.columns if c not in ("pair_id", "labels")]
-    return as_text(pf, cols)
+    pf = pair_frame(spark, d)
+    return as_text(pf, [c for c in pf.columns if c not in ("pair_id", "labels")])
+
+
+def q_model_columns_pair(spark, d):
+    """A5 on pairs, base columns only."""
+    m = model_columns(pair_frame(spark, d), "pair_id", tree=False, pair=True)
+    return as_text(m, [c for c in m.columns if c not in ("pair_id", "labels")])
 
 
 def q_position_ids(spark, d):
@@ -286,73 +335,65 @@ def q_scored(spark, d):
 
 
 # ---------------------------------------------------------------- vectors
-def vector_rows(spark, d) -> int:
-    """Rows of the vector table: ids are folded into [0, n) so every vector
-    of the table can be looked up, and the work grows with the table."""
-    return read_table(spark, d, "embeddings", ["vec_id"]).count()
-
-
-def token_slots(spark, d, n_vec: int):
-    """(doc_id, pos, ids per source, on/off factors) for the first positions."""
+def token_slots(spark, d):
+    """(doc_id, pos, ids per source, on/off factors) for every position."""
     f = feature_frame(spark, d)
     # the generator takes the derived arrays inline (see leaf_rows)
     ids = F.col("input_ids")
-    z = F.arrays_zip(F.slice(ids, 1, P.VEC_POSITIONS).alias("w"),
-                     F.slice(seq.token_types(ids), 1, P.VEC_POSITIONS).alias("y"),
-                     F.slice(seq.position_ids(ids), 1, P.VEC_POSITIONS).alias("p"),
-                     F.slice("depths", 1, P.VEC_POSITIONS).alias("d"),
-                     F.slice("sibling_indices", 1, P.VEC_POSITIONS).alias("s"),
-                     F.slice("tree_attention_mask", 1, P.VEC_POSITIONS).alias("t"))
+    z = F.arrays_zip(ids.alias("w"), seq.token_types(ids).alias("y"), seq.position_ids(ids).alias("p"),
+                     F.col("depths").alias("d"), F.col("sibling_indices").alias("s"),
+                     F.col("tree_attention_mask").alias("t"))
     rows = f.select("doc_id", F.posexplode(z).alias("pos", "z"))
-    o, m = P.VEC_OFFSETS, F.lit(n_vec)
     return rows.select(
         "doc_id", F.col("pos").cast("int").alias("pos"),
-        ((F.col("z.w") + o["word"]) % m).cast("bigint").alias("word_vid"),
-        ((F.col("z.y") + o["type"]) % m).cast("bigint").alias("type_vid"),
-        ((F.col("z.p") + o["position"]) % m).cast("bigint").alias("position_vid"),
-        ((F.greatest(F.col("z.d"), F.lit(0)) + o["depth"]) % m).cast("bigint").alias("depth_vid"),
-        ((F.greatest(F.col("z.s"), F.lit(0)) + o["sibling"]) % m).cast("bigint").alias("sibling_vid"),
+        F.col("z.w").alias("word_id"), F.col("z.y").alias("type_id"), F.col("z.p").alias("position_id"),
+        F.greatest(F.col("z.d"), F.lit(0)).alias("depth_id"),
+        F.greatest(F.col("z.s"), F.lit(0)).alias("sibling_id"),
         ((F.col("z.d") != -1).cast("int") * F.col("z.t")).alias("depth_on"),
         ((F.col("z.s") != -1).cast("int") * F.col("z.t")).alias("sib_on"))
 
 
-def vector_side(spark, d):
-    """The whole vector table as a join side: broadcast after a size check,
-    else a shuffle join (checked once, shared by the five lookups)."""
-    return vectors.vector_side(read_table(spark, d, "embeddings", ["vec_id", "embedding"]),
-                               "vec_id", "embedding")
+def vector_table(spark, d, source: str):
+    """The table of one source: ids 0 .. rows - 1, each with a vector of the
+    embeddings table (as if learnt for that source)."""
+    e = read_table(spark, d, "embeddings", ["vec_id", "embedding"])
+    n = e.count()
+    ids = spark.range(P.VEC_ROWS[source]).select(
+        F.col("id").cast("int").alias("id"), ((F.col("id") + P.VEC_OFFSETS[source]) % n).alias("vec_id"))
+    return ids.join(e, "vec_id").select("id", "embedding")
+
+
+def _lookup(rows, spark, d, source):
+    return vectors.lookup(rows, vector_table(spark, d, source), f"{source}_id", f"{source}_vec",
+                          table_id="id", bound=P.VEC_ROWS[source], dim=P.VEC_DIM)
 
 
 def token_vectors(spark, d):
-    rows = token_slots(spark, d, vector_rows(spark, d))
-    side = vector_side(spark, d)
+    rows = token_slots(spark, d)
     for src in vectors.SOURCES:
-        rows = vectors.lookup_side(rows, side, f"{src}_vid", f"{src}_vec")
+        rows = _lookup(rows, spark, d, src)
     return rows
 
 
+def vec_digest(v):
+    """A vector as the md5 of its values as text: results stay small over all positions."""
+    return F.md5(num_text(v))
+
+
 def _fused(spark, d, how):
     t = token_vectors(spark, d)
     args = [F.col(f"{s}_vec") for s in vectors.SOURCES] + [F.col("depth_on"), F.col("sib_on")]
-    if how == "sum":
-        v = vectors.fuse_sum(*args)
-    elif how == "weighted":
-        v = vectors.fuse_weighted(*args, weights=P.FUSE_WEIGHTS)
-    elif how == "concat":
-        v = vectors.fuse_concat(*args)
-    else:
-        v = vectors.layer_norm(vectors.fuse_sum(*args), P.LN_EPS)
-    return t.select("doc_id", "pos", num_text(v).alias("vec"))
+    v = vectors.fuse("sum" if how == "norm" else how, *args, weights=P.FUSE_WEIGHTS)
+    if how == "norm":
+        v = vectors.layer_norm(v, P.LN_EPS)
+    return t.select("doc_id", "pos", vec_digest(v).alias("vec"))
 
 
 def q_lookup(spark, d):
-    rows = token_slots(spark, d, vector_rows(spark, d))
-    srcs = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"{s}_vid").alias("vid"))
-                               for s in vectors.SOURCES])).alias("x")
-    long = rows.select("doc_id", "pos", srcs).select("doc_id", "pos", "x.source", "x.vid")
-    out = vectors.lookup_side(long, vector_side(spark, d), "vid", "vec")
-    return out.select("doc_id", "pos", "source", F.col("vid").alias("vec_id"),
-                      num_text(F.col("vec")).alias("vec"))
+    t = token_vectors(spark, d)
+    srcs = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"{s}_id").alias("id"),
+                                        F.col(f"{s}_vec").alias("vec")) for s in vectors.SOURCES])).alias("x")
+    return t.select("doc_id", "pos", srcs).select("doc_id", "pos", "x.source", "x.id", vec_digest(F.col("x.vec")).alias("vec"))
 
 
 def q_fuse_sum(spark, d):
@@ -373,24 +414,31 @@ def q_layer_norm(spark, d):
 
 def emb_pairs(spark, d):
     e = read_table(spark, d, "embeddings", ["vec_id", "embedding", "label"])
-    left = e.select(F.col("vec_id").alias("pair_id"), F.lit(0).alias("pos"),
-                    F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("l1"))
-    right = e.select((F.col("vec_id") - 1).alias("pair_id"), F.lit(0).alias("pos"),
-                     F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("l2"))
-    pv = pairs.pair_vector(left, right)
-    lab = left.select("pair_id", "l1").join(right.select("pair_id", "l2"), "pair_id") \
-              .select("pair_id", (F.col("l1") == F.col("l2")).cast("int").alias("labels"))
-    return pv.join(lab, "pair_id")
+    side = lambda key, name: e.select(key.alias("pair_id"), F.lit(0).alias("pos"),
+                                      F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias(name))
+    pv = pairs.pair_vector(side(F.col("vec_id"), "l1"), side(F.col("vec_id") - 1, "l2"))
+    return pv.select("pair_id", "pair_vec", (F.col("l1") == F.col("l2")).cast("int").alias("labels"))
 
 
 def q_pair_vector(spark, d):
     return emb_pairs(spark, d).select("pair_id", num_text(F.col("pair_vec")).alias("pair_vec"), "labels")
 
 
+def pair_scores(spark, d):
+    """E7 held out: fitted on the train part, scored on the test part."""
+    data = splits.assign_split(emb_pairs(spark, d), "pair_id", P.SEED)
+    model = pairs.fit_pairs(data.filter(F.col("split") == "train"), seed=P.SEED, max_iter=30)
+    return pairs.score_pairs(model, data.filter(F.col("split") == "test"))
+
+
 def q_pair_classify(spark, d):
-    data = emb_pairs(spark, d)
-    model = pairs.fit_pairs(data, seed=P.SEED, max_iter=30)
-    return pairs.score_pairs(model, data).select("pair_id", "labels", "prediction")
+    """The test pairs with their labels; each has a predicted class."""
+    return pair_scores(spark, d).select("pair_id", "labels", F.col("prediction").isin(0, 1).alias("scored"))
+
+
+def q_pair_macro(spark, d):
+    """Macro averages over the test pairs (a fitted model: rows only)."""
+    return metrics.macro(metrics.class_report(pair_scores(spark, d), "labels", "prediction"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -433,18 +481,39 @@ def q_batch_ids(spark, d):
         .select("vec_id", "batch")
 
 
+def masked_predictions(spark, d):
+    """Masked evaluation end to end: every position of the masked feature rows
+    (D2) with its label, -100 where it was not masked, else the class of the id
+    taken away; the logits are a vector of the embeddings table."""
+    m = masked_eval(spark, d)
+    z = F.arrays_zip(F.col("input_ids").alias("x"), F.col("labels").alias("y"))
+    pos = m.select("doc_id", F.posexplode(z).alias("pos", "z")).select(
+        "doc_id", "pos", F.when(F.col("z.y") == metrics.IGNORE, F.lit(metrics.IGNORE)).otherwise(
+            F.col("z.y") % P.N_CLASSES).alias("label"))
+    e = read_table(spark, d, "embeddings", ["vec_id", "embedding"])
+    n = e.count()
+    pos = pos.withColumn("vid", (F.col("doc_id") * P.SEQ_LEN + F.col("pos")) % n)
+    return vectors.lookup(pos, e, "vid", "logits", bound=n, dim=P.VEC_DIM)
+
+
 def q_batch_loss(spark, d):
-    return metrics.batch_loss(predictions(spark, d), "vec_id", P.BATCH)
+    return metrics.batch_loss(masked_predictions(spark, d), "doc_id", P.BATCH, seqs=doc_keys(spark, d, exclude=True))
 
 
 def q_metric_row(spark, d):
-    return metrics.evaluate(predictions(spark, d), "weighted")
+    return metrics.evaluate(masked_predictions(spark, d), "doc_id", P.BATCH, "weighted",
+                            seqs=doc_keys(spark, d, exclude=True))
+
+
+def q_metric_row_macro(spark, d):
+    return metrics.evaluate(masked_predictions(spark, d), "doc_id", P.BATCH, "macro",
+                            seqs=doc_keys(spark, d, exclude=True))
 
 
 # ---------------------------------------------------------------- user functions
 def _doc_stats(batch, sep="\n"):
     import pandas as pd
-    t = batch["text"]
+    t = batch["text"].fillna("")
     return pd.DataFrame({"doc_id": batch["doc_id"], "n_chars": t.str.len().astype("int64"),
                          "n_lines": (t.str.count(sep) + 1).astype("int64")})
 
@@ -473,6 +542,7 @@ QUERIES = {
     "keep_features": q_keep_features,
     "model_columns_base": q_model_columns_base,
     "model_columns_tree": q_model_columns_tree,
+    "model_columns_pair": q_model_columns_pair,
     "feature_sink": q_feature_sink,
     "half_split": q_half_split,
     "first_n": q_first_n,
@@ -492,6 +562,9 @@ QUERIES = {
     "pad": q_pad,
     "check_lengths": q_check_lengths,
     "features": q_features,
+    "features_ref": q_features_ref,
+    "markup_features": q_markup_features,
+    "node_features": q_node_features,
     "mask_unknown": q_mask_unknown,
     "pair_features": q_pair_features,
     "position_ids": q_position_ids,
@@ -511,6 +584,7 @@ QUERIES = {
     "layer_norm": q_layer_norm,
     "pair_vector": q_pair_vector,
     "pair_classify": q_pair_classify,
+    "pair_macro": q_pair_macro,
     # F: evaluation
     "argmax": q_argmax,
     "accuracy": q_accuracy,
@@ -521,6 +595,7 @@ QUERIES = {
     "batch_ids": q_batch_ids,
     "batch_loss": q_batch_loss,
     "metric_row": q_metric_row,
+    "metric_row_macro": q_metric_row_macro,
     # G: user functions
     "map_batches": q_map_batches,
     "predicate": q_predicate,

@@ -69,6 +69,30 @@ def align_expr(leaves: str, ref: str) -> str:
       {{'p': 1, 'm': ''}}).m, ''), lambda c: CAST(c AS INTEGER))"""
 
 
+def leaf_features(table_sql: str, key: str) -> str:
+    """Feature rows from rows lrows(key, leaf_pos from 0, token, depth, sib):
+    cut, aligned with the words of all kept leaves, looked up, wrapped, padded."""
+    L = P.SEQ_LEN
+    mask = align_expr("list_transform(cut, lambda x: x.token)", "ref")
+    ctes = f"""{vocab_cte()},
+gl AS (SELECT {key}, list({{'token': token, 'depth': depth, 'sib': sib}} ORDER BY leaf_pos)[1:{L - 2}] AS cut,
+         list(token ORDER BY leaf_pos) AS toks FROM lrows GROUP BY {key}),
+cutt AS (SELECT {key}, cut, flatten(list_transform(toks, lambda x: regexp_extract_all(x, {q(WORD_PATTERN)})))[1:{L - 2}] AS ref FROM gl),
+masked AS (SELECT {key}, cut, {mask} AS mask FROM cutt),
+krows AS (SELECT {key}, u.* FROM (SELECT {key}, unnest(list_transform(cut, lambda x, i:
+          {{'pos': i, 'token': x.token, 'depth': x.depth, 'sib': x.sib, 'm': mask[i]}})) AS u FROM masked)),
+idrows AS (SELECT k.*, coalesce(v.id, 3) AS id FROM krows k LEFT JOIN vocab v ON k.token = v.token),
+wrapped AS (SELECT {key}, [0] || list(id ORDER BY pos) || [2] AS w_ids, [-1] || list(depth ORDER BY pos) || [-1] AS w_dep,
+          [-1] || list(sib ORDER BY pos) || [-1] AS w_sib, [0] || list(m ORDER BY pos) || [0] AS w_tm FROM idrows GROUP BY {key}),
+feats AS (SELECT {key},
+   w_ids || list_transform(range({L} - len(w_ids)), lambda x: 0) AS input_ids,
+   list_transform(w_ids, lambda x: 1) || list_transform(range({L} - len(w_ids)), lambda x: 0) AS attention_mask,
+   w_dep || list_transform(range({L} - len(w_dep)), lambda x: -1) AS depths,
+   w_sib || list_transform(range({L} - len(w_sib)), lambda x: -1) AS sibling_indices,
+   w_tm || list_transform(range({L} - len(w_tm)), lambda x: 0) AS tree_attention_mask FROM wrapped)"""
+    return f"WITH lrows AS ({table_sql}),\n{ctes}\nSELECT {key}, {FEATURE_TEXT} FROM feats"
+
+
 def features_ctes(align: bool = True, L: int = P.SEQ_LEN) -> str:
     """docs -> feats(doc_id, ids, att, dep, sib, tm) as lists (unpadded: raw_*)."""
     if align:
@@ -127,6 +151,8 @@ def sql_queries() -> dict[str, str]:
       FROM (SELECT doc_id, unnest(list_transform(mask, lambda m, i: {{'pos': i - 1, 'm': m}})) AS u FROM al)"""
     S["features"] = f"""WITH {docs_cte(True)}, {features_ctes()}
         SELECT doc_id, {FEATURE_TEXT} FROM feats"""
+    S["features_ref"] = S["features"].replace(f"regexp_extract_all(text, {q(WORD_PATTERN)})[1:{P.SEQ_LEN - 2}] AS ref",
+        f"regexp_extract_all(left(text, (length(text) // 2)::INTEGER), {q(WORD_PATTERN)})[1:{P.SEQ_LEN - 2}] AS ref")
     more_queries(S)
     return S
 
@@ -158,23 +184,25 @@ def num_text_sql(v: str) -> str:
 
 
 def slots_cte() -> str:
-    n, o = P.VEC_POSITIONS, P.VEC_OFFSETS
+    o = P.VEC_OFFSETS
     m = "(SELECT count(*) FROM embeddings)"
-    return f"""slots AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos,
-      CAST((input_ids[i] + {o['word']}) % {m} AS BIGINT) AS word_vid,
-      CAST({o['type']} % {m} AS BIGINT) AS type_vid,
-      CAST(({pos_id_expr('input_ids', 'i')} + {o['position']}) % {m} AS BIGINT) AS position_vid,
-      CAST((greatest(depths[i], 0) + {o['depth']}) % {m} AS BIGINT) AS depth_vid,
-      CAST((greatest(sibling_indices[i], 0) + {o['sibling']}) % {m} AS BIGINT) AS sibling_vid,
+    joins = "\n    ".join(f"LEFT JOIN vt {x} ON {x}.vec_id = (s.{src}_id + {o[src]}) % {m}" for x, src in zip(
+        "abcde", ("word", "type", "position", "depth", "sibling")))
+    return f"""pids AS (SELECT doc_id, list_transform(range(1, {P.SEQ_LEN + 1}), lambda i:
+        {pos_id_expr('input_ids', 'i')}) AS pid FROM feats),
+slots AS (SELECT f.doc_id, CAST(i - 1 AS INTEGER) AS pos, input_ids[i] AS word_id, 0 AS type_id, pid[i] AS position_id,
+      greatest(depths[i], 0) AS depth_id, greatest(sibling_indices[i], 0) AS sibling_id,
       CAST((depths[i] <> -1) AS INTEGER) * tree_attention_mask[i] AS depth_on,
       CAST((sibling_indices[i] <> -1) AS INTEGER) * tree_attention_mask[i] AS sib_on
-    FROM feats, range(1, {n + 1}) r(i)),
+    FROM feats f JOIN pids USING (doc_id), range(1, {P.SEQ_LEN + 1}) r(i)),
 vt AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 tv AS (SELECT s.*, a.vec AS word_vec, b.vec AS type_vec, c.vec AS position_vec, d.vec AS depth_vec,
               e.vec AS sibling_vec FROM slots s
-    LEFT JOIN vt a ON a.vec_id = s.word_vid LEFT JOIN vt b ON b.vec_id = s.type_vid
-    LEFT JOIN vt c ON c.vec_id = s.position_vid LEFT JOIN vt d ON d.vec_id = s.depth_vid
-    LEFT JOIN vt e ON e.vec_id = s.sibling_vid)"""
+    {joins})"""
+
+
+def digest_sql(v: str) -> str:
+    return f"md5({num_text_sql(v)})"
 
 
 def fused_sql(how: str) -> str:
@@ -198,8 +226,8 @@ def fused_sql(how: str) -> str:
           sd AS (SELECT doc_id, pos, v, mean,
                    sqrt(list_reduce(v, lambda a, x: a + (x - mean) * (x - mean), 0.0) / len(v) + {P.LN_EPS!r}) AS sd
                  FROM m)
-          SELECT doc_id, pos, {num_text_sql('list_transform(v, lambda x: (x - mean) / sd)')} AS vec FROM sd"""
-    return f"{FEAT}, {slots_cte()} SELECT doc_id, pos, {num_text_sql(v)} AS vec FROM tv"
+          SELECT doc_id, pos, {digest_sql('list_transform(v, lambda x: (x - mean) / sd)')} AS vec FROM sd"""
+    return f"{FEAT}, {slots_cte()} SELECT doc_id, pos, {digest_sql(v)} AS vec FROM tv"
 
 
 def fused_inner(how: str) -> str:
@@ -234,10 +262,12 @@ def more_queries(S: dict) -> None:
         (SELECT doc_id, lang, {split_expr()} AS split FROM documents) WHERE split = 'validation'"""
     S["split_sizes"] = f"""SELECT split, count(*) AS n_rows FROM
         (SELECT {split_expr()} AS split FROM documents) GROUP BY split"""
-    S["keep_features"] = f"{FEAT} SELECT doc_id, {FEATURE_TEXT} FROM feats"
-    S["model_columns_base"] = f"""{FEAT} SELECT doc_id, {txt('input_ids')}, {txt('attention_mask')}
+    every = f"WITH {docs_cte(False)}, {features_ctes()}"
+    S["keep_features"] = f"{every} SELECT doc_id, {FEATURE_TEXT} FROM feats"
+    S["model_columns_base"] = f"""{every} SELECT doc_id, {txt('input_ids')}, {txt('attention_mask')}
         FROM feats"""
-    S["model_columns_tree"] = S["keep_features"]
+    S["model_columns_tree"] = f"""{every} SELECT doc_id, {FEATURE_TEXT} FROM feats JOIN documents USING (doc_id)
+        WHERE documents.lang = {q(P.EXCLUDED_LANG)}"""
     S["feature_sink"] = f"""{FEAT} SELECT doc_id, {split_expr()} AS split, {FEATURE_TEXT} FROM feats"""
     half = f"""(SELECT doc_id, {half_draw()} AS d,
           CASE WHEN row_number() OVER (ORDER BY {half_draw()}, doc_id) - 1 < floor(count(*) OVER () / 2)
@@ -249,9 +279,9 @@ def more_queries(S: dict) -> None:
         rest AS (SELECT doc_id FROM lab WHERE split <> 'train'),
         h AS {half.format(src='rest')}
         SELECT doc_id, 'train' AS split FROM lab WHERE split = 'train'
-        UNION ALL SELECT doc_id, 'valid' AS split FROM
-          (SELECT doc_id FROM h WHERE part = 'valid' ORDER BY d, doc_id LIMIT {P.VALID_CUT})
+        UNION ALL SELECT doc_id, 'valid' AS split FROM h WHERE part = 'valid'
         UNION ALL SELECT doc_id, 'test' AS split FROM h WHERE part = 'test'"""
+    # windows over well-formed pages; the query itself walks with a stack of open tags
     S["markup_leaves"] = f"""WITH toks AS (
         SELECT page_id, u.pos AS pos, u.t AS token FROM (
           SELECT page_id, unnest(list_transform(regexp_extract_all(html, {q(MARKUP_PATTERN)}),
@@ -271,7 +301,7 @@ def more_queries(S: dict) -> None:
                 OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS s,
               lead(kind) OVER (PARTITION BY page_id ORDER BY pos) AS next_kind FROM k2),
       nodes AS (SELECT page_id, pos, token, kind, CASE WHEN kind = 'open' THEN s - 1 ELSE s END AS depth,
-                  (kind = 'leaf' OR next_kind = 'close') AS is_leaf FROM run WHERE kind <> 'close'),
+                  (kind = 'leaf' OR coalesce(next_kind = 'close', true)) AS is_leaf FROM run WHERE kind <> 'close'),
       placed AS (SELECT page_id, pos, token, depth, is_leaf, depth AS grp, false AS marker FROM nodes
                  UNION ALL SELECT page_id, pos, token, depth, is_leaf, depth + 1, true FROM nodes WHERE kind = 'open'),
       par AS (SELECT *, coalesce(max(CASE WHEN marker THEN pos END) OVER (PARTITION BY page_id, grp ORDER BY pos
@@ -279,7 +309,8 @@ def more_queries(S: dict) -> None:
       sb AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id, grp, parent ORDER BY pos) - 1 AS INTEGER) AS sib
              FROM par WHERE NOT marker)
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS leaf_pos,
-             token, CAST(depth AS INTEGER) AS depth, sib FROM sb WHERE is_leaf"""
+             token, CAST(depth AS INTEGER) AS depth, sib FROM sb WHERE is_leaf
+      UNION ALL SELECT page_id, 0, coalesce(html, ''), 0, 0 FROM pages WHERE page_id NOT IN (SELECT page_id FROM sb WHERE is_leaf)"""
     S["node_leaves"] = """WITH RECURSIVE nodes AS (
         SELECT CAST(r_regionkey AS BIGINT) * 4 AS node_id, CAST(NULL AS BIGINT) AS parent_id,
                CAST(r_regionkey AS BIGINT) AS ord, r_name AS text FROM region
@@ -297,6 +328,10 @@ def more_queries(S: dict) -> None:
              array_to_string(w.path, ',') AS path, s.text
       FROM walk w JOIN sibs s ON w.node_id = s.node_id
       WHERE w.node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL)"""
+    S["markup_features"] = leaf_features(S["markup_leaves"], "page_id")
+    S["node_features"] = leaf_features(f"""SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY
+        list_transform(string_split(path, ','), lambda x: x::BIGINT)) - 1 AS leaf_pos, text AS token, depth, sib
+        FROM ({S['node_leaves']})""", "root_id")
     S["leaf_arrays"] = f"""WITH {docs_cte(False)}, {leaf_rows_cte()}
         SELECT doc_id, array_to_string(list(token ORDER BY leaf_pos), chr(31)) AS tokens,
           array_to_string(list(1 ORDER BY leaf_pos), ',') AS tree_mask,
@@ -309,7 +344,10 @@ def more_queries(S: dict) -> None:
     S["wrap"] = f"""{FEAT} SELECT doc_id, {txt('w_ids', 'input_ids')}, {txt('w_dep', 'depths')},
         {txt('w_sib', 'sibling_indices')}, {txt('w_tm', 'tree_attention_mask')} FROM wrapped"""
     S["attention"] = f"{FEAT} SELECT doc_id, {txt('attention_mask')} FROM feats"
-    S["pad"] = S["keep_features"]
+    more = P.PAD_LEN - P.SEQ_LEN
+    fill = {"input_ids": 0, "attention_mask": 0, "depths": -1, "sibling_indices": -1, "tree_attention_mask": 0}
+    S["pad"] = f"""{FEAT} SELECT doc_id, {", ".join(
+        f"array_to_string({c} || list_transform(range({more}), lambda x: {v}), ',') AS {c}" for c, v in fill.items())} FROM feats"""
     L = P.SEQ_LEN
     S["check_lengths"] = f"""{FEAT} SELECT doc_id, CAST(len(w_ids) AS INTEGER) AS n_input_ids,
         CAST(len(w_ids) AS INTEGER) AS n_attention_mask, CAST(len(w_dep) AS INTEGER) AS n_depths,
@@ -331,6 +369,11 @@ def more_queries(S: dict) -> None:
         SELECT pr.pair_id, {pair_cols}, array_to_string(f1.tree_attention_mask, ',') AS tree_attention_mask_1,
           array_to_string(f2.tree_attention_mask, ',') AS tree_attention_mask_2, pr.labels
         FROM pr JOIN um f1 ON f1.doc_id = pr.d1 JOIN um f2 ON f2.doc_id = pr.d2"""
+    base_cols = ", ".join(f"array_to_string(f{k}.{c}, ',') AS {c}_{k}" for k in (1, 2) for c in ["input_ids", "attention_mask"])
+    S["model_columns_pair"] = f"""WITH {docs_cte(False)}, {features_ctes(align=False)}
+        SELECT a.doc_id AS pair_id, {base_cols}, CAST(a.lang IS NOT DISTINCT FROM b.lang AS INTEGER) AS labels
+        FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
+        JOIN feats f1 ON f1.doc_id = a.doc_id JOIN feats f2 ON f2.doc_id = b.doc_id"""
     S["position_ids"] = f"""{FEAT} SELECT doc_id, array_to_string(list_transform(range(1, len(input_ids) + 1),
         lambda i: {pos_id_expr('input_ids', 'i')}), ',') AS position_ids FROM feats"""
     S["token_types"] = f"""{FEAT} SELECT doc_id, array_to_string(list_transform(input_ids, lambda x: 0), ',')
@@ -361,11 +404,9 @@ def more_queries(S: dict) -> None:
         array_to_string(list_transform(range(1, len(input_ids) + 1), lambda i: {new_id}), ',') AS input_ids,
         array_to_string(list_transform(range(1, len(input_ids) + 1),
           lambda i: CASE WHEN {chosen} THEN input_ids[i] ELSE -100 END), ',') AS labels FROM feats"""
-    srcs = " UNION ALL ".join(f"SELECT doc_id, pos, '{s}' AS source, {s}_vid AS vid FROM slots"
-                              for s in ("word", "type", "position", "depth", "sibling"))
-    S["lookup"] = f"""{FEAT}, {slots_cte()}, lg AS ({srcs})
-        SELECT lg.doc_id, lg.pos, lg.source, lg.vid AS vec_id, {num_text_sql('vt.vec')} AS vec
-        FROM lg LEFT JOIN vt ON vt.vec_id = lg.vid"""
+    srcs = " UNION ALL ".join(f"SELECT doc_id, pos, '{x}' AS source, CAST({x}_id AS INTEGER) AS id, {digest_sql(f'{x}_vec')} AS vec FROM tv"
+                              for x in ("word", "type", "position", "depth", "sibling"))
+    S["lookup"] = f"{FEAT}, {slots_cte()} {srcs}"
     S["fuse_sum"] = fused_sql("sum")
     S["fuse_weighted"] = fused_sql("weighted")
     S["fuse_concat"] = fused_sql("concat")
@@ -374,6 +415,9 @@ def more_queries(S: dict) -> None:
         {num_text_sql('CAST(a.embedding AS DOUBLE[]) || CAST(b.embedding AS DOUBLE[])')} AS pair_vec,
         CAST(a.label = b.label AS INTEGER) AS labels
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+    S["pair_classify"] = f"""SELECT pair_id, labels, true AS scored FROM (
+        SELECT a.vec_id AS pair_id, CAST(a.label = b.label AS INTEGER) AS labels
+        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) WHERE {split_expr('pair_id')} = 'test'"""
     S["argmax"] = f"WITH {PRED} SELECT vec_id, pred FROM wp"
     S["accuracy"] = f"WITH {PRED} SELECT avg(CAST(pred = label AS DOUBLE)) AS accuracy FROM wp"
     S["class_report"] = f"WITH {PRED} SELECT * FROM rep"
@@ -385,15 +429,28 @@ def more_queries(S: dict) -> None:
     S["cross_entropy"] = f"WITH {PRED} SELECT avg(loss) AS loss FROM rl"
     S["batch_ids"] = f"""SELECT vec_id, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {P.BATCH}) AS BIGINT)
         AS batch FROM embeddings"""
-    S["batch_loss"] = f"""WITH {PRED},
-        b AS (SELECT p.vec_id, CAST(floor((row_number() OVER (ORDER BY p.vec_id) - 1) / {P.BATCH}) AS BIGINT) AS batch,
-                rl.loss FROM preds p LEFT JOIN rl ON rl.vec_id = p.vec_id),
-        per AS (SELECT batch, avg(loss) AS m, count(*) AS rows FROM b GROUP BY batch)
-        SELECT sum(m * rows) / sum(rows) AS loss FROM per"""
-    S["metric_row"] = f"""WITH {PRED}
-        SELECT (SELECT avg(loss) FROM rl) AS loss,
-               (SELECT avg(CAST(pred = label AS DOUBLE)) FROM wp) AS accuracy, w.*
-        FROM (SELECT {wavg} FROM rep) w"""
+    # masked positions with labels and logits, batches of sequences
+    scored = f"""{masked_cte}, sc AS (SELECT doc_id, labels[i] % {P.N_CLASSES} AS label,
+          CAST(e.embedding AS DOUBLE[]) AS logits
+          FROM mk, range(1, {L + 1}) r(i) JOIN embeddings e ON e.vec_id = (doc_id * {L} + i - 1) % (SELECT count(*) FROM embeddings)
+          WHERE labels[i] <> -100),
+        tk AS (SELECT doc_id, label, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
+          list_max(logits) + ln(list_reduce(list_transform(logits, lambda x: exp(x - list_max(logits))), lambda a, x: a + x, 0.0))
+            - logits[label + 1] AS loss FROM sc),
+        bt AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {P.BATCH} AS batch FROM mk),
+        per AS (SELECT batch, avg(loss) AS m FROM tk JOIN bt USING (doc_id) GROUP BY batch),
+        bl8 AS (SELECT sum(m * seqs) / sum(seqs) AS loss FROM per JOIN (SELECT batch, count(*) AS seqs FROM bt GROUP BY batch) USING (batch)),
+        cl AS (SELECT c AS cls, (SELECT count(*) FROM tk WHERE label = c) AS support, (SELECT count(*) FROM tk WHERE pred = c) AS predicted,
+          (SELECT count(*) FROM tk WHERE label = c AND pred = c) AS tp
+          FROM (SELECT label AS c FROM tk UNION SELECT pred FROM tk)),
+        rp AS (SELECT support, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+          CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+          CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1 FROM cl)"""
+    S["batch_loss"] = f"{scored} SELECT loss FROM bl8"
+    acc = "(SELECT avg(CAST(pred = label AS DOUBLE)) FROM tk) AS accuracy"
+    S["metric_row"] = f"{scored} SELECT (SELECT loss FROM bl8) AS loss, {acc}, w.* FROM (SELECT {wavg} FROM rp) w"
+    S["metric_row_macro"] = f"""{scored} SELECT (SELECT loss FROM bl8) AS loss, {acc}, w.*
+        FROM (SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM rp) w"""
     S["map_batches"] = """SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
         CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines FROM documents"""
     S["predicate"] = "SELECT doc_id FROM documents WHERE n_chars > 1000 AND lang <> 'en'"

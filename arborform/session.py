@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "arborform",
@@ -66,5 +67,12 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_subdir(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder (for written tables)."""
     base = shared_dir(spark)
-    import uuid
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: later steps start
+    from the files, and a lost executor re-reads them."""
+    path = fresh_subdir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

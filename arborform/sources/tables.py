@@ -30,23 +30,10 @@ def write_features(df: DataFrame, path: str, mode: str = "errorifexists") -> str
     return path
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a frame read from few input splits over all cores before
-    CPU-heavy per-row work (regex walks, folds).
-
-    Only when the scan has fewer partitions than the cluster's default
-    parallelism (small inputs, or files holding one big row group); large
-    inputs already have many splits and are returned unchanged. Partitioning
-    is by hash of ``key`` when given, so a later grouping by the same key
-    needs no second exchange.
-    """
-    spark = df.sparkSession
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD access, e.g. a Spark Connect session)
-        return df
-    if have >= want:
-        return df
-    n = max(want, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key) if key else df.repartition(n)
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` before per-row work whose rows are
+    grouped by the same key later: the exchange moves whole texts instead of
+    one row per leaf, and the grouping needs none. The caller decides; the plan
+    is the same for every input size."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)

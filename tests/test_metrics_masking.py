@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,13 +15,13 @@ def _preds(spark, labels, logits):
 
 def test_metrics_perfect(spark):
     df = _preds(spark, [0, 1, 0, 1], [[2, 0], [0, 2], [2, 0], [0, 2]])
-    r = metrics.evaluate(df, "macro").first()
+    r = metrics.evaluate(df, "vec_id", 2, "macro").first()
     assert (r.accuracy, r.precision, r.recall, r.f1) == (1.0, 1.0, 1.0, 1.0)
 
 
 def test_metrics_three_of_four(spark):
     df = _preds(spark, [0, 1, 0, 1], [[2, 0], [0, 2], [2, 0], [2, 0]])
-    r = metrics.evaluate(df, "macro").first()
+    r = metrics.evaluate(df, "vec_id", 2, "macro").first()
     assert r.accuracy == pytest.approx(0.75)
     assert r.f1 == pytest.approx(0.7333333, abs=1e-4)
 
@@ -35,7 +37,6 @@ def test_class_only_predicted_counts_in_macro(spark):
 def test_argmax_first_on_ties_and_cross_entropy_ignores(spark):
     df = _preds(spark, [1, -100], [[1, 3, 3], [0, 0, 9]])
     assert [r[0] for r in df.select(metrics.argmax(F.col("logits"))).collect()] == [1, 2]
-    import math
     lse = math.log(math.exp(1) + 2 * math.exp(3))
     assert metrics.cross_entropy(df).first().loss == pytest.approx(lse - 3)
 
@@ -46,6 +47,39 @@ def test_batch_ids_and_weighted_loss(spark):
     assert b == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
 
 
+def _tokens(spark):
+    """Three sequences; the batch of two is uneven in scored tokens, the last
+    sequence has none."""
+    rows = [(0, 0, [1.0, 0.0], 0), (0, 1, [3.0, 0.0], 1), (0, 2, [0.0, 2.0], 1), (0, 3, [0.0, 0.0], -100),
+            (1, 0, [0.0, 1.0], 0), (1, 1, [5.0, 0.0], -100), (2, 0, [0.0, 4.0], 0), (3, 0, [9.0, 0.0], -100)]
+    return spark.createDataFrame(rows, "s long, pos int, logits array<double>, label int")
+
+
+def _ce(logits, label):
+    return math.log(sum(math.exp(x) for x in logits)) - logits[label]
+
+
+def test_batch_loss_has_sequence_grain(spark):
+    one = [_ce([1, 0], 0), _ce([3, 0], 1), _ce([0, 2], 1), _ce([0, 1], 0)]
+    two = [_ce([0, 4], 0)]
+    want = (sum(one) / 4 * 2 + sum(two) / 1 * 2) / 4           # weights: sequences of the batch
+    assert metrics.batch_loss(_tokens(spark), "s", 2).first().loss == pytest.approx(want)
+    r = metrics.evaluate(_tokens(spark), "s", 2).first()
+    assert r.loss == pytest.approx(want) != pytest.approx(sum(one + two) / 5)
+    assert r.accuracy == pytest.approx(2 / 5)
+    # a batch without scored tokens is left out with its weight
+    alone = metrics.batch_loss(_tokens(spark), "s", 1).first().loss
+    assert alone == pytest.approx((sum(one[:3]) / 3 + one[3] + two[0]) / 3)
+
+
+def test_label_outside_the_logits_fails(spark):
+    df = _preds(spark, [2], [[1, 0]])
+    with pytest.raises(Exception, match="label outside the logits"):
+        metrics.cross_entropy(df).collect()
+    with pytest.raises(ValueError):
+        metrics.evaluate(df, "vec_id", 2, "micro")
+
+
 def test_draw_is_repeatable_and_seed_dependent(spark):
     df = spark.range(50).repartition(7)
     a = sorted(df.select("id", draw(1, F.col("id")).alias("u")).collect())

@@ -20,11 +20,25 @@ def test_features_broadcast_vocab_and_one_exchange_by_key(spark):
     p = plan(C.feature_frame(spark, SF))
     assert "BroadcastHashJoin" in p
     # the walk side is shuffled once, by document key; the grouping reuses it
-    # (the other exchanges belong to the vocabulary build)
-    assert p.count("hashpartitioning(doc_id") == 2   # walk branch + vocabulary scan branch
+    # (the vocabulary's counts were written before)
+    assert p.count("hashpartitioning(doc_id") == 1
     assert "SortMergeJoin" not in p
 
 
+def test_features_of_an_input_that_is_not_spread(spark):
+    from arborform.operators import sequence as seq
+    src = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    vocab = spark.createDataFrame([("the", 5)], "token string, id int")
+    p = plan(seq.features(src, vocab, "doc_id", "text", 32, vocab_rows=1))
+    assert p.count("hashpartitioning(doc_id") == 1 and "SortMergeJoin" not in p     # leaf rows, before grouping
+
+
+def test_pair_features_scan_the_texts_once_more_only(spark):
+    p = plan(C.pair_frame(spark, SF))
+    assert p.count("documents.parquet") <= 3
+    assert not any("text" in x.split("\n")[0] and "hashpartitioning(pair_id" in x for x in p.split("Exchange"))
+
+
 def test_vector_lookups_are_broadcast(spark):
     p = plan(C.token_vectors(spark, SF))
     assert p.count("BroadcastHashJoin") >= 6          # vocabulary + five vector sources
@@ -36,7 +50,7 @@ def test_half_split_and_batches_avoid_single_partition_windows(spark):
     p = plan(splits.half_split(df, "doc_id", 1))
     assert "Window" not in p and "SinglePartition" not in p
     p = plan(metrics.batch_ids(df, "doc_id", 32))
-    assert "rangepartitioning" not in p.lower() or "Window" not in p.split("BroadcastExchange")[0]
+    assert "Window" not in p.split("BroadcastExchange")[0]      # a window over one row per partition only
 
 
 def test_layout_walk_is_map_only(spark):
@@ -51,7 +65,8 @@ def test_exclude_lang_is_pushed_to_the_scan(spark):
     assert "text" not in p.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_vocab_over_the_bound_is_not_broadcast(spark):
+def test_vocab_over_the_bound_is_not_broadcast(spark, monkeypatch):
+    from arborform.operators import common
     from arborform.operators.vocab import to_ids
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -59,7 +74,8 @@ def test_vocab_over_the_bound_is_not_broadcast(spark):
         vocab = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "token string, id int")
         small = plan(to_ids(rows, vocab))                       # 3 rows: checked, broadcast
         assert "BroadcastHashJoin" in small
-        over = to_ids(rows, vocab, max_broadcast_rows=2)        # over the bound
+        monkeypatch.setattr(common.broadcast_under, "__defaults__", (None, 2 * 64))
+        over = to_ids(rows, vocab)                              # over the bound in bytes
         assert "BroadcastHashJoin" not in plan(over) and "SortMergeJoin" in plan(over)
         assert sorted(r.id for r in over.collect()) == [5, 6]
     finally:

@@ -104,17 +104,16 @@ def test_language_filters(spark):
                                "doc_id long, lang string")
     assert sorted(r.doc_id for r in exclude_lang(df, "php").collect()) == [2, 3, 4]
     assert sorted(r.doc_id for r in unsupported(df, ["python", "php"]).collect()) == [2, 4]
-    with pytest.raises(Exception, match="Unsupported language"):
+    with pytest.raises(Exception, match="supported list"):
         unsupported(df, ["python", "php"], strict=True).collect()
 
 
-def test_vocab_prefilter_matches_plain_topk(spark):
+def test_vocab_takes_the_most_frequent(spark):
     from arborform.operators.vocab import build_vocab
     toks = spark.createDataFrame([(f"t{i % 97}",) for i in range(3000)] +
                                  [(f"u{i % 13}",) for i in range(500)] + [(" ",), ("<s>",)], "token string")
     plain = sorted(build_vocab(toks, 40).collect())
-    cut = sorted(build_vocab(toks, 40, prefilter_from=1).collect())
-    assert plain == cut and len(plain) == 45
+    assert len(plain) == 45
     ids = {r.token: r.id for r in plain}
     assert ids["<s>"] == 0 and " " not in ids and ids["u0"] == 5  # u* tokens are most frequent
 
@@ -128,3 +127,41 @@ def test_keep_features_and_model_columns_pair_forms(spark):
     assert model_columns(df, "pair_id", tree=False, pair=True).columns == [
         "pair_id", "input_ids_1", "attention_mask_1", "input_ids_2", "attention_mask_2", "labels"]
     assert len(model_columns(df, "pair_id", tree=True, pair=True).columns) == 12
+
+
+def test_features_null_text_and_repeated_key(spark, stub_vocab):
+    df = spark.createDataFrame([(1, "x = 1"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.input_ids for r in seq.features(df, stub_vocab, length=8, vocab_rows=11).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == got[3]
+    twice = spark.createDataFrame([(1, "x = 1"), (1, "a + b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="repeated key"):
+        seq.features(twice, stub_vocab, length=8, vocab_rows=11).collect()
+
+
+def test_features_from_leaves_equal_features(spark, stub_vocab):
+    from arborform.operators.sequence import features_from_leaves
+    from arborform.operators.trees import layout_leaves
+    df = spark.createDataFrame([(1, "x = 1\n\na + b"), (2, "x " * 40), (3, "")], "doc_id long, text string")
+    a = sorted(seq.features(df, stub_vocab, length=16, vocab_rows=11).collect())
+    leaves = layout_leaves(df, "doc_id", "text")
+    assert sorted(features_from_leaves(leaves, stub_vocab, "doc_id", 16, vocab_rows=11).collect()) == a
+
+
+def test_markup_features_have_nested_depths(spark, stub_vocab):
+    from arborform.operators.sequence import features_from_leaves
+    from arborform.operators.trees import markup_leaves
+    df = spark.createDataFrame([(1, "<div>x<ul><li>1</li><li>a</li></ul></div>b")], "k long, html string")
+    r = features_from_leaves(markup_leaves(df, "k", "html"), stub_vocab, "k", 8, vocab_rows=11).first()
+    assert r.input_ids == [0, 5, 7, 8, 10, 2, 0, 0]
+    assert r.depths == [-1, 1, 3, 3, 0, -1, -1, -1]
+    assert r.sibling_indices == [-1, 0, 0, 0, 1, -1, -1, -1]
+
+
+def test_pair_features_null_sides(spark, stub_vocab):
+    from arborform.operators.pairs import pair_features
+    df = spark.createDataFrame([(1, None, "x = 1", 1), (2, "x = 1", None, 0), (3, None, None, 1)],
+                               "pair_id long, text_1 string, text_2 string, similar int")
+    got = {r.pair_id: r for r in pair_features(df, stub_vocab, 8, vocab_rows=11).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1].input_ids_1 == got[2].input_ids_2 == got[3].input_ids_1
+    assert got[1].input_ids_2 == got[2].input_ids_1 and got[1].labels == 1

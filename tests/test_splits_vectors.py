@@ -50,7 +50,50 @@ def test_group_rank_hot_group_matches_window(spark):
     # group 0 holds a third of the rows and repeated order values
     rows = [(0 if i % 3 == 0 else i % 50, (i * 37) % 400, i) for i in range(6000)]
     df = spark.createDataFrame(rows, "g long, o long, t long")
-    got = {r.t: r.rank for r in splits.group_rank(df, "g", "o", "t", hot_rows=500, pieces=8).collect()}
+    got = {r.t: r.rank for r in splits.group_rank(df, "g", "o", "t").collect()}
     w = Window.partitionBy("g").orderBy("o", "t")
     want = {r.t: r.rk for r in df.select("t", (F.row_number().over(w) - 1).alias("rk")).collect()}
     assert got == want
+
+
+def test_lookup_of_an_id_outside_the_table_fails(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 3), (3, None)], "k int, vid int")
+    table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id int, embedding array<double>")
+    with pytest.raises(Exception, match="outside its vector table"):
+        vectors.lookup(rows, table, "vid", "v", bound=2, dim=1).collect()
+    got = {r.k: r.v for r in vectors.lookup(rows, table, "vid", "v", bound=2, dim=1, strict=False).collect()}
+    assert got == {1: [1.0], 2: None, 3: None}
+
+
+def test_unknown_fusion_is_an_error():
+    with pytest.raises(ValueError, match="no such fusion"):
+        vectors.fuse("mean", *[None] * 7)
+
+
+def test_assemble_keeps_every_row(spark):
+    from arborform.plans.catalog import q_assemble
+    for sf in ("sf0.001", "sf0.1"):
+        d = f"/root/testdata/{sf}"
+        out = q_assemble(spark, d)
+        assert out.count() == out.select("doc_id").distinct().count() == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_classifier_beats_the_majority_on_held_out_pairs(spark):
+    from arborform.operators import pairs
+    rows = [(i, [float((i * 7919) % 97) / 97 - 0.5, float((i * 104729) % 89) / 89 - 0.5]) for i in range(600)]
+    data = spark.createDataFrame([(i, v, int(v[0] + v[1] > 0)) for i, v in rows], "pair_id long, pair_vec array<double>, labels int")
+    data = splits.assign_split(data, "pair_id", 5)
+    model = pairs.fit_pairs(data.filter("split = 'train'"), seed=3, max_iter=150)
+    test = pairs.score_pairs(model, data.filter("split <> 'train'")).collect()
+    ones = sum(r.labels for r in test)
+    right = sum(r.labels == r.prediction for r in test)
+    assert right > max(ones, len(test) - ones) * 1.2
+
+
+def test_vocabulary_equals_a_plain_sort(spark):
+    from arborform.operators.vocab import build_vocab
+    toks = spark.range(3000).select(F.concat(F.lit("t"), (F.col("id") * F.col("id") % 211)).alias("token"))
+    n = {r.token: r["count"] for r in toks.groupBy("token").count().collect()}
+    want = sorted(n, key=lambda t: (-n[t], t))[:40]
+    got = {r.id: r.token for r in build_vocab(toks, 40).collect()}
+    assert [got[5 + i] for i in range(40)] == want and len(got) == 45

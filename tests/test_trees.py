@@ -1,7 +1,11 @@
-from pyspark.sql import functions as F
+import random
+import re
 
-from arborform.operators.trees import layout_leaves, leaf_arrays, markup_leaves, node_leaves, \
-    unbalanced_keys, unreached_nodes
+import pytest
+
+from arborform.operators.trees import MARKUP_PATTERN, NEST_TAGS, RAW_PATTERN, TAG_NAME_PATTERN, \
+    layout_leaves, leaf_arrays, markup_faults, markup_leaves, \
+    node_depths, node_leaves, unreached_nodes
 
 
 def _leaves(spark, text):
@@ -22,8 +26,8 @@ def test_layout_empty_text_is_root_leaf(spark):
     assert _leaves(spark, "") == [("", 0, 0)]
 
 
-def test_layout_null_text_gives_no_leaves(spark):
-    assert _leaves(spark, None) == []
+def test_layout_null_text_is_an_empty_text(spark):
+    assert _leaves(spark, None) == [("", 0, 0)]
 
 
 def test_leaf_arrays_in_visit_order(spark):
@@ -50,12 +54,72 @@ def test_markup_leaves_depth_and_sibling(spark):
         ("<div>", 2, 1),                               # empty element is a leaf
         ("a", 4, 0), ("b", 4, 0),                      # each li has one child
     ]
-    assert unbalanced_keys(df, "page_id", "html").count() == 0
-
-
-def test_markup_reports_close_without_open(spark):
-    df = spark.createDataFrame([(1, "</div>text")], "page_id long, html string")
-    assert [r.page_id for r in unbalanced_keys(df, "page_id", "html").collect()] == [1]
+    assert markup_faults(df, "page_id", "html").count() == 0
+
+
+def _markup(spark, html):
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [(r.token, r.depth, r.sib) for r in markup_leaves(df, "page_id", "html").orderBy("leaf_pos").collect()]
+    return got, [(r.stray, r.unclosed) for r in markup_faults(df, "page_id", "html").collect()]
+
+
+@pytest.mark.parametrize("html, leaves, faults", [
+    ("<div>", [("<div>", 0, 0)], [(0, 1)]),                             # childless last node
+    ("<html><body>", [("<body>", 1, 0)], [(0, 2)]),
+    ("<ul><li>a</li><li>", [("a", 2, 0), ("<li>", 1, 1)], [(0, 2)]),
+    ("", [("", 0, 0)], []), ("<!-- c -->", [("<!-- c -->", 0, 0)], []),  # no nodes
+    (None, [("", 0, 0)], []),
+    ("</div>a", [("a", 0, 0)], [(1, 0)]),                               # never below depth 0
+    ("<div><ul><li>a<li>b</ul>c</div>d", [("a", 3, 0), ("b", 4, 0), ("c", 1, 1), ("d", 0, 1)], []),
+    ("<div title='a > b'>x</div>y", [("x", 1, 0), ("y", 0, 1)], []),    # quoted '>'
+    ('<a href="x>y"/>z', [('<a href="x>y"/>', 0, 0), ("z", 0, 1)], []),
+    ("<div 'unbalanced>x</div>", [("x", 1, 0)], []),
+])
+def test_markup_edges(spark, html, leaves, faults):
+    assert _markup(spark, html) == (leaves, faults)
+
+
+def _reference_leaves(html):
+    """Independent walk: builds the node tree first, then lists its leaves."""
+    toks = re.findall(MARKUP_PATTERN, html)
+    root = {"kids": [], "name": None, "tok": html, "up": None}
+    cur = root
+    for t in toks:
+        m = None if re.match(RAW_PATTERN, t) else re.match(TAG_NAME_PATTERN, t)
+        name = m.group(1).lower() if m else None
+        if t.startswith("<!") or (name and name not in NEST_TAGS) or (not name and not t.strip()):
+            continue
+        node = {"kids": [], "name": name, "tok": t, "up": cur}
+        if name and t.startswith("</"):
+            x = cur
+            while x is not root and x["name"] != name:
+                x = x["up"]
+            cur = x["up"] if x is not root else cur
+        else:
+            cur["kids"].append(node)
+            if name and not t.endswith("/>"):
+                cur = node
+    out = []
+
+    def visit(n, depth, sib):
+        if not n["kids"]:
+            out.append((n["tok"], max(depth, 0), sib))
+        for i, k in enumerate(n["kids"]):
+            visit(k, depth + 1, i)
+    visit(root, -1, 0)
+    return out
+
+
+def test_markup_equals_an_independent_tree(spark):
+    rnd = random.Random(8)
+    parts = ["<div>", "</div>", "<ul>", "<li>", "</li>", "</ul>", "<p>", "text", " ", "<a href='>'>", "</a>", "<!-- x -->", "<a/>"]
+    pages = [(i, "".join(rnd.choices(parts, k=rnd.randint(0, 40)))) for i in range(150)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = {}
+    for r in markup_leaves(df, "page_id", "html").orderBy("page_id", "leaf_pos").collect():
+        got.setdefault(r.page_id, []).append((r.token, r.depth, r.sib))
+    for i, html in pages:
+        assert got[i] == _reference_leaves(html), html
 
 
 def test_node_leaves_depth_sibling_and_orphans(spark):
@@ -69,15 +133,10 @@ def test_node_leaves_depth_sibling_and_orphans(spark):
     assert [r.node_id for r in unreached_nodes(nodes).collect()] == [5]
 
 
-def test_markup_chunked_walk_equals_window_walk(spark):
-    import os
-    pages = [(100007, HTML), (100008, HTML.replace("<li>a</li>", "<li>a</li>" * 9)),
-             (100009, "<div>x</div>" * 5)]
-    path = "/root/testdata/sf0.001/pages.parquet"
-    df = spark.createDataFrame(pages, "page_id long, html string")
-    if os.path.exists(path):
-        df = df.unionByName(spark.read.parquet(path).select("page_id", "html"))
-    plain = sorted(markup_leaves(df, "page_id", "html").collect())
-    for chunk in (3, 17, 256):
-        chunked = sorted(markup_leaves(df, "page_id", "html", hot_rows=5, chunk_rows=chunk).collect())
-        assert chunked == plain, chunk
+def test_deep_chain_and_cycle(spark):
+    chain = [(i, i - 1 if i else None, 0, "n") for i in range(500)]
+    loop = [(1000, 1002, 0, "x"), (1001, 1000, 0, "x"), (1002, 1001, 0, "x"), (1003, 1002, 0, "below")]
+    nodes = spark.createDataFrame(chain + loop, "node_id long, parent_id long, ord long, text string")
+    got = {r.node_id: r.depth for r in node_depths(nodes).collect()}
+    assert got == {i: i for i in range(500)}
+    assert sorted(r.node_id for r in unreached_nodes(nodes).collect()) == [1000, 1001, 1002, 1003]
