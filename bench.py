@@ -2,8 +2,8 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 Each query is timed end to end with a no-op sink (the full plan runs, nothing
-is collected); the value is the sum of per-query medians of 3 runs after one
-warm-up run of the flagship.
+is collected); the value is the sum of per-query medians of BENCH_REPS (3) runs
+after one warm-up run of the flagship. BENCH_QUERIES: names, or ``all``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "3"))
-    names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
+    asked = os.environ.get("BENCH_QUERIES", "")
+    names = list(QUERIES) if asked == "all" else [n for n in asked.split(",") if n] or HEADLINE
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, driver_memory="20g")
 
     def run(name):
