@@ -173,15 +173,23 @@ def lexicon(counts: DataFrame, bad: int, good: int) -> dict[str, float]:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton steps with a small ridge."""
+    """Logistic regression by Newton steps, halved until the loss falls, with a
+    small ridge (the classes may be separable)."""
+    ridge = np.array([1e-6] + [1e-2] * (x.shape[1] - 1))
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + (ridge * w * w).sum() / 2
     w = np.zeros(x.shape[1])
-    for _ in range(40):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = np.diag([1e-6] + [1e-2] * (x.shape[1] - 1))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        gradient = x.T @ (p - y) + ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), gradient)
+        size, now = 1.0, loss(w)
+        while size > 1e-8 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
     return tuple(float(v) for v in w)
 

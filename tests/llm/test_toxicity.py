@@ -1,7 +1,8 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from arborform.llm.queries import queries
-from arborform.llm.toxicity import FIXED_CURVE, automaton, fit, fold, fold_table, fold_word, measure, measured, without_toxic
+from arborform.llm.toxicity import FIXED_CURVE, automaton, features, fit, fit_curve, fold, fold_table, fold_word, measure, measured, without_toxic
 
 MODEL = {"entries": {"idiot ": 4.0, "moro": 3.0}, "exceptions": ["idiot proof"], "curve": FIXED_CURVE}
 MODEL["entries"] = {fold_word(k.strip()) + (" " if k.endswith(" ") else ""): v for k, v in MODEL["entries"].items()}
@@ -27,6 +28,18 @@ def test_hits_words_beginnings_and_exceptions():
     assert words.tolist() == [3, 4, 3, 1, 1, 0, 2, 2]
 
 
+def test_curve_of_separable_and_noisy_classes():
+    rnd = np.random.default_rng(3)
+    for n, noise in ((10_000, 0.0), (10_000, 0.02), (200, 0.0)):
+        y = (rnd.random(n) < 0.1).astype(float)
+        total = np.where(y > 0, rnd.uniform(10, 400, n), 0.0)
+        total = np.where(rnd.random(n) < noise, rnd.uniform(1, 8, n), total)
+        words = np.where(y > 0, total / 0.16, rnd.uniform(5, 3000, n))
+        x = features(total, words)
+        p = 1 / (1 + np.exp(-(x @ np.array(fit_curve(x, y)))))
+        assert ((p >= 0.5) == (y > 0)).mean() > 0.99
+
+
 def test_block_edges_do_not_matter():
     from arborform.llm import texts as T
     texts = [("word " * n) + ("idiot" if n % 3 == 0 else "") for n in range(60)]
