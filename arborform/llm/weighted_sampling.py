@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORDS
 
-SAMPLES = 32
+SAMPLES = 24
 RANGE_ROWS = 1_000          # documents in a range, about; more beyond MAX_RANGES ranges
 MAX_RANGES = 1_000
 
