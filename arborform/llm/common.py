@@ -26,6 +26,27 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one operator writes on its way. ``drop`` deletes them once
+    its result is written, so they don't pile up over the stages of a job."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_subdir(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths = []
+
+
 def hash60(seed, *cols) -> Column:
     """Uniform integer in [0, 2^60): 15 hex digits of the md5 of the seed and
     the values, joined by ':'. A null counts as the word ``null``."""

@@ -16,13 +16,18 @@ multi-match prefix scheme:
    the l (1 to MAX_MATCHES) at which the estimated cost, the prefix's list
    lengths plus the verification of the candidates that can still share l of
    them, is lowest; a pair is a candidate if it shares min(l, l') shingles.
-   Shingles that occur once are left out, so most documents send nothing.
+   Shingles that occur once are left out, so most documents send nothing; a
+   document with fewer than t shingles that occur elsewhere links with nothing,
+   and a pair must have enough of them on both sides for its two sizes.
 3. Documents with equal sets are one class from here on. Classes that share a
    prefix shingle first meet only one pivot of it (rounds of stars); once linked
    ones are one component, all pairs of classes from different components that
    share enough prefix shingles are verified. A large group of near copies thus
    costs about one verification each, and no pair inside a component is made.
-   No link between different components is lost, so the components are exact.
+   A shared shingle at places i, i' of the two orders leaves room for at most
+   min(i, i') shared ones before it and the shorter rest after it; pairs whose
+   sizes need more are dropped there. No link between different components is
+   lost, so the components are exact.
 
 Defined results: null text or no words: no shingles, linked with nothing, own
 component; fewer than 5 words: the whole sequence as one shingle; equal rows are
@@ -32,6 +37,8 @@ smallest non-null key (null if it has none); an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 import zlib
 
 import numpy as np
@@ -39,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import Scratch, scratch
 from .texts import blocks, column, ship_by_value, worker_state
 
 WIDTH = 5                   # words of a shingle
@@ -49,7 +56,8 @@ STEPS = 4                   # values for each doubling of the frequency
 MAX_MATCHES = 4
 VERIFY_COST = 8.0           # a verification against one entry of a list
 ROUNDS = 2                  # rounds of stars before the exact pairs
-HELD = 4_000_000            # hashes that a task gathers before it sends them
+HELD = 2_000_000            # hashes that a task gathers before it sends them
+BLOCK = 500_000             # characters worked on at once
 NO_KEY = 1 << 62            # class ids from here on stand for rows without a key
 U = np.uint64
 PRIME = 0x100000001B3
@@ -122,7 +130,8 @@ def part_bits(spark) -> int:
 
 
 def frequencies(docs: DataFrame, text: str) -> bytes:
-    """The array of 2^CELL_BITS frequency values over all documents."""
+    """The array of 2^CELL_BITS frequency values over all documents, packed by
+    hash range (the driver only hands the parts on)."""
     ship_by_value()
     bits = part_bits(docs.sparkSession)
 
@@ -140,7 +149,7 @@ def frequencies(docs: DataFrame, text: str) -> bytes:
         powers, held, size, seen = worker_state("powers", Powers), [], 0, set()
         for batch in batches:
             texts = column(batch, "text")
-            for lo, hi in blocks([t or "" for t in texts]):
+            for lo, hi in blocks([t or "" for t in texts], BLOCK):
                 h, n = shingles(texts[lo:hi], powers)
                 a, b = signatures(h, n)
                 fresh = np.zeros(len(n), bool)          # copies within a task count once
@@ -172,10 +181,16 @@ def frequencies(docs: DataFrame, text: str) -> bytes:
 
     sent = docs.select(F.col(text).alias("text")).mapInArrow(count, "part int, once binary, often binary, n binary")
     rows = sent.groupBy("part").applyInArrow(merge, "part int, cells binary").collect()      # 2^CELL_BITS bytes at most
+    return pickle.dumps((bits, {r["part"]: bytes(r["cells"]) for r in rows}))
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    """The frequency array from the packed parts of the hash ranges."""
+    bits, parts = pickle.loads(packed)
     out = np.zeros((1 << bits, 1 << (CELL_BITS - bits)), np.uint8)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(zlib.decompress(r["cells"]), np.uint8)
-    return out.tobytes()
+    for p, cells in parts.items():
+        out[p] = np.frombuffer(zlib.decompress(cells), np.uint8)
+    return out.reshape(-1)
 
 
 def prefix_of(value: np.ndarray, n: int) -> tuple[int, int]:
@@ -195,18 +210,22 @@ def prefix_of(value: np.ndarray, n: int) -> tuple[int, int]:
 
 def signed(docs: DataFrame, key: str, text: str, cells: bytes) -> DataFrame:
     """key, h (hash of the text), a, b, n of each document; of those with prefix shingles that occur
-    elsewhere also m (matches), tokens and set (all hashes, packed)."""
+    elsewhere also m (matches), w (shingles that occur elsewhere, at most), tokens and set
+    (all hashes, packed)."""
     ship_by_value()
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
+    shared, name = docs.sparkSession.sparkContext.broadcast(cells), uuid.uuid4().hex
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
         powers, seen = worker_state("powers", Powers), set()
-        value_of = np.frombuffer(shared.value, np.uint8)
+        held = worker_state("frequencies", dict)        # unpacked once in a worker
+        if held.get("name") != name:
+            held.update(name=name, cells=unpacked(shared.value))
+        value_of = held["cells"]
         for batch in batches:
             texts, keys = column(batch, "text"), batch.column(batch.schema.get_field_index("key"))
-            for lo, hi in blocks([t or "" for t in texts]):
+            for lo, hi in blocks([t or "" for t in texts], BLOCK):
                 h, n = shingles(texts[lo:hi], powers)
                 a, b = signatures(h, n)
                 value = value_of[(h >> U(64 - CELL_BITS)).astype(np.int64)]
@@ -214,22 +233,25 @@ def signed(docs: DataFrame, key: str, text: str, cells: bytes) -> DataFrame:
                 order = np.lexsort((h, value, doc))
                 h2, v2 = h[order], value[order]
                 at = np.concatenate([[0], np.cumsum(n)])
-                m, tokens, sets = [None] * len(n), [None] * len(n), [None] * len(n)
+                m, w, tokens, sets = ([None] * len(n) for _ in range(4))
                 for i, s in enumerate(zip(a.tolist(), b.tolist())):
                     if n[i] == 0 or s in seen:          # a class is described once in a task
                         continue
                     seen.add(s)
                     own = v2[at[i]:at[i + 1]]
                     l, size = prefix_of(own, int(n[i]))
+                    w[i] = int((own > 0).sum())
+                    if SHARE[1] * w[i] < SHARE[0] * n[i]:       # too few can be shared
+                        continue
                     take = h2[at[i]:at[i] + size][own[:size] > 0]
                     if len(take):
                         m[i], tokens[i], sets[i] = l, take.view(np.int64), h[at[i]:at[i + 1]].astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(m, pa.int32()),
+                    [keys.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(m, pa.int32()), pa.array(w, pa.int64()),
                      pa.array(tokens, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                    names=["key", "h", "a", "b", "n", "m", "tokens", "set"])
+                    names=["key", "h", "a", "b", "n", "m", "w", "tokens", "set"])
     return rows.mapInArrow(
-        run, f"key {kind}, h bigint, a bigint, b bigint, n bigint, m int, tokens array<bigint>, set binary")
+        run, f"key {kind}, h bigint, a bigint, b bigint, n bigint, m int, w bigint, tokens array<bigint>, set binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -252,24 +274,31 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, table: Scratch) -> DataFrame:
     """links(x, y) -> c, comp (smallest class it reaches): smallest label of the
     neighbours, then the label's own label, until nothing changes."""
-    both = scratch(links.select("x", "y").union(links.select("y", "x")).distinct().toDF("x", "y"), "join-links")
-    label = scratch(both.groupBy(F.col("x").alias("c")).agg(F.least(F.min("y"), F.first("x")).alias("comp")), "join-labels")
+    both = table(links.select("x", "y").union(links.select("y", "x")).distinct().toDF("x", "y"), "join-links")
+    label = table(both.groupBy(F.col("x").alias("c")).agg(F.least(F.min("y"), F.first("x")).alias("comp")), "join-labels")
     while True:
         near = (both.join(label.select(F.col("c").alias("y"), "comp"), "y").groupBy(F.col("x").alias("c"))
                 .agg(F.min("comp").alias("low")))
         new = label.join(near, "c").select("c", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
         jump = label.select(F.col("c").alias("comp"), F.col("comp").alias("next"))
-        new = scratch(new.join(jump, "comp").select("c", "old", F.least("comp", "next").alias("comp")), "join-labels")
+        new = table(new.join(jump, "comp").select("c", "old", F.least("comp", "next").alias("comp")), "join-labels")
         if new.filter("old <> comp").limit(1).count() == 0:
             return new.select("c", "comp")
         label = new.select("c", "comp")
 
 
-def sizes_fit(n1, n2):
-    return F.greatest(n1, n2) * SHARE[0] <= F.least(n1, n2) * SHARE[1]
+def room(n1, n2, i1, i2, r1, r2):
+    """Around a shared shingle with i shingles before it and r from it on (of
+    those that occur elsewhere), as many can be shared as a link needs."""
+    return (F.least(i1, i2) + F.least(r1, r2)) * (SHARE[0] + SHARE[1]) >= (n1 + n2) * SHARE[0]
+
+
+def can_link(n1, n2, i1, i2, r1, r2):
+    """The sizes are near enough for a link, and there is room for it."""
+    return (F.greatest(n1, n2) * SHARE[0] <= F.least(n1, n2) * SHARE[1]) & room(n1, n2, i1, i2, r1, r2)
 
 
 def labelled(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -287,21 +316,28 @@ def apart(entries: DataFrame) -> DataFrame:
 def star_pairs(entries: DataFrame, turn: int) -> DataFrame:
     """Each class with the one pivot, of its tokens' pivots, that shares most
     of its tokens. The pivot of a token is the first class in this round's order."""
-    rank = F.struct((F.col("c") if turn == 0 else F.xxhash64("c", F.lit(turn))).alias("rank"), "c", "comp", "n")
-    pivot = entries.groupBy("token").agg(F.min(rank).alias("p")).select("token", F.col("p.c").alias("y"), F.col("p.comp").alias("yc"), F.col("p.n").alias("yn"))
-    met = (entries.join(pivot, "token").filter((F.col("comp") != F.col("yc")) & sizes_fit(F.col("n"), F.col("yn")))
+    rank = F.struct((F.col("c") if turn == 0 else F.xxhash64("c", F.lit(turn))).alias("rank"), "c", "comp", "n", "i", "r")
+    pivot = entries.groupBy("token").agg(F.min(rank).alias("p")).select("token", F.col("p.c").alias("y"), F.col("p.comp").alias("yc"), F.col("p.n").alias("yn"), F.col("p.i").alias("yi"), F.col("p.r").alias("yr"))
+    met = (entries.join(pivot, "token").filter((F.col("comp") != F.col("yc")) & can_link(*map(F.col, ("n", "yn", "i", "yi", "r", "yr"))))
            .groupBy(F.col("c").alias("x"), "y").agg(F.count(F.lit(1)).alias("shared")))
     return met.groupBy("x").agg(F.max(F.struct("shared", (-F.col("y")).alias("back"))).alias("b")).select("x", (-F.col("b.back")).alias("y"))
 
 
 def cross_pairs(entries: DataFrame) -> DataFrame:
     """All pairs of classes of different components that share min(m, m') tokens."""
-    by_comp = entries.groupBy("token", "comp").agg(F.min("m").alias("m"))
-    one, two = by_comp.select("token", F.col("comp").alias("cx"), F.col("m").alias("mx")), by_comp.select("token", F.col("comp").alias("cy"), F.col("m").alias("my"))
-    met = one.join(two, "token").filter("cx < cy").select("token", "cx", "cy")
-    x = entries.select("token", F.col("comp").alias("cx"), F.col("c").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"))
-    y = entries.select("token", F.col("comp").alias("cy"), F.col("c").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"))
-    pairs = met.join(x, ["token", "cx"]).join(y, ["token", "cy"]).filter(sizes_fit(F.col("nx"), F.col("ny")))
+    by_comp = entries.groupBy("token", "comp").agg(F.min("m").alias("m"), F.min("n").alias("n"), F.max("i").alias("i"), F.max("r").alias("r"))
+    side = lambda k: by_comp.select("token", F.col("comp").alias(f"c{k}"), *[F.col(c).alias(f"{c}{k}") for c in "mnir"])
+    # components first: the room that any of their members have
+    met = side(1).join(side(2), "token").filter((F.col("c1") < F.col("c2")) & room(*map(F.col, ("n1", "n2", "i1", "i2", "r1", "r2")))) \
+        .select("token", "c1", "c2", "m1", "m2", "n2", "i2", "r2")
+    enough = (met.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("m1"), F.min("m2")).alias("least"))
+              .filter("shared >= least").select("c1", "c2"))
+    met = met.drop("m1", "m2").join(enough, ["c1", "c2"])
+    one = lambda i, c: entries.select("token", F.col("comp").alias(f"c{i}"), F.col("c").alias(c), *[F.col(x).alias(f"{x}{c}") for x in "nmir"])
+    # then the members of one side that have room against the other component
+    some = met.join(one(1, "x"), ["token", "c1"]).filter(room(*map(F.col, ("nx", "n2", "ix", "i2", "rx", "r2")))).drop("n2", "i2", "r2")
+    pairs = (some.join(one(2, "y"), ["token", "c2"])
+             .filter(can_link(*map(F.col, ("nx", "ny", "ix", "iy", "rx", "ry")))))
     return (pairs.groupBy("x", "y", "mx", "my").agg(F.count(F.lit(1)).alias("shared"))
             .filter(F.col("shared") >= F.least("mx", "my")).select("x", "y"))
 
@@ -309,32 +345,38 @@ def cross_pairs(entries: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n (shingles), component of each row, and ``h``, ``grp``: hash of the
     text and inner id of the component (null without words)."""
-    rows = scratch(signed(docs, key, text, frequencies(docs, text)), "join-sets")
+    table = Scratch(docs.sparkSession)
+    rows = table(signed(docs, key, text, frequencies(docs, text)), "join-sets")
     no_key = F.lit(NO_KEY) + F.shiftrightunsigned(F.xxhash64("a", "b", "n"), 3)
     reps = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("key").cast("bigint").alias("rep"))
-    reps = scratch(reps.withColumn("c", F.coalesce("rep", no_key)).drop("rep"), "join-classes")
-    described = rows.filter("tokens is not null").select("a", "b", "n", "m", "tokens", "set").dropDuplicates(["a", "b", "n"])
-    classes = scratch(described.join(reps, ["a", "b", "n"]).select("c", "n", "m", "tokens", "set"), "join-described")
-    entries = classes.select("c", "n", "m", F.explode("tokens").alias("token"))
-    entries = scratch(apart(labelled(entries, None)).drop("comp"), "join-entries")
+    reps = table(reps.withColumn("c", F.coalesce("rep", no_key)).drop("rep"), "join-classes")
+    described = rows.filter("tokens is not null").select("a", "b", "n", "m", "w", "tokens", "set").dropDuplicates(["a", "b", "n"])
+    classes = table(described.join(reps, ["a", "b", "n"]).select("c", "n", "m", "w", "tokens", "set"), "join-described")
+    # tokens stand in order, so their index is the number of shared ones before
+    entries = classes.select("c", "n", "m", "w", F.posexplode("tokens").alias("i", "token"))
+    entries = entries.withColumn("r", F.col("w") - F.col("i")).drop("w")
+    entries = table(apart(labelled(entries, None)).drop("comp"), "join-entries")
     links, comps = None, None
     for turn in range(ROUNDS + 1):
         left = apart(labelled(entries, comps))
         pairs = star_pairs(left, turn) if turn < ROUNDS else cross_pairs(left)
-        found = scratch(verified(pairs, classes), "join-found")
+        found = table(verified(pairs, classes), "join-found")
         links = found if links is None else links.union(found)
-        comps = components(links)
+        comps = components(links, table)
     of = reps.join(comps, "c", "left").select("a", "b", "n", F.coalesce("comp", "c").alias("comp"))
     # a class that fills a third of the rows makes the rows' side skewed: AQE splits it
     out = rows.select("key", "h", "a", "b", "n").join(of, ["a", "b", "n"], "left")
-    return out.select("key", "h", "n", F.col("comp").alias("grp"), F.when(F.col("n") == 0, F.col("key")).when(F.col("comp") < NO_KEY, F.col("comp")).alias("component"))
+    component = F.when(F.col("n") == 0, F.col("key")).when(F.col("comp") < NO_KEY, F.col("comp"))
+    out = scratch(out.select("key", "h", "n", F.col("comp").alias("grp"), component.alias("component")), "join-components")
+    table.drop()
+    return out
 
 
 def one_of_each(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps one: that
     with the smallest key (of equal keys, the smallest text hash). Rows without
     words all stay."""
-    rows = scratch(similar(docs, key, text).select("key", "h", "grp"), "join-groups")
+    rows = similar(docs, key, text).select("key", "h", "grp")
     first = F.struct(F.col("key").isNull().alias("no"), "key", "h")
     kept = rows.filter("grp is not null").groupBy("grp").agg(F.min(first).alias("f")).select("f.key", "f.h")
     alone = rows.filter("grp is null").select("key", "h").distinct()
