@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORDS
 
-SAMPLES = 24
+SAMPLES = 32
 RANGE_ROWS = 1_000          # documents in a range, about; more beyond MAX_RANGES ranges
 MAX_RANGES = 1_000
 
@@ -137,7 +137,7 @@ def with_next(signed: DataFrame) -> DataFrame:
     heads = signed.filter("rn = 1").select(F.col("part").alias("after"), F.col("fp").alias("head"))
     heads = next_part(signed.filter("rn = 1").select("part")).join(heads, "after").select(F.col("part").alias("p2"), "head")
     order = Window.partitionBy("part").orderBy("rn")
-    # at most MAX_RANGES + 1 fingerprints of 16 numbers
+    # at most MAX_RANGES + 1 fingerprints
     return (signed.withColumn("follow", F.lead("fp").over(order))
             .join(F.broadcast(heads), F.col("part") == F.col("p2"), "left")
             .withColumn("nfp", F.coalesce("follow", "head")).drop("follow", "head", "p2"))

@@ -89,3 +89,9 @@ def test_likeness_follows_brute_force(spark):
     out = queries()["op8_weighted_sampling"](spark, sf).collect()
     assert abs(np.mean([r["near_next"] - want[r["doc_id"]] for r in out])) < 0.02
     assert abs(np.mean([r["near_edited"] - edit[r["doc_id"]] for r in out])) < 0.03
+
+
+def test_likeness_in_steps_of_a_32nd_at_most(spark, tmp_path):
+    r = run(spark, tmp_path, [(1, " ".join(f"w{i}" for i in range(60))), (2, "other words")])[0]
+    assert len(r["fingerprint"]) >= 32 * 16 and len(r["edited_fingerprint"]) == len(r["fingerprint"])
+    assert (r["near_edited"] * (len(r["fingerprint"]) // 16)).is_integer()
