@@ -7,7 +7,9 @@ its parent domain in both directions. Trust is a personalised PageRank from
 the hosts whose urls an allow rule fits, along the edges; distrust is one from
 the hosts that a block rule fits, against the edges: whoever links to a bad
 host is suspect. A host is blocked when its distrust exceeds ``threshold``
-times its trust.
+times its trust. Both are iterated until a step adds less than ``TOLERANCE``;
+what hosts without edges would pass on returns to the seeds, so both sum to one
+whole (``spread_from`` is the plain loop with a fixed number of steps).
 
 Scores are integers (units of 1e-15 of the whole), so sums do not depend on the
 order in which a shuffle delivers them. Edges are summed per host pair before
@@ -33,6 +35,8 @@ LINK = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
 UNIT = 10 ** 15
 DAMPING = 0.85
 STEPS = 12
+TOLERANCE = UNIT // 10 ** 9
+WRITE_STEPS = 6             # steps between two written scores
 DOMAIN_TIE = 0.1            # weight of a subdomain tie against the links of the host
 THRESHOLD = 1.0
 HOST_ROWS = 100_000         # largest host table that is broadcast
@@ -75,7 +79,7 @@ def with_domains(links: DataFrame, hosts: DataFrame, tie: float = DOMAIN_TIE) ->
     up = hosts.union(links.select("dst")).distinct().toDF("host")
     labels = F.size(F.split("host", r"\."))
     chain = up.filter(labels > 2).select("host", F.explode(F.sequence(F.lit(0), labels - 3)).alias("i"))
-    part = lambda i: F.array_join(F.slice(F.split("host", r"\."), i + 1, F.lit(64)), ".")
+    part = lambda i: F.array_join(F.slice(F.split("host", r"\."), i + 1, F.size(F.split("host", r"\."))), ".")
     ups = chain.select(part(F.col("i")).alias("src"), part(F.col("i") + 1).alias("dst")).distinct()
     both = ups.union(ups.select("dst", "src"))
     out_links = links.groupBy("src").agg(F.sum("n").alias("all"))
@@ -88,8 +92,8 @@ def with_domains(links: DataFrame, hosts: DataFrame, tie: float = DOMAIN_TIE) ->
 def spread_from(seeds: DataFrame, graph: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank: seeds(host, mass), graph(src, dst, share) -> host, score.
 
-    share: part of the source's score that the edge carries. What is not passed
-    on (no edges) returns to the seeds as the undamped part does.
+    share: part of the source's score that the edge carries. Of a host without
+    edges only the seeds' undamped part is kept; ``settled`` returns the rest.
     """
     seeds = scratch(seeds, "rank-seeds")
     score = seeds.select("host", F.col("mass").alias("score"))
@@ -104,6 +108,33 @@ def spread_from(seeds: DataFrame, graph: DataFrame, steps: int = STEPS, damping:
     return score
 
 
+def settled(seeds: DataFrame, graph: DataFrame, damping: float = DAMPING, tolerance: int = TOLERANCE) -> DataFrame:
+    """Converged personalised PageRank: seeds(host, mass), graph(src, dst, share) -> host, score.
+
+    Hosts without outgoing edges return their damped score to the seeds. That
+    only multiplies all scores by one number, so it is done once, at the end:
+    the scores are scaled to sum to the seeds' mass. Scores begin at the seeds'
+    undamped part; every step is monotone in whole numbers, so totals only grow
+    and what they grow by is the summed change.
+    """
+    seeds = scratch(seeds, "rank-seeds")
+    total = seeds.agg(F.sum("mass")).first()[0]         # one number
+    back = seeds.select("host", F.floor(F.col("mass") * F.lit(1 - damping)).cast("bigint").alias("score"))
+    if not total:
+        return back
+    score, n, before = back, graph.count(), 0
+    while True:
+        for _ in range(WRITE_STEPS):
+            moved = (graph.join(broadcast_under(score, n, HOST_ROWS), F.col("src") == F.col("host"))
+                     .select(F.col("dst").alias("host"), F.floor(F.col("score") * F.col("share") * F.lit(damping)).cast("bigint").alias("score")))
+            score = moved.unionByName(back).groupBy("host").agg(F.sum("score").alias("score"))
+        score = scratch(score, "rank-scores")           # cuts the growing lineage
+        now = score.agg(F.sum("score")).first()[0]
+        if now - before < tolerance:
+            return score.select("host", F.floor(F.col("score") * F.lit(total / max(1, now))).cast("bigint").alias("score"))
+        before = now
+
+
 def host_scores(pages: DataFrame) -> DataFrame:
     """pages(host, verdict, html) -> host, trust, distrust (units of UNIT)."""
     hosts = pages.filter("host <> ''").groupBy("host").agg(
@@ -122,8 +153,8 @@ def host_scores(pages: DataFrame) -> DataFrame:
         all_w = g.groupBy("src").agg(F.sum("w").alias("all"))
         return scratch(g.join(all_w, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")), "host-shares")
 
-    trust = spread_from(seeds("good"), shares("src", "dst")).withColumnRenamed("score", "trust")
-    distrust = spread_from(seeds("bad"), shares("dst", "src")).withColumnRenamed("score", "distrust")
+    trust = settled(seeds("good"), shares("src", "dst")).withColumnRenamed("score", "trust")
+    distrust = settled(seeds("bad"), shares("dst", "src")).withColumnRenamed("score", "distrust")
     return trust.join(distrust, "host", "full").select(
         "host", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
 

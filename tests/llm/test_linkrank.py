@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from arborform.llm.linkrank import edges, host_scores, judge, spread_from
+from arborform.llm.linkrank import UNIT, edges, host_scores, judge, settled, spread_from
 
 
 def pages(spark, rows):
@@ -63,3 +63,22 @@ def test_edges_and_repeats_and_clashes(spark):
 def test_empty_table(spark):
     assert judge(pages(spark, []), "url", "html").count() == 0
     assert host_scores(spark.createDataFrame([], "host string, verdict string, html string")).count() == 0
+
+
+def test_distrust_reaches_hosts_more_than_twelve_links_away(spark):
+    rows = [(0, "http://h0.com/de/", "")] + [(i, f"http://h{i}.com/x", f'<a href="http://h{i - 1}.com/">') for i in range(1, 21)]
+    got = {r["page_id"]: r["_verdict"] for r in judge(pages(spark, rows), "url", "html").collect()}
+    assert got == {i: "block" for i in range(21)}
+
+
+def test_no_mass_is_lost_to_hosts_without_links(spark):
+    g = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.5), ("c", "a", 1.0)], "src string, dst string, share double")
+    s = spark.createDataFrame([("a", 7 * UNIT // 10), ("d", 3 * UNIT // 10)], "host string, mass bigint")
+    got = {r["host"]: r["score"] / UNIT for r in settled(s, g).collect()}
+    want, seed = {}, {"a": 0.7, "d": 0.3}
+    for _ in range(300):
+        lost = want.get("b", 0) + want.get("d", 0)
+        want = {"a": 0.85 * want.get("c", 0), "b": 0.425 * want.get("a", 0), "c": 0.425 * want.get("a", 0), "d": 0}
+        for h, m in seed.items():
+            want[h] += m * (0.15 + 0.85 * lost)
+    assert all(abs(got[h] - want[h]) < 1e-7 for h in want) and abs(sum(got.values()) - 1) < 1e-7
