@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_decontaminate, q_interleave, q_jaccard_join, q_language, q_linkrank, q_mixing, q_secrets, q_token_table, q_toxicity, q_weighted_sampling
+from . import q_bpe_trie, q_decontaminate, q_interleave, q_jaccard_join, q_language, q_linkrank, q_mixing, q_secrets, q_token_table, q_toxicity, q_weighted_sampling
 
 
 def _all():
@@ -15,7 +15,8 @@ def _all():
             "op7_interleave": (q_interleave.op7_interleave, q_interleave.SQL),
             "op8_weighted_sampling": (q_weighted_sampling.op8_weighted_sampling, None),
             "op9_decontaminate": (q_decontaminate.op9_decontaminate, None),
-            "op10_mixing": (q_mixing.op10_mixing, q_mixing.SQL)}
+            "op10_mixing": (q_mixing.op10_mixing, q_mixing.SQL),
+            "op12_bpe_trie": (q_bpe_trie.op12_bpe_trie, None)}
 
 
 def queries():
