@@ -33,10 +33,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+    def __call__(self, df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
         path = fresh_subdir(self.spark, name)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_bpe_trie, q_decontaminate, q_interleave, q_jaccard_join, q_language, q_linkrank, q_mixing, q_secrets, q_token_table, q_toxicity, q_weighted_sampling
+from . import q_alignment, q_bpe_trie, q_decontaminate, q_interleave, q_jaccard_join, q_language, q_linkrank, q_mixing, q_secrets, q_spelling, q_token_table, q_toxicity, q_weighted_sampling
 
 
 def _all():
@@ -16,7 +16,9 @@ def _all():
             "op8_weighted_sampling": (q_weighted_sampling.op8_weighted_sampling, None),
             "op9_decontaminate": (q_decontaminate.op9_decontaminate, None),
             "op10_mixing": (q_mixing.op10_mixing, q_mixing.SQL),
-            "op12_bpe_trie": (q_bpe_trie.op12_bpe_trie, None)}
+            "op11_spelling": (q_spelling.op11_spelling, q_spelling.SQL),
+            "op12_bpe_trie": (q_bpe_trie.op12_bpe_trie, None),
+            "op13_alignment": (q_alignment.op13_alignment, None)}
 
 
 def queries():

@@ -12,7 +12,8 @@ single space or line break between other characters, nor from an ASCII letter
 to a mark other than the apostrophe. The text is cut there; the
 pieces of a block are made distinct, only pieces not met before go through the
 tokenizer, and the ids are put together in arrays. Texts with other white space
-than ASCII's, and tokenizers of other kinds, are encoded whole.
+than ASCII's, and tokenizers of other kinds, are encoded whole, and so are texts that hold the string
+of an added token.
 
 Defined results: a null text is the empty text (the end id alone); a null key
 comes first; equal keys are ordered by the hash of the text; an empty table
@@ -45,12 +46,15 @@ OTHER_SPACE = re.compile(rb"[\x00\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80
 class Encoder:
     """Texts to ids, equal to the tokenizer's own on each whole text."""
 
-    def __init__(self, source: str, end_id: int):
+    def __init__(self, source: str, end_id: int, special: bool = True):
+        """``special``: strings of added tokens in a text become those tokens,
+        as in the library's own call; else they are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.t = Tokenizer.from_str(source)
-        self.t.encode_special_tokens = True             # their strings are ordinary text
+        self.t.encode_special_tokens = not special
         conf = json.loads(source)
+        self.added = [a["content"].encode() for a in conf.get("added_tokens") or []] if special else []
         pre = conf.get("pre_tokenizer") or {}
         self.pieces = (conf.get("normalizer") is None and pre.get("type") == "ByteLevel"
                        and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
@@ -91,6 +95,7 @@ class Encoder:
         edge = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
         rare = np.unique(np.searchsorted(edge, np.flatnonzero(kind == 8), side="right") - 1).tolist()
         odd = set(range(len(raw))) if not self.pieces else {i for i in rare if OTHER_SPACE.search(raw[i])}
+        odd |= {i for i, b in enumerate(raw) if any(a in b for a in self.added)}
         own = dict(zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)])))
         # every text stands behind a zero byte, which is a piece of its own: its end id
         data = b"".join(b"\0" + (b"" if i in odd else b) for i, b in enumerate(raw)) + b"\0"

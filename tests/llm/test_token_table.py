@@ -15,9 +15,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def tok():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
+
+
+def test_special_strings_as_the_library_takes_them(tok):
+    source = open(PATH, encoding="utf-8").read()
+    assert Encoder(source, 2).encode(["a<|endoftext|>b"])[0].tolist() == tok.encode("a<|endoftext|>b", add_special_tokens=False).ids + [2]
+    assert 50256 not in Encoder(source, 2, special=False).encode(["a<|endoftext|>b"])[0].tolist()
 
 
 def test_pieces_equal_whole_texts(tok):
