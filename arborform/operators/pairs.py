@@ -1,4 +1,4 @@
-"""C11 pair features, E6 pair vectors, E7 pair classifier."""
+"""C11 pair features and E6 pair vectors (E7, the classifier on them, is in ``pair_model``)."""
 
 from __future__ import annotations
 
@@ -70,28 +70,3 @@ def pair_vector(left: DataFrame, right: DataFrame, key: str = "pair_id",
     keep = lambda df, name: df.filter(F.col("pos") == 0).drop("pos").withColumnRenamed(vec, name)
     return (keep(left, "_v1").join(keep(right, "_v2"), key)
             .withColumn("pair_vec", F.concat("_v1", "_v2")).drop("_v1", "_v2"))
-
-
-def fit_pairs(df: DataFrame, features_col: str = "pair_vec", label: str = "labels",
-              seed: int = 0, max_iter: int = 50):
-    """E7 fit: MLP classifier with layers 2d, 2d, d, 2 (distributed L-BFGS)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
-    dim = len(df.select(features_col).first()[0])
-    d = dim // 2
-    data = df.select(array_to_vector(features_col).alias("features"),
-                     F.col(label).cast("double").alias("label"))
-    mlp = MultilayerPerceptronClassifier(layers=[dim, 2 * d, d, 2], seed=seed, maxIter=max_iter,
-                                         featuresCol="features", labelCol="label")
-    return mlp.fit(data)
-
-
-def score_pairs(model, df: DataFrame, key: str = "pair_id", features_col: str = "pair_vec",
-                label: str = "labels") -> DataFrame:
-    """E7 score: predicted class and the two logits-like class scores."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    data = df.select(key, F.col(label).cast("int").alias(label),
-                     array_to_vector(features_col).alias("features"))
-    out = model.transform(data)
-    return out.select(key, label, F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array("rawPrediction").alias("scores"))

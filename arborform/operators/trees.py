@@ -10,7 +10,6 @@ Conventions (kept from the feature format):
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -20,12 +19,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.batches import ship_package_by_value
 from ..session import written
+from .listrank import BASE, list_rank
+from .markup import BLANK_CHARS, MARKUP_PATTERN, NEST_TAGS, RAW_PATTERN, TAG_NAME_PATTERN, markup_walk  # noqa: F401
 
 # Token patterns (Java and RE2 read them the same way).
 # A token is a run of letters, digits and '_' or one other non-space character.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\r\f\x0B]"
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
-BLANK_CHARS = " \t\n\r\f\u000b"
 
 LEAF_TYPE = "array<struct<token:string,depth:int,sib:int>>"
 
@@ -79,80 +79,17 @@ def layout_leaves(df: DataFrame, key: str, col: str,
 # B1: markup tree
 # --------------------------------------------------------------------------
 
-# The markup token pattern and the default nesting tags.
-# Raw blocks (script, style), comments and declarations are single tokens so
-# that tags written inside them are not read as structure; a '>' inside a quoted
-# attribute does not end a tag.
-MARKUP_PATTERN = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-                  r"|<!--.*?-->|<![^>]*>|</?[a-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|</?[a-z][^>]*>|[^<]+|<")
-RAW_PATTERN = r"(?is)^<(script|style)\b.*</(script|style)\s*>$"
-TAG_NAME_PATTERN = r"^</?([A-Za-z][A-Za-z0-9]*)"
-NEST_TAGS = ("html", "head", "title", "body", "nav", "ul", "li", "a", "div",
-             "article", "footer", "h1")
-
-
-def markup_walk(text: str, tags: frozenset, patterns) -> tuple[list[tuple[str, int, int]], int, int]:
-    """Leaves (token, depth, sib) of one page, stray closes, unclosed opens.
-
-    Nesting tags make nodes; text, raw blocks and self-closed nesting tags are
-    leaves; comments, declarations, blank text and other tags are passed over. A
-    close tag ends the latest open tag of its name and those inside it; without
-    one it is passed over (a stray close). What is open at the end ends there.
-    """
-    token, raw, name_of = patterns
-    leaves, path, top, stray = [], [], 0, 0          # path: [name, sib, token, children]
-
-    def place():
-        nonlocal top
-        if path:
-            path[-1][3] += 1
-            return path[-1][3] - 1
-        top += 1
-        return top - 1
-
-    def end():
-        name, sib, tok, children = path.pop()
-        if not children:
-            leaves.append((tok, len(path), sib))
-    for tok in token.findall(text):
-        if tok.startswith("<!"):
-            continue
-        found = None if raw.match(tok) else name_of.match(tok)
-        name = found[1].lower() if found else ""
-        if name and name not in tags:
-            continue
-        if name and tok.startswith("</"):
-            if any(p[0] == name for p in path):
-                while path[-1][0] != name:
-                    end()
-                end()
-            else:
-                stray += 1
-        elif name and not tok.endswith("/>"):
-            path.append([name, place(), tok, 0])
-        elif name or tok.strip(BLANK_CHARS):
-            leaves.append((tok, len(path), place()))
-    unclosed = len(path)
-    while path:
-        end()
-    if not leaves:
-        leaves.append((text, 0, 0))                     # a page without nodes is its own leaf
-    return leaves, stray, unclosed
-
-
 def _walked(df: DataFrame, key: str, col: str, nest_tags: Iterable[str], rows, schema: str) -> DataFrame:
     """Run the page walk over Arrow batches; ``rows(key, leaves, stray, unclosed)``
     gives the output rows of a page. A null page is taken as empty."""
     ship_package_by_value()
     tags = frozenset(t.lower() for t in nest_tags)
-    source = (MARKUP_PATTERN, RAW_PATTERN, TAG_NAME_PATTERN)
 
     def run(batches):
-        patterns = [re.compile(p) for p in source]
         for batch in batches:
             out = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.extend(rows(k, *markup_walk(text or "", tags, patterns)))
+                out.extend(rows(k, *markup_walk(text or "", tags)))
             for i in range(0, len(out), 50_000):
                 cols = list(zip(*out[i:i + 50_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -167,7 +104,7 @@ def markup_leaves(df: DataFrame, key: str, col: str,
     """B1: nested markup -> (key, leaf_pos, token, depth, sib).
 
     A page is one value of the table and is walked where it lies, with a stack
-    of its open tags: no shuffle, time linear in the page. Every page has a
+    of its open tags (``markup``): no shuffle, time linear in the page. Every page has a
     leaf; ``markup_faults`` lists pages whose tags do not match.
     """
     def rows(k, leaves, stray, unclosed):
@@ -188,17 +125,85 @@ def markup_faults(df: DataFrame, key: str, col: str,
 # B2: parent-pointer node table
 # --------------------------------------------------------------------------
 
-def node_depths(nodes: DataFrame) -> DataFrame:
-    """Depth, root and path of every node reachable from a root.
+def numbered_nodes(nodes: DataFrame) -> DataFrame:
+    """(node_id, parent_id, num, sib, last, parent_num, first_kid): nodes numbered
+    by (parent, ord, node id), so the children of a parent have adjacent numbers.
+
+    The order is ranked over all parents (``splits.global_rank``), so a parent
+    with very many children is not ranked in one task; joins on the parent meet
+    one row of each, and AQE splits a hot one.
+    """
+    from .splits import global_rank
+    ranked = written(global_rank(nodes.select("parent_id", "ord", "node_id"), ["parent_id", "ord", "node_id"])
+                     .select("node_id", "parent_id", F.col("rank").alias("num")), "nodes")
+    kids = (ranked.filter(F.col("parent_id").isNotNull()).groupBy("parent_id")
+            .agg(F.min("num").alias("first_kid"), F.count(F.lit(1)).alias("kids")))
+    kids = written(kids.join(ranked.select(F.col("node_id").alias("parent_id"), F.col("num").alias("parent_num")), "parent_id", "left"), "kids")
+    out = ranked.join(kids.select("parent_id", F.col("first_kid").alias("_first"), F.col("kids").alias("_kids"), "parent_num"), "parent_id", "left")
+    own = kids.select(F.col("parent_id").alias("node_id"), "first_kid")
+    return (out.join(own, "node_id", "left")
+            .select("node_id", "parent_id", "num", F.coalesce(F.col("num") - F.col("_first"), F.lit(0)).cast("int").alias("sib"),
+                    (F.col("num") + 1 == F.col("_first") + F.col("_kids")).alias("last"), "parent_num", "first_kid"))
+
+
+def euler_tour(numbered: DataFrame) -> DataFrame:
+    """The walk down and up every node as list rows: entering node n is id 2n,
+    leaving it 2n + 1. Weights: nodes entered, depth gained, leaves entered."""
+    down_next = F.when(F.col("first_kid").isNotNull(), 2 * F.col("first_kid")).otherwise(2 * F.col("num") + 1)
+    up_next = F.when(F.col("parent_id").isNotNull(), F.when(F.col("last"), 2 * F.col("parent_num") + 1).otherwise(2 * F.col("num") + 2))
+    leaf = F.col("first_kid").isNull().cast("bigint")
+    one = lambda n: F.lit(n).cast("bigint")
+    down = F.struct((2 * F.col("num")).alias("id"), down_next.alias("next"), F.col("parent_id").isNull().alias("head"),
+                    one(1).alias("pre"), one(1).alias("depth"), leaf.alias("leaf"))
+    up = F.struct((2 * F.col("num") + 1).alias("id"), up_next.alias("next"), F.lit(False).alias("head"),
+                  one(0).alias("pre"), one(-1).alias("depth"), one(0).alias("leaf"))
+    return numbered.select(F.explode(F.array(down, up)).alias("e")).select("e.*")
+
+
+def node_order(nodes: DataFrame, base: int = BASE) -> DataFrame:
+    """(node_id, root_id, pre, depth, sib, leaf_pos) of every node that a root
+    leads to: its place in the pre-order of its tree, its depth, its sibling index
+    and, for leaves, its place among the tree's leaves (else null).
 
     nodes: (node_id, parent_id, ord, text), node_id unique; roots have a null
-    parent. Pointer doubling: each node holds the path from below some ancestor
-    to itself; a round joins the unfinished nodes with their ancestors' rows and
-    so doubles the paths, until all have reached a root. log2(depth) joins on the
-    node id, at any depth; a parent with very many children is a skewed key that
-    AQE splits. Orphans and nodes on cycles reach no root and are left out (see
-    ``unreached_nodes``): an orphan finds no ancestor row, and rounds end once
-    paths would be longer than there are nodes.
+    parent. The Euler tour is a linked list per tree; its running sums
+    (``listrank``) give places and depths, with storage linear in the nodes at any
+    depth. Orphans and nodes on cycles are on no list with a root at its head and
+    are left out (see ``unreached_nodes``).
+    """
+    numbered = written(numbered_nodes(nodes), "numbered")
+    ranks = list_rank(euler_tour(numbered), ["pre", "depth", "leaf"], base)
+    down = ranks.filter(F.col("id") % 2 == 0).select((F.col("id") / 2).cast("bigint").alias("num"), (F.col("root") / 2).cast("bigint").alias("_root"),
+                                                     "pre", "depth", "leaf")
+    roots = numbered.filter(F.col("parent_id").isNull()).select(F.col("num").alias("_root"), F.col("node_id").alias("root_id"))
+    return (down.join(numbered.select("num", "node_id", "sib", "first_kid"), "num").join(roots, "_root")
+            .select("node_id", "root_id", "pre", F.col("depth").cast("int").alias("depth"), "sib",
+                    F.when(F.col("first_kid").isNull(), F.col("leaf")).alias("leaf_pos")))
+
+
+def node_leaves(nodes: DataFrame, base: int = BASE) -> DataFrame:
+    """B2: (node_id, root_id, leaf_pos, depth, sib, text) for every leaf.
+
+    Sibling index = place among all children of the parent by ``ord`` (roots:
+    0). Leaves = nodes that are nobody's parent, in pre-order by ``leaf_pos``.
+    """
+    return (node_order(nodes, base).filter(F.col("leaf_pos").isNotNull()).join(nodes.select("node_id", "text"), "node_id")
+            .select("node_id", "root_id", "leaf_pos", "depth", "sib", "text"))
+
+
+def unreached_nodes(nodes: DataFrame, base: int = BASE) -> DataFrame:
+    """Nodes not reachable from any root: orphans and cycle members."""
+    return nodes.join(node_order(nodes, base).select("node_id"), "node_id", "left_anti")
+
+
+def node_paths(nodes: DataFrame) -> DataFrame:
+    """(node_id, root_id, depth, path): the ords from the root to every node that
+    a root leads to, for users who want the path itself.
+
+    The result holds a path per node, so it is as large as nodes x depth; places
+    and depths alone come from ``node_order``. Pointer doubling: each node holds
+    the path from below some ancestor to itself; a round joins the unfinished
+    nodes with their ancestors' rows and so doubles the paths.
     """
     state = written(nodes.select("node_id", F.col("parent_id").alias("up"),
                                  F.when(F.col("parent_id").isNull(), F.col("node_id")).alias("root_id"),
@@ -216,31 +221,6 @@ def node_depths(nodes: DataFrame) -> DataFrame:
             .select("node_id", "root_id", (F.size("path") - 1).alias("depth"), "path"))
 
 
-def node_leaves(nodes: DataFrame) -> DataFrame:
-    """B2: (node_id, root_id, depth, sib, path, text) for every leaf.
-
-    Sibling index = rank among all children of the parent by ``ord`` (roots:
-    0), with no parent ranked whole in one task (see ``splits.group_rank``).
-    Leaves = nodes that are nobody's parent (left anti join).
-    Pre-order = ascending ``path`` (array of ords from the root).
-    """
-    from .splits import group_rank
-    roots = nodes.filter(F.col("parent_id").isNull()).select("node_id", F.lit(0).alias("sib"), "text")
-    kids = group_rank(nodes.filter(F.col("parent_id").isNotNull()), "parent_id", "ord", "node_id", out="sib")
-    sib = roots.unionByName(kids.select("node_id", F.col("sib").cast("int").alias("sib"), "text"))
-    parents = nodes.filter(F.col("parent_id").isNotNull()) \
-                   .select(F.col("parent_id").alias("node_id")).distinct()
-    return (node_depths(nodes).join(parents, "node_id", "left_anti")
-                  .join(sib, "node_id")
-                  .select("node_id", "root_id", F.col("depth").cast("int").alias("depth"),
-                          "sib", "path", "text"))
-
-
-def unreached_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes not reachable from any root: orphans and cycle members."""
-    return nodes.join(node_depths(nodes).select("node_id"), "node_id", "left_anti")
-
-
 # --------------------------------------------------------------------------
 # Leaf rows -> aligned arrays
 # --------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind
+from ..session import written
 from .common import broadcast_under
 
 SOURCES = ("word", "type", "position", "depth", "sibling")
@@ -35,6 +36,40 @@ def lookup(rows: DataFrame, table: DataFrame, id_col: str, out_col: str,
     return out.withColumn(out_col, vec).drop("_vid", "_vec")
 
 
+def bucket_table(table: DataFrame, name: str, buckets: int, path: str, table_id: str = "vec_id", vec_col: str = "embedding") -> str:
+    """Write a vector table once, bucketed and sorted by id, as table ``name``
+    with its files under ``path``. Lookups in it do not move it again."""
+    (table.select(F.col(table_id).cast("bigint").alias("_vid"), F.col(vec_col).cast("array<double>").alias("_vec"))
+     .repartition(buckets, "_vid").write.bucketBy(buckets, "_vid").sortBy("_vid").option("path", path).saveAsTable(name))
+    return name
+
+
+def lookup_bucketed(rows: DataFrame, name: str, id_col: str, out_col: str, buckets: int, strict: bool = True, spread: int = 4) -> DataFrame:
+    """E1 for tables too large to broadcast: ``lookup`` in a table that
+    ``bucket_table`` wrote. Only the rows are exchanged.
+
+    An id that more than 1 / (spread * buckets) of the rows have would fill a
+    bucket's task. There are at most spread * buckets such ids: their vectors are
+    broadcast, and their rows stay where they are. ``rows`` is read twice.
+    """
+    spark = rows.sparkSession
+    table = spark.table(name)
+    keyed = rows.withColumn("_id", F.col(id_col).cast("bigint"))
+    counts = written(keyed.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.count(F.lit(1)).alias("n")), "id-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = written(counts.filter(F.col("n") * spread * buckets > total).select("_id"), "hot-ids")
+    # one row for each hot id, spread * buckets at most
+    vectors = written(table.join(F.broadcast(hot.withColumnRenamed("_id", "_vid")), "_vid").select("_vid", "_vec"), "hot-vectors")
+    often = keyed.join(F.broadcast(hot), "_id", "left_semi").join(F.broadcast(vectors), F.col("_id") == F.col("_vid"), "left")
+    rest = keyed.join(F.broadcast(hot), "_id", "left_anti").repartition(buckets, "_id").join(table.hint("merge"), F.col("_id") == F.col("_vid"), "left")
+    vec = F.col("_vec")
+    if strict:
+        gone = F.col("_vid").isNull() & F.col("_id").isNotNull()
+        vec = F.when(gone, F.raise_error(F.concat(F.lit(f"{id_col} outside its vector table: "), F.col("_id").cast("string")))).otherwise(vec)
+    one = lambda df: df.select(*[F.col(f"`{c}`") for c in rows.columns], vec.alias(out_col))
+    return one(often).unionByName(one(rest))
+
+
 def fuse(mode: str, word: Column, typ: Column, pos: Column, depth: Column, sib: Column,
          depth_on: Column, sib_on: Column, weights: dict | None = None) -> Column:
     """E2-E4 by name: ``sum``, ``weighted`` or ``concat``; another mode is an error."""
@@ -48,30 +83,33 @@ def fuse(mode: str, word: Column, typ: Column, pos: Column, depth: Column, sib:
     raise ValueError(f"no such fusion: {mode!r}")
 
 
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
 def _scale(v: Column, w: Column) -> Column:
     """v * w for a per-row scalar w (bound once, not re-evaluated per element)."""
     return F.element_at(F.transform(F.array(w.cast("double")),
                                     lambda s: F.transform(v, lambda x: x * s)), 1)
 
 
+def _sum(word: Column, typ: Column, pos: Column, depth: Column, sib: Column, depth_on: Column, sib_on: Column,
+         weight: dict) -> Column:
+    """One pass over the values: every value of the result reads its place in
+    the five arrays, which are columns of the row (no array is built between).
+    A null vector gives nulls."""
+    w = lambda k, x: x if weight.get(k, 1.0) == 1.0 else x * F.lit(float(weight[k]))
+    on = lambda k, v, flag: w(k, v * flag.cast("double"))
+    return F.transform(word, lambda x, i: w("word", x) + w("type", typ[i]) + w("position", pos[i])
+                       + on("depth", depth[i], depth_on) + on("sibling", sib[i], sib_on))
+
+
 def fuse_sum(word: Column, typ: Column, pos: Column, depth: Column, sib: Column,
              depth_on: Column, sib_on: Column) -> Column:
     """Word + type + position + depth * depth_on + sibling * sib_on."""
-    return _add(_add(_add(_add(word, typ), pos), _scale(depth, depth_on)), _scale(sib, sib_on))
+    return _sum(word, typ, pos, depth, sib, depth_on, sib_on, {})
 
 
 def fuse_weighted(word: Column, typ: Column, pos: Column, depth: Column, sib: Column,
                   depth_on: Column, sib_on: Column, weights: dict) -> Column:
     """One scalar weight per source; the tree vectors are masked first."""
-    w = {k: F.lit(float(weights.get(k, 1.0))) for k in SOURCES}
-    return _add(_add(_add(_add(_scale(word, w["word"]), _scale(typ, w["type"])),
-                          _scale(pos, w["position"])),
-                     _scale(_scale(depth, depth_on), w["depth"])),
-                _scale(_scale(sib, sib_on), w["sibling"]))
+    return _sum(word, typ, pos, depth, sib, depth_on, sib_on, weights)
 
 
 def fuse_concat(word: Column, typ: Column, pos: Column, depth: Column, sib: Column,

@@ -7,16 +7,19 @@ the oracle comparison is unambiguous (see ``plans.oracle``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import int_text, num_text, text_join
+from ..functions.arrays import bind, int_text, num_text, text_join
 from ..functions.batches import map_batches
 from ..functions.draw import draw, draw_int
 from ..operators import masking, metrics, pairs, sequence as seq, splits, vectors
+from ..operators.pair_model import fit_pairs, score_pairs
 from ..operators.shape import exclude_lang, keep_features, model_columns, split_sizes, unsupported
 from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, layout_leaves,
-                               leaf_arrays, markup_leaves, node_leaves)
+                               leaf_arrays, markup_leaves, node_leaves, node_order, node_paths)
 from ..operators.vocab import build_vocab, to_ids, vocab_bound
 from ..session import fresh_subdir, written
 from ..sources.tables import read_split, read_table, spread, write_features
@@ -113,8 +116,8 @@ def q_markup_features(spark, d):
 
 def q_node_features(spark, d):
     """C9 over the node table (B2): one row per root, leaves in pre-order."""
-    n = written(node_leaves(node_table(spark, d)).select("root_id", "path", F.col("text").alias("token"), "depth", "sib"), "leaves")
-    f = seq.features_from_leaves(n, leaf_vocab(n), "root_id", P.SEQ_LEN, vocab_rows=vocab_bound(P.VOCAB_SIZE), order="path")
+    n = written(node_leaves(node_table(spark, d)).select("root_id", "leaf_pos", F.col("text").alias("token"), "depth", "sib"), "leaves")
+    f = seq.features_from_leaves(n, leaf_vocab(n), "root_id", P.SEQ_LEN, vocab_rows=vocab_bound(P.VOCAB_SIZE), order="leaf_pos")
     return as_text(f, seq.FEATURE_COLS)
 
 
@@ -167,8 +170,8 @@ def q_model_columns_base(spark, d):
 
 
 def q_model_columns_tree(spark, d):
-    return as_text(model_columns(source_frame(spark, d).filter(F.col("lang") == P.EXCLUDED_LANG), "doc_id", tree=True),
-                   seq.FEATURE_COLS)
+    """A5 with the tree switch on: all five columns of every document."""
+    return as_text(model_columns(source_frame(spark, d), "doc_id", tree=True), seq.FEATURE_COLS)
 
 
 def q_feature_sink(spark, d):
@@ -226,8 +229,19 @@ def node_table(spark, d):
 
 
 def q_node_leaves(spark, d):
-    out = node_leaves(node_table(spark, d))
-    return out.withColumn("path", int_text(F.col("path")))
+    return node_leaves(node_table(spark, d))
+
+
+def q_node_order(spark, d):
+    """B2 for every node: pre-order, depth, sibling index, place among the leaves."""
+    return node_order(node_table(spark, d))
+
+
+def q_node_paths(spark, d):
+    """Leaves with the path of ords from their root."""
+    nodes = node_table(spark, d)
+    out = node_paths(nodes).join(node_leaves(nodes).select("node_id", "sib", "text"), "node_id")
+    return out.select("node_id", "root_id", "depth", "sib", int_text(F.col("path")).alias("path"), "text")
 
 
 def q_leaf_arrays(spark, d):
@@ -396,6 +410,14 @@ def q_lookup(spark, d):
     return t.select("doc_id", "pos", srcs).select("doc_id", "pos", "x.source", "x.id", vec_digest(F.col("x.vec")).alias("vec"))
 
 
+def q_lookup_bucketed(spark, d):
+    """E1 of the word vectors from a table bucketed by id."""
+    name = "vectors_" + uuid.uuid4().hex
+    vectors.bucket_table(vector_table(spark, d, "word"), name, P.BUCKETS, fresh_subdir(spark, "buckets"), table_id="id")
+    t = vectors.lookup_bucketed(token_slots(spark, d).select("doc_id", "pos", "word_id"), name, "word_id", "vec", P.BUCKETS)
+    return t.select("doc_id", "pos", F.col("word_id").alias("id"), vec_digest(F.col("vec")).alias("vec"))
+
+
 def q_fuse_sum(spark, d):
     return _fused(spark, d, "sum")
 
@@ -424,20 +446,40 @@ def q_pair_vector(spark, d):
     return emb_pairs(spark, d).select("pair_id", num_text(F.col("pair_vec")).alias("pair_vec"), "labels")
 
 
+def document_vectors(spark, d):
+    """(doc_id, lang, vec): shares of a document's vocabulary ids by id modulo
+    the vector's width, over all kept positions. Stands in for a model's
+    first-position vector of a text."""
+    f = source_frame(spark, d).select("doc_id", "lang", F.explode(F.filter("input_ids", lambda x: x > 4)).alias("id"))
+    n = f.groupBy("doc_id", "lang", (F.col("id") % P.DOC_DIM).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(P.DOC_DIM - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double"))
+    per = n.groupBy("doc_id", "lang").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sum("n").alias("all"))
+    return per.select("doc_id", "lang", bind(F.col("all"), lambda a: F.transform(places, lambda x: x / a)).alias("vec"))
+
+
+def doc_pairs(spark, d):
+    """Pairs (document i, document i + 1); similar = same language."""
+    v = written(document_vectors(spark, d), "doc-vectors")
+    side = lambda key, name: v.select(key.alias("pair_id"), F.lit(0).alias("pos"), "vec", F.col("lang").alias(name))
+    pv = pairs.pair_vector(side(F.col("doc_id"), "l1"), side(F.col("doc_id") - 1, "l2"))
+    return pv.select("pair_id", "pair_vec", F.col("l1").eqNullSafe(F.col("l2")).cast("int").alias("labels"))
+
+
 def pair_scores(spark, d):
-    """E7 held out: fitted on the train part, scored on the test part."""
-    data = splits.assign_split(emb_pairs(spark, d), "pair_id", P.SEED)
-    model = pairs.fit_pairs(data.filter(F.col("split") == "train"), seed=P.SEED, max_iter=30)
-    return pairs.score_pairs(model, data.filter(F.col("split") == "test"))
+    """E7 held out: fitted on the train part, the epoch chosen on the validation
+    part, scored on the test part."""
+    data = written(splits.assign_split(doc_pairs(spark, d), "pair_id", P.SEED), "pairs")
+    part = lambda name: data.filter(F.col("split") == name)
+    return score_pairs(fit_pairs(part("train"), part("validation"), seed=P.SEED), part("test"))
 
 
 def q_pair_classify(spark, d):
-    """The test pairs with their labels; each has a predicted class."""
-    return pair_scores(spark, d).select("pair_id", "labels", F.col("prediction").isin(0, 1).alias("scored"))
+    """Predicted class and class scores of the test pairs (a fitted model: no SQL)."""
+    return pair_scores(spark, d).select("pair_id", "labels", "prediction", num_text(F.col("scores")).alias("scores"))
 
 
 def q_pair_macro(spark, d):
-    """Macro averages over the test pairs (a fitted model: rows only)."""
+    """Macro averages over the test pairs (a fitted model: no SQL)."""
     return metrics.macro(metrics.class_report(pair_scores(spark, d), "labels", "prediction"))
 
 
@@ -550,6 +592,8 @@ QUERIES = {
     # B: tree walks
     "markup_leaves": q_markup_leaves,
     "node_leaves": q_node_leaves,
+    "node_order": q_node_order,
+    "node_paths": q_node_paths,
     "layout_leaves": q_layout_leaves,
     "leaf_arrays": q_leaf_arrays,
     # C: sequence features
@@ -578,6 +622,7 @@ QUERIES = {
     "scored": q_scored,
     # E: vectors
     "lookup": q_lookup,
+    "lookup_bucketed": q_lookup_bucketed,
     "fuse_sum": q_fuse_sum,
     "fuse_weighted": q_fuse_weighted,
     "fuse_concat": q_fuse_concat,

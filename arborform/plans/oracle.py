@@ -266,8 +266,7 @@ def more_queries(S: dict) -> None:
     S["keep_features"] = f"{every} SELECT doc_id, {FEATURE_TEXT} FROM feats"
     S["model_columns_base"] = f"""{every} SELECT doc_id, {txt('input_ids')}, {txt('attention_mask')}
         FROM feats"""
-    S["model_columns_tree"] = f"""{every} SELECT doc_id, {FEATURE_TEXT} FROM feats JOIN documents USING (doc_id)
-        WHERE documents.lang = {q(P.EXCLUDED_LANG)}"""
+    S["model_columns_tree"] = f"{every} SELECT doc_id, {FEATURE_TEXT} FROM feats"
     S["feature_sink"] = f"""{FEAT} SELECT doc_id, {split_expr()} AS split, {FEATURE_TEXT} FROM feats"""
     half = f"""(SELECT doc_id, {half_draw()} AS d,
           CASE WHEN row_number() OVER (ORDER BY {half_draw()}, doc_id) - 1 < floor(count(*) OVER () / 2)
@@ -311,7 +310,7 @@ def more_queries(S: dict) -> None:
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS leaf_pos,
              token, CAST(depth AS INTEGER) AS depth, sib FROM sb WHERE is_leaf
       UNION ALL SELECT page_id, 0, coalesce(html, ''), 0, 0 FROM pages WHERE page_id NOT IN (SELECT page_id FROM sb WHERE is_leaf)"""
-    S["node_leaves"] = """WITH RECURSIVE nodes AS (
+    S["node_paths"] = """WITH RECURSIVE nodes AS (
         SELECT CAST(r_regionkey AS BIGINT) * 4 AS node_id, CAST(NULL AS BIGINT) AS parent_id,
                CAST(r_regionkey AS BIGINT) AS ord, r_name AS text FROM region
         UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 4 + 1, CAST(n_regionkey AS BIGINT) * 4,
@@ -328,10 +327,15 @@ def more_queries(S: dict) -> None:
              array_to_string(w.path, ',') AS path, s.text
       FROM walk w JOIN sibs s ON w.node_id = s.node_id
       WHERE w.node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL)"""
+    paths = "list_transform(string_split(path, ','), lambda x: x::BIGINT)"
+    S["node_leaves"] = f"""SELECT node_id, root_id, row_number() OVER (PARTITION BY root_id ORDER BY {paths}) - 1 AS leaf_pos, depth, sib, text
+        FROM ({S['node_paths']})"""
+    # every node, whether it has children or not
+    S["node_order"] = f"""SELECT node_id, root_id, row_number() OVER (PARTITION BY root_id ORDER BY {paths}) - 1 AS pre, depth, sib,
+        CASE WHEN leaf THEN count(*) FILTER (WHERE leaf) OVER (PARTITION BY root_id ORDER BY {paths} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 END AS leaf_pos
+        FROM ({S['node_paths'].replace("array_to_string(w.path, ',') AS path, s.text", "array_to_string(w.path, ',') AS path, w.node_id NOT IN (SELECT parent_id FROM nodes WHERE parent_id IS NOT NULL) AS leaf").rsplit('WHERE w.node_id NOT IN', 1)[0]})"""
     S["markup_features"] = leaf_features(S["markup_leaves"], "page_id")
-    S["node_features"] = leaf_features(f"""SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY
-        list_transform(string_split(path, ','), lambda x: x::BIGINT)) - 1 AS leaf_pos, text AS token, depth, sib
-        FROM ({S['node_leaves']})""", "root_id")
+    S["node_features"] = leaf_features(f"SELECT root_id, leaf_pos, text AS token, depth, sib FROM ({S['node_leaves']})", "root_id")
     S["leaf_arrays"] = f"""WITH {docs_cte(False)}, {leaf_rows_cte()}
         SELECT doc_id, array_to_string(list(token ORDER BY leaf_pos), chr(31)) AS tokens,
           array_to_string(list(1 ORDER BY leaf_pos), ',') AS tree_mask,
@@ -407,6 +411,7 @@ def more_queries(S: dict) -> None:
     srcs = " UNION ALL ".join(f"SELECT doc_id, pos, '{x}' AS source, CAST({x}_id AS INTEGER) AS id, {digest_sql(f'{x}_vec')} AS vec FROM tv"
                               for x in ("word", "type", "position", "depth", "sibling"))
     S["lookup"] = f"{FEAT}, {slots_cte()} {srcs}"
+    S["lookup_bucketed"] = f"{FEAT}, {slots_cte()} SELECT doc_id, pos, CAST(word_id AS INTEGER) AS id, {digest_sql('word_vec')} AS vec FROM tv"
     S["fuse_sum"] = fused_sql("sum")
     S["fuse_weighted"] = fused_sql("weighted")
     S["fuse_concat"] = fused_sql("concat")
@@ -415,9 +420,6 @@ def more_queries(S: dict) -> None:
         {num_text_sql('CAST(a.embedding AS DOUBLE[]) || CAST(b.embedding AS DOUBLE[])')} AS pair_vec,
         CAST(a.label = b.label AS INTEGER) AS labels
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
-    S["pair_classify"] = f"""SELECT pair_id, labels, true AS scored FROM (
-        SELECT a.vec_id AS pair_id, CAST(a.label = b.label AS INTEGER) AS labels
-        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) WHERE {split_expr('pair_id')} = 'test'"""
     S["argmax"] = f"WITH {PRED} SELECT vec_id, pred FROM wp"
     S["accuracy"] = f"WITH {PRED} SELECT avg(CAST(pred = label AS DOUBLE)) AS accuracy FROM wp"
     S["class_report"] = f"WITH {PRED} SELECT * FROM rep"

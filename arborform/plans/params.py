@@ -21,3 +21,5 @@ VEC_OFFSETS = {"word": 0, "type": 100, "position": 200, "depth": 300, "sibling":
 FUSE_WEIGHTS = {"word": 1.0, "type": 0.5, "position": 0.75, "depth": 1.25, "sibling": 1.5}
 LN_EPS = 1e-5
 N_CLASSES = 64           # logits = all vector values
+DOC_DIM = 64             # values of a document vector of the pair classifier
+BUCKETS = 8              # buckets of the word vectors' table

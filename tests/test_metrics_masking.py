@@ -13,17 +13,22 @@ def _preds(spark, labels, logits):
                                  "vec_id long, logits array<double>, label int")
 
 
-def test_metrics_perfect(spark):
-    df = _preds(spark, [0, 1, 0, 1], [[2, 0], [0, 2], [2, 0], [0, 2]])
-    r = metrics.evaluate(df, "vec_id", 2, "macro").first()
-    assert (r.accuracy, r.precision, r.recall, r.f1) == (1.0, 1.0, 1.0, 1.0)
-
-
-def test_metrics_three_of_four(spark):
-    df = _preds(spark, [0, 1, 0, 1], [[2, 0], [0, 2], [2, 0], [2, 0]])
-    r = metrics.evaluate(df, "vec_id", 2, "macro").first()
-    assert r.accuracy == pytest.approx(0.75)
-    assert r.f1 == pytest.approx(0.7333333, abs=1e-4)
+def test_metrics_of_three_classes_all_right(spark):
+    df = _preds(spark, [2, 0, 1, 1, 2], [[0, 1, 5], [4, 0, 0], [-1, 0, -2], [0, 9, 8], [1, 2, 3]])
+    r = metrics.evaluate(df, "vec_id", 3, "macro").first()
+    assert [r.accuracy, r.precision, r.recall, r.f1] == [1.0] * 4
+
+
+def test_metrics_by_hand(spark):
+    """Labels 0,0,0,1,1,2; predicted 0,0,1,1,2,2. Class 0: precision 2/2, recall 2/3,
+    f1 4/5; class 1: 1/2, 1/2, 1/2; class 2: 1/2, 1/1, 2/3."""
+    one = lambda k: [float(i == k) for i in range(3)]
+    df = _preds(spark, [0, 0, 0, 1, 1, 2], [one(k) for k in (0, 0, 1, 1, 2, 2)])
+    r = metrics.evaluate(df, "vec_id", 4, "macro").first()
+    assert r.accuracy == pytest.approx(4 / 6)
+    assert r.precision == pytest.approx((1 + 1 / 2 + 1 / 2) / 3)
+    assert r.recall == pytest.approx((2 / 3 + 1 / 2 + 1) / 3)
+    assert r.f1 == pytest.approx((4 / 5 + 1 / 2 + 2 / 3) / 3)
 
 
 def test_class_only_predicted_counts_in_macro(spark):

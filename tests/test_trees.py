@@ -1,11 +1,15 @@
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from arborform.operators.listrank import list_rank
+from arborform.operators.markup import Scanner, markup_walk
 from arborform.operators.trees import MARKUP_PATTERN, NEST_TAGS, RAW_PATTERN, TAG_NAME_PATTERN, \
     layout_leaves, leaf_arrays, markup_faults, markup_leaves, \
-    node_depths, node_leaves, unreached_nodes
+    node_leaves, node_order, node_paths, unreached_nodes
 
 
 def _leaves(spark, text):
@@ -127,16 +131,94 @@ def test_node_leaves_depth_sibling_and_orphans(spark):
         (1, None, 0, "root"), (2, 1, 5, "a"), (3, 1, 7, "b"), (4, 2, 0, "a0"),
         (5, 99, 0, "orphan"), (6, None, 1, "lone")],
         "node_id long, parent_id long, ord long, text string")
-    got = {r.node_id: (r.root_id, r.depth, r.sib, list(r.path)) for r in node_leaves(nodes).collect()}
+    got = {r.node_id: (r.root_id, r.leaf_pos, r.depth, r.sib, r.text) for r in node_leaves(nodes).collect()}
     # b is the 2nd child of root even though a is not a leaf; a childless root is a leaf
-    assert got == {4: (1, 2, 0, [0, 5, 0]), 3: (1, 1, 1, [0, 7]), 6: (6, 0, 0, [1])}
+    assert got == {4: (1, 0, 2, 0, "a0"), 3: (1, 1, 1, 1, "b"), 6: (6, 0, 0, 0, "lone")}
     assert [r.node_id for r in unreached_nodes(nodes).collect()] == [5]
+    assert {r.node_id: list(r.path) for r in node_paths(nodes).collect()} == {1: [0], 2: [0, 5], 3: [0, 7], 4: [0, 5, 0], 6: [1]}
+
+
+def _walked(nodes):
+    """Pre-order, depth, sibling and leaf place by a plain walk."""
+    kids = {}
+    for n, up, o, _ in sorted(nodes, key=lambda r: (r[2], r[0])):
+        kids.setdefault(up, []).append(n)
+    out = {}
+    for root in kids.get(None, []):
+        stack, pre, leaf = [(root, 0, 0)], 0, 0
+        while stack:
+            n, depth, sib = stack.pop()
+            own = kids.get(n, [])
+            out[n] = (root, pre, depth, sib, None if own else leaf)
+            pre, leaf = pre + 1, leaf + (not own)
+            stack += [(k, depth + 1, i) for i, k in reversed(list(enumerate(own)))]
+    return out
 
 
-def test_deep_chain_and_cycle(spark):
-    chain = [(i, i - 1 if i else None, 0, "n") for i in range(500)]
-    loop = [(1000, 1002, 0, "x"), (1001, 1000, 0, "x"), (1002, 1001, 0, "x"), (1003, 1002, 0, "below")]
-    nodes = spark.createDataFrame(chain + loop, "node_id long, parent_id long, ord long, text string")
-    got = {r.node_id: r.depth for r in node_depths(nodes).collect()}
-    assert got == {i: i for i in range(500)}
-    assert sorted(r.node_id for r in unreached_nodes(nodes).collect()) == [1000, 1001, 1002, 1003]
+@pytest.mark.parametrize("base", [0, 25, 1 << 18])
+def test_node_order_equals_a_walk(spark, base):
+    """Random forests with orphans, a cycle and a hot parent, at every size of the base."""
+    rnd = random.Random(base)
+    rows = [(1, None, 0, "r"), (2, None, 3, "r")]
+    for n in range(3, 260):
+        up = 1 if rnd.random() < 0.3 else rnd.choice(rows)[0]
+        rows.append((n, up, rnd.randint(0, 4), f"t{n}"))
+    want = _walked(rows)
+    rows += [(900, 901, 0, "c"), (901, 900, 0, "c"), (902, 901, 0, "below"), (950, 949, 1, "orphan"), (951, 950, 0, "o"), (960, 960, 0, "self")]
+    df = spark.createDataFrame(rows, "node_id long, parent_id long, ord long, text string").repartition(3)
+    got = {r.node_id: (r.root_id, r.pre, r.depth, r.sib, r.leaf_pos) for r in node_order(df, base).collect()}
+    assert got == want
+
+
+def test_a_chain_of_100000_nodes(spark):
+    n = 100_000
+    nodes = spark.range(n).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"),
+                                  F.lit(0).cast("bigint").alias("ord"), F.lit("n").alias("text"))
+    order = node_order(nodes).agg(F.count(F.lit(1)), F.sum(F.abs(F.col("depth") - F.col("node_id"))), F.sum(F.abs(F.col("pre") - F.col("node_id")))).first()
+    assert tuple(order) == (n, 0, 0)
+    assert [(r.node_id, r.depth) for r in node_leaves(nodes).collect()] == [(n - 1, n - 1)]
+
+
+def test_empty_node_table(spark):
+    assert node_leaves(spark.createDataFrame([], "node_id long, parent_id long, ord long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("base", [0, 7])
+def test_list_rank_sums_along_the_lists(spark, base):
+    rnd = random.Random(base)
+    ids = list(range(300))
+    rnd.shuffle(ids)
+    rows, want = [], {}
+    for part in (ids[:1], ids[1:60], ids[60:]):
+        upto = 0
+        for i, v in enumerate(part):
+            w = rnd.randint(-3, 9)
+            rows.append((v, part[i + 1] if i + 1 < len(part) else None, i == 0, w))
+            want[v] = (part[0], upto)
+            upto += w
+    rows += [(1000, 1001, False, 1), (1001, 1000, False, 1), (1002, None, False, 1)]        # a cycle, a list without a head
+    df = spark.createDataFrame(rows, "id long, next long, head boolean, w long")
+    assert {r.id: (r.root, r.w) for r in list_rank(df, ["w"], base).collect()} == want
+
+
+def test_scanner_reads_the_pattern(spark):
+    rnd, pattern, raw = random.Random(4), re.compile(MARKUP_PATTERN), re.compile(RAW_PATTERN)
+    parts = ["<script", "<script>", "</script>", "</SCRIPT  >", "<style a='>'>", "</style>", "<!--", "-->", "<!", "<!doctype x>", "<a ", "<div",
+             "</div>", ">", "'", '"', "x", " ", "<", "</", "/>", "<b>", "<scripty>", "\u017f", "\n"]
+    for _ in range(20_000):
+        page = "".join(rnd.choices(parts, k=rnd.randint(0, 14)))
+        got = list(Scanner(page).tokens())
+        assert [t for t, _ in got] == pattern.findall(page), page
+        assert all((kind == "raw") == bool(raw.match(t)) for t, kind in got), page
+
+
+@pytest.mark.parametrize("unit", ["<script>", "<a ", "<!--", "<!", '<a "', "<a '>\"", "<div>", "<div><p></div", "</div>", '<a "x>" ', "<ul><li>"])
+def test_markup_walk_is_linear(unit):
+    """Four times the page takes about four times as long (a square would take 16 times)."""
+    def seconds(size):
+        page = unit * (size // len(unit))
+        t = time.perf_counter()
+        markup_walk(page, frozenset(NEST_TAGS))
+        return time.perf_counter() - t
+    seconds(50_000)
+    assert seconds(1_000_000) < 9 * max(min(seconds(250_000) for _ in range(2)), 0.02)
