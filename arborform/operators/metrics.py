@@ -135,7 +135,11 @@ def evaluate(tokens: DataFrame, seq: str, n: int, average: str = "weighted",
     if average not in ("weighted", "macro"):
         raise ValueError(f"no such average: {average!r}")
     sizes, sums = _counted(tokens, seq, n, logits, label, seqs)
-    sums = written(sums, "metric-counts")
+    return evaluate_counts(sizes, written(sums, "metric-counts"), average)
+
+
+def evaluate_counts(sizes: DataFrame, sums: DataFrame, average: str = "weighted") -> DataFrame:
+    """The metric row from counts: sizes(batch, seqs), sums(batch, label, pred, n, loss)."""
     pairs = sums.groupBy(F.col("label").alias("l"), F.col("pred").alias("p")).agg(F.sum("n").alias("n"))
     rep = _report(pairs)
     avg = macro(rep) if average == "macro" else weighted(rep)

@@ -16,6 +16,7 @@ from ..functions.arrays import bind, int_text, num_text, text_join
 from ..functions.batches import map_batches
 from ..functions.draw import draw, draw_int
 from ..operators import masking, metrics, pairs, sequence as seq, splits, vectors
+from ..operators.epochs import batch_ranks, epoch_batches
 from ..operators.pair_model import fit_pairs, score_pairs
 from ..operators.shape import exclude_lang, keep_features, model_columns, split_sizes, unsupported
 from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, layout_leaves,
@@ -23,6 +24,7 @@ from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, l
 from ..operators.vocab import build_vocab, to_ids, vocab_bound
 from ..session import fresh_subdir, written
 from ..sources.tables import read_split, read_table, spread, write_features
+from ..streaming import metric_stream, stream_metrics
 from . import params as P
 
 
@@ -552,6 +554,33 @@ def q_metric_row_macro(spark, d):
                             seqs=doc_keys(spark, d, exclude=True))
 
 
+def q_epoch_batches(spark, d):
+    """Place and batch of every document in each of P.EPOCHS epochs."""
+    return epoch_batches(doc_keys(spark, d), "doc_id", P.SEED, P.EPOCHS, P.BATCH)
+
+
+def q_epoch_batch_rows(spark, d):
+    """The documents of one batch of the second epoch, found from its places."""
+    keys = doc_keys(spark, d).select("doc_id")
+    ranked = splits.global_rank(keys, "doc_id")
+    return batch_ranks(spark, keys.count(), P.SEED, 1, 2, P.BATCH).join(ranked, "rank").select("place", "doc_id")
+
+
+def q_metric_row_stream(spark, d):
+    """F9 over the same positions as ``metric_row``, arriving as a file stream."""
+    keys = doc_keys(spark, d, exclude=True).select("doc_id")
+    order = metrics.batch_ids(keys, "doc_id", P.BATCH).select("doc_id", "batch")
+    rows = masked_predictions(spark, d).filter((F.col("label") != metrics.IGNORE) | (F.col("pos") == 0)).join(order, "doc_id")
+    rows = rows.select("batch", F.col("doc_id").alias("seq"), F.timestamp_seconds(F.lit(86_400)).alias("ts"), "logits", "label")
+    src, out = fresh_subdir(spark, "stream-in"), fresh_subdir(spark, "stream-out")
+    rows.repartition(P.STREAM_FILES, "seq").write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", P.STREAM_FILES // 2).parquet(src)
+    q = metric_stream(stream, out, fresh_subdir(spark, "stream-state"))
+    q.processAllAvailable()
+    q.stop()
+    return stream_metrics(spark, out)
+
+
 # ---------------------------------------------------------------- user functions
 def _doc_stats(batch, sep="\n"):
     import pandas as pd
@@ -641,6 +670,9 @@ QUERIES = {
     "batch_loss": q_batch_loss,
     "metric_row": q_metric_row,
     "metric_row_macro": q_metric_row_macro,
+    "metric_row_stream": q_metric_row_stream,
+    "epoch_batches": q_epoch_batches,
+    "epoch_batch_rows": q_epoch_batch_rows,
     # G: user functions
     "map_batches": q_map_batches,
     "predicate": q_predicate,

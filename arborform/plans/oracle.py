@@ -451,6 +451,20 @@ def more_queries(S: dict) -> None:
     S["batch_loss"] = f"{scored} SELECT loss FROM bl8"
     acc = "(SELECT avg(CAST(pred = label AS DOUBLE)) FROM tk) AS accuracy"
     S["metric_row"] = f"{scored} SELECT (SELECT loss FROM bl8) AS loss, {acc}, w.* FROM (SELECT {wavg} FROM rp) w"
+    S["metric_row_stream"] = S["metric_row"]
+    # a Feistel network of six rounds over the two halves of the rank's bits, walked until it gives a rank
+    draw = f"(('0x' || substr(md5('{P.SEED}:epoch:' || epoch || ':' || i || ':' || s.r), 1, 8))::BIGINT)"
+    net = f"""list_reduce([0, 1, 2, 3, 4, 5], lambda s, i: {{'l': s.r, 'r': xor(s.l, {draw} & ((1::BIGINT << CASE WHEN i % 2 = 0 THEN lb ELSE rb END) - 1))}},
+        {{'l': x >> rb, 'r': x & ((1::BIGINT << rb) - 1)}})"""
+    places = f"""WITH RECURSIVE n AS (SELECT count(*) AS n, greatest(2, ceil(log2(count(*))))::INTEGER AS bits FROM documents),
+      w AS (SELECT n, (bits // 2)::INTEGER AS lb, (bits - bits // 2)::INTEGER AS rb FROM n),
+      start AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, n, lb, rb FROM documents, w),
+      walk AS (SELECT doc_id, epoch, n, lb, rb, {net} AS y FROM start, range(0, {P.EPOCHS}) e(epoch)
+        UNION ALL SELECT doc_id, epoch, n, lb, rb, {net.replace('x >> rb', '((y.l << rb) | y.r) >> rb').replace('x & ', '((y.l << rb) | y.r) & ')} FROM walk
+        WHERE ((y.l << rb) | y.r) >= n),
+      places AS (SELECT doc_id, epoch::INTEGER AS epoch, ((y.l << rb) | y.r)::BIGINT AS place FROM walk WHERE ((y.l << rb) | y.r) < n)"""
+    S["epoch_batches"] = f"{places} SELECT doc_id, epoch, place, place // {P.BATCH} AS batch FROM places"
+    S["epoch_batch_rows"] = f"{places} SELECT place, doc_id FROM places WHERE epoch = 1 AND place // {P.BATCH} = 2"
     S["metric_row_macro"] = f"""{scored} SELECT (SELECT loss FROM bl8) AS loss, {acc}, w.*
         FROM (SELECT avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM rp) w"""
     S["map_batches"] = """SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,

@@ -23,3 +23,5 @@ LN_EPS = 1e-5
 N_CLASSES = 64           # logits = all vector values
 DOC_DIM = 64             # values of a document vector of the pair classifier
 BUCKETS = 8              # buckets of the word vectors' table
+EPOCHS = 3               # epochs whose batches are listed
+STREAM_FILES = 8         # files that the stream of scored positions arrives in
