@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from .texts import blocks, column, ship_by_value, worker_state
 
 BLOCK = 2_000_000           # characters worked on at once
-HELD = 6_000_000            # characters of pieces that a worker remembers
-PAIRS = 1_000_000           # pairs of tokens that a worker remembers
+HELD = 3_000_000            # characters of pieces that a worker remembers
+PAIRS = 500_000             # pairs of tokens that a worker remembers
 CALL = 200                  # pieces in one call of the tokenizer's normaliser and splitter
 # white space outside ASCII, and what other libraries take for it
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
@@ -64,15 +64,15 @@ class Merges:
         made = {a + b: i for i, (a, b) in enumerate(pairs)}
         if len(made) < len(pairs) or any(made.get(x, -1) >= i for i, p in enumerate(pairs) for x in p):
             raise ValueError("a token with two merges, or merged before its parts")
-        self.first = {t: self.spine(t, 0, made) for t in self.ids}
-        self.last = {t: self.spine(t, 1, made) for t in self.ids}
+        self.made, self.first, self.last = made, {}, {}
         # tokens whose own symbols merge to them; no other can be in an encoding
-        self.width, self.reached = {}, set()
+        self.width, self.reached = {}, {}      # a token stands for itself: no copy of its text is held
         for t in sorted(self.ids, key=lambda t: made.get(t, -1)):
             a, b = self.parts.get(t, (None, None))
             self.width[t] = self.width[a] + self.width[b] if a is not None else 1
             if a is None or a in self.reached and b in self.reached and self.stand(a, b, made[t]):
-                self.reached.add(t)
+                self.reached[t] = t
+        self.first, self.last = {}, {}          # from here on only of tokens that are asked for
         self.packed = {t: struct.pack("<I", i) for t, i in self.ids.items()}
         self.beside = {}                        # what stand() said of a pair, for a while
         self.reach = {}                         # last three symbols -> width of the widest token with them
@@ -81,22 +81,24 @@ class Merges:
                 end = t[-3 - len(self.suffix):] if self.suffix and t.endswith(self.suffix) else t[-3:]
                 self.reach[end] = max(self.reach.get(end, 3), self.width[t])
 
-    def spine(self, token: str, side: int, made: dict) -> list[tuple[str, float]]:
+    def spine(self, whole: str, side: int) -> list[tuple[str, float]]:
         """What stands at one end of the token while it is merged together, from
         the symbol on, each with the rank of the merge that takes it up."""
-        out, until = [], float("inf")
+        out, until, token = [], float("inf"), whole
         while True:
             out.append((token, until))
             if token not in self.parts:
-                return out[::-1]
-            until, token = made[token], self.parts[token][side]
+                break
+            until, token = self.made[token], self.parts[token][side]
+        (self.last if side else self.first)[whole] = out = out[::-1]
+        return out
 
     def stand(self, left: str, right: str, below: float = float("inf")) -> bool:
         """Whether no merge (of a rank under ``below``) crosses from one token into
         the other. Merges go by rank, so each end's stages follow one another in
         time, and only stages of the same time can meet; of equal ranks the
         leftmost goes first."""
-        xs, ys, i, j = self.last[left], self.first[right], 0, 0
+        xs, ys, i, j = self.last.get(left) or self.spine(left, 1), self.first.get(right) or self.spine(right, 0), 0, 0
         while True:
             (x, until_x), (y, until_y) = xs[i], ys[j]
             q = self.rank.get((x, y))
@@ -134,8 +136,8 @@ def walk(words: list[str], merges: Merges) -> dict[str, bytes]:
             # no token that ends in these three symbols is wider than ``far``
             far = reach.get(text[end - 3:stop], 2) if end > 2 else end
             for s in range(end - far if end > far else 0, end):
-                token = text[s:stop]
-                if token in reached:
+                token = reached.get(text[s:stop])
+                if token is not None:
                     if s == 0:
                         break
                     left = state[s]
@@ -234,19 +236,21 @@ class Decoder:
     """Ids to text, special tokens kept."""
 
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
         conf = json.loads(source)
         names = {i: t for t, i in conf["model"]["vocab"].items()} | {a["id"]: a["content"] for a in conf.get("added_tokens") or []}
-        self.names = [names.get(i) for i in range(max(names, default=-1) + 1)]
-        self.join = Tokenizer.from_str(source).decoder.decode if conf.get("decoder") else " ".join
+        self.names, self.join = [names.get(i) for i in range(max(names, default=-1) + 1)], " ".join
+        if conf.get("decoder"):
+            from tokenizers import Tokenizer
+            self.join = Tokenizer.from_str(source).decoder.decode
 
     def decode(self, ids: bytes) -> str:
         names = self.names
         return self.join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def encode(df: DataFrame, key: str, text: str, tokenizer_path: str) -> DataFrame:
-    """key, n_tokens, ids (packed: little-endian unsigned 32-bit integers) of each row."""
+def encode(df: DataFrame, key: str, text: str, tokenizer_path: str, decoded: bool = False) -> DataFrame:
+    """key, n_tokens, ids (packed: little-endian unsigned 32-bit integers) of each
+    row and, if asked for, ``decoded``: the text of these ids."""
     ship_by_value()
     with open(tokenizer_path, encoding="utf-8") as f:
         source = f.read()                       # the driver's file, shipped to the tasks
@@ -254,15 +258,19 @@ def encode(df: DataFrame, key: str, text: str, tokenizer_path: str) -> DataFrame
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
-        gc.disable()                            # no cycles are made; its scans of the pieces held cost a third of the time
         e = worker_state(f"trie {zlib.crc32(source.encode())}", lambda: Encoder(source))
+        d = worker_state(f"names {zlib.crc32(source.encode())}", lambda: Decoder(source)) if decoded else None
         for batch in batches:
             texts, keys = column(batch, "text"), batch.column(batch.schema.get_field_index("key"))
             for lo, hi in blocks(texts, BLOCK):
+                gc.disable()                    # its scans of the pieces held would cost a third of the time
                 ids = e.encode(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                                                 names=["key", "n_tokens", "ids"])
-    return rows.mapInArrow(run, f"key {kind}, n_tokens bigint, ids binary").withColumnRenamed("key", key)
+                gc.enable()
+                out = [keys.slice(lo, hi - lo), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    out.append(pa.array([d.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=["key", "n_tokens", "ids", "decoded"][:len(out)])
+    return rows.mapInArrow(run, f"key {kind}, n_tokens bigint, ids binary" + ", decoded string" * decoded).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, key: str, ids: str, tokenizer_path: str, keep: tuple = ()) -> DataFrame:

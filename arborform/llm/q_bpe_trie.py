@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .bpe_trie import decode, encode
+from .bpe_trie import encode
 from .common import table
 
 
@@ -12,5 +12,5 @@ def op12_bpe_trie(spark, sf_dir):
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, "doc_id", "text", path), "doc_id", "ids", path, keep=("n_tokens",))
+    out = encode(docs, "doc_id", "text", path, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
