@@ -1,8 +1,9 @@
 """Operator 4: toxicity by a weighted lexicon.
 
-Text and lexicon are folded alike: compatibility forms, accents, look-alike
-letters of other scripts and digits or signs that stand for letters become plain
-letters, everything else becomes a space. An Aho-Corasick automaton finds the
+Text and lexicon are folded alike, over all code points: compatibility forms
+are taken apart (NFKD), accents, other marks and signs without a width go,
+look-alike letters of other scripts and digits or signs that stand for letters
+become plain letters, everything else becomes a space. An Aho-Corasick automaton finds the
 lexicon's words and word beginnings; a hit inside an exception phrase does not
 count; each word counts once with its largest weight. The sum of weights against
 the length, and the sum itself, go through a logistic curve.
@@ -13,9 +14,15 @@ one half gives the lexicon (weights are smoothed log odds of words and word
 beginnings in toxic against other texts) and the exception phrases (lexicon
 words whose neighbour makes them harmless), the other half the curve.
 
+Lexicon and exception phrases have at most MAX_ENTRIES entries each, those that
+stand out most; the sample they come from is bounded too.
+
 Defined results: null and empty texts score what the curve gives for no hits;
 without labelled rows of both kinds the fixed lexicon and a fixed curve are
-used; repeated rows score alike; an empty table gives no rows.
+used; a score of exactly the threshold counts as toxic; repeated rows score
+alike; texts of any length are measured whole, in time linear in them; all
+columns, whatever their names, pass through ``without_toxic`` as they are; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash60
-from .texts import blocks, code_points, column, ship_by_value
+from .texts import blocks, code_points, column, ship_by_value, worker_state
 
 # A general lexicon, phrases in which a word of it is harmless,
 # and the letters that look-alikes, digits and signs stand for.
@@ -51,31 +58,48 @@ MIN_ODDS = math.log(6)
 MORE_THAN_WORD = 1.3        # texts with a word beginning against those with its commonest word
 FIXED_WEIGHT = 4.0
 FIXED_CURVE = (-4.0, 1.5, 0.5)
-FOLDED = 0x3000             # code points below this are looked up; signs above stay
+LETTERS_END = 0x20000       # beyond: ideographs up to LAST_LETTER, else no letters
+LAST_LETTER = 0x40000
+TAGS = range(0xE0000, 0xE1000)      # signs without a width
+
+
+def fold_char(c: str) -> str:
+    """A code point of a decomposed text: '' for marks and signs without a width,
+    a space for what is no letter."""
+    if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf"):
+        return ""
+    c = c.lower()[0]
+    c = LOOKALIKES.get(c, SIGNS.get(c, c))
+    return SAME.get(c, c) if c.isalpha() else " "
 
 
 def fold_table() -> np.ndarray:
-    """Code point -> folded code point, a space for what is no letter."""
-    out = np.arange(0x110000, dtype=np.uint32)
-    for cp in [*range(FOLDED), *range(0xFF00, 0xFFF0)]:
-        c = unicodedata.normalize("NFKD", chr(cp))[0].lower()[0]
-        c = LOOKALIKES.get(c, SIGNS.get(c, c))
-        c = SAME.get(c, c)
-        out[cp] = ord(c) if c.isalpha() else 32
+    """Code point -> folded code point; 0 where it goes."""
+    out = np.full(0x110000, 32, np.uint32)
+    out[:LETTERS_END] = [ord(fold_char(chr(cp)) or "\0") for cp in range(LETTERS_END)]
+    out[LETTERS_END:LAST_LETTER] = np.arange(LETTERS_END, LAST_LETTER)
+    out[TAGS.start:TAGS.stop] = 0
     return out
 
 
+def decomposed(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFKD", text)
+
+
+def folded(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of all texts, and the start of each (one more than texts)."""
+    cps, starts = code_points([decomposed(t) for t in texts])
+    out = table[cps]
+    keep = out != 0
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
+
+
 def fold(text: str, table: np.ndarray) -> str:
-    return table[code_points([text])[0]].tobytes().decode("utf-32-le", "surrogatepass")
+    return folded([text], table)[0].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def fold_word(word: str) -> str:
-    out = []
-    for ch in word.lower():
-        c = unicodedata.normalize("NFKD", ch)[0]
-        c = LOOKALIKES.get(c, SIGNS.get(c, c))
-        out.append(SAME.get(c, c))
-    return "".join(out)
+    return "".join(map(fold_char, decomposed(word)))
 
 
 def automaton(model: dict):
@@ -94,15 +118,14 @@ def measure(texts: list[str], model: dict, table: np.ndarray, a) -> tuple[np.nda
     total, hits, words = (np.zeros(len(texts)) for _ in range(3))
     for lo, hi in blocks(texts):
         # a space before and after every text, so no word spans two of them
-        cps, starts = code_points([" " + t + " " for t in texts[lo:hi]])
-        folded = table[cps]
-        letter = folded != 32
+        signs, starts = folded([" " + t + " " for t in texts[lo:hi]], table)
+        letter = signs != 32
         begin = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
         words[lo:hi] = np.bincount(np.searchsorted(starts, begin, side="right") - 1, minlength=hi - lo)[:hi - lo]
         if not len(a):
             continue
         at, weight, skip = [], [], []
-        for end, (w, n) in a.iter(folded.tobytes().decode("utf-32-le", "surrogatepass")):
+        for end, (w, n) in a.iter(signs.tobytes().decode("utf-32-le", "surrogatepass")):
             if w is None:
                 skip.append((end - n, end))
             else:
@@ -113,8 +136,13 @@ def measure(texts: list[str], model: dict, table: np.ndarray, a) -> tuple[np.nda
         if not at:
             continue
         at, weight = np.array(at), np.array(weight)
-        for s, e in skip:
-            weight[(at >= s) & (at < e)] = 0
+        if skip:
+            order = np.argsort(at, kind="stable")
+            first, last = (np.searchsorted(at[order], x) for x in zip(*skip))
+            inside = np.zeros(len(at) + 1, np.int64)
+            np.add.at(inside, first, 1)
+            np.add.at(inside, last, -1)
+            weight[order[np.cumsum(inside)[:-1] > 0]] = 0
         place, inv = np.unique(at, return_inverse=True)
         best = np.zeros(len(place))
         np.maximum.at(best, inv, weight)
@@ -135,7 +163,7 @@ def count_terms(df: DataFrame, label: str, text: str) -> DataFrame:
     ship_by_value()
 
     def run(batches):
-        table = fold_table()
+        table = worker_state("toxicity fold", fold_table)
         for batch in batches:
             counts = {0: Counter(), 1: Counter()}
             for t, y in zip(column(batch, text), column(batch, label)):
@@ -200,7 +228,7 @@ def harmless(df: DataFrame, label: str, text: str, entries: dict[str, float]) ->
     whole = {e.strip() for e in entries if e.endswith(" ")}
 
     def run(batches):
-        table = fold_table()
+        table = worker_state("toxicity fold", fold_table)
         for batch in batches:
             counts = {0: Counter(), 1: Counter()}
             for t, y in zip(column(batch, text), column(batch, label)):
@@ -250,7 +278,7 @@ def measured(df: DataFrame, text: str, model: dict, keep=()) -> DataFrame:
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", total double, hits double, words double, score double"
 
     def run(batches):
-        table, a = fold_table(), automaton(model)
+        table, a = worker_state("toxicity fold", fold_table), automaton(model)
         for batch in batches:
             texts = [t or "" for t in column(batch, "_text")]
             total, hits, words = measure(texts, model, table, a)
@@ -266,7 +294,7 @@ def without_toxic(df: DataFrame, text: str, model: dict, threshold: float = 0.5)
     ship_by_value()
 
     def run(batches):
-        table, a = fold_table(), automaton(model)
+        table, a = worker_state("toxicity fold", fold_table), automaton(model)
         for batch in batches:
             total, _, words = measure([t or "" for t in column(batch, text)], model, table, a)
             score = 1 / (1 + np.exp(-np.clip(features(total, words) @ np.array(model["curve"]), -30, 30)))

@@ -20,6 +20,56 @@ def test_folding_of_lookalikes_digits_and_accents():
         assert fold(w, t) == want, w
 
 
+def test_disguises_all_over_unicode():
+    want = fold("idiot", fold_table())
+    for w in ("𝓲𝓭𝓲𝓸𝓽", "id\u200biot", "i\u0308diot", "i\ufe0fdiot", "ⓘⓓⓘⓞⓣ", "idi\u00adot", "\U000e0069idiot"):
+        assert fold(w, fold_table()) == want, w
+    texts = ["𝓲𝓭𝓲𝓸𝓽", "id\u200biot", "i\u0308diot", "idiot😀", "idiot。", "😀idiot", "「idiot」", "ﬁne idiot"]
+    assert count(texts)[1].tolist() == [1] * len(texts)
+    assert fold("ﬁne", fold_table()) == fold("fine", fold_table())
+
+
+def plain(text):
+    """Weights by a plain scan: at each word the largest fitting entry, none inside an exception phrase."""
+    words, at, pos = [], [], 1
+    signs = "".join(fold_word(c) for c in text)
+    for w in signs.split(" "):
+        if w:
+            words.append(w)
+            at.append(pos)
+        pos += len(w) + 1
+    line = " " + signs + " "
+    covered = set()
+    for x in MODEL["exceptions"]:
+        k = line.find(" " + x + " ")
+        while k >= 0:
+            covered.update(range(k + 1, k + 1 + len(x)))
+            k = line.find(" " + x + " ", k + 1)
+    hit = []
+    for w, p in zip(words, at):
+        fits = [v for e, v in MODEL["entries"].items() if (w + " ").startswith(e)]
+        if fits and p not in covered:
+            hit.append(max(fits))
+    return sum(hit), len(hit), len(words)
+
+
+def test_measure_equals_a_plain_scan():
+    import random
+    rnd = random.Random(4)
+    parts = ["idiot", "IDIOT", "1d10t", "idiots", "moron", "moroccan", "idiot proof", "proof", " ", "\n", ".", "-", "é", "\u0301", "\u200b", "😀", "𝓲𝓭𝓲𝓸𝓽", "x"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 12))) for _ in range(1500)] + [" ".join(rnd.choices(parts, k=9)) for _ in range(500)]
+    total, hits, words = count(texts)
+    for i, t in enumerate(texts):
+        assert (total[i], hits[i], words[i]) == plain(t), repr(t)
+
+
+def test_many_exception_phrases_take_linear_time():
+    import time
+    t = time.perf_counter()
+    assert count(["idiot proof idiot " * 100_000])[1].tolist() == [100_000]
+    assert time.perf_counter() - t < 60
+
+
 def test_hits_words_beginnings_and_exceptions():
     texts = ["an idiot here", "idiots are other words", "idiot-proof box", "MORONIC", "oxymoron", "", "1d10t 1d10t.", "idiot\nidiot"]
     total, hits, words = count(texts)
