@@ -19,14 +19,20 @@ sample agrees with 0.65^5, so 64 of them miss with under 0.1 %. Pairs that
 agree in a sample are verified by the exact edit distance (Myers' bit-parallel
 search, free ends).
 
-Defined results: null and empty texts and items hit nothing; items under
-``MIN_CHARS`` characters are no evidence and not searched; repeated items are
-separate items; repeated rows give repeated hits; an empty table on either side
-gives no hits.
+Short items. Under ``MIN_CHARS`` characters an edit makes another word of many an
+item, so they are searched exactly: the folded item, without white space at its
+ends, with no letter or digit before and after it (Aho-Corasick).
+
+Defined results: null and empty texts, and items that are null, empty or white
+space, hit nothing; repeated items are separate items; of places with equally few
+edits the first one is given; repeated rows give repeated hits; texts of any
+length are searched whole; all columns, whatever their names, pass through
+``without_hits`` as they are; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -79,11 +85,21 @@ class Items:
     """Pieces, walks and samples of a block of items."""
 
     def __init__(self, ids: list, texts: list[str], table: np.ndarray):
-        self.ids, self.table = ids, table
+        self.table, self.short, self.short_ids = table, ahocorasick.Automaton(), {}
+        for i, t in zip(ids, texts):
+            folded = table[code_points([t])[0]].tobytes().decode("utf-32-le", "surrogatepass").strip(" ")
+            if len(t) < MIN_CHARS and folded:
+                self.short_ids.setdefault(folded, []).append(i)
+                self.short.add_word(folded, folded)
+        self.short.make_automaton()
+        ids, texts = ([x for x, t in zip(v, texts) if len(t) >= MIN_CHARS] for v in (ids, texts))
+        self.ids = ids
         self.sym = [table[code_points([t])[0]] for t in texts]
         self.len = np.array([len(s) for s in self.sym], np.int64)
         self.edits = np.floor(MAX_EDITS * self.len).astype(np.int64)
         self.by_q = {}
+        if not ids:
+            return
         for i, s in enumerate(self.sym):
             m = int(self.edits[i]) + 2
             step = len(s) // m
@@ -179,6 +195,23 @@ class Items:
         """(text, item, start, end, edits): the best place of each item in each text."""
         cps, starts = code_points(texts)
         sym = self.table[cps]
+        return self.search_short(sym, starts) + (self.search_long(sym, starts) if self.ids else [])
+
+    def search_short(self, sym: np.ndarray, starts: np.ndarray) -> list[tuple]:
+        """The first exact place, between word boundaries, of each short item in each text."""
+        if not self.short_ids:
+            return []
+        text, first = sym.tobytes().decode("utf-32-le", "surrogatepass"), {}
+        for last, word in self.short.iter(text):
+            a, b = last - len(word) + 1, last + 1
+            d = int(np.searchsorted(starts, a, side="right")) - 1
+            lo, hi = int(starts[d]), int(starts[d + 1])
+            if b <= hi and (a == lo or not (text[a - 1].isalnum() and word[0].isalnum())) and (b == hi or not (text[b].isalnum() and word[-1].isalnum())):
+                for i in self.short_ids[word]:
+                    first.setdefault((d, i), (d, i, a - lo, b - lo, 0))
+        return list(first.values())
+
+    def search_long(self, sym: np.ndarray, starts: np.ndarray) -> list[tuple]:
         w = self.windows(sym, starts)
         pairs = set()
         for lo in range(0, len(w), 4096):
@@ -227,7 +260,7 @@ class Items:
 
 def item_blocks(items: DataFrame, key: str, text: str, limit: int = ITEM_BLOCK_CHARS):
     """The items in blocks of about ``limit`` characters, one block at a time."""
-    rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") >= MIN_CHARS)
+    rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") >= 1)
     ids, texts, held = [], [], 0
     for r in rows.orderBy("k").toLocalIterator():
         ids.append(r["k"])

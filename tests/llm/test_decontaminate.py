@@ -86,6 +86,18 @@ def test_edge_cases(spark):
     assert kept.columns == df.columns and sorted(r["key"] for r in kept.collect()) == [1, 2, 5]
 
 
+def test_short_items_are_searched_exactly(spark):
+    """At word boundaries, folded like the texts; not with an edit, not inside a word."""
+    items = spark.createDataFrame([(1, "Who is it?"), (2, "42"), (3, "  who\tis it? "), (4, " \n"), (5, "long enough to be no short item")], "i bigint, x string")
+    docs = [(1, "so: WHO  is it?"), (2, "and\nWho is\nit? yes"), (3, "xwho is it?"), (4, "who is it ?"), (5, "a 42."), (6, "142"), (7, "420"), (8, "42"), (9, "who is it?42")]
+    df = spark.createDataFrame(docs, "k bigint, t string")
+    got = sorted((r["key"], r["item"], r["start"], r["end"], r["edits"]) for r in hits(df, "k", "t", items, "i", "x").collect())
+    assert got == [(2, 1, 4, 14, 0), (2, 3, 4, 14, 0), (5, 2, 2, 4, 0), (8, 2, 0, 2, 0), (9, 1, 0, 10, 0), (9, 2, 10, 12, 0), (9, 3, 0, 10, 0)]
+    assert sorted(r["k"] for r in without_hits(df, "t", items, "i", "x").collect()) == [1, 3, 4, 6, 7]
+    only_short = items.filter("i = 2")
+    assert sorted(r["key"] for r in hits(df, "k", "t", only_short, "i", "x").collect()) == [5, 8, 9]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k bigint, t string")
     some = spark.createDataFrame([(1, "some text that is long enough for an item")], "k bigint, t string")
