@@ -31,5 +31,5 @@ best AS (SELECT near.word, count(*)::BIGINT AS n_near, first(other ORDER BY v.n
 f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
         CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
 p AS (SELECT word, word AS root FROM f UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.root WHERE f.form IS NOT NULL)
-SELECT f.word, form, p.root, n, n_near, form_n FROM f JOIN p ON p.word = f.word JOIN f g ON g.word = p.root WHERE g.form IS NULL
+SELECT f.word, f.form, p.root, f.n, f.n_near, f.form_n FROM f JOIN p ON p.word = f.word JOIN f g ON g.word = p.root WHERE g.form IS NULL
 """
