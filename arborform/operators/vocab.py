@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .common import broadcast_under
+from .heavy import frequent
 from .trees import BLANK_CHARS
 
 # Special tokens and their ids (start, pad, end, unknown, mask).
@@ -18,6 +19,30 @@ FIRST_WORD_ID = 5
 VOCAB_ROW_BYTES = 64
 
 
+def _words(tokens: DataFrame, col: str) -> DataFrame:
+    """The tokens that can enter a vocabulary."""
+    return (tokens.select(F.col(col).alias("token"))
+                  .filter(F.trim(F.col("token"), F.lit(BLANK_CHARS)) != F.lit(""))
+                  .filter(~F.col("token").isin([t for t, _ in SPECIALS])))
+
+
+def _ranked(counts: DataFrame, size: int) -> DataFrame:
+    """Specials and the ``size`` first of (token, n) by count descending, token ascending."""
+    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
+    ranked = top.select("token", (F.row_number().over(
+        Window.orderBy(F.desc("n"), F.asc("token"))) + F.lit(FIRST_WORD_ID - 1))
+        .cast("int").alias("id"))
+    return counts.sparkSession.createDataFrame(SPECIALS, "token string, id int").unionByName(ranked)
+
+
+def build_vocab_frequent(tokens: DataFrame, size: int, col: str = "token", counters: int | None = None) -> DataFrame:
+    """C4 by summaries (``heavy.frequent``): the same rows as ``build_vocab``, for
+    corpora whose different tokens are too many to shuffle. Reads the tokens twice."""
+    words = _words(tokens, col)
+    counts = frequent(words, size, counters=counters)
+    return build_vocab(tokens, size, col) if counts is None else _ranked(counts, size)
+
+
 def build_vocab(tokens: DataFrame, size: int, col: str = "token") -> DataFrame:
     """C4: (token, id). Specials take 0-4; then the ``size`` most frequent
     non-blank tokens, by count descending then token ascending, take 5, 6, ...
@@ -30,18 +55,8 @@ def build_vocab(tokens: DataFrame, size: int, col: str = "token") -> DataFrame:
     per partition before the shuffle. Only the ``size`` rows of the result are
     ranked in a single task.
     """
-    spark = tokens.sparkSession
-    special_tokens = [t for t, _ in SPECIALS]
-    counts = (tokens.select(F.col(col).alias("token"))
-                    .filter(F.trim(F.col("token"), F.lit(BLANK_CHARS)) != F.lit(""))
-                    .filter(~F.col("token").isin(special_tokens))
-                    .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = _keep_top_counts(counts, size).orderBy(F.desc("n"), F.asc("token")).limit(size)
-    ranked = top.select("token", (F.row_number().over(
-        Window.orderBy(F.desc("n"), F.asc("token"))) + F.lit(FIRST_WORD_ID - 1))
-        .cast("int").alias("id"))
-    specials = spark.createDataFrame(SPECIALS, "token string, id int")
-    return specials.unionByName(ranked)
+    counts = _words(tokens, col).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return _ranked(_keep_top_counts(counts, size), size)
 
 
 def _keep_top_counts(counts: DataFrame, size: int) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators.pair_model import fit_pairs, score_pairs
 from ..operators.shape import exclude_lang, keep_features, model_columns, split_sizes, unsupported
 from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, layout_leaves,
                                leaf_arrays, markup_leaves, node_leaves, node_order, node_paths)
-from ..operators.vocab import build_vocab, to_ids, vocab_bound
+from ..operators.vocab import build_vocab, build_vocab_frequent, to_ids, vocab_bound
 from ..session import fresh_subdir, written
 from ..sources.tables import read_split, read_table, spread, write_features
 from ..streaming import metric_stream, stream_metrics
@@ -45,14 +45,17 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return spread(read_table(spark, d, "pages", ["page_id", "html"]), "page_id")
 
 
+def corpus_tokens(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
+    return docs(spark, d, exclude).select(
+        F.explode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("token"))
+
+
 def corpus_vocab(spark: SparkSession, d: str, exclude: bool = False) -> DataFrame:
     """C4 over the corpus's leaf tokens. The layout leaves that can enter the
     vocabulary (non-blank ones) are exactly the regex tokens of the whole text
     (a token never spans a line break), so the counts come from one regex
     pass and an explode instead of the full walk."""
-    toks = docs(spark, d, exclude).select(
-        F.explode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("token"))
-    return build_vocab(toks, P.VOCAB_SIZE)
+    return build_vocab(corpus_tokens(spark, d, exclude), P.VOCAB_SIZE)
 
 
 def feature_frame(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +87,11 @@ def q_vocab(spark, d):
     return corpus_vocab(spark, d)
 
 
+def q_vocab_frequent(spark, d):
+    """C4 from frequent-token summaries: the rows of ``vocab``."""
+    return build_vocab_frequent(corpus_tokens(spark, d), P.VOCAB_SIZE)
+
+
 def q_token_ids(spark, d):
     leaves = layout_leaves(docs(spark, d), "doc_id", "text")
     return to_ids(leaves, corpus_vocab(spark, d), bound=vocab_bound(P.VOCAB_SIZE)) \
@@ -627,6 +635,7 @@ QUERIES = {
     "leaf_arrays": q_leaf_arrays,
     # C: sequence features
     "vocab": q_vocab,
+    "vocab_frequent": q_vocab_frequent,
     "token_ids": q_token_ids,
     "align_mask": q_align_mask,
     "truncate": q_truncate,

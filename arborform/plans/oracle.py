@@ -140,6 +140,7 @@ def sql_queries() -> dict[str, str]:
         SELECT doc_id, leaf_pos, token, depth, sib FROM lrows"""
     S["vocab"] = f"""WITH {docs_cte(False)}, {leaf_rows_cte()}, {vocab_cte()}
         SELECT token, id FROM vocab"""
+    S["vocab_frequent"] = S["vocab"]
     S["token_ids"] = f"""WITH {docs_cte(False)}, {leaf_rows_cte()}, {vocab_cte()}
         SELECT l.doc_id, l.leaf_pos, l.token, coalesce(v.id, 3) AS id
         FROM lrows l LEFT JOIN vocab v ON l.token = v.token"""
