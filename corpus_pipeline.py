@@ -3,6 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 rows that the stage before kept, and its output is written as Parquet and read
 again. All but the last return the columns of ``docs``.
+
+Defined results, of every stage: a null text counts as empty; an empty one is not
+toxic, no near duplicate and not contaminated, and has size 0; null keys and
+sources take part like others (a null source sorts last); repeated rows are
+separate rows, of which near duplicates keep one if they have words; texts of any
+length are read whole; further columns, whatever their names, are carried along;
+of a group's documents with the same key the one of the smallest text hash stays;
+empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborform.llm.common import scratch, table, word_count
+from arborform.llm.common import Scratch, table, word_count
 from arborform.llm.decontaminate import without_hits
 from arborform.llm.interleave import add_shards
 from arborform.llm.jaccard_join import one_of_each
@@ -56,7 +64,11 @@ STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        written = Scratch(spark)
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before:
+            before.drop()           # the stage before is not read again
+        before = written
     return docs
