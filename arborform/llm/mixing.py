@@ -4,20 +4,22 @@ Targets. Source weights share ``budget`` times all sizes; a source is capped at
 ``cap`` times its own size and the excess is reshared by weight until no source
 is above its cap (solved in closed form from the sorted cap / weight ratios).
 
-Selection. A source's documents stand in a seeded random order (hash of the
-key). The mix takes every document floor(target / size) times, and once more
-the documents at the front of that order whose running size stays within what
-is left of the target, and one document behind them that comes nearest to the
-rest. The running size is summed over hash blocks first, and only the block
-that the target falls into is summed row by row.
-
-Splitting tree. The hash blocks of a source, once per copy, are its exact block
-quota. From the root down, the quotas of all sources at a node are split
-between its two children as a random permutation of the node's blocks is cut:
-the counts per source are then a multivariate hypergeometric draw, and at the
-leaves each output shard has an exact quota of blocks of each source. Each
-shard then draws its quota from the source's permuted blocks, in disjoint runs,
-and rows are shuffled locally by a hash key within the shard.
+Blocks. A source's documents are dealt to 256 blocks by a hash of the key. The mix
+takes each block floor(target / size) times, and blocks that meet the rest of the
+target once more; which ones, the tree decides.
+
+Splitting tree. All blocks of a source, one slot for each copy that may be taken,
+are its exact block quota. From the root down, the quotas of all sources at a node
+are split between its two children as a random permutation of the node's slots is
+cut: the counts per source are then a multivariate hypergeometric draw, and at the
+leaves each output shard has an exact quota of slots of each source. Each shard
+then draws its quota from the source's permuted blocks, in disjoint runs.
+
+Selection. The rest of a source's target is filled from the draws of all shards in
+turn: every shard's first drawn block, every shard's second, and so on. The block
+in which the target is reached is summed row by row, in hash order, and one more
+document, of those not reached, is taken that comes nearest to what is missing.
+Rows are shuffled locally by a hash key within their shard.
 
 Only key, source and size are ranked; the wide rows meet a small block table.
 
@@ -69,13 +71,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, cap=CAP) -> DataFr
 
 def plan(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHTS,
          budget=BUDGET, cap=CAP) -> tuple[DataFrame, DataFrame]:
-    """rows(key, source, size) -> (sources, blocks).
+    """rows(key, source, size, h) -> (sources, blocks).
 
-    sources: source, source_size, target, base, cut (hash up to which documents
-    are taken once more; -1: none), extra (hash of one more; -1: none). blocks: source, block, homes (array with the
-    output shard of each copy of the block).
+    sources: source, source_size, target, base, cut (hash up to which documents of
+    the block in which the target is reached are taken once more; -1: none), extra
+    (hash of one more; -1: none). blocks: source, block, homes (array with the
+    output shard of each copy), part (2: taken once more, 1: up to the cut, 0: not).
     """
-    spread = (rows.groupBy("source", F.shiftright("h", 60 - BLOCK_BITS).cast("int").alias("block"))
+    spread = (rows.groupBy("source", block_of("h").alias("block"))
               .agg(F.sum("size").alias("block_size"), F.count(F.lit(1)).alias("block_rows")))
     spread = scratch(spread, "mix-blocks")              # sources x 256 rows
     sizes = spread.groupBy("source").agg(F.sum("block_size").alias("source_size"))
@@ -84,47 +87,65 @@ def plan(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHT
     t = (t.withColumn("base", F.floor(F.col("target") / size).cast("int"))
          .withColumn("left", F.col("target") - F.col("base") * F.col("source_size")))
     t = scratch(t, "mix-targets")
-    t2 = t.select(F.col("source").alias("s2"), "base", "left")
-    # blocks in permuted order with the size before them
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    b = (spread.withColumn("ahead", F.coalesce(F.sum("block_size").over(before), F.lit(0)))
-         .join(F.broadcast(t2), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
+    slots = homes(spread, t, shards, seed)
+    # blocks in the order of the shards' draws, with the size before them
+    last = (slots.join(F.broadcast(t.select(F.col("source").alias("s2"), "base", "left")), F.col("source").eqNullSafe(F.col("s2")))
+            .filter(F.col("copy") == F.col("base") + 1).drop("s2", "base", "copy"))
+    order = Window.partitionBy("source").orderBy("place", "shard", "block").rowsBetween(Window.unboundedPreceding, -1)
+    b = (last.join(spread.select(F.col("source").alias("s3"), F.col("block").alias("b3"), "block_size"),
+                   (F.col("block") == F.col("b3")) & F.col("source").eqNullSafe(F.col("s3")))
+         .withColumn("ahead", F.coalesce(F.sum("block_size").over(order), F.lit(0))))
+    part = F.when(F.col("ahead") + F.col("block_size") < F.col("left"), 2).when(F.col("ahead") < F.col("left"), 1).otherwise(0)
+    b = scratch(b.select("source", "block", "ahead", "left", part.alias("part")), "mix-parts")
     # the block that the rest of the target falls into, summed row by row (equal hashes together)
-    mid = b.filter((F.col("ahead") < F.col("left")) & (F.col("ahead") + F.col("block_size") >= F.col("left")))
-    mid = mid.select(F.col("source").alias("s3"), F.col("block").alias("b3"), "ahead", "left")
-    inner = (rows.withColumn("block", F.shiftright("h", 60 - BLOCK_BITS).cast("int"))
+    mid = b.filter("part = 1").select(F.col("source").alias("s3"), F.col("block").alias("b3"), "ahead", "left")
+    inner = (rows.withColumn("block", block_of("h"))
              .join(F.broadcast(mid), (F.col("block") == F.col("b3")) & F.col("source").eqNullSafe(F.col("s3")))
              .groupBy("source", "ahead", "left", "h").agg(F.sum("size").alias("size")))
     run = F.col("ahead") + F.sum("size").over(Window.partitionBy("source").orderBy("h"))
     inner = inner.withColumn("run", run)
     cut = (inner.filter(F.col("run") <= F.col("left")).groupBy("source")
            .agg(F.max("h").alias("hc"), F.max("run").alias("rc")).select(F.col("source").alias("s4"), "hc", "rc"))
-    edge = mid.select("s3", "ahead", (F.shiftleft(F.col("b3").cast("bigint"), 60 - BLOCK_BITS) - 1).alias("he"))
-    sources = (t.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
+    sources = (t.join(F.broadcast(mid.select("s3", "ahead")), F.col("source").eqNullSafe(F.col("s3")), "left").drop("s3")
                .join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("s4")), "left").drop("s4")
-               .select("source", "source_size", "target", "base", F.coalesce("hc", "he", F.lit(-1)).alias("cut"),
+               .select("source", "source_size", "target", "base", F.coalesce("hc", F.lit(-1)).alias("cut"),
                        (F.col("left") - F.coalesce("rc", "ahead", F.lit(0))).alias("gap")))
     sources = scratch(sources, "mix-cuts")
-    # one document behind the cut whose size comes nearest to what is still missing
+    blocks = (slots.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("homes"))       # two copies at most
+              .join(b.select(F.col("source").alias("s3"), F.col("block").alias("b3"), "part"),
+                    (F.col("block") == F.col("b3")) & F.col("source").eqNullSafe(F.col("s3")), "left")
+              .select("source", "block", "homes", F.coalesce("part", F.lit(0)).alias("part")))
+    blocks = scratch(blocks, "mix-homes")
+    # one document not reached whose size comes nearest to what is still missing
     g = sources.filter("gap > 0").select(F.col("source").alias("s2"), "cut", "gap")
     off = F.abs(F.col("gap") - F.col("size"))
-    more = (rows.join(F.broadcast(g), F.col("source").eqNullSafe(F.col("s2")))
-            .filter(F.col("h") > F.col("cut")).groupBy("source", "gap", "h").agg(F.sum("size").alias("size"))
+    reached = (F.col("part") == 2) | ((F.col("part") == 1) & (F.col("h") <= F.col("cut")))
+    open_rows = (with_block(rows, blocks).join(F.broadcast(g), F.col("source").eqNullSafe(F.col("s2"))).filter(~reached))
+    more = (open_rows.groupBy("source", "gap", "h").agg(F.sum("size").alias("size"))
             .filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "h")).alias("m"))
             .select(F.col("source").alias("s4"), F.col("m.h").alias("extra")))
     sources = scratch(sources.join(F.broadcast(more), F.col("source").eqNullSafe(F.col("s4")), "left")
                       .select("source", "source_size", "target", "base", "cut",
                               F.coalesce("extra", F.lit(-1)).alias("extra")), "mix-sources")
-    return sources, homes(spread, sources, shards, seed)
+    return sources, blocks
 
 
-def homes(spread: DataFrame, sources: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Splitting tree over block slots, then disjoint permuted runs per shard."""
-    s2 = sources.select(F.col("source").alias("s2"), "base", "cut", "extra")
-    last = F.when((F.shiftleft(F.col("block").cast("bigint"), 60 - BLOCK_BITS) <= F.col("cut"))
-                  | (F.shiftright("extra", 60 - BLOCK_BITS) == F.col("block")), 1).otherwise(0)
-    slots = (spread.join(F.broadcast(s2), F.col("source").eqNullSafe(F.col("s2")))
-             .withColumn("copies", F.col("base") + last).filter("copies > 0")
+def block_of(h: str):
+    return F.shiftright(h, 60 - BLOCK_BITS).cast("int")
+
+
+def with_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows(source, h, ...) with ``homes`` and ``part`` of their block."""
+    b = blocks.select(F.col("source").alias("s3"), F.col("block").alias("b3"), "homes", "part")
+    side = broadcast_under(b, blocks.count(), BLOCK_ROWS)
+    return rows.join(side, F.col("source").eqNullSafe(F.col("s3")) & (block_of("h") == F.col("b3")), "left").drop("s3", "b3")
+
+
+def homes(spread: DataFrame, targets_: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(source, block, copy, shard, place): splitting tree over block slots, then
+    disjoint permuted runs per shard; ``place`` counts a shard's draws of a source."""
+    s2 = targets_.select(F.col("source").alias("s2"), (F.col("base") + F.when(F.col("left") > 0, 1).otherwise(0)).alias("copies"))
+    slots = (spread.join(F.broadcast(s2), F.col("source").eqNullSafe(F.col("s2"))).filter("copies > 0")
              .select("source", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
                      F.lit(0).alias("lo"), F.lit(shards).alias("hi")))
     depth = max(0, (shards - 1).bit_length())
@@ -143,13 +164,12 @@ def homes(spread: DataFrame, sources: DataFrame, shards: int, seed: int) -> Data
     quota = slots.groupBy("source", F.col("lo").alias("shard")).agg(F.count(F.lit(1)).alias("q"))
     run = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = quota.withColumn("first", F.coalesce(F.sum("q").over(run), F.lit(0)))
-    runs = runs.select(F.col("source").alias("s5"), "shard",
-                       F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.col("q"))).alias("place"))
+    runs = runs.select(F.col("source").alias("s5"), "shard", "first",
+                       F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.col("q"))).alias("p5"))
     drawn = Window.partitionBy("source").orderBy(hash60(f"{seed}-draw", "source", "block", "copy"), "block", "copy")
     at = slots.select("source", "block", "copy").withColumn("p", F.row_number().over(drawn))
-    out = at.join(runs, (F.col("p") == F.col("place")) & F.col("source").eqNullSafe(F.col("s5")))
-    return scratch(out.groupBy("source", "block").agg(
-        F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("homes")), "mix-homes")   # two copies at most
+    out = at.join(runs, (F.col("p") == F.col("p5")) & F.col("source").eqNullSafe(F.col("s5")))
+    return scratch(out.select("source", "block", "copy", "shard", (F.col("p") - F.col("first")).cast("int").alias("place")), "mix-slots")
 
 
 def keyed(df: DataFrame, key: str, source: str, size, seed: int = SEED) -> DataFrame:
@@ -162,14 +182,11 @@ def place(rows: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame:
     """rows(source, h, ...) with source_size, target and ``copies``: the shard of
     each copy that the mix takes (empty: the row is not taken)."""
     s = sources.select(F.col("source").alias("s2"), "source_size", "target", "base", "cut", "extra")
-    b = blocks.select(F.col("source").alias("s3"), F.col("block").alias("b3"), "homes")
-    n = blocks.count()
-    rows = (rows.withColumn("_block", F.shiftright("h", 60 - BLOCK_BITS).cast("int"))
-            .join(broadcast_under(s, n, BLOCK_ROWS), F.col("source").eqNullSafe(F.col("s2")), "left")
-            .join(broadcast_under(b, n, BLOCK_ROWS), F.col("source").eqNullSafe(F.col("s3")) & (F.col("_block") == F.col("b3")), "left"))
-    take = F.col("base") + F.when((F.col("h") <= F.col("cut")) | (F.col("h") == F.col("extra")), 1).otherwise(0)
+    rows = with_block(rows, blocks).join(broadcast_under(s, blocks.count(), BLOCK_ROWS), F.col("source").eqNullSafe(F.col("s2")), "left")
+    more = (F.col("part") == 2) | ((F.col("part") == 1) & (F.col("h") <= F.col("cut"))) | (F.col("h") == F.col("extra"))
+    take = F.col("base") + F.when(more, 1).otherwise(0)
     copies = F.when(take > 0, F.transform(F.slice("homes", F.lit(1), take), lambda x: x["shard"])).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn("copies", copies).drop("s2", "s3", "b3", "_block", "homes", "base", "cut", "extra")
+    return rows.withColumn("copies", copies).drop("s2", "homes", "part", "base", "cut", "extra")
 
 
 def mix(df: DataFrame, key: str, source: str, size, shards: int = SHARDS, seed: int = SEED,

@@ -48,6 +48,9 @@ def test_words_near_targets_and_shard_quotas(spark):
         own = [r for r in out if r["source"] == s]
         taken = sum(r["size"] * len(r["copies"]) for r in own)
         assert abs(taken - own[0]["target"]) <= 20 and max(len(r["copies"]) for r in own) <= 2
+    # the tree decides: with another number of shards other documents fill the rest of the targets
+    other = {r["key"]: len(r["copies"]) for r in place(rows, *plan(rows, shards=3)).collect()}
+    assert sum(other[r["key"]] != len(r["copies"]) for r in out) > 20
     # block quotas: shards hold equal numbers of block slots, sources drawn hypergeometrically
     slots = Counter(h["shard"] for b in blocks.collect() for h in b["homes"])
     assert len(slots) == 8 and max(slots.values()) - min(slots.values()) <= 3
