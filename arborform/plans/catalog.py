@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import bind, int_text, num_text, text_join
 from ..functions.batches import map_batches
 from ..functions.draw import draw, draw_int
+from ..functions.table_functions import LEAF_ARRAYS, LeafArrays, register_walk
 from ..operators import masking, metrics, pairs, sequence as seq, splits, vectors
 from ..operators.epochs import batch_ranks, epoch_batches
 from ..operators.pair_model import fit_pairs, score_pairs
@@ -23,6 +24,7 @@ from ..operators.trees import (TOKEN_PATTERN, WORD_PATTERN, layout_leaf_array, l
                                leaf_arrays, markup_leaves, node_leaves, node_order, node_paths)
 from ..operators.vocab import build_vocab, build_vocab_frequent, to_ids, vocab_bound
 from ..session import fresh_subdir, written
+from ..sources.json_splits import read_json_splits, write_json_splits
 from ..sources.tables import read_split, read_table, spread, write_features
 from ..streaming import metric_stream, stream_metrics
 from . import params as P
@@ -159,6 +161,14 @@ def q_source_split(spark, d):
     return read_split(spark, path, "validation").select("doc_id", "lang", "split")
 
 
+def q_json_split(spark, d):
+    """A1 from gzipped JSON lines in split folders: one split, one language left out."""
+    rows = splits.assign_split(read_table(spark, d, "documents", ["doc_id", "text", "lang"]), "doc_id", P.SEED)
+    path = write_json_splits(rows, fresh_subdir(spark, "json-splits"))
+    df = exclude_lang(read_json_splits(spark, path, "doc_id bigint, text string, lang string", "validation"), P.EXCLUDED_LANG)
+    return df.select("doc_id", "lang", "split", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def q_split_sizes(spark, d):
     return split_sizes(splits.assign_split(doc_keys(spark, d), "doc_id", P.SEED))
 
@@ -261,6 +271,15 @@ def q_leaf_arrays(spark, d):
                      int_text(F.col("depths")).alias("depths"), int_text(F.col("sibs")).alias("sibs"))
 
 
+def q_leaf_arrays_walk(spark, d):
+    """B4 by a walk over ordered rows, called from SQL as a table function."""
+    register_walk(spark, "walk_leaves", LeafArrays, LEAF_ARRAYS)
+    layout_leaves(docs(spark, d), "doc_id", "text").createOrReplaceTempView("leaves_to_walk")
+    la = spark.sql("SELECT * FROM walk_leaves(TABLE(leaves_to_walk) PARTITION BY doc_id ORDER BY leaf_pos)")
+    return la.select("doc_id", text_join(F.col("tokens")).alias("tokens"), int_text(F.col("tree_mask")).alias("tree_mask"),
+                     int_text(F.col("depths")).alias("depths"), int_text(F.col("sibs")).alias("sibs"))
+
+
 def q_truncate(spark, d):
     cut = seq.truncate(layout_leaf_array(F.col("text")), P.SEQ_LEN)
     t = docs(spark, d, exclude=True).select("doc_id", cut.alias("c"))
@@ -615,6 +634,7 @@ def q_draw(spark, d):
 QUERIES = {
     # A: sources, sinks, shape
     "source_split": q_source_split,
+    "json_split": q_json_split,
     "split_sizes": q_split_sizes,
     "exclude_lang": q_exclude_lang,
     "unsupported_lang": q_unsupported_lang,
@@ -633,6 +653,7 @@ QUERIES = {
     "node_paths": q_node_paths,
     "layout_leaves": q_layout_leaves,
     "leaf_arrays": q_leaf_arrays,
+    "leaf_arrays_walk": q_leaf_arrays_walk,
     # C: sequence features
     "vocab": q_vocab,
     "vocab_frequent": q_vocab_frequent,

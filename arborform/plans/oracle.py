@@ -261,6 +261,8 @@ rep AS (SELECT cls, support, predicted, tp,
 def more_queries(S: dict) -> None:
     S["source_split"] = f"""SELECT doc_id, lang, split FROM
         (SELECT doc_id, lang, {split_expr()} AS split FROM documents) WHERE split = 'validation'"""
+    S["json_split"] = f"""SELECT doc_id, lang, split, md5(text) AS text_md5 FROM (SELECT doc_id, lang, text, {split_expr()} AS split FROM documents)
+        WHERE split = 'validation' AND lang IS DISTINCT FROM {q(P.EXCLUDED_LANG)}"""
     S["split_sizes"] = f"""SELECT split, count(*) AS n_rows FROM
         (SELECT {split_expr()} AS split FROM documents) GROUP BY split"""
     every = f"WITH {docs_cte(False)}, {features_ctes()}"
@@ -342,6 +344,7 @@ def more_queries(S: dict) -> None:
           array_to_string(list(1 ORDER BY leaf_pos), ',') AS tree_mask,
           array_to_string(list(depth ORDER BY leaf_pos), ',') AS depths,
           array_to_string(list(sib ORDER BY leaf_pos), ',') AS sibs FROM lrows GROUP BY doc_id"""
+    S["leaf_arrays_walk"] = S["leaf_arrays"]
     S["truncate"] = f"""WITH {docs_cte(True)}, {leaf_rows_cte()}
         SELECT doc_id, array_to_string(list_transform(leaves[1:{P.SEQ_LEN - 2}], lambda x: x.token), chr(31)) AS tokens,
           array_to_string(list_transform(leaves[1:{P.SEQ_LEN - 2}], lambda x: x.depth), ',') AS depths,
