@@ -26,13 +26,21 @@ multi-match prefix scheme:
    costs about one verification each, and no pair inside a component is made.
    A shared shingle at places i, i' of the two orders leaves room for at most
    min(i, i') shared ones before it and the shorter rest after it; pairs whose
-   sizes need more are dropped there. No link between different components is
+   sizes need more are not made. Nor are pairs whose parity bitmaps differ too
+   much: every shingle flips one of 1024 bits of its class, so two bitmaps differ
+   in at most as many bits as one set has shingles that the other lacks, and
+   linked sets lack at most (n + n') / 9. Both conditions stand inside the joins,
+   before a row is made, so a large group of copies that come near the threshold
+   without reaching it makes few rows. No link between different components is
    lost, so the components are exact.
 
 Defined results: null text or no words: no shingles, linked with nothing, own
-component; fewer than 5 words: the whole sequence as one shingle; equal rows are
-in one component; rows with a null key take part, a component's id is its
-smallest non-null key (null if it has none); an empty table gives no rows.
+component; fewer than 5 words: the whole sequence as one shingle; texts of any
+length take part whole (time linear in them); equal rows are in one component, a
+similarity of exactly 0.8 links; rows with a null key take part, a component's id
+is its smallest non-null key (null if it has none); columns other than key and
+text are not read, whatever their names (``one_of_each`` carries them through);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,7 +55,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, scratch
-from .texts import blocks, column, ship_by_value, worker_state
+from .texts import blocks, column, release, ship_by_value, worker_state
 
 WIDTH = 5                   # words of a shingle
 SHARE = (4, 5)              # similarity of 0.8 as a fraction
@@ -55,7 +63,8 @@ CELL_BITS = 26              # cells of the frequency array
 STEPS = 4                   # values for each doubling of the frequency
 MAX_MATCHES = 4
 VERIFY_COST = 8.0           # a verification against one entry of a list
-ROUNDS = 2                  # rounds of stars before the exact pairs
+ROUNDS = 3                  # rounds of stars before the exact pairs, fewer if one joins nothing
+PARITY_BITS = 1024          # bits of a class's parity bitmap
 HELD = 2_000_000            # hashes that a task gathers before it sends them
 BLOCK = 500_000             # characters worked on at once
 NO_KEY = 1 << 62            # class ids from here on stand for rows without a key
@@ -124,6 +133,19 @@ def signatures(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
 
 
+def parities(h: np.ndarray, n: np.ndarray, which: list[int]) -> list:
+    """Parity bitmaps (as lists of 64-bit integers) of the sets ``which``, None of the others."""
+    out, first = [None] * len(n), np.concatenate([[0], np.cumsum(n)])
+    for lo in range(0, len(which), 1024):
+        part = which[lo:lo + 1024]
+        bit = [((h[first[i]:first[i + 1]] >> U(17)).astype(np.int64) & (PARITY_BITS - 1)) + k * PARITY_BITS for k, i in enumerate(part)]
+        flips = np.bincount(np.concatenate(bit), minlength=len(part) * PARITY_BITS).astype(np.uint8) & 1
+        words = np.packbits(flips.reshape(len(part), PARITY_BITS), axis=1, bitorder="little").view("<i8")
+        for i, w in zip(part, words):
+            out[i] = w
+    return out
+
+
 def part_bits(spark) -> int:
     """log2 of the hash ranges that frequencies are summed in."""
     return min(16, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2))
@@ -208,12 +230,12 @@ def prefix_of(value: np.ndarray, n: int) -> tuple[int, int]:
     return m, plain + m - 1
 
 
-def signed(docs: DataFrame, key: str, text: str, cells: bytes) -> DataFrame:
+def signed(docs: DataFrame, key: str, text: str, shared) -> DataFrame:
     """key, h (hash of the text), a, b, n of each document; of those with prefix shingles that occur
-    elsewhere also m (matches), w (shingles that occur elsewhere, at most), tokens and set
-    (all hashes, packed)."""
+    elsewhere also m (matches), w (shingles that occur elsewhere, at most), tokens, bits (parity bitmap)
+    and set (all hashes, packed). ``shared``: the broadcast frequency array."""
     ship_by_value()
-    shared, name = docs.sparkSession.sparkContext.broadcast(cells), uuid.uuid4().hex
+    name = uuid.uuid4().hex
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
 
@@ -246,12 +268,16 @@ def signed(docs: DataFrame, key: str, text: str, cells: bytes) -> DataFrame:
                     take = h2[at[i]:at[i] + size][own[:size] > 0]
                     if len(take):
                         m[i], tokens[i], sets[i] = l, take.view(np.int64), h[at[i]:at[i + 1]].astype("<u8").tobytes()
+                bits = parities(h, n, [i for i in range(len(n)) if tokens[i] is not None])
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), pa.array(m, pa.int32()), pa.array(w, pa.int64()),
-                     pa.array(tokens, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                    names=["key", "h", "a", "b", "n", "m", "w", "tokens", "set"])
+                     pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                    names=["key", "h", "a", "b", "n", "m", "w", "tokens", "bits", "set"])
+        value_of = None
+        held.clear()
+        release("frequencies", "powers")        # the next stage needs the memory more than the next task the time
     return rows.mapInArrow(
-        run, f"key {kind}, h bigint, a bigint, b bigint, n bigint, m int, w bigint, tokens array<bigint>, set binary")
+        run, f"key {kind}, h bigint, a bigint, b bigint, n bigint, m int, w bigint, tokens array<bigint>, bits array<bigint>, set binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -301,6 +327,15 @@ def can_link(n1, n2, i1, i2, r1, r2):
     return (F.greatest(n1, n2) * SHARE[0] <= F.least(n1, n2) * SHARE[1]) & room(n1, n2, i1, i2, r1, r2)
 
 
+def parities_allow(n1, n2, bits1, bits2):
+    """The parity bitmaps differ in no more bits than linked sets can:
+    (|union| - |intersection|) / (|union| + |intersection|) is at most (1 - 0.8) / (1 + 0.8)."""
+    differ = F.bit_count(bits1[0].bitwiseXOR(bits2[0]))
+    for k in range(1, PARITY_BITS // 64):
+        differ = differ + F.bit_count(bits1[k].bitwiseXOR(bits2[k]))
+    return differ * (SHARE[0] + SHARE[1]) <= (n1 + n2) * (SHARE[1] - SHARE[0])
+
+
 def labelled(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
         return entries.withColumn("comp", F.col("c"))
@@ -313,56 +348,59 @@ def apart(entries: DataFrame) -> DataFrame:
     return entries.join(mixed_tokens, "token")
 
 
+def meeting(left: str, right: str):
+    """Whether the classes of two entries can link, and are not one component yet."""
+    of = lambda side: [F.col(f"{side}.{c}") for c in "nir"]
+    return (F.col(f"{left}.comp") != F.col(f"{right}.comp")) & can_link(*[x for two in zip(of(left), of(right)) for x in two])
+
+
 def star_pairs(entries: DataFrame, turn: int) -> DataFrame:
     """Each class with the one pivot, of its tokens' pivots, that shares most
     of its tokens. The pivot of a token is the first class in this round's order."""
     rank = F.struct((F.col("c") if turn == 0 else F.xxhash64("c", F.lit(turn))).alias("rank"), "c", "comp", "n", "i", "r")
-    pivot = entries.groupBy("token").agg(F.min(rank).alias("p")).select("token", F.col("p.c").alias("y"), F.col("p.comp").alias("yc"), F.col("p.n").alias("yn"), F.col("p.i").alias("yi"), F.col("p.r").alias("yr"))
-    met = (entries.join(pivot, "token").filter((F.col("comp") != F.col("yc")) & can_link(*map(F.col, ("n", "yn", "i", "yi", "r", "yr"))))
-           .groupBy(F.col("c").alias("x"), "y").agg(F.count(F.lit(1)).alias("shared")))
+    pivot = entries.groupBy("token").agg(F.min(rank).alias("p")).select("token", "p.*")
+    met = (entries.alias("x").join(pivot.alias("y"), (F.col("x.token") == F.col("y.token")) & meeting("x", "y"))
+           .groupBy(F.col("x.c").alias("x"), F.col("y.c").alias("y")).agg(F.count(F.lit(1)).alias("shared")))
     return met.groupBy("x").agg(F.max(F.struct("shared", (-F.col("y")).alias("back"))).alias("b")).select("x", (-F.col("b.back")).alias("y"))
 
 
-def cross_pairs(entries: DataFrame) -> DataFrame:
-    """All pairs of classes of different components that share min(m, m') tokens."""
-    by_comp = entries.groupBy("token", "comp").agg(F.min("m").alias("m"), F.min("n").alias("n"), F.max("i").alias("i"), F.max("r").alias("r"))
-    side = lambda k: by_comp.select("token", F.col("comp").alias(f"c{k}"), *[F.col(c).alias(f"{c}{k}") for c in "mnir"])
-    # components first: the room that any of their members have
-    met = side(1).join(side(2), "token").filter((F.col("c1") < F.col("c2")) & room(*map(F.col, ("n1", "n2", "i1", "i2", "r1", "r2")))) \
-        .select("token", "c1", "c2", "m1", "m2", "n2", "i2", "r2")
-    enough = (met.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("m1"), F.min("m2")).alias("least"))
-              .filter("shared >= least").select("c1", "c2"))
-    met = met.drop("m1", "m2").join(enough, ["c1", "c2"])
-    one = lambda i, c: entries.select("token", F.col("comp").alias(f"c{i}"), F.col("c").alias(c), *[F.col(x).alias(f"{x}{c}") for x in "nmir"])
-    # then the members of one side that have room against the other component
-    some = met.join(one(1, "x"), ["token", "c1"]).filter(room(*map(F.col, ("nx", "n2", "ix", "i2", "rx", "r2")))).drop("n2", "i2", "r2")
-    pairs = (some.join(one(2, "y"), ["token", "c2"])
-             .filter(can_link(*map(F.col, ("nx", "ny", "ix", "iy", "rx", "ry")))))
-    return (pairs.groupBy("x", "y", "mx", "my").agg(F.count(F.lit(1)).alias("shared"))
-            .filter(F.col("shared") >= F.least("mx", "my")).select("x", "y"))
+def cross_pairs(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of classes of different components that can link and share min(m, m') tokens."""
+    entries = entries.join(classes.select("c", "bits"), "c")
+    alike = parities_allow(*[F.col(f"{side}.{c}") for c in ("n", "bits") for side in "xy"])
+    met = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & meeting("x", "y") & alike)
+    return (met.groupBy(F.col("x.c").alias("x"), F.col("y.c").alias("y"), F.least("x.m", "y.m").alias("least")).agg(F.count(F.lit(1)).alias("shared"))
+            .filter("shared >= least").select("x", "y"))
 
 
 def similar(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n (shingles), component of each row, and ``h``, ``grp``: hash of the
     text and inner id of the component (null without words)."""
     table = Scratch(docs.sparkSession)
-    rows = table(signed(docs, key, text, frequencies(docs, text)), "join-sets")
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, text))
+    rows = table(signed(docs, key, text, shared), "join-sets")
+    shared.unpersist()
     no_key = F.lit(NO_KEY) + F.shiftrightunsigned(F.xxhash64("a", "b", "n"), 3)
     reps = rows.filter("n > 0").groupBy("a", "b", "n").agg(F.min("key").cast("bigint").alias("rep"))
     reps = table(reps.withColumn("c", F.coalesce("rep", no_key)).drop("rep"), "join-classes")
-    described = rows.filter("tokens is not null").select("a", "b", "n", "m", "w", "tokens", "set").dropDuplicates(["a", "b", "n"])
-    classes = table(described.join(reps, ["a", "b", "n"]).select("c", "n", "m", "w", "tokens", "set"), "join-described")
+    described = rows.filter("tokens is not null").select("a", "b", "n", "m", "w", "tokens", "bits", "set").dropDuplicates(["a", "b", "n"])
+    classes = table(described.join(reps, ["a", "b", "n"]).select("c", "n", "m", "w", "tokens", "bits", "set"), "join-described")
     # tokens stand in order, so their index is the number of shared ones before
     entries = classes.select("c", "n", "m", "w", F.posexplode("tokens").alias("i", "token"))
     entries = entries.withColumn("r", F.col("w") - F.col("i")).drop("w")
     entries = table(apart(labelled(entries, None)).drop("comp"), "join-entries")
-    links, comps = None, None
-    for turn in range(ROUNDS + 1):
+    links, comps, turn, joined = None, None, 0, True
+    while turn <= ROUNDS:
+        # stars while they join components, then all pairs that are left
+        turn = turn if joined else ROUNDS
         left = apart(labelled(entries, comps))
-        pairs = star_pairs(left, turn) if turn < ROUNDS else cross_pairs(left)
+        pairs = star_pairs(left, turn) if turn < ROUNDS else cross_pairs(left, classes)
         found = table(verified(pairs, classes), "join-found")
-        links = found if links is None else links.union(found)
-        comps = components(links, table)
+        joined = not found.isEmpty()
+        if joined or comps is None:
+            links = found if links is None else links.union(found)
+            comps = components(links, table)
+        turn += 1
     of = reps.join(comps, "c", "left").select("a", "b", "n", F.coalesce("comp", "c").alias("comp"))
     # a class that fills a third of the rows makes the rows' side skewed: AQE splits it
     out = rows.select("key", "h", "a", "b", "n").join(of, ["a", "b", "n"], "left")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
 BLOCK_CHARS = 2_000_000     # characters handled at once
@@ -24,6 +26,18 @@ def worker_state(name: str, build):
     return held[name]
 
 
+def release(*names: str) -> None:
+    """Drop what ``worker_state`` keeps under these names and hand freed memory
+    back, so a worker that waits for its next stage holds little."""
+    held = sys.modules.setdefault("_arborform_worker", types.ModuleType("_arborform_worker")).__dict__
+    for name in names:
+        held.pop(name, None)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc
+    if trim:
+        trim(0)
+
+
 def blocks(texts: list[str], limit: int = BLOCK_CHARS):
     """(first, end) runs of texts that hold about ``limit`` characters; a longer
     text is a run of its own."""

@@ -109,6 +109,42 @@ def test_large_group_makes_few_pairs(spark):
     assert {c for _, c in got.values()} == {0}
 
 
+def test_parities_never_exclude_a_link():
+    """Bits that differ are at most the shingles that one set has and the other lacks."""
+    rnd = random.Random(11)
+    for _ in range(300):
+        a = rnd.choices([f"w{i}" for i in range(4000)], k=rnd.choice([5, 40, 300, 3000]))
+        b = list(a)
+        for _ in range(rnd.choice([0, 1, 3, 30])):
+            b[rnd.randrange(len(b))] = rnd.choice(["new", "words"])
+        h, n = J.shingles([" ".join(a), " ".join(b)], J.Powers())
+        x, y = J.parities(h, n, [0, 1])
+        assert len(x) * 64 == J.PARITY_BITS
+        differ = sum(bin((int(p) ^ int(q)) & ((1 << 64) - 1)).count("1") for p, q in zip(x, y))
+        s, t = sets(" ".join(a)), sets(" ".join(b))
+        assert differ <= len(s ^ t) and (len(s ^ t) - differ) % 2 == 0
+        if 100 * len(s & t) >= 80 * len(s | t):
+            assert differ * 9 <= len(s) + len(t)
+
+
+def test_group_below_the_threshold_makes_few_rows(spark):
+    """Copies that come near the threshold without reaching it: no pair is made of them."""
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(150):
+        ws = list(base)
+        for p in rnd.sample(range(0, 300, 6), 9):       # each copy: 45 of 296 shingles are its own
+            ws[p] = f"x{i}-{p}"
+        rows.append((i, " ".join(ws)))
+    assert len(set(run(spark, rows).values())) == len(rows)
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    shared = spark.sparkContext.broadcast(J.frequencies(df, "t"))
+    classes = J.signed(df, "k", "t", shared).selectExpr("key as c", "n", "m", "w", "tokens", "bits")
+    entries = classes.selectExpr("c", "c as comp", "n", "m", "w", "posexplode(tokens) as (i, token)").selectExpr("c", "comp", "n", "m", "i", "token", "w - i as r")
+    assert entries.count() > 2000 and J.cross_pairs(entries, classes).count() == 0
+
+
 def test_prefix_keeps_enough():
     v = np.array([0, 0, 8, 8, 8, 8, 8, 8, 20, 40])
     m, size = J.prefix_of(v, 10)
