@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,7 @@ class Pieces:
                 new = set().union(*parts) - {" "}
             new = list(new)
             # the model puts a space before what it encodes: the piece's first one
-            self.known.update((p, np.array(x, "<i4").tobytes()) for p, x in zip(new, self.sp.encode([p[1:] for p in new], num_threads=1)))
+            self.known.update((p, array("i", x).tobytes()) for p, x in zip(new, self.sp.encode([p[1:] for p in new], num_threads=1)))
             self.size += sum(map(len, new))
             known = self.known
             each = [b"".join([known[p] for p in ps]) if ps or not t else np.array(self.sp.encode(t), "<i4").tobytes() for t, ps in zip(texts, parts)]
@@ -203,7 +204,8 @@ class Aligner:
         upto = np.concatenate([[0], np.cumsum(width + 1)])[first_a + first_b].tolist()
         shown = [text[s:max(s, e - 1)] for s, e in zip(upto, upto[1:])]
         # one link up to each end of either list
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")       # merges two sorted runs
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         pair = ids_a[np.searchsorted(ends_a, ends)] * self.n_b + ids_b[np.searchsorted(ends_b, ends)]
         edge = np.concatenate([[0], ends_a])[first_a]
         doc = np.searchsorted(edge, ends, side="left") - 1
