@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,73 @@ def test_vocabulary_equals_a_plain_sort(spark):
     want = sorted(n, key=lambda t: (-n[t], t))[:40]
     got = {r.id: r.token for r in build_vocab(toks, 40).collect()}
     assert [got[5 + i] for i in range(40)] == want and len(got) == 45
+
+
+def _position_rows(spark, n=700):
+    tables = {x: spark.range(40 + k).select(F.col("id").cast("int").alias("id"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.sin(F.col("id") * 7 + j + k)).alias("embedding"))
+              for k, x in enumerate(vectors.SOURCES)}
+    # the last half is padding: equal ids and factors
+    at = F.when(F.col("k") < n // 2, F.col("k")).otherwise(0)
+    rows = spark.range(n).select(F.col("id").alias("k")).select(
+        "k", *[((at * (3 + j)) % 40).cast("int").alias(f"{x}_id") for j, x in enumerate(vectors.SOURCES)],
+        (at % 2).cast("int").alias("depth_on"), (at % 3 % 2).cast("int").alias("sib_on"))
+    return rows, tables, {x: 45 for x in vectors.SOURCES}
+
+
+@pytest.mark.parametrize("mode,eps", [("sum", 1e-5), ("sum", None), ("weighted", None), ("concat", None)])
+def test_fused_in_one_pass_equals_plain_arithmetic(spark, mode, eps):
+    import functools
+    import hashlib
+    import math
+    from arborform.functions.arrays import numbers_md5
+    rows, tables, sizes = _position_rows(spark)
+    weights = {"type": 0.5, "sibling": 1.5}
+    got = {r.k: r.v for r in vectors.fused(rows, tables, sizes, 6, mode, "v", weights=weights, eps=eps).collect()}
+    digest = {r.k: r.v for r in vectors.fused(rows, tables, sizes, 6, mode, "v", weights=weights, eps=eps, of=numbers_md5(), kind="string").collect()}
+    vec = {x: {r.id: list(r.embedding) for r in t.collect()} for x, t in tables.items()}
+    w = [weights.get(x, 1.0) if mode == "weighted" else 1.0 for x in vectors.SOURCES]
+    for r in rows.collect():
+        five = [vec[x][r[f"{x}_id"]] for x in vectors.SOURCES]
+        five[3:] = [[y * r.depth_on for y in five[3]], [y * r.sib_on for y in five[4]]]
+        if mode == "concat":
+            want = [y for v in five for y in v]
+        else:
+            want = [((((a * w[0] + b * w[1]) + c * w[2]) + d * w[3]) + e * w[4]) for a, b, c, d, e in zip(*five)]
+        if eps is not None:
+            mean, var = functools.reduce(lambda a, y: a + y, want, 0.0) / 6, 0.0
+            for y in want:
+                var += (y - mean) * (y - mean)
+            want = [(y - mean) / math.sqrt(var / 6 + eps) for y in want]
+        assert list(got[r.k]) == want
+        assert digest[r.k] == hashlib.md5(",".join(str(round(y * 1e6)) for y in want).encode()).hexdigest()
+
+
+def test_fused_joins_a_table_with_repeats_and_gaps(spark):
+    rows, tables, sizes = _position_rows(spark, 40)
+    twice = dict(tables, type=tables["type"].union(tables["type"].filter("id = 0")))
+    assert vectors.fused(rows, twice, sizes, 6, "sum", "v").filter("k >= 20").count() == 40     # as a join gives them
+    none = dict(tables, type=tables["type"].withColumn("embedding", F.when(F.col("id") != 0, F.col("embedding"))))
+    got = {r.k: r.v for r in vectors.fused(rows, none, sizes, 6, "sum", "v").collect()}
+    assert got[39] == [None] * 6 and None not in got[1]
+    for missing in (dict(tables, word=tables["word"].filter("id <> 0")), dict(twice, word=tables["word"].filter("id <> 0"))):
+        with pytest.raises(Exception, match="outside its vector table"):
+            vectors.fused(rows, missing, sizes, 6, "sum", "v").collect()
+
+
+def test_lookup_of_what_the_vector_gives_is_computed_per_table_row(spark, tmp_path):
+    import uuid
+    table = spark.range(8).select(F.col("id").cast("int").alias("vec_id"), F.array(F.col("id") * 1.0, F.col("id") * 2.0).alias("embedding"))
+    rows = spark.range(90).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 8).cast("int").alias("vid"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def total(v):
+        @F.arrow_udf("double")
+        def run(x):
+            seen.add(len(x))
+            return pa.array([float(sum(y)) for y in x.to_pylist()])
+        return run(v)
+    want = {r.id: 3.0 * r.vid for r in rows.collect()}
+    assert {r.id: r.v for r in vectors.lookup(rows, table, "vid", "v", bound=8, dim=2, of=total).collect()} == want
+    assert seen.value == 8
+    name = vectors.bucket_table(table, "v" + uuid.uuid4().hex, 4, str(tmp_path / "b"))
+    assert {r.id: r.v for r in vectors.lookup_bucketed(rows, name, "vid", "v", 4, of=total).collect()} == want
