@@ -138,3 +138,18 @@ def test_queries_equal_sql(spark, name):
     norm = lambda v: round(v, 6) if isinstance(v, float) else v
     cols = sorted(df.columns)
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(norm(r[at[c]]) for c in cols) for r in rel.fetchall())
+
+
+def test_stream_files_grow_with_the_sequences(spark, monkeypatch):
+    from arborform.plans import catalog as C, params as P
+    made = []
+    plain = C.fresh_subdir
+    monkeypatch.setattr(C, "fresh_subdir", lambda s, name: made.append(plain(s, name)) or made[-1])
+    monkeypatch.setattr(C, "FILE_SEQS", 50)
+    sf = "/root/testdata/sf0.001"
+    got = C.q_metric_row_stream(spark, sf).first()
+    src = next(x for x in made if "stream-in" in x)
+    files = spark.read.parquet(src).inputFiles()
+    assert len(files) > P.STREAM_FILES and len(files) <= 4 * P.STREAM_FILES     # 183 sequences, 8 files for each 50
+    want = C.q_metric_row(spark, sf).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
