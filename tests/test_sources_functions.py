@@ -98,3 +98,18 @@ def test_a_walk_of_many_rows_a_group(spark):
     register_walk(spark, "gaps", Gaps, "k int, gap int")
     rows = spark.sql("SELECT * FROM gaps(TABLE(vals) PARTITION BY k ORDER BY v)").collect()
     assert sorted(map(tuple, rows)) == [(1, -2), (1, 2), (1, 5), (2, 0)]
+
+
+def test_leaf_walk_takes_batches_and_long_groups(spark):
+    assert hasattr(LeafArrays, "rows") and not hasattr(LeafArrays, "row")       # no Python call per leaf
+    docs = spark.createDataFrame([(i, "a b c\n\n" * (40 if i == 3 else i % 4)) for i in range(30)] + [(None, "x y")], "doc_id bigint, text string")
+    layout_leaves(docs, "doc_id", "text").repartition(7).createOrReplaceTempView("many_leaves")
+    register_walk(spark, "walk_leaves", LeafArrays, LEAF_ARRAYS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")        # a group of 160 leaves spans batches
+    try:
+        walked = spark.sql("SELECT * FROM walk_leaves(TABLE(many_leaves) PARTITION BY doc_id ORDER BY leaf_pos)")
+        got = sorted(map(str, walked.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = leaf_arrays(layout_leaves(docs, "doc_id", "text"), "doc_id").select(*walked.columns)
+    assert got == sorted(map(str, want.collect())) and len(got) == 31
