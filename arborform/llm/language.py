@@ -8,10 +8,11 @@ n-gram under every language are laid out in arrays sorted by the n-gram's hash;
 n-grams that no language has are backed off when they are met. A text gets the
 language of the lowest cross-entropy per character.
 
-The score is the posterior of that language, with one temperature fitted on a
-bounded sample of training rows (a quota of ``CALIBRATION_ROWS`` per language,
-at least ``LEAST_QUOTA``, lowest hashes of the key). A text whose cross-entropy lies far above what its language has in that
-sample is marked rejected and its score lowered.
+The score is the posterior of that language, with one temperature fitted on all
+training rows that have a letter: each task sums the likelihood at every temperature of a
+grid, and the cross-entropies of each language. A text whose cross-entropy lies far
+above what the training rows of its language have is marked rejected and its score
+lowered.
 
 All counted n-grams are in the model. It is cut into parts of about
 ``PART_GRAMS`` of them, by ranges of the middle two symbols (third, second):
@@ -31,19 +32,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash60
+from .common import Scratch
 from .texts import blocks, code_points, column, ship_by_value
 
 ORDER = 4
 START = 2                   # symbol before a text's beginning
 PART_GRAMS = 100_000        # (language, n-gram) rows of a part, about
 HELD_BYTES = 400_000_000    # parts that a task keeps
-CALIBRATION_ROWS = 4_000
-LEAST_QUOTA = 200           # calibration rows of a language, if it has as many
 REJECT_SD = 5.0
+BETAS = np.geomspace(0.05, 8, 60)       # temperatures tried
 ODD = np.uint64(0x9E3779B97F4A7C15)     # odd multiplier: n-gram -> hash, one to one
 FLUSH = 2_000_000           # n-grams that a task holds before it merges them
 
@@ -249,19 +249,26 @@ class Model(Costs):
         own, limit = ce.min(1), np.array(self.limits)[best]
         return best, np.where(own > limit, score * limit / own, score), own > limit
 
-    def calibrate(self, ce: np.ndarray, size: np.ndarray, truth: np.ndarray) -> None:
-        """Temperature by likelihood on a grid, limits by mean and deviation."""
-        row = np.arange(len(truth))
-
-        def loss(beta):
-            z = -beta * np.sqrt(size)[:, None] * ce
-            z = z - z.max(1)[:, None]
-            return -(z[row, truth] - np.log(np.exp(z).sum(1))).mean()
-        self.beta = min(np.geomspace(0.05, 8, 60), key=loss)
+    def losses(self, ce: np.ndarray, size: np.ndarray, truth: np.ndarray) -> np.ndarray:
+        """Sum over the texts of the negative log-likelihood at each temperature;
+        then texts, cross-entropies and their squares of each language."""
+        row, out = np.arange(len(truth)), []
+        gap = -np.sqrt(size)[:, None] * (ce - ce.min(1)[:, None])
+        for beta in BETAS:
+            z = beta * gap
+            out.append((np.log(np.exp(z).sum(1)) - z[row, truth]).sum())
+        own, n = ce[row, truth], len(self.langs)
+        return np.concatenate([out, np.bincount(truth, minlength=n), np.bincount(truth, own, n), np.bincount(truth, own * own, n)])
+
+    def calibrate(self, sums: np.ndarray) -> None:
+        """Temperature by likelihood on the grid, limits by mean and deviation,
+        from the sums of ``losses`` over all training texts."""
+        self.beta = float(BETAS[int(np.argmin(sums[:len(BETAS)]))])
+        n, own, squares = sums[len(BETAS):].reshape(3, len(self.langs))
         for j in range(len(self.langs)):
-            own = ce[truth == j, j]
-            if len(own) >= 20:
-                self.limits[j] = float(own.mean() + REJECT_SD * own.std())
+            if n[j] >= 20:
+                mean = own[j] / n[j]
+                self.limits[j] = float(mean + REJECT_SD * np.sqrt(max(squares[j] / n[j] - mean * mean, 0.0)))
 
 
 def middle(key: np.ndarray) -> np.ndarray:
@@ -343,20 +350,6 @@ def packed_parts(counts: DataFrame, two: DataFrame, langs: list[str], cuts: np.n
     return rows.groupBy("part").applyInArrow(build, "part int, data binary")
 
 
-def calibration_rows(train: DataFrame, key: str, lang: str, text: str, langs: list[str]) -> DataFrame:
-    """l, _text: the rows of each language with the lowest hashes, a quota of each."""
-    quota = max(LEAST_QUOTA, CALIBRATION_ROWS // len(langs))
-    known = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))       # one row per language
-    # two quotas of each language are ranked, about
-    some = (known.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), hash60("language", key).alias("_h"))
-            .join(F.broadcast(sizes), "_l").filter(F.col("_h") < F.lit(float(1 << 60)) * F.lit(2.0 * quota) / F.col("_n"))
-            .select("_k", "_l", "_h").distinct()
-            .withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k"))).filter(F.col("_r") <= quota))
-    return (train.join(F.broadcast(some), (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l")))
-            .select(F.col("_l").alias("l"), F.col(text).alias("_text")))
-
-
 def fit(train: DataFrame, key: str, lang: str, text: str) -> Parted | None:
     spark, table = train.sparkSession, Scratch(train.sparkSession)
     cut = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("gram")
@@ -392,12 +385,10 @@ def fit(train: DataFrame, key: str, lang: str, text: str) -> Parted | None:
     source = [spark.sparkContext.broadcast(bytes(packed.filter(F.col("part") == i).first()["data"])) for i in range(len(cuts) + 1)]
     model = Parted(langs, cuts, source)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
-    rows = calibration_rows(train, key, lang, text, langs).mapInArrow(
-        entropy_rows(shared, source), "l string, ce array<double>, size bigint, letter boolean").collect()
-    rows = [r for r in rows if r["letter"]]
+    rows = (train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("_text"))
+            .mapInArrow(calibration_sums(shared, source), "sums array<double>").collect())       # one row per task
     if rows:
-        model.calibrate(np.array([r["ce"] for r in rows]), np.array([r["size"] for r in rows]),
-                        np.array([langs.index(r["l"]) for r in rows]))
+        model.calibrate(np.sum([r["sums"] for r in rows], axis=0))
     table.drop()
     return model
 
@@ -410,15 +401,22 @@ def loaded(shared, source):
     return model
 
 
-def entropy_rows(shared, source):
+def calibration_sums(shared, source):
+    """The sums of ``Model.losses`` over a task's rows (l, _text) that have a letter."""
     def run(batches):
-        symbols, model = Symbols(), loaded(shared, source)
+        symbols, model, total = Symbols(), loaded(shared, source), 0
+        place = {x: j for j, x in enumerate(model.langs)}
         for batch in batches:
-            texts = column(batch, "_text")
+            langs, texts = column(batch, "l"), column(batch, "_text")
             for lo, hi in blocks(texts):
                 ce, size, letter = model.entropies(texts[lo:hi], symbols)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(ce), pa.list_(pa.float64())),
-                                                  pa.array(size), pa.array(letter)], names=["l", "ce", "size", "letter"])
+                # a language without a text of its own n-grams is not learnt
+                truth = np.array([place.get(x, -1) for x in langs[lo:hi]])
+                on = letter & (truth >= 0)
+                if on.any():
+                    total = total + model.losses(ce[on], size[on], truth[on])
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
     return run
 
 

@@ -79,3 +79,18 @@ def test_every_ngram_is_in_the_model_whatever_its_parts(spark, monkeypatch):
             assert np.allclose(a, b, atol=1e-4)
     got = [r["lang_pred"] for r in predict(df.filter("lang = 'xx'").select("k", "t"), "t", m, keep=("k",)).collect()]
     assert got == ["xx"]
+
+
+def test_temperature_and_limits_come_from_every_training_row(spark):
+    texts = {"de": [DE + f" {w} nummer" for w in ("eins", "zwei", "drei", "vier", "xylophon") * 8], "en": [EN + " " + w * 9 for w in ("one", "two", "qqq") * 12]}
+    rows = [(i, t, x) for x in texts for i, t in enumerate(texts[x])] * 60      # 4,560 rows, keys repeat
+    df = spark.createDataFrame(rows, "k bigint, t string, lang string").repartition(5)
+    m = fit(df, "k", "lang", "t")
+    ce, size, letter = m.entropies([t for _, t, _ in rows], Symbols())
+    truth = np.array([m.langs.index(x) for *_, x in rows])
+    for j in (0, 1):
+        own = ce[truth == j, j]
+        assert abs(m.limits[j] - (own.mean() + language.REJECT_SD * own.std())) < 1e-6
+    z = [-b * np.sqrt(size)[:, None] * ce for b in language.BETAS]
+    loss = [np.logaddexp.reduce(x, axis=1).sum() - x[np.arange(len(truth)), truth].sum() for x in z]
+    assert abs(loss[list(language.BETAS).index(m.beta)] - min(loss)) < 1e-6
