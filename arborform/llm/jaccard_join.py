@@ -188,6 +188,8 @@ def frequencies(docs: DataFrame, text: str) -> bytes:
                     held, size = [], 0
         if held:
             yield send(held)
+        held = seen = None
+        release("powers")
 
     def merge(table):
         part = table.column("part")[0].as_py()
@@ -210,8 +212,8 @@ def unpacked(packed: bytes) -> np.ndarray:
     """The frequency array from the packed parts of the hash ranges."""
     bits, parts = pickle.loads(packed)
     out = np.zeros((1 << bits, 1 << (CELL_BITS - bits)), np.uint8)
-    for p, cells in parts.items():
-        out[p] = np.frombuffer(zlib.decompress(cells), np.uint8)
+    for p in list(parts):
+        out[p] = np.frombuffer(zlib.decompress(parts.pop(p)), np.uint8)
     return out.reshape(-1)
 
 
@@ -244,6 +246,7 @@ def signed(docs: DataFrame, key: str, text: str, shared) -> DataFrame:
         held = worker_state("frequencies", dict)        # unpacked once in a worker
         if held.get("name") != name:
             held.update(name=name, cells=unpacked(shared.value))
+            shared.__dict__.pop("_value", None)         # the broadcast keeps no copy in the worker
         value_of = held["cells"]
         for batch in batches:
             texts, keys = column(batch, "text"), batch.column(batch.schema.get_field_index("key"))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash60
-from .texts import blocks, code_points, column, ship_by_value, worker_state
+from .texts import blocks, code_points, column, release, ship_by_value, worker_state
 
 # A general lexicon, phrases in which a word of it is harmless,
 # and the letters that look-alikes, digits and signs stand for.
@@ -52,6 +52,7 @@ SAME = {"l": "i"}           # 1 stands for both, so both fold to one letter
 
 SAMPLE_ROWS = 20_000
 MAX_ENTRIES = 5_000
+BLOCK = 500_000             # characters worked on at once
 PREFIXES = (4, 5, 6, 7)     # lengths of word beginnings
 MIN_G2 = 27.0               # log-likelihood ratio that an entry needs
 MIN_ODDS = math.log(6)
@@ -116,7 +117,7 @@ def automaton(model: dict):
 def measure(texts: list[str], model: dict, table: np.ndarray, a) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum of weights, hits and words of each text."""
     total, hits, words = (np.zeros(len(texts)) for _ in range(3))
-    for lo, hi in blocks(texts):
+    for lo, hi in blocks(texts, BLOCK):
         # a space before and after every text, so no word spans two of them
         signs, starts = folded([" " + t + " " for t in texts[lo:hi]], table)
         letter = signs != 32
@@ -299,6 +300,7 @@ def without_toxic(df: DataFrame, text: str, model: dict, threshold: float = 0.5)
             total, _, words = measure([t or "" for t in column(batch, text)], model, table, a)
             score = 1 / (1 + np.exp(-np.clip(features(total, words) @ np.array(model["curve"]), -30, 30)))
             yield batch.filter(pa.array(score < threshold))
+        release()           # the next stage needs the memory
     return df.mapInArrow(run, df.schema)
 
 

@@ -119,3 +119,13 @@ def test_held_out_accuracy(spark):
          .agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double")).alias("a"),
               F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.count("*").alias("n")).first())
     assert r["n"] > 500 and r["a"] >= 0.98 and r["recall"] >= 0.85
+
+
+def test_texts_are_measured_in_small_blocks(monkeypatch):
+    from arborform.llm import toxicity
+    sizes, plain = [], toxicity.folded
+    monkeypatch.setattr(toxicity, "folded", lambda texts, table: sizes.append(sum(map(len, texts))) or plain(texts, table))
+    model = {"entries": {"idiot ": 4.0}, "exceptions": [], "curve": toxicity.FIXED_CURVE}
+    texts = ["an idiot " + "word " * 20_000] * 30
+    total, hits, words = toxicity.measure(texts, model, toxicity.fold_table(), toxicity.automaton(model))
+    assert max(sizes) < 700_000 and list(hits) == [1] * 30 and list(total) == [4.0] * 30 and list(words) == [20_002] * 30
