@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import FEATURE_COLS, check_lengths, leaf_rows, mask_unknown, pad_all, wrapped_arrays
-from .vocab import to_ids
+from .sequence import FEATURE_COLS, check_lengths, mask_unknown, pad_all, wrapped_features
 
 
 def text_hash(text: Column) -> Column:
@@ -38,8 +37,7 @@ def pair_features_of(sides: DataFrame, texts: DataFrame, vocab: DataFrame, lengt
     than L (C8). A null text is an empty one, so every pair has a row; a text
     shared by very many pairs is a skewed join key, which AQE splits.
     """
-    rows = leaf_rows(texts.select("h", "text").distinct(), "h", "text", length, align=False)
-    f = wrapped_arrays(to_ids(rows, vocab, bound=vocab_rows), "h")
+    f = wrapped_features(texts.select("h", "text").distinct(), vocab, "h", "text", length, align=False, vocab_rows=vocab_rows)
     f = f.withColumn("tree_attention_mask", mask_unknown(F.col("input_ids"), F.col("tree_attention_mask")))
     f = f.select("h", F.struct(*FEATURE_COLS).alias("f"))
     j = (sides.join(f.select(F.col("h").alias("h_1"), F.col("f").alias("f_1")), "h_1")

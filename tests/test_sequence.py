@@ -162,3 +162,32 @@ def test_pair_features_null_sides(spark, stub_vocab):
     assert set(got) == {1, 2, 3}
     assert got[1].input_ids_1 == got[2].input_ids_2 == got[3].input_ids_1
     assert got[1].input_ids_2 == got[2].input_ids_1 and got[1].labels == 1
+
+
+ODD_TEXTS = ["x = 1 + y\n\nz = x", "", None, "\n", " \t", "a\n \nb b _ é1", "1 + " * 40, "\n\na"]
+
+
+def _wrapped(spark, vocab, **kw):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string")
+    return seq.wrapped_features(df, vocab, "doc_id", "text", 32, **kw)
+
+
+@pytest.mark.parametrize("align", [True, False])
+def test_looked_up_in_tasks_or_joined_is_the_same(spark, stub_vocab, monkeypatch, align):
+    here = sorted(_wrapped(spark, stub_vocab, align=align).collect())
+    monkeypatch.setattr(seq, "vocab_table", lambda *a: None)
+    assert sorted(_wrapped(spark, stub_vocab, align=align).collect()) == here
+    assert len(here) == len(ODD_TEXTS)
+    by = {r.doc_id: r for r in here}
+    assert by[1].depths == [-1, 0, -1] and by[3].depths == [-1, 1, 1, -1] and by[3].sibling_indices == [-1, 0, 1, -1]
+
+
+def test_features_move_no_row_per_leaf(spark, stub_vocab):
+    plan = _wrapped(spark, stub_vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan and plan.count("Exchange") == 1
+
+
+def test_features_repeated_key_fails(spark, stub_vocab):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="repeated key: 1"):
+        seq.features(df, stub_vocab, length=32).collect()

@@ -60,3 +60,18 @@ def test_few_null_and_blank_tokens(spark):
     got = {r.token: r.id for r in build_vocab_frequent(df, 10).collect()}
     assert (got["a"], got["b"], got["<s>"], len(got)) == (5, 6, 0, 7)
     assert build_vocab_frequent(df.limit(0), 10).count() == 5
+
+
+def test_tokens_are_filtered_after_they_are_counted(spark, monkeypatch):
+    """Whether a token can enter is asked of the counts read back, not of every occurrence."""
+    from arborform.operators import vocab
+    seen, kept = [], vocab.written
+
+    def noted(df, name):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+    monkeypatch.setattr(vocab, "written", noted)
+    rows = spark.createDataFrame([("a",), ("a",), (" ",), ("<s>",), (None,), ("b",)], "token string")
+    out = {r.token: r.id for r in vocab.build_vocab(rows, 10).collect()}
+    assert out["a"] == 5 and out["b"] == 6 and len(out) == 7
+    assert seen and "trim" not in seen[0]
