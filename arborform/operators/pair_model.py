@@ -7,10 +7,12 @@ layer and two class scores follow, as in a classifier head.
 
 Training streams over rows of any number. An epoch is one barrier stage: its
 tasks run together, each reads its share of the rows in an order drawn anew for
-the epoch and takes mini-batch gradient steps (Adam). Every SYNC_STEPS steps, and
-at the end, all tasks exchange their weights and moments (``allGather``) and go
-on from the mean, weighted by rows; an exchange takes up to a second, so there is
-none for each step. A task holds a mini-batch and the weights, never its share
+the epoch and takes mini-batch gradient steps (Adam). Every SYNC_STEPS steps, or a
+SYNCS-th of a task's steps where that is more, and at the end, all tasks exchange
+their weights and moments (``allGather``) and go on from the mean, weighted by rows;
+an exchange takes a second whatever it holds, so there is none for each step and
+their number stops growing with the rows (from STEP_ROWS x SYNC_STEPS x SYNCS rows a
+task). A task holds a mini-batch and the weights, never its share
 of the rows; weights are a few thousand numbers. Classes are weighted by the inverse of their frequency. After
 every epoch the loss on validation rows is averaged by Spark, and the weights of
 the lowest one are kept. If a task is lost, Spark repeats its epoch from the
@@ -33,7 +35,8 @@ from ..functions.batches import ship_package_by_value
 from ..session import written
 
 STEP_ROWS = 32          # rows of a mini-batch
-SYNC_STEPS = 64         # steps of a task between two exchanges
+SYNC_STEPS = 64         # steps of a task between two exchanges, at least
+SYNCS = 16              # exchanges that an epoch's rows are spread over, about
 MAX_TASKS = 64          # tasks that train together
 
 
@@ -114,9 +117,11 @@ def _mini_batches(batches, rows: int):
         yield *ready, False
 
 
-def _epoch(rows: DataFrame, model: PairModel, epoch: int, tasks: int, rate: float, decay: float, seed: int) -> PairModel:
+def _epoch(rows: DataFrame, model: PairModel, epoch: int, tasks: int, rate: float, decay: float, seed: int,
+           sync: int | None = None) -> PairModel:
     """The model after one pass over ``rows`` (x, y, k)."""
     ship_package_by_value()
+    between = sync or SYNC_STEPS
 
     def run(batches):
         from pyspark import BarrierTaskContext
@@ -127,7 +132,7 @@ def _epoch(rows: DataFrame, model: PairModel, epoch: int, tasks: int, rate: floa
         cut, more = np.cumsum([int(np.prod(s)) for s in shapes])[:-1], True
         while True:
             seen = 0
-            for _ in range(SYNC_STEPS if more else 0):
+            for _ in range(between if more else 0):
                 x, y, more = next(parts, (None, None, False))
                 if x is not None:
                     _, weight, gradients = model.loss_and_gradients(x, y)
@@ -152,6 +157,11 @@ def _epoch(rows: DataFrame, model: PairModel, epoch: int, tasks: int, rate: floa
     return replace(model, weights=weights, moments=moments, steps=steps)
 
 
+def sync_steps(rows: int, tasks: int) -> int:
+    """Steps between two exchanges in an epoch over ``rows``."""
+    return max(SYNC_STEPS, -(-rows // (STEP_ROWS * tasks * SYNCS)))
+
+
 def mean_loss(rows: DataFrame, model: PairModel) -> float:
     """Class-weighted mean loss over ``rows`` (x, y)."""
     ship_package_by_value()
@@ -190,7 +200,7 @@ def fit_pairs(train: DataFrame, valid: DataFrame, key: str = "pair_id", features
     tasks = tasks or min(MAX_TASKS, spark.sparkContext.defaultParallelism)
     best, losses = model, []
     for epoch in range(epochs):
-        model = _epoch(rows, model, epoch, tasks, rate, decay, seed)
+        model = _epoch(rows, model, epoch, tasks, rate, decay, seed, sync_steps(stats["n"], tasks))
         losses.append(mean_loss(check, model))
         if losses[-1] <= min(losses):
             best = model

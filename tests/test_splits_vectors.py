@@ -254,3 +254,21 @@ def test_lookup_of_what_the_vector_gives_is_computed_per_table_row(spark, tmp_pa
     assert seen.value == 8
     name = vectors.bucket_table(table, "v" + uuid.uuid4().hex, 4, str(tmp_path / "b"))
     assert {r.id: r.v for r in vectors.lookup_bucketed(rows, name, "vid", "v", 4, of=total).collect()} == want
+
+
+def test_exchanges_of_an_epoch_stop_growing():
+    from arborform.operators import pair_model as M
+    assert M.sync_steps(390_000, 12) == M.SYNC_STEPS == M.sync_steps(10, 1)
+    for rows in (1_000_000, 50_000_000):
+        steps = -(-rows // (M.STEP_ROWS * 12))
+        assert steps / M.sync_steps(rows, 12) <= M.SYNCS
+
+
+def test_id_shares(spark):
+    from arborform.operators.vectors import id_shares
+    rows = [(1, [0, 5, 9, 13, 6, 2]), (2, [0, 4]), (3, []), (4, None), (5, [None, 7])]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    out = {r.k: r.v for r in df.select("k", id_shares(F.col("ids"), 4, 4).alias("v")).collect()}
+    assert out == {1: [0.0, 0.75, 0.25, 0.0], 2: None, 3: None, 4: None, 5: [0.0, 0.0, 0.0, 1.0]}
+    none = df.filter("k = 3").select(id_shares(F.col("ids"), 4, 4).alias("v")).collect()
+    assert none == [(None,)]
