@@ -222,3 +222,26 @@ def test_markup_walk_is_linear(unit):
         return time.perf_counter() - t
     seconds(50_000)
     assert seconds(1_000_000) < 9 * max(min(seconds(250_000) for _ in range(2)), 0.02)
+
+
+def test_only_parents_take_part_in_the_rounds(spark, monkeypatch):
+    """Leaves are in no round of the path doubling, and one row each of the tour."""
+    from arborform.operators import trees
+    rows = [(0, None, 0), (1, 0, 1), (2, 1, 5)] + [(10 + i, 2, i) for i in range(20)] + [(40, None, 7), (50, 99, 0), (60, 61, 0), (61, 60, 0)]
+    nodes = spark.createDataFrame([(*r, f"n{r[0]}") for r in rows], "node_id long, parent_id long, ord long, text string")
+    sizes, kept = [], trees.written
+
+    def noted(df, name):
+        out = kept(df, name)
+        sizes.append((name, out.count()))
+        return out
+    monkeypatch.setattr(trees, "written", noted)
+    got = {r.node_id: (r.root_id, r.depth, list(r.path)) for r in trees.node_paths(nodes).collect()}
+    assert got == {0: (0, 0, [0]), 1: (0, 1, [0, 1]), 2: (0, 2, [0, 1, 5]), 40: (40, 0, [7]),
+                   **{10 + i: (0, 3, [0, 1, 5, i]) for i in range(20)}}
+    assert [n for _, n in sizes[1:]] and max(n for _, n in sizes[1:]) <= 5
+    tour = trees.euler_tour(trees.numbered_nodes(nodes.filter("node_id < 50")))
+    assert tour.count() == 3 * 2 + 20 + 1
+    order = {r.node_id: (r.root_id, r.pre, r.depth, r.leaf_pos) for r in trees.node_order(nodes).collect()}
+    assert order == {0: (0, 0, 0, None), 1: (0, 1, 1, None), 2: (0, 2, 2, None), 40: (40, 0, 0, 0),
+                     **{10 + i: (0, 3 + i, 3, i) for i in range(20)}}
