@@ -173,3 +173,36 @@ def test_the_walk_copies_no_leaf(spark):
     assert {r.k: [tuple(x) for x in r.a] for r in df.collect()} == {
         0: [("x", 2, 0), ("=", 2, 1), ("1", 2, 2), ("", 1, 1), ("z", 2, 0)], 1: [("", 0, 0)], 2: [("", 0, 0)],
         3: [("", 1, 0), ("", 1, 1)], 4: [(" \t", 1, 0)]}
+
+
+ODD_TEXTS = ["x = 1 + y\n\nz = x", "", None, "\n", " \t", "a\n \nb b _ é1", "1 + " * 40, "\n\na"]
+
+
+def _wrapped(spark, vocab, **kw):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string")
+    return seq.wrapped_features(df, vocab, "doc_id", "text", 32, **kw)
+
+
+@pytest.mark.parametrize("align", [True, False])
+def test_joined_by_block_or_by_leaf_is_the_same(spark, stub_vocab, monkeypatch, align):
+    here = sorted(_wrapped(spark, stub_vocab, align=align).collect())
+    monkeypatch.setattr(seq, "vocab_fits", lambda rows: False)
+    assert sorted(_wrapped(spark, stub_vocab, align=align).collect()) == here
+    assert len(here) == len(ODD_TEXTS)
+    by = {r.doc_id: r for r in here}
+    assert by[1].depths == [-1, 0, -1] and by[3].depths == [-1, 1, 1, -1] and by[3].sibling_indices == [-1, 0, 1, -1]
+
+
+def test_features_move_no_row_per_leaf(spark, stub_vocab):
+    plan = _wrapped(spark, stub_vocab, vocab_rows=11)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+    assert "BroadcastHashJoin" in plan and plan.count("hashpartitioning") == 1
+
+
+def test_features_repeated_key_or_token_fails(spark, stub_vocab):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="repeated key: 1"):
+        seq.features(df, stub_vocab, length=32).collect()
+    twice = stub_vocab.unionByName(spark.createDataFrame([("a", 99)], "token string, id int"))
+    with pytest.raises(Exception, match="repeated token"):
+        seq.features(df.limit(1), twice, length=32).collect()
