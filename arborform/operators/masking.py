@@ -6,6 +6,8 @@ the same masks on any partitioning and on task retries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def _digests(ids: Column, key: Column, seed, specials) -> Column:
         ":", F.lit(str(seed)), key.cast("string"), i.cast("string")))))
 
 
+def _chosen(ids: Column, key: Column, seed, specials, p: float) -> Column:
+    """The digests of the positions whose first draw is below ``p``, null elsewhere.
+
+    The draw is the number of a digest's first 8 hex digits over 2^32, so the digest
+    itself is compared, as text, with the hex digits of p * 2^32."""
+    first_over = max(math.ceil(p * TWO_32), 0)
+    below = (lambda h: h < F.lit(f"{first_over:08x}")) if first_over < TWO_32 else (lambda h: h.isNotNull())
+    return F.transform(_digests(ids, key, seed, specials), lambda h: F.when(below(h), h))
+
+
 def _u(h: Column, slot: int) -> Column:
     return F.conv(F.substring(h, 1 + 8 * slot, 8), 16, 10).cast("bigint") / F.lit(TWO_32)
 
@@ -37,16 +49,11 @@ def mask_tokens(df: DataFrame, key: str, p: float, seed, ids_col: str = "input_i
     """D2 (evaluation masking): each non-special position is chosen with
     probability p; labels keep the original id at chosen positions and -100
     elsewhere (taken before the ids change); chosen ids become ``mask_id``."""
-    sp = list(specials)
-    staged = df.withColumn("_h", _digests(F.col(ids_col), F.col(key), seed, sp))
-
-    def chosen(x, h):
-        return ~x.isin(sp) & (_u(h, 0) < F.lit(p))
-
+    staged = df.withColumn("_h", _chosen(F.col(ids_col), F.col(key), seed, specials, p))
     return (staged.withColumn("labels", F.zip_with(ids_col, "_h", lambda x, h: F.when(
-                chosen(x, h), x).otherwise(F.lit(IGNORE))))
+                h.isNotNull(), x).otherwise(F.lit(IGNORE))))
                   .withColumn(ids_col, F.zip_with(ids_col, "_h", lambda x, h: F.when(
-                chosen(x, h), F.lit(mask_id)).otherwise(x)))
+                h.isNotNull(), F.lit(mask_id)).otherwise(x)))
                   .drop("_h"))
 
 
@@ -57,21 +64,17 @@ def mask_tokens_train(df: DataFrame, key: str, p: float, seed, vocab_size: int,
     """D3 (training masking): chosen as in D2; of the chosen, ``replace_rate``
     become the mask id, then ``random_rate`` of the rest a random id in
     [0, vocab_size), the others stay. Four draws from one md5 per position."""
-    sp = list(specials)
-    staged = df.withColumn("_h", _digests(F.col(ids_col), F.col(key), seed, sp))
-
-    def chosen(x, h):
-        return ~x.isin(sp) & (_u(h, 0) < F.lit(p))
+    staged = df.withColumn("_h", _chosen(F.col(ids_col), F.col(key), seed, specials, p))
 
     def new_id(x, h):
         rand_id = F.floor(_u(h, 3) * F.lit(vocab_size)).cast("int")
-        return (F.when(~chosen(x, h), x)
+        return (F.when(h.isNull(), x)
                  .when(_u(h, 1) < F.lit(replace_rate), F.lit(mask_id))
                  .when(_u(h, 2) < F.lit(random_rate), rand_id)
                  .otherwise(x))
 
     return (staged.withColumn("labels", F.zip_with(ids_col, "_h", lambda x, h: F.when(
-                chosen(x, h), x).otherwise(F.lit(IGNORE))))
+                h.isNotNull(), x).otherwise(F.lit(IGNORE))))
                   .withColumn(ids_col, F.zip_with(ids_col, "_h", new_id))
                   .drop("_h"))
 

@@ -117,3 +117,17 @@ def test_mask_train_rates(spark):
     to_mask = sum(1 for i in chosen if r.input_ids[i] == 4)
     assert 0.7 < to_mask / len(chosen) < 0.9
     assert masking.scored(df.withColumn("labels", F.lit(r.labels)), "doc_id").count() == len(chosen)
+
+
+@pytest.mark.parametrize("p", [0, 0.15, 0.5, 1, 2])
+def test_masked_positions_are_those_of_the_draw(spark, p):
+    ids = [0, 3, None] + list(range(5, 300)) + [2]
+    df = spark.createDataFrame([(7, ids)], "doc_id long, input_ids array<int>")
+    masked = masking.mask_tokens(df, "doc_id", p, 123)
+    # no number is made of a digest to compare it with p
+    assert "conv(" not in masked._jdf.queryExecution().optimizedPlan().toString()
+    u = {r.i: r.u for r in spark.range(len(ids)).select(F.col("id").alias("i"), draw(123, F.lit(7), F.col("id")).alias("u")).collect()}
+    r, t = masked.first(), masking.mask_tokens_train(df, "doc_id", p, 123, vocab_size=300).first()
+    want = [x if x is not None and x > 4 and u[i] < p else -100 for i, x in enumerate(ids)]
+    assert r.labels == want == t.labels
+    assert r.input_ids == [x if y == -100 else 4 for x, y in zip(ids, want)]
