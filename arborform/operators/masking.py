@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from ..functions.draw import TWO_32
 from .vocab import MASK_ID, SPECIAL_IDS
 
@@ -22,22 +23,32 @@ def special_mask(ids: Column, specials=SPECIAL_IDS) -> Column:
     return F.transform(ids, lambda x: x.isin(list(specials)).cast("int"))
 
 
-def _digests(ids: Column, key: Column, seed, specials) -> Column:
-    """One md5 per position of (seed, key, position); special positions
-    (padding included) are never chosen and get none."""
-    sp = list(specials)
-    return F.transform(ids, lambda x, i: F.when(~x.isin(sp), F.md5(F.concat_ws(
-        ":", F.lit(str(seed)), key.cast("string"), i.cast("string")))))
+def _per_position(ids: Column, key: Column, seed, fn) -> Column:
+    """``fn(id, digest)`` per position, the digest one md5 of (seed, key, position);
+    seed and key are made text once per row."""
+    return bind(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), lambda start: F.transform(
+        ids, lambda x, i: fn(x, F.md5(F.concat_ws(":", start, i.cast("string"))))))
 
 
-def _chosen(ids: Column, key: Column, seed, specials, p: float) -> Column:
-    """The digests of the positions whose first draw is below ``p``, null elsewhere.
+def _below(p: float):
+    """Whether a digest's first draw is below ``p``.
 
     The draw is the number of a digest's first 8 hex digits over 2^32, so the digest
     itself is compared, as text, with the hex digits of p * 2^32."""
     first_over = max(math.ceil(p * TWO_32), 0)
-    below = (lambda h: h < F.lit(f"{first_over:08x}")) if first_over < TWO_32 else (lambda h: h.isNotNull())
-    return F.transform(_digests(ids, key, seed, specials), lambda h: F.when(below(h), h))
+    return (lambda h: h < F.lit(f"{first_over:08x}")) if first_over < TWO_32 else (lambda h: h.isNotNull())
+
+
+def _hits(ids: Column, key: Column, seed, specials, p: float) -> Column:
+    """True at the chosen positions; special positions (padding included) and nulls are
+    never chosen."""
+    return _per_position(ids, key, seed, lambda x, h: ~x.isin(list(specials)) & _below(p)(h))
+
+
+def _chosen(ids: Column, key: Column, seed, specials, p: float) -> Column:
+    """The digests of the chosen positions, null elsewhere."""
+    digests = _per_position(ids, key, seed, lambda x, h: F.when(~x.isin(list(specials)), h))
+    return F.transform(digests, lambda h: F.when(_below(p)(h), h))
 
 
 def _u(h: Column, slot: int) -> Column:
@@ -49,11 +60,9 @@ def mask_tokens(df: DataFrame, key: str, p: float, seed, ids_col: str = "input_i
     """D2 (evaluation masking): each non-special position is chosen with
     probability p; labels keep the original id at chosen positions and -100
     elsewhere (taken before the ids change); chosen ids become ``mask_id``."""
-    staged = df.withColumn("_h", _chosen(F.col(ids_col), F.col(key), seed, specials, p))
-    return (staged.withColumn("labels", F.zip_with(ids_col, "_h", lambda x, h: F.when(
-                h.isNotNull(), x).otherwise(F.lit(IGNORE))))
-                  .withColumn(ids_col, F.zip_with(ids_col, "_h", lambda x, h: F.when(
-                h.isNotNull(), F.lit(mask_id)).otherwise(x)))
+    staged = df.withColumn("_h", _hits(F.col(ids_col), F.col(key), seed, specials, p))
+    return (staged.withColumn("labels", F.zip_with(ids_col, "_h", lambda x, h: F.when(h, x).otherwise(F.lit(IGNORE))))
+                  .withColumn(ids_col, F.zip_with(ids_col, "_h", lambda x, h: F.when(h, F.lit(mask_id)).otherwise(x)))
                   .drop("_h"))
 
 

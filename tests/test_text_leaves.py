@@ -85,3 +85,11 @@ def test_integer_text(spark):
     df = spark.createDataFrame(rows, "a array<int>")
     for sep, want in ((",", ["1,-2,30", "", "5", None, "", "7"]), ("/", ["1/-2/30", "", "5", None, "", "7"])):
         assert [r[0] for r in df.select(int_text(F.col("a"), sep)).collect()] == want
+
+
+def test_masking_draws_in_one_pass(spark):
+    """Digests stay in the pass that compares them, and seed and key are text once per row."""
+    from arborform.operators import masking
+    df = spark.createDataFrame([(7, [0, None, 9, 8, 7])], "doc_id long, input_ids array<int>")
+    plan = masking.mask_tokens(df, "doc_id", 0.5, 123)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "isnotnull(lambda" not in plan
