@@ -237,6 +237,75 @@ def test_fused_joins_a_table_with_repeats_and_gaps(spark):
             vectors.fused(rows, missing, sizes, 6, "sum", "v").collect()
 
 
+def _feature_rows(spark):
+    """Rows of 9 positions of which the last two are padding; the first tables serve ``_position_rows`` too."""
+    places = F.sequence(F.lit(0), F.lit(8))
+    ids = lambda a, pad: F.transform(places, lambda j: F.when(j > 6, pad).otherwise((F.col("id") * a + j) % 40 + pad).cast("int"))
+    rows = spark.range(60).select(
+        F.col("id").alias("k"), ids(3, 0).alias("word_id"), ids(1, 0).alias("type_id"), ids(1, 0).alias("position_id"), ids(7, -1).alias("depths"),
+        ids(5, -1).alias("sibling_indices"), F.transform(places, lambda j: ((F.col("id") + j) % 3 > 0).cast("int")).alias("tree_attention_mask"))
+    z = F.arrays_zip("word_id", "type_id", "position_id", "depths", "sibling_indices", "tree_attention_mask")
+    flat = rows.select("k", F.posexplode(z).alias("pos", "z")).select(
+        "k", "pos", "z.word_id", "z.type_id", "z.position_id", F.greatest("z.depths", F.lit(0)).alias("depth_id"),
+        F.greatest("z.sibling_indices", F.lit(0)).alias("sibling_id"), ((F.col("z.depths") >= 0).cast("int") * F.col("z.tree_attention_mask")).alias("depth_on"),
+        ((F.col("z.sibling_indices") >= 0).cast("int") * F.col("z.tree_attention_mask")).alias("sib_on"))
+    return rows, flat
+
+
+@pytest.mark.parametrize("mode,of", [("sum", False), ("concat", False), ("concat", True)])
+def test_fused_of_feature_rows_equals_that_of_their_positions(spark, monkeypatch, mode, of):
+    from arborform.functions.arrays import numbers_md5
+    rows, flat = _feature_rows(spark)
+    _, tables, sizes = _position_rows(spark, 2)
+    how = {"of": numbers_md5(), "kind": "string"} if of else {}
+    # a digest of vectors as one joins them: no texts of their parts
+    plain = {"of": lambda v, g=numbers_md5(): g(v), "kind": "string"} if of else {}
+    got = lambda df: {(r.k, r.pos): r.v for r in df.collect()}
+    want = got(vectors.fused(flat, tables, sizes, 6, mode, "v", **plain))
+    assert len(want) == 540
+    assert got(vectors.fused(rows, tables, sizes, 6, mode, "v", pos_col="pos", **how)) == want
+    assert got(vectors.fused(flat, tables, sizes, 6, mode, "v", **how)) == want
+    monkeypatch.setattr(vectors, "FUSED_POSITIONS", 20)
+    monkeypatch.setattr(vectors, "FUSED_ROWS", 4)
+    monkeypatch.setattr(vectors, "PIECE", 4)
+    monkeypatch.setattr(vectors, "TEXT_BYTES", 1)
+    assert got(vectors.fused(rows, tables, sizes, 6, mode, "v", pos_col="pos", **how)) == want
+    twice = dict(tables, type=tables["type"].union(spark.createDataFrame([(99, [0.0] * 6)] * 2, "id int, embedding array<double>")))
+    assert got(vectors.fused(rows, twice, sizes, 6, mode, "v", pos_col="pos", **how)) == want     # by joins
+    uneven = rows.withColumn("depths", F.slice("depths", 1, 8))
+    with pytest.raises(Exception, match="without an id or factor"):
+        vectors.fused(uneven, tables, sizes, 6, mode, "v", pos_col="pos", **how).collect()
+
+
+def test_texts_of_concatenated_vectors_are_made_per_table_row(spark):
+    from arborform.functions.arrays import numbers_md5
+    rows, flat = _feature_rows(spark)
+    _, tables, sizes = _position_rows(spark, 2)
+    seen = spark.sparkContext.accumulator(0)
+    of = numbers_md5()
+
+    class Counted:
+        sep = of.sep
+
+        def texts(self, m):
+            seen.add(len(m))
+            return of.texts(m)
+
+        def __call__(self, v):
+            seen.add(5 * len(v))
+            return of(v)
+    one = vectors.fused(rows.coalesce(1), tables, sizes, 6, "concat", "v", of=Counted(), kind="string", pos_col="pos")
+    assert len({r.v for r in one.collect()}) > 300
+    assert seen.value <= 3 * 41 + 2 * 2 * 41          # ids of five tables, two of them with two factors
+
+
+def test_combinations_are_numbered_past_64_bits():
+    import numpy as np
+    cols = [np.arange(3000) * (k + 1) % 2999 for k in range(8)]
+    first, inv = vectors._numbered(cols)
+    assert len(first) == len({*zip(*(c.tolist() for c in cols))}) and all((c[first][inv] == c).all() for c in cols)
+
+
 def test_lookup_of_what_the_vector_gives_is_computed_per_table_row(spark, tmp_path):
     import uuid
     table = spark.range(8).select(F.col("id").cast("int").alias("vec_id"), F.array(F.col("id") * 1.0, F.col("id") * 2.0).alias("embedding"))
