@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.batches import ship_package_by_value
+from ..functions.batches import hand_back, ship_package_by_value
 from ..operators.metrics import IGNORE, argmax, evaluate_counts, row_loss
 
 STATE = "version bigint, seqs array<bigint>, labels array<int>, preds array<int>, counts array<bigint>, losses array<double>"
@@ -39,11 +39,13 @@ def add_rows(kept: tuple | None, rows: pd.DataFrame) -> tuple:
     version, seqs, *lists = kept or (0, [], [], [], [], [])
     sums = {(a, b): (n, s) for a, b, n, s in zip(*lists)}
     some = rows[rows["label"].notna()]
-    for (a, b), part in some.groupby(["label", "pred"], sort=True):
+    # one pass for all pairs: a batch has hundreds of them
+    new = some.groupby(["label", "pred"], sort=True)["loss"].agg(["size", "sum"])
+    for (a, b), more, loss in zip(new.index.tolist(), new["size"].tolist(), new["sum"].tolist()):
         n, s = sums.get((int(a), int(b)), (0, 0.0))
-        sums[int(a), int(b)] = (n + len(part), s + float(part["loss"].sum()))
+        sums[int(a), int(b)] = (n + more, s + loss)
     keys = sorted(sums)
-    return (version, sorted({*seqs, *map(int, rows["seq"])}), [a for a, _ in keys], [b for _, b in keys],
+    return (version, sorted({*seqs, *map(int, rows["seq"].unique())}), [a for a, _ in keys], [b for _, b in keys],
             [sums[k][0] for k in keys], [sums[k][1] for k in keys])
 
 
@@ -63,6 +65,8 @@ def metric_stream(stream: DataFrame, out_dir: str, checkpoint: str, delay: str =
 
     def update(key, parts, state):
         batch = int(key[0])
+        if batch % 64 == 0:
+            hand_back()
         kept = state.get if state.exists else None
         if state.hasTimedOut:
             yield shown(batch, kept, True)

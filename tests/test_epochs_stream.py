@@ -153,3 +153,31 @@ def test_stream_files_grow_with_the_sequences(spark, monkeypatch):
     assert len(files) > P.STREAM_FILES and len(files) <= 4 * P.STREAM_FILES     # 183 sequences, 8 files for each 50
     want = C.q_metric_row(spark, sf).first()
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+
+
+def test_stream_looks_its_logits_up(spark, monkeypatch):
+    """The written positions have no vectors; each micro-batch gets those of its own rows."""
+    from arborform.plans import catalog as C
+    made, seen = [], []
+    plain, stream = C.fresh_subdir, C.metric_stream
+    monkeypatch.setattr(C, "fresh_subdir", lambda s, name: made.append(plain(s, name)) or made[-1])
+    monkeypatch.setattr(C, "metric_stream", lambda rows, *a: seen.append((rows.isStreaming, rows.dtypes)) or stream(rows, *a))
+    got = C.q_metric_row_stream(spark, SF).first()
+    assert seen == [(True, [("batch", "bigint"), ("seq", "bigint"), ("ts", "timestamp"), ("logits", "array<double>"), ("label", "int")])]
+    src = spark.read.parquet(next(x for x in made if "stream-in" in x))
+    assert not any(kind.startswith("array") for _, kind in src.dtypes)
+    want = C.masked_predictions(spark, SF).filter("label <> -100 or pos = 0")
+    assert src.groupBy("vid", "label").count().exceptAll(want.groupBy("vid", "label").count()).isEmpty() and src.count() == want.count()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, C.q_metric_row(spark, SF).first()))
+
+
+def test_state_of_many_pairs():
+    rng = random.Random(4)
+    rows = [(rng.randrange(9), rng.choice([None, 0, 1, 2, 3]), rng.randrange(4), rng.randrange(64) / 64) for _ in range(900)]
+    kept = None
+    for i in range(0, 900, 300):
+        kept = add_rows(kept, pd.DataFrame([(s, a, None if a is None else p, None if a is None else x) for s, a, p, x in rows[i:i + 300]], columns=["seq", "label", "pred", "loss"]))
+    pairs = sorted({(a, p) for _, a, p, _ in rows if a is not None})
+    of = lambda pair: [x for _, a, p, x in rows if (a, p) == pair]
+    assert kept == (0, list(range(9)), [a for a, _ in pairs], [p for _, p in pairs], [len(of(x)) for x in pairs], [sum(of(x)) for x in pairs])
+    assert {type(v) for part in kept[1:5] for v in part} == {int} and {type(v) for v in kept[5]} == {float}
